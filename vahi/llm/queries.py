@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vahi.llm import quality, toxicity
 from vahi.llm.common import clean_text, documents, table
 from vahi.llm.decontamination import contamination
 from vahi.llm.exact_dedup import exact_dedup
@@ -51,7 +52,17 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_line_dedup, op5_token_counts, op6_decontamination, op8_minhash)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_line_dedup, op5_token_counts, op6_decontamination, op8_minhash, op9_quality, op10_toxicity)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
