@@ -93,7 +93,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Text is shuffled only to fill the snapshot and for that comparison.
 
     Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256. Null text counts as empty. Repeated rows of one doc_id all count
-    in group_size, and all have kept true if theirs is the smallest id; rows with a null doc_id are counted and never kept, and keep_id is null if the group has no other rows.
+    in group_size, and all have kept true if theirs is the smallest id; rows with a null doc_id are counted, and kept only if the group has no others (keep_id is then null).
     An empty table gives no rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -115,5 +115,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     groups = stored(groups, "groups")
     return all_digests.join(groups, "digest", "left").select(
         "doc_id", "keep_id", F.col("n").cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vahi.llm.common import LOWER, chunks, raw, run_hashes, span_hashes, stored, word_spans
+from vahi.llm.common import LOWER, by_ids, chunks, raw, run_hashes, span_hashes, stored, word_spans
 from vahi.llm.components import components
 
 SHINGLE, K = 5, 64
@@ -20,8 +20,6 @@ PERCENT = 85
 SLACK = 5.0
 #: Longer inverted lists are worked through by stars, on full sets.
 LONG_LIST = 40
-#: Ids that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 400_000
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -157,7 +155,7 @@ def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, percent
     Equal sets collapse to one node first, so copies are never paired. Each node keeps the k smallest values of one hash function. In the order from rare to
     common, linked nodes share a value among the first few of their sketches and enough of what follows, so only those meet in inverted lists. Short lists give
     their pairs; nodes that stand in long lists are handled by stars on full sets, which pairs nothing within a component. The sketch of the union filters pairs,
-    and the full sets confirm every link. Ids are broadcast only up to BROADCAST_IDS.
+    and the full sets confirm every link. Ids are broadcast only up to a fixed number.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
     Null and empty texts have no shingles and no links. Rows with a null doc_id link to nothing, have a null component_id and are kept. Rows that repeat a doc_id are
@@ -185,7 +183,7 @@ def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, percent
     pairs = stored(_pairs(short, short, f"x.node < y.node AND {bound}"), "pairs")
     in_long = rows.where(F.col("df") > long_list).select("node").distinct()
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    some = _those(nodes.select("node", "sketch"), stored(met, "met"), "node")
+    some = by_ids(nodes.select("node", "sketch"), stored(met, "met"), "node")
     pairs = stored(_checked(pairs, some, "sketch", lambda x, y: may_link(x, y, k, percent)), "pairs")
 
     hot = stored(in_long, "hot")
@@ -197,11 +195,11 @@ def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, percent
         for part, sets in _sets(batches, shingle):
             yield pa.record_batch([part.column("node"), _longs(sets)], names=["node", "set"])
 
-    texts = _those(docs.select(F.col("doc_id").alias("node"), "text"), first.select("node").distinct(), "node")
+    texts = by_ids(docs.select(F.col("doc_id").alias("node"), "text"), first.select("node").distinct(), "node")
     sets = stored(texts.mapInArrow(full, "node long, set array<long>").dropDuplicates(["node", "set"]), "sets")
     links = stored(_checked(pairs, sets, "set", lambda x, y: is_link(x, y, percent)), "links")
     if hot.head(1):
-        links = stored(_links_of_long_lists(_those(sets, hot, "node"), links, percent), "links")
+        links = stored(_links_of_long_lists(by_ids(sets, hot, "node"), links, percent), "links")
     label = components(links)
     found = nodes.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("found"))
     found = stored(found, "components")
@@ -210,7 +208,3 @@ def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, percent
         "doc_id", F.col("n").alias("n_shingles"), named.alias("component_id"), F.coalesce(F.col("doc_id") == named, F.lit(True)).alias("kept")
     )
 
-
-def _those(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows with these ids; the ids are broadcast if they are few."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")

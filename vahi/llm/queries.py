@@ -11,6 +11,7 @@ from vahi.llm.decontamination import contamination
 from vahi.llm.exact_dedup import exact_dedup
 from vahi.llm.line_dedup import line_dedup
 from vahi.llm.minhash import near_duplicates
+from vahi.llm.packing import pack
 from vahi.llm.sharding import shard_by_bytes
 from vahi.llm.substring_dedup import substring_dedup
 from vahi.llm.token_counts import token_counts
@@ -48,6 +49,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -62,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_line_dedup, op5_token_counts, op6_decontamination, op8_minhash, op9_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_line_dedup, op5_token_counts, op6_decontamination, op7_packing, op8_minhash, op9_quality, op10_toxicity)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
