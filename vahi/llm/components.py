@@ -11,13 +11,13 @@ from vahi.llm.common import stored
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is hung on the smallest node of its neighbourhood."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # stored, so that the join's hot nodes can be split
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are hung on the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     hung = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.unionByName(least.withColumnRenamed("m", "b")).distinct()
 

@@ -91,7 +91,7 @@ def line_dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batc
         step = (high - low) // batches + 1
         for k in reversed(range(batches)):
             runs.add(lines.where((F.col("doc_id") >= low + k * step) & (F.col("doc_id") < low + (k + 1) * step)))
-        lost = lines.join(runs.common(least_docs), "key").where("doc_id <> owner").select("doc_id", "text_key", "line_no")
+        lost = lines.join(stored(runs.common(least_docs), "common-lines"), "key").where("doc_id <> owner").select("doc_id", "text_key", "line_no")
     else:
         lost = lines.select("doc_id", "text_key", "line_no")
     lost = lost.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lost"))

@@ -105,7 +105,7 @@ def _ranked(values: DataFrame, size: str) -> DataFrame:
 
     Values that one node alone holds come first and need no row: their number is the set's or sketch's size less the shared ones.
     """
-    counts = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    counts = stored(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value-counts")  # stored, so that the join's hot values can be split
     shared = values.join(counts, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("list"))
     return shared.select("node", "n", F.posexplode("list").alias("at", "x"), (F.expr(size) - F.size("list")).alias("alone")).select(
         "node", "n", F.col("x.value").alias("value"), F.col("x.df").alias("df"), (F.col("alone") + F.col("at")).alias("rank")

@@ -16,7 +16,7 @@ WINDOW = 50
 #: Words of the runs of which a window's smallest hash is its minimiser: long enough that no run is common by chance.
 MINIMISER = 4
 #: Bytes of super-k-mers that a task gathers before it ships them, and that a bucket's reader sorts at a time.
-PACK_BYTES, SORT_BYTES = 48 << 20, 2 << 20
+PACK_BYTES, SORT_BYTES = 16 << 20, 2 << 20
 
 _PACKS = "bucket int, packed binary"
 _ROWS = "minimiser long, run binary, docs array<long>, keys array<long>, starts array<int>"
