@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from vahi.llm.common import mix
+from vahi.llm.common import distinct, mix
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,7 +28,7 @@ def _probes(keys: np.ndarray, seed: int, segment: int, segments: int) -> tuple[n
 
 def build(keys: np.ndarray) -> tuple[int, bytes]:
     """Seed and fingerprints of a filter that holds these distinct uint64 keys."""
-    keys = np.unique(np.asarray(keys, np.uint64))
+    keys = distinct(np.asarray(keys, np.uint64))
     segment, segments = _shape(len(keys))
     for seed in range(1, 1000):
         slots, prints = _probes(keys, seed, segment, segments)

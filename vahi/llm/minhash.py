@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vahi.llm.common import LOWER, by_ids, chunks, raw, run_hashes, span_hashes, stored, word_spans
+from vahi.llm.common import LOWER, by_ids, chunks, distinct, raw, run_hashes, span_hashes, stored, word_spans
 from vahi.llm.components import components
 
 SHINGLE, K = 5, 64
@@ -31,7 +31,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, shingle: int = SHINGLE) -
     grams = run_hashes(words, np.arange(max(0, len(words) - shingle + 1)), shingle)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= shingle:
-            yield np.unique(grams[a : b - shingle + 1])
+            yield distinct(grams[a : b - shingle + 1])
         else:
             yield run_hashes(words[a:b], np.zeros(1, np.int64), b - a) if b > a else grams[:0]
 

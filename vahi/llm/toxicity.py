@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vahi.llm.common import chunks
+from vahi.llm.common import chunks, distinct
 from vahi.llm.labelled import is_held_out, training_rows
 
 #: n-gram lengths, hashed slots (a power of two), training documents of each label at most, and n-grams that get a weight at most.
@@ -54,7 +54,7 @@ def text_grams(texts: list[str | None], wanted: np.ndarray | None = None) -> tup
         text = np.searchsorted(bounds, at, side="right") - 1
         inside = at + n <= bounds[text + 1]
         found.append(text[inside] * SLOTS + slots[at[inside]])
-    both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    both = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return both // SLOTS, both % SLOTS
 
 
