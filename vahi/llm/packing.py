@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,58 +11,99 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vahi.llm.common import LOWER, chunks, compact, mix, raw, span_hashes, word_spans
-from vahi.llm.token_counts import Cached, split_before_spaces, tokenizer
+from vahi.llm.common import chunks, mix, stored, tasks
+from vahi.llm.token_counts import id_encoder, tokenizer
 
 WINDOW = 1024
 #: Hashed terms of the index: document frequencies are counted over all documents in a vector of this fixed size.
 TERM_BITS = 18
 TERMS = 1 << TERM_BITS
-#: Bytes of text of a shard of the index, terms of a seed that are asked for, and neighbours taken from one question.
-SHARD_BYTES, ASKED, ANSWERS = 12 << 20, 24, 16
+#: Bytes of ids of a task and of each shard of the index in it, terms of a seed that are asked for, and neighbours taken from one question.
+TASK_BYTES, SHARD_BYTES, ASKED, ANSWERS = 192 << 20, 6 << 20, 12, 16
 K1, B = 1.2, 0.75
+#: Odd multipliers, one a place in a word; later ids of a word share the last.
+_BY_PLACE = np.cumprod(np.full(16, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def terms_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The distinct hashed terms of each text, lower-cased words, and how often they occur."""
-    data, bounds = compact(*raw(column))
-    data = LOWER[data]
-    starts, ends, text = word_spans(data, bounds)
-    term = (span_hashes(data, starts, ends) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
-    n = len(bounds) - 1
-    both, count = np.unique(text * TERMS + term, return_counts=True)
-    edges = np.searchsorted(both, np.arange(n + 1) * TERMS)
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield both[a:b] % TERMS, count[a:b]
+def word_starts(path: str) -> np.ndarray:
+    """For each id of a byte-level vocabulary whether a word starts there: it begins with anything but a letter or digit, a space among them."""
+    vocabulary = tokenizer(path).get_vocab()
+    starts = np.ones(max(vocabulary.values()) + 1, bool)
+    for token, k in vocabulary.items():
+        starts[k] = not token[0].isalnum() or token[0] == "\u0120"  # how the vocabulary writes a space
+    return starts
+
+
+def words_of(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a text's ids, and how many ids it has."""
+    first = starts[ids]
+    first[:1] = True
+    at = np.flatnonzero(first)
+    length = np.diff(np.append(at, len(ids)))
+    place = np.minimum(np.arange(len(ids)) - np.repeat(at, length), len(_BY_PLACE) - 1)
+    return mix(np.add.reduceat((ids.astype(np.uint64) + np.uint64(1)) * _BY_PLACE[place], at)) if len(at) else np.zeros(0, np.uint64), length
+
+
+def terms_of(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed terms of a text's words and how often they occur."""
+    term = np.sort((word >> np.uint64(64 - TERM_BITS)).astype(np.int32))
+    at = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))[: len(term)])
+    return term[at], np.diff(np.append(at, len(term))).astype(np.int32)
+
+
+def place_of(word: np.ndarray, length: np.ndarray) -> int:
+    """The smallest hash among a text's words of most ids, which are its rare ones: texts that share rare words are often dealt to one shard."""
+    return int(word[length >= min(3, length.max())].min() >> np.uint64(1)) if len(word) else 0
 
 
 _PART = 4096
+_ENCODED = "doc_id long, place long, crc long, ids binary, part int, counts binary"
 
 
-def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, int, float, int]:
-    """Over all documents: how many hold each hashed term, their number, mean words, and text bytes. Tasks send vectors in parts that are summed by part."""
+def encoded(docs: DataFrame, make: Callable, starts: np.ndarray, end_id: int) -> DataFrame:
+    """A row for each document (place, ids with end_id, their crc), and after a task's documents its counts, a vector in numbered parts.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The counts: how many documents hold each term, then documents, words and bytes of ids.
+    """
+    width = "<u2" if len(starts) <= 1 << 16 else "<u4"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_ids, end = make(), np.array([end_id], np.uint32)
         frequency, rows, words, size = np.zeros(TERMS, np.int64), 0, 0, 0
-        for part in chunks(batches, "text"):
-            for term, times in terms_of(part.column("text")):
+        for batch in chunks(batches, "text"):
+            bodies, places = [], []
+            for ids in to_ids([x or "" for x in batch.column("text").to_pylist()]):
+                word, length = words_of(ids, starts)
+                term, _ = terms_of(word)
                 frequency[term] += 1
-                words += int(times.sum())
-            rows += part.num_rows
-            size += len(raw(part.column("text"))[0])
+                words += len(word)
+                places.append(place_of(word, length))
+                bodies.append(np.concatenate((ids, end)).astype(width).tobytes())
+            rows, size, n = rows + len(bodies), size + sum(map(len, bodies)), len(bodies)
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array(places, pa.int64()), pa.array([zlib.crc32(x) for x in bodies], pa.int64()), pa.array(bodies, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=["doc_id", "place", "crc", "ids", "part", "counts"],
+            )
         parts = [frequency[k : k + _PART].astype("<i8").tobytes() for k in range(0, TERMS, _PART)] + [np.array([rows, words, size], "<i8").tobytes()]
-        yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+        n = len(parts)
+        yield pa.record_batch([*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "place", "crc", "ids", "part", "counts"])
+
+    return docs.mapInArrow(encode, _ENCODED)
+
+
+def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, int, float, int]:
+    """Over all documents of encoded(): how many hold each hashed term, their number, mean words, and bytes of ids; the tasks' vectors are summed by part."""
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), "<i8") for x in group.column("counts"))
         return pa.table({"part": group.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    sums = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+    sums = rows.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary")
     parts = {r.part: np.frombuffer(r.counts, "<i8") for r in sums.collect()}  # TERMS + 3 numbers
     if not parts:
         return np.zeros(TERMS, np.int64), 0, 0.0, 0
-    rows, words, size = (int(x) for x in parts.pop(max(parts)))
-    return np.concatenate([parts[k] for k in sorted(parts)]), rows, words / max(1, rows), size
+    n, words, size = (int(x) for x in parts.pop(max(parts)))
+    return np.concatenate([parts[k] for k in sorted(parts)]), n, words / max(1, n), size
 
 
 def rarity(frequency: np.ndarray, rows: int) -> np.ndarray:
@@ -130,14 +171,16 @@ def packing_order(index: Index, lengths: list[int], window: int) -> Iterator[int
         seed = following
 
 
-def _pack(path: str, window: int, end_id: int, weight: np.ndarray, mean_words: float):
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def _pack(window: int, starts: np.ndarray, weight: np.ndarray, mean_words: float):
+    width = "<u2" if len(starts) <= 1 << 16 else "<u4"
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(path)
-        cache = Cached(lambda words: [np.array(x.ids, "<u4").tobytes() for x in encoder.encode_batch_fast(words, add_special_tokens=False)])
-        end = np.array([end_id], "<u4").tobytes()
         names: list[int | None] = []
         terms: list[tuple[np.ndarray, np.ndarray]] = []
-        bodies: list[bytes] = []
+        bodies: list[np.ndarray] = []
         shard, shards, size = TaskContext.get().partitionId(), 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -145,8 +188,9 @@ def _pack(path: str, window: int, end_id: int, weight: np.ndarray, mean_words: f
             out: list[list[int | None]] = [[] for _ in range(7)]
             # a sequence's number: the partition, the shard of it, and the count in the shard
             sequence, offset = ((shard << 12) + shards) << 28, 0
-            for k in packing_order(index, [len(x) // 4 for x in bodies], window):
-                body, whole, start = bodies[k], len(bodies[k]) // 4, 0
+            for k in packing_order(index, list(map(len, bodies)), window):
+                body, start = bodies[k].astype("<u4").tobytes(), 0
+                whole = len(body) // 4
                 while start < whole:
                     length = min(whole - start, window - offset)
                     row = (names[k], start, length, zlib.crc32(body[4 * start : 4 * (start + length)]), whole, sequence, offset)
@@ -157,14 +201,13 @@ def _pack(path: str, window: int, end_id: int, weight: np.ndarray, mean_words: f
                         sequence, offset = sequence + 1, 0
             yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=PIECE)
 
-        for part in chunks(batches, "text"):
-            texts = [x or "" for x in part.column("text").to_pylist()]
-            words = [split_before_spaces(x) if x else [] for x in texts]
-            ids = cache.learn(words).__getitem__
-            bodies += [b"".join(map(ids, x)) + end for x in words]
-            names += part.column("doc_id").to_pylist()
-            terms += list(terms_of(part.column("text")))
-            size += sum(map(len, texts))
+        for batch in chunks(batches, "ids"):
+            for body in batch.column("ids").to_pylist():
+                ids = np.frombuffer(body, width)
+                bodies.append(ids)
+                terms.append(terms_of(words_of(ids[:-1], starts)[0]))
+                size += len(body)
+            names += batch.column("doc_id").to_pylist()
             if size > SHARD_BYTES:
                 yield from flush()
                 names, terms, bodies, shards, size = [], [], [], shards + 1, 0
@@ -174,37 +217,22 @@ def _pack(path: str, window: int, end_id: int, weight: np.ndarray, mean_words: f
     return pack
 
 
-PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-
-def place_key(docs: DataFrame, weight: np.ndarray) -> DataFrame:
-    """docs with `place`: the smallest hash among a text's rarest terms, so that texts that share rare words are often dealt to one shard."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
-            found = []
-            for term, _ in terms_of(part.column("text")):
-                rare = term[np.argsort(-weight[term], kind="stable")[: max(1, len(term) // 2)]]
-                found.append(int(mix(rare.astype(np.uint64)).min() >> np.uint64(1)) if len(rare) else 0)
-            yield pa.record_batch([part.column("doc_id"), part.column("text"), pa.array(found, pa.int64())], names=["doc_id", "text", "place"])
-
-    return docs.mapInArrow(place, "doc_id long, text string, place long")
-
-
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, window: int = WINDOW, end_id: int = 0) -> DataFrame:
     """Pack all documents, each followed by end_id, into sequences of `window` ids.
 
-    The index is sharded by ranges of a locality key and doc_id, so shards are equal in size however many documents share a key. In a shard a seed document
-    asks the inverted index for unused neighbours, which fill its windows greedily; a document is cut at a window's edge and goes on in the next window, so
-    only the last sequence of a shard has padding. Term frequencies and lengths are those of the whole corpus, in vectors of fixed size.
+    Texts are tokenized once and the ids stored. The index is sharded by ranges of a locality key and doc_id, so shards are equal in size however many documents
+    share a key. In a shard a seed document asks the inverted index, whose terms are the words that the ids spell, for unused neighbours, which fill its windows
+    greedily; a document is cut at a window's edge and goes on in the next window, so only the last sequence of a shard has padding. Term frequencies and lengths
+    are those of the whole corpus, in vectors of fixed size. path, ranks_path and pattern: see id_encoder; the files must be readable on every executor.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null and empty texts are one end_id.
     Null and repeated doc_ids are documents of their own. An empty table gives no rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequency, rows, mean_words, size = corpus_statistics(docs)
-    weight = rarity(frequency, rows)
-    parts = size // SHARD_BYTES + 1
-    dealt = docs.withColumn("place", F.xxhash64("doc_id")) if parts == 1 else place_key(docs, weight)
-    shards = dealt.repartitionByRange(int(parts), "place", "doc_id", F.xxhash64("text")).sortWithinPartitions("place", "doc_id")
-    return shards.select("doc_id", "text").mapInArrow(_pack(path, window, end_id, weight, mean_words), ", ".join(f"{x} long" for x in PIECE))
+    starts = word_starts(path)
+    rows = stored(encoded(docs, lambda: id_encoder(path, ranks_path, pattern), starts, end_id), "encoded")
+    frequency, n, mean_words, size = corpus_statistics(rows)
+    parts = max(size // TASK_BYTES + 1, min(tasks(docs.sparkSession), size // SHARD_BYTES + 1))
+    dealt = rows.where("part is null").select("doc_id", "place", "crc", "ids")
+    shards = dealt.repartitionByRange(int(parts), "place", "doc_id", "crc").sortWithinPartitions("place", "doc_id", "crc")
+    return shards.select("doc_id", "ids").mapInArrow(_pack(window, starts, rarity(frequency, n), mean_words), ", ".join(f"{x} long" for x in PIECE))

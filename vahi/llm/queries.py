@@ -49,8 +49,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return packed(documents(spark, sf_dir))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
