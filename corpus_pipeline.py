@@ -9,8 +9,7 @@ from vahi.llm.common import by_ids, documents, stored, table
 from vahi.llm.decontamination import contamination
 from vahi.llm.exact_dedup import exact_dedup
 from vahi.llm.minhash import near_duplicates
-from vahi.llm.packing import pack
-from vahi.llm.queries import tokenizer_path
+from vahi.llm.queries import packed
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents that are left, in sequences of 1024 ids."""
-    return pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packed(docs)
 
 
 STAGES = [
