@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,8 @@ from vahi.functions import text as T
 RESULT = "client_id int, gstin string, row_id long, invoice_id long, status string, taxable_diff double, tax_diff double"
 #: Groups of this many rows and more, or without a registration number, are matched by windows, which split over tasks.
 LARGE_GROUP = 20_000
+#: Buckets of groups for each shuffle partition.
+BUCKETS = 8
 
 
 def purchase_books(invoices: DataFrame, vouchers: DataFrame) -> DataFrame:
@@ -42,48 +44,48 @@ def _diffs(taxable: Column, tax: Column, tolerance: float) -> Column:
     return F.when((F.abs(taxable) <= tolerance) & (F.abs(tax) <= tolerance), "MATCHED").otherwise("VALUE_MISMATCH")
 
 
-def _match_group(key: tuple, books: pd.DataFrame, rows: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    """The sequential rule for one client and registration: rows in order, a book is taken once, exact keys before soft ones, the first book wins."""
+def _match(books: pd.DataFrame, rows: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """The sequential rule for whole (client, registration) groups: rows in order, a book is taken once, exact keys before soft ones, the first book wins."""
     books, rows = books.sort_values("invoice_id"), rows.sort_values("row_id")
-    exact, soft = defaultdict(list), defaultdict(list)
+    exact, soft = defaultdict(deque), defaultdict(deque)
     for b in books.itertuples(index=False):
-        exact[b.exact].append(b)
-        soft[b.soft].append(b)
-    used: set[int] = set()
+        exact[b.client_id, b.gstin, b.exact].append(b)
+        soft[b.client_id, b.gstin, b.soft].append(b)
+    used: set[tuple] = set()
     out = []
 
-    def take(queue: list) -> object | None:
-        while queue and queue[0].invoice_id in used:
-            queue.pop(0)
-        return queue.pop(0) if queue else None
+    def take(queue: deque) -> object | None:
+        while queue and (queue[0].client_id, queue[0].invoice_id) in used:
+            queue.popleft()
+        return queue.popleft() if queue else None
 
     for r in rows.itertuples(index=False):
-        b = take(exact[r.exact]) or take(soft[r.soft])
+        b = take(exact[r.client_id, r.gstin, r.exact]) or take(soft[r.client_id, r.gstin, r.soft])
         if b is None:
-            out.append((r.row_id, None, "MISSING_IN_BOOKS", r.taxable, r.tax))
+            out.append((r.client_id, r.gstin, r.row_id, None, "MISSING_IN_BOOKS", r.taxable, r.tax))
             continue
-        used.add(b.invoice_id)
+        used.add((b.client_id, b.invoice_id))
         gap, tax_gap = abs(b.taxable - r.taxable), abs(b.tax - r.tax)
-        out.append((r.row_id, b.invoice_id, "MATCHED" if gap <= tolerance and tax_gap <= tolerance else "VALUE_MISMATCH", gap, tax_gap))
-    out += [(None, b.invoice_id, "MISSING_IN_2B", b.left_taxable, b.left_tax) for b in books.itertuples(index=False) if b.invoice_id not in used]
-    made = pd.DataFrame(out, columns=["row_id", "invoice_id", "status", "taxable_diff", "tax_diff"]).astype({"row_id": "Int64", "invoice_id": "Int64"})
-    made.insert(0, "gstin", key[1])
-    made.insert(0, "client_id", key[0])
-    return made
+        out.append((r.client_id, r.gstin, r.row_id, b.invoice_id, "MATCHED" if gap <= tolerance and tax_gap <= tolerance else "VALUE_MISMATCH", gap, tax_gap))
+    out += [(b.client_id, b.gstin, None, b.invoice_id, "MISSING_IN_2B", b.left_taxable, b.left_tax) for b in books.itertuples(index=False) if (b.client_id, b.invoice_id) not in used]
+    return pd.DataFrame(out, columns=["client_id", "gstin", "row_id", "invoice_id", "status", "taxable_diff", "tax_diff"]).astype({"row_id": "Int64", "invoice_id": "Int64"})
 
 
 def reconcile(rows: DataFrame, books: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Match each portal row with at most one book: MATCHED, VALUE_MISMATCH, MISSING_IN_BOOKS, and MISSING_IN_2B for books left over.
 
-    Both phases need the same registration, and only books are used up, so each (client, registration) is matched by itself, in parallel and with the sequential
-    result. Groups of LARGE_GROUP rows or more (say those without a registration) could fill a task; they are matched by reconcile_windows.
+    Both phases need the same registration, and only books are used up, so the groups (client, registration) are independent. Whole groups are dealt to buckets, several
+    to a shuffle partition, and each bucket is matched in one call with the sequential result. Groups of LARGE_GROUP rows or more (say those without a
+    registration) could fill a task; they are matched by reconcile_windows.
     """
     left, right = book_side(books), row_side(rows)
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both may come from one table
     key = ["client_id", "gstin"]
     large = left.select(*key).unionByName(right.select(*key)).groupBy(*key).count().where(F.col("count") >= LARGE_GROUP).select(*key)
-    small = left.join(large, key, "left_anti").groupBy(*key).cogroup(right.join(large, key, "left_anti").groupBy(*key))
-    grouped = small.applyInPandas(lambda k, b, r: _match_group(k, b, r, tolerance), RESULT)
+    buckets = BUCKETS * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("bucket")
+    small = left.join(large, key, "left_anti").groupBy(bucket).cogroup(right.join(large, key, "left_anti").groupBy(bucket))
+    grouped = small.applyInPandas(lambda b, r: _match(b, r, tolerance), RESULT)
     return grouped.unionByName(_by_windows(left.join(large, key, "left_semi"), right.join(large, key, "left_semi"), tolerance))
 
 

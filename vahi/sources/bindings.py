@@ -183,4 +183,6 @@ def with_sql(statement: str) -> str:
     body = plain(statement).strip()
     if not head:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
