@@ -5,6 +5,7 @@ import hashlib
 import struct
 import zlib
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,25 @@ def test_packing_round_trip(spark, table):
     assert len(sequences) <= sum(map(len, want.values())) / 1024 + 9
 
 
+def test_packing_asks_for_all_terms():
+    from vahi.llm import packing
+
+    count = lambda *t: (np.array(t, np.int32), np.ones(len(t), np.int32))
+    # term 39 is the seed's least worth and the only one that documents 1 to 30 share; 0 and 31 share all others
+    frequency = np.ones(packing.TERMS, np.int64)
+    frequency[39] = 30
+    terms = [count(*range(40))] + [count(39, 100 + k) for k in range(30)] + [count(*range(39))]
+    index = packing.Index(terms, packing.rarity(frequency, len(terms)), 3.0)
+    index.unused[0] = False
+    assert index.neighbours(0) == [31, *range(1, 31)]
+    index.unused[:20] = False
+    assert index.neighbours(0) == [31, *range(20, 31)]
+    # short documents fill a window from one seed's list: 1 to 30 before the unrelated 31
+    terms = [count(39, 100 + k) for k in range(31)] + [count(7)]
+    index = packing.Index([terms[0], terms[31], *terms[1:31]], packing.rarity(frequency, len(terms)), 2.0)
+    assert list(packing.packing_order(index, [10] * 32, 1024)) == [0, *range(2, 32), 1]
+
+
 @pytest.mark.parametrize("name,label,least", [("op9_quality", "quality", 0.75), ("op10_toxicity", "toxic", 0.9)])
 def test_held_out(spark, name, label, least):
     rows = queries.QUERIES[name](spark, MIDDLE).join(spark.read.parquet(f"{MIDDLE}/labels.parquet"), "doc_id").where(F.col(label).isNotNull()).select("held_out", "score", F.col(label).alias("y")).collect()

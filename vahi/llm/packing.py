@@ -18,8 +18,8 @@ WINDOW = 1024
 #: Hashed terms of the index: document frequencies are counted over all documents in a vector of this fixed size.
 TERM_BITS = 18
 TERMS = 1 << TERM_BITS
-#: Bytes of ids of a task and of each shard of the index in it, terms of a seed that are asked for, and neighbours taken from one question.
-TASK_BYTES, SHARD_BYTES, ASKED, ANSWERS = 192 << 20, 6 << 20, 12, 16
+#: Bytes of ids of a task and of each shard of the index in it.
+TASK_BYTES, SHARD_BYTES = 192 << 20, 6 << 20
 K1, B = 1.2, 0.75
 #: Odd multipliers, one a place in a word; later ids of a word share the last.
 _BY_PLACE = np.cumprod(np.full(16, 0x9E3779B97F4A7C15, np.uint64))
@@ -121,24 +121,27 @@ class Index:
         times = np.concatenate([t for _, t in terms]).astype(np.float32) if terms else np.zeros(0, np.float32)
         score = weight[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[doc] / max(mean_words, 1e-9)))
         order = np.argsort(term, kind="stable")
-        self.terms, self.doc, self.score = terms, doc[order], score[order].astype(np.float32)
-        self.weight, self.lists = weight, np.searchsorted(term[order], np.arange(TERMS + 1))
-        self.unused = np.ones(len(terms), bool)
+        self.terms, self.doc, self.score = terms, doc[order].astype(np.intp), score[order].astype(np.float64)  # as bincount takes them
+        self.lists = np.searchsorted(term[order], np.arange(TERMS + 1))
+        self.unused, self.held = np.ones(len(terms), bool), len(terms)
+
+    def _forget(self) -> None:
+        """Takes the used documents out of the lists once they are half of those held."""
+        left = int(np.count_nonzero(self.unused))
+        if 2 * left <= self.held:
+            keep = self.unused[self.doc]
+            self.lists = np.concatenate(([0], np.cumsum(keep)))[self.lists]
+            self.doc, self.score, self.held = self.doc[keep], self.score[keep], left
 
     def neighbours(self, seed: int) -> list[int]:
-        """The unused documents that score best for the seed's weightiest terms, best first; terms that no other document of the shard holds are passed over."""
-        term, times = self.terms[seed]
-        held = self.lists[term + 1] - self.lists[term]
-        worth = np.where(held > 1, self.weight[term] * np.minimum(times, 3), 0)
-        asked = term[np.argsort(-worth, kind="stable")[:ASKED]]
-        found = [np.arange(self.lists[t], self.lists[t + 1]) for t in asked.tolist()]
-        if not found:
+        """All unused documents that share a term with the seed, best score first; every term of the seed counts."""
+        self._forget()
+        term, _ = self.terms[seed]
+        lists = [slice(a, b) for a, b in zip(self.lists[term].tolist(), self.lists[term + 1].tolist(), strict=True) if a < b]
+        if not lists:
             return []
-        at = np.concatenate(found)
-        total = np.bincount(self.doc[at], self.score[at], len(self.terms)) * self.unused
+        total = np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.score[x] for x in lists]), len(self.terms)) * self.unused
         best = np.flatnonzero(total > 0)
-        if len(best) > ANSWERS:
-            best = best[np.argpartition(-total[best], ANSWERS)[:ANSWERS]]
         return best[np.argsort(-total[best], kind="stable")].tolist()
 
 
@@ -221,8 +224,8 @@ def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str
     """Pack all documents, each followed by end_id, into sequences of `window` ids.
 
     Texts are tokenized once and the ids stored. The index is sharded by ranges of a locality key and doc_id, so shards are equal in size however many documents
-    share a key. In a shard a seed document asks the inverted index, whose terms are the words that the ids spell, for unused neighbours, which fill its windows
-    greedily; a document is cut at a window's edge and goes on in the next window, so only the last sequence of a shard has padding. Term frequencies and lengths
+    share a key. In a shard a seed document asks the inverted index, whose terms are the words that the ids spell, for unused neighbours by all its terms and goes
+    down the ranked list until its windows are full; a document is cut at a window's edge and goes on in the next window, so only the last sequence of a shard has padding. Term frequencies and lengths
     are those of the whole corpus, in vectors of fixed size. path, ranks_path and pattern: see id_encoder; the files must be readable on every executor.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null and empty texts are one end_id.
