@@ -42,6 +42,22 @@ def test_matching_is_sequential(spark, seed):
     assert len(got) == len({r.row_id for r in got if r.row_id is not None}) + sum(r.row_id is None for r in got)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_matching_of_large_groups_is_sequential(spark, monkeypatch, seed):
+    monkeypatch.setattr(reconcile, "LARGE_GROUP", 20)
+    rnd = random.Random(seed)
+    numbers = [*NUMBERS, *["same"] * 12]  # more rows of one exact key than LARGE_GROUP
+    books = [(k % 2, k, None, rnd.choice(numbers), float(rnd.randrange(4)), 9.0, float(rnd.randrange(3)), 0.0, 0.0, 0.0) for k in range(80)]
+    rows = [(k % 2, k, None, rnd.choice(numbers), float(rnd.randrange(4)), float(rnd.randrange(3))) for k in range(80)]
+    # row 900 takes by its soft key the book that row 901 would match exactly
+    books.append((0, 900, None, "Z 9", 1.0, 9.0, 1.0, 0.0, 0.0, 0.0))
+    rows += [(0, 900, None, "z-9", 1.0, 1.0), (0, 901, None, "Z9", 1.0, 1.0)]
+    got = reconcile.reconcile(spark.createDataFrame(rows, ROW), spark.createDataFrame(books, BOOK)).collect()
+    want = one_by_one(rows, books)
+    assert (900, 900, "MATCHED") in want and (901, None, "MISSING_IN_BOOKS") in want
+    assert len(got) == len(want) and {(r.row_id, r.invoice_id, r.status) for r in got} == want
+
+
 def test_empty_sides(spark):
     out = reconcile.reconcile(spark.createDataFrame([], ROW), spark.createDataFrame([], BOOK))
     assert out.count() == 0

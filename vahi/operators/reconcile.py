@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vahi.functions import text as T
+from vahi.llm.common import stored
+from vahi.llm.components import components
 
 RESULT = "client_id int, gstin string, row_id long, invoice_id long, status string, taxable_diff double, tax_diff double"
-#: Groups of this many rows and more, or without a registration number, are matched by windows, which split over tasks.
+#: Groups of this many rows and more are split by their keys' components; components of this many rows and one exact key are matched by windows.
 LARGE_GROUP = 20_000
 #: Buckets of groups for each shuffle partition.
 BUCKETS = 8
@@ -76,17 +78,38 @@ def reconcile(rows: DataFrame, books: DataFrame, tolerance: float = 1.0) -> Data
 
     Both phases need the same registration, and only books are used up, so the groups (client, registration) are independent. Whole groups are dealt to buckets, several
     to a shuffle partition, and each bucket is matched in one call with the sequential result. Groups of LARGE_GROUP rows or more (say those without a
-    registration) could fill a task; they are matched by reconcile_windows.
+    registration) could fill a task; they are split into components of rows and books that equal exact or soft keys connect, which are independent too.
+    A component of as many rows with one exact key goes by windows, which are the same there; one with several exact keys stays whole in one task.
     """
     left, right = book_side(books), row_side(rows)
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both may come from one table
     key = ["client_id", "gstin"]
-    large = left.select(*key).unionByName(right.select(*key)).groupBy(*key).count().where(F.col("count") >= LARGE_GROUP).select(*key)
+    large = stored(left.select(*key).unionByName(right.select(*key)).groupBy(*key).count().where(F.col("count") >= LARGE_GROUP).select(*key), "large_groups")
+    if large.isEmpty():
+        return _by_buckets(left, right, key, tolerance)
+    small = _by_buckets(left.join(large, key, "left_anti"), right.join(large, key, "left_anti"), key, tolerance)
+    return small.unionByName(_by_components(left.join(large, key, "left_semi"), right.join(large, key, "left_semi"), tolerance))
+
+
+def _by_buckets(books: DataFrame, rows: DataFrame, key: list[str], tolerance: float) -> DataFrame:
+    """The sequential rule where rows and books of different keys do not meet."""
     buckets = BUCKETS * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("bucket")
-    small = left.join(large, key, "left_anti").groupBy(bucket).cogroup(right.join(large, key, "left_anti").groupBy(bucket))
-    grouped = small.applyInPandas(lambda b, r: _match(b, r, tolerance), RESULT)
-    return grouped.unionByName(_by_windows(left.join(large, key, "left_semi"), right.join(large, key, "left_semi"), tolerance))
+    return books.groupBy(bucket).cogroup(rows.groupBy(bucket)).applyInPandas(lambda b, r: _match(b, r, tolerance), RESULT)
+
+
+def _by_components(books: DataFrame, rows: DataFrame, tolerance: float) -> DataFrame:
+    """The sequential rule by components of the graph whose nodes are exact and soft keys, and whose links are rows and books."""
+    node = lambda kind: F.xxhash64("client_id", "gstin", F.lit(kind), kind)
+    books, rows = (stored(x.withColumn("node", node("exact")), "sides") for x in (books, rows))
+    links = books.select(F.col("node").alias("a"), node("soft").alias("b")).unionByName(rows.select(F.col("node").alias("a"), node("soft").alias("b")))
+    found = stored(components(links), "components")
+    books, rows = (stored(x.join(found, "node").drop("node"), "sides") for x in (books, rows))
+    one = F.struct("client_id", "gstin", "exact")
+    sizes = books.select("component", one.alias("k")).unionByName(rows.select("component", one.alias("k"))).groupBy("component").agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("k").alias("most"))
+    hot = stored(sizes.where((F.col("n") >= LARGE_GROUP) & F.col("least").eqNullSafe(F.col("most"))).select("component"), "hot")
+    split = lambda how: [x.join(hot, "component", how) for x in (books, rows)]
+    return _by_buckets(*split("left_anti"), ["component"], tolerance).unionByName(_by_windows(*split("left_semi"), tolerance))
 
 
 def _by_windows(books: DataFrame, rows: DataFrame, tolerance: float) -> DataFrame:
