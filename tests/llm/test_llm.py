@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,30 @@ def test_near_duplicates_of_hot_groups(spark):
     assert got == {i: find(i) for i in sets}
 
 
+@pytest.mark.parametrize("sampled", [1, 1 << 40])  # known before, or found in the task
+def test_substring_dedup_of_hot_minimisers(spark, monkeypatch, sampled):
+    """No task holds the runs of a hot minimiser at once; the result is that of all pairs."""
+    from vahi.llm import substring_dedup as S
+
+    passage = [f"p{k}" for k in range(12)]
+    rows = [(k * 7 % 101, " ".join([f"a{k}", f"b{k % 3}", *passage[k % 2 :], f"c{k % 4}", f"d{k}"])) for k in range(90)]
+    first, want = {}, {}
+    for i, text in sorted(rows):
+        words = text.split()
+        lost = set()
+        for j in range(len(words) - 7):
+            if first.setdefault(tuple(words[j : j + 8]), i) < i:
+                lost |= set(range(j, j + 8))
+        want[i] = (len(lost), " ".join(w for j, w in enumerate(words) if j not in lost))
+    monkeypatch.setattr(S, "HOT_BYTES", 1000)
+    monkeypatch.setattr(S, "SAMPLED", sampled)
+    got = {r.doc_id: (r.n_removed, r.text) for r in substring_dedup(spark.createDataFrame(rows, SCHEMA), 8).collect()}
+    assert got == want
+    minimiser = lambda rs: pa.record_batch([pa.array(x, t) for x, t in zip(([5] * len(rs), rs, *([[k] for k in range(len(rs))] for _ in range(3))), S._ROW_TYPES.types, strict=True)], schema=S._ROW_TYPES)
+    held = list(S._by_minimiser(iter([minimiser([b"r%d" % k for k in range(500)])]), 100, frozenset()))
+    assert max(len(x) for wide, x in held) < 500 and all(wide for wide, _ in held) and sum(len(x) for _, x in held) == 500
+
+
 def test_exact_dedup_digest(spark):
     rows = exact_dedup(odd(spark)).where("doc_id = 5").collect()
     assert rows[0].text_sha256 == hashlib.sha256(b"one two three").hexdigest() and rows[0].keep_id == 4
