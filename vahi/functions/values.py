@@ -83,8 +83,3 @@ def rows_in(array: Column) -> Column:
     """An array's length, 0 for none."""
     return F.coalesce(F.size(array), F.lit(0))
 
-
-def or_else(*values: Column) -> Column:
-    """The first that is neither null nor empty (text) nor 0 (numbers): what falls through on any empty value, unlike coalesce."""
-    *first, last = values
-    return F.coalesce(*[F.when(v.cast("string").isin("", "0", "0.0"), F.lit(None)).otherwise(v) for v in first], last)

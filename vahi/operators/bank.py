@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vahi.functions import text as T
 from vahi.functions import values as V
+from vahi.operators.matching import contains_join
+from vahi.sources import files
 
 # What marks a transfer between own accounts.
 CONTRA_WORDS = (
@@ -22,8 +24,8 @@ def classify(txns: DataFrame) -> DataFrame:
     contra = F.lit(False)
     for word in CONTRA_WORDS:
         contra |= F.contains(said, F.lit(word))
-    kind = F.when(contra, "CONTRA").when((out > 0) & (into <= 0), "PAYMENT").when((into > 0) & (out <= 0), "RECEIPT").when(into > out, "RECEIPT").otherwise("PAYMENT")
-    sure = F.when(contra, 0.85).when((out > 0) != (into > 0), 0.9).otherwise(0.55)
+    kind = F.when(contra, "CONTRA").when((out > 0) & (into == 0), "PAYMENT").when((into > 0) & (out == 0), "RECEIPT").when(into > out, "RECEIPT").otherwise("PAYMENT")
+    sure = F.when(contra, 0.85).when(((out > 0) & (into == 0)) | ((into > 0) & (out == 0)), 0.9).otherwise(0.55)
     return txns.withColumns({"voucher_type": kind, "confidence": sure})
 
 
@@ -35,15 +37,25 @@ def recall(txns: DataFrame, memory: DataFrame) -> DataFrame:
     keyed = txns.withColumn("key", T.narration_key(F.col("description")))
     keys = keyed.select("client_id", "key").distinct().where("key <> ''")
     known = memory.where("match_key <> ''").select("client_id", "match_key", "ledger_id", "hit_count")
-    inside = F.contains("key", "match_key") | F.contains("match_key", "key")
     ratio = V.length_ratio(F.col("key"), F.col("match_key"))
-    met = keys.join(known, "client_id").where(inside).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    inside = contains_join(keys, known, "key", "match_key", ["client_id"]).unionByName(contains_join(known, keys, "match_key", "key", ["client_id"])).distinct()
+    met = inside.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).join(known, ["client_id", "match_key"])
     order = Window.partitionBy("client_id", "key").orderBy(F.desc(F.col("key") == F.col("match_key")), F.desc("ratio"), F.desc("hit_count"), F.asc("match_key"), F.asc("ledger_id"))
     best = met.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     sure = F.when(F.col("key") == F.col("match_key"), F.least(F.lit(0.95), F.lit(0.7) + F.lit(0.02) * F.col("hit_count"))).otherwise(F.lit(0.55) + F.lit(0.2) * F.col("ratio"))
     return keyed.join(best.select("client_id", "key", F.col("ledger_id").alias("memory_ledger"), sure.alias("memory_confidence")), ["client_id", "key"], "left")
 
 
+def statement_tables(payloads: DataFrame, memory: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K7: header (client_id, statement_id, status) and transactions of statements (client_id, statement_id, payload): classified, with the ledger that memory recalls.
+
+    The recalled ledger's confidence goes before that of the classification; the classification stays.
+    """
+    txns = recall(classify(files.bank_rows(payloads)), memory)
+    txns = txns.withColumn("confidence", F.coalesce("memory_confidence", "confidence")).withColumnRenamed("memory_ledger", "ledger_id").drop("memory_confidence", "key")
+    return payloads.select("client_id", "statement_id", F.lit("DRAFT").alias("status")), txns
+
+
 def rollup(statements: DataFrame, txns: DataFrame) -> DataFrame:
     """Transactions, those without a ledger, and paise in and out of each statement; statements without any have zeros."""
     sums = txns.groupBy("statement_id").agg(

@@ -10,16 +10,16 @@ MOST_BYTES, MOST_FILES = 20 * 1024 * 1024, 15
 
 
 def detect_type(file_name: Column, extracted: Column) -> Column:
-    """Bank by name or a `transactions` array, then credit note, debit note, receipt by name or text, else invoice. extracted: JSON text or null."""
-    name = F.translate(F.lower(F.coalesce(file_name, F.lit(""))), "_-", "  ")
-    body = F.lower(F.coalesce(extracted, F.lit("")))
+    """Bank by name or a `transactions` array; credit and debit notes by words of the name or by the text; receipts by name or as cash receipts; else invoice.
+
+    extracted: JSON text or null; the whole document is searched.
+    """
+    name, body = F.lower(F.coalesce(file_name, F.lit(""))), F.lower(F.coalesce(extracted, F.lit("")))
     has_array = F.coalesce(F.get_json_object(extracted, "$.transactions").startswith("["), F.lit(False))
     any_of = lambda v, *words: F.greatest(*[F.contains(v, F.lit(w)) for w in words], F.lit(False))
     return (
-        F.when(any_of(name, "bank", "statement", "passbook") | has_array, "bank")
-        .when(any_of(name, "credit note", "creditnote") | any_of(body, "credit note", "credit_note"), "credit_note")
-        .when(any_of(name, "debit note", "debitnote") | any_of(body, "debit note", "debit_note"), "debit_note")
-        .when(any_of(name, "receipt") | any_of(body, "receipt"), "receipt").otherwise("invoice")
+        F.when(any_of(name, "bank", "statement", "passbook") | has_array, "bank").when(any_of(body, "credit note") | any_of(name, "credit", "_cn"), "credit_note")
+        .when(any_of(body, "debit note") | any_of(name, "debit", "_dn"), "debit_note").when(any_of(name, "receipt") | any_of(body, "cash receipt"), "receipt").otherwise("invoice")
     )
 
 

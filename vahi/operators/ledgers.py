@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vahi.functions import text as T
+from vahi.operators.matching import contains_join, dice_join
+from vahi.storage import stored
 
 # Thresholds of similarity, and the confidence of each step.
 SURE, LIKELY, LENIENT, SUBSET_FLOOR = 0.86, 0.72, 0.70, 0.75
@@ -22,20 +26,16 @@ def fuzzy_confidence(score: Column) -> Column:
 
 
 def similar_names(names: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
-    """The best candidate of each (client_id, name_key) by Dice similarity, then hits, then order.
-
-    Only candidates whose length allows the score are compared, within the client; names are distinct, so the work grows with names, not documents.
-    """
-    met = names.join(candidates, "client_id").where(T.dice_bound(F.col("name_key"), F.col("norm")) >= least)
-    scored = met.withColumn("score", T.dice(F.col("name_key"), F.col("norm"))).where(F.col("score") >= least)
-    return _best(scored, ["client_id", "name_key"], F.desc("score"), F.desc("hit_count"), F.asc("seq"))
+    """The best candidate of each (client_id, name_key) by Dice similarity, then hits, then order; only names with rare bigrams in common meet."""
+    pairs = dice_join(names, candidates, "name_key", "norm", ["client_id"], least)
+    return _best(pairs.join(candidates, ["client_id", "norm"]), ["client_id", "name_key"], F.desc("score"), F.desc("hit_count"), F.asc("seq"))
 
 
 def candidates_of(memory: DataFrame, ledgers: DataFrame) -> DataFrame:
     """Names that parties are compared with: remembered names first, then party ledgers."""
     known = memory.where("match_type = 'VENDOR_NAME'").select("client_id", "ledger_id", F.col("match_key").alias("norm"), "hit_count", F.struct(F.lit(0).alias("k"), F.col("ledger_id").alias("i"), F.col("match_key").alias("m")).alias("seq"))
     named = ledgers.where("ledger_type = 'PARTY'").select("client_id", "ledger_id", T.norm_name(F.col("name")).alias("norm"), F.lit(0).alias("hit_count"), F.struct(F.lit(1).alias("k"), F.col("ledger_id").alias("i"), F.col("name").alias("m")).alias("seq"))
-    return known.unionByName(named).where("norm IS NOT NULL")
+    return stored(known.unionByName(named).where("norm IS NOT NULL"), "candidates")  # its names are asked several times
 
 
 def resolve_parties(parties: DataFrame, rules: DataFrame, memory: DataFrame, ledgers: DataFrame) -> DataFrame:
@@ -44,13 +44,17 @@ def resolve_parties(parties: DataFrame, rules: DataFrame, memory: DataFrame, led
     Rules compete by priority whatever their type; then the registration's memory, the name's memory, and last the most similar name, which is looked for
     only where the earlier steps found nothing.
     """
-    parties = parties.select("client_id", "gstin_key", "name_key").distinct()
+    parties = stored(parties.select("client_id", "gstin_key", "name_key").distinct(), "parties")
     key = ["client_id", "gstin_key", "name_key"]
-    active = rules.where("enabled AND rule_type <> 'HSN_EQUALS'").select("client_id", "rule_type", "rule_id", "priority", F.col("ledger_id").alias("rule_ledger"), T.norm_pattern(F.col("rule_type"), F.col("pattern")).alias("norm")).where("norm <> ''")
-    hit = F.expr(
-        "(rule_type = 'GSTIN_EQUALS' AND norm = gstin_key) OR (rule_type = 'VENDOR_NAME_EQUALS' AND norm = name_key) OR (rule_type = 'VENDOR_NAME_CONTAINS' AND contains(name_key, norm))"
-    )
-    ruled = _best(parties.join(active, "client_id").where(hit), key, F.asc("priority"), F.asc("rule_id")).select(
+    active = stored(rules.where("enabled AND rule_type <> 'HSN_EQUALS'").select("client_id", "rule_type", "rule_id", "priority", F.col("ledger_id").alias("rule_ledger"), T.norm_pattern(F.col("rule_type"), F.col("pattern")).alias("norm")).where("norm <> ''"), "rules")  # its keys are asked several times
+    of = lambda kind, name: active.where(F.col("rule_type") == kind).withColumnRenamed("norm", name)
+    inside = contains_join(parties, of("VENDOR_NAME_CONTAINS", "norm"), "name_key", "norm", ["client_id"])
+    hits = [
+        parties.join(of("GSTIN_EQUALS", "gstin_key"), ["client_id", "gstin_key"]), parties.join(of("VENDOR_NAME_EQUALS", "name_key"), ["client_id", "name_key"]),
+        parties.join(inside, ["client_id", "name_key"]).join(of("VENDOR_NAME_CONTAINS", "norm"), ["client_id", "norm"]),
+    ]
+    met = reduce(DataFrame.unionByName, [h.select(*key, "rule_type", "rule_id", "priority", "rule_ledger") for h in hits])
+    ruled = _best(met, key, F.asc("priority"), F.asc("rule_id")).select(
         *key, "rule_ledger", F.when(F.col("rule_type") == "GSTIN_EQUALS", GSTIN_RULE).when(F.col("rule_type") == "VENDOR_NAME_EQUALS", NAME_RULE).otherwise(CONTAINS_RULE).alias("rule_confidence")
     )
 
@@ -58,8 +62,9 @@ def resolve_parties(parties: DataFrame, rules: DataFrame, memory: DataFrame, led
         rows = memory.where(F.col("match_type") == kind).where("match_key IS NOT NULL")
         return _best(rows, ["client_id", "match_key"], F.desc("hit_count"), F.desc("ledger_id")).select("client_id", F.col("match_key").alias(column), F.col("ledger_id").alias(name))
 
-    found = _null_safe_left(parties, ruled, key)
+    found = null_safe_left(parties, ruled, key)
     found = found.join(remembered("GSTIN", "gstin_key", "gstin_ledger"), ["client_id", "gstin_key"], "left").join(remembered("VENDOR_NAME", "name_key", "name_ledger"), ["client_id", "name_key"], "left")
+    found = stored(found, "parties")
     open_names = found.where("rule_ledger IS NULL AND gstin_ledger IS NULL AND name_ledger IS NULL AND name_key IS NOT NULL").select("client_id", "name_key").distinct()
     near = similar_names(open_names, candidates_of(memory, ledgers), LIKELY).select("client_id", "name_key", F.col("ledger_id").alias("near_ledger"), "score")
     found = found.join(near, ["client_id", "name_key"], "left")
@@ -73,7 +78,7 @@ def resolve_parties(parties: DataFrame, rules: DataFrame, memory: DataFrame, led
     )
 
 
-def _null_safe_left(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+def null_safe_left(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     x, y = left.alias("x"), right.alias("y")
     same = F.col(f"x.{key[0]}") == F.col(f"y.{key[0]}")
     for k in key[1:]:
@@ -82,10 +87,26 @@ def _null_safe_left(left: DataFrame, right: DataFrame, key: list[str]) -> DataFr
 
 
 def suggest_parties(names: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The lenient suggestion: similarity, lifted to SUBSET_FLOOR where one name's words are among the other's; names that are equal are passed over."""
-    met = names.join(candidates, "client_id").where("name_key <> norm")
-    score = F.greatest(T.dice(F.col("name_key"), F.col("norm")), F.when(T.token_subset(F.col("name_key"), F.col("norm")), F.lit(SUBSET_FLOOR)).otherwise(F.lit(0.0)))
-    return _best(met.withColumn("score", score).where(F.col("score") >= LENIENT), ["client_id", "name_key"], F.desc("score"), F.asc("seq"))
+    """The lenient suggestion: similarity, lifted to SUBSET_FLOOR where one name's words are among the other's; names that are equal are passed over.
+
+    Names meet by rare bigrams in common, or by an equal first word.
+    """
+    near = dice_join(names, candidates, "name_key", "norm", ["client_id"], LENIENT).where("name_key <> norm")
+    first = lambda c: F.try_element_at(T.tokens(F.col(c)), F.lit(1)).alias("first_word")
+    x = names.select("client_id", "name_key", first("name_key")).distinct()
+    y = candidates.select("client_id", "norm", first("norm")).distinct()
+    inside = x.join(y, ["client_id", "first_word"]).where("name_key <> norm").where(T.token_subset(F.col("name_key"), F.col("norm"))).select("client_id", "name_key", "norm", F.lit(SUBSET_FLOOR).alias("score"))
+    best = near.unionByName(inside).groupBy("client_id", "name_key", "norm").agg(F.max("score").alias("score"))
+    return _best(best.join(candidates, ["client_id", "norm"]), ["client_id", "name_key"], F.desc("score"), F.asc("seq"))
+
+
+def suggested(resolved: DataFrame, candidates: DataFrame) -> DataFrame:
+    """V4 with V4b behind it: resolved parties, and for those without a ledger the lenient suggestion in suggested_ledger and suggested_score; nameless ones get none."""
+    open_names = resolved.where("ledger_id IS NULL AND name_key IS NOT NULL").select("client_id", "name_key").distinct()
+    found = suggest_parties(open_names, candidates).select("client_id", "name_key", F.col("ledger_id").alias("_l"), F.col("score").alias("_s"))
+    out = resolved.join(found, ["client_id", "name_key"], "left")
+    free = F.col("ledger_id").isNull()
+    return out.withColumns({"suggested_ledger": F.when(free, F.col("_l")), "suggested_score": F.when(free, F.col("_s"))}).drop("_l", "_s")
 
 
 def resolve_items(items: DataFrame, rules: DataFrame, ledgers: DataFrame, side: str = "PURCHASE") -> DataFrame:

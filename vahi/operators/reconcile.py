@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from array import array
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vahi.functions import text as T
-from vahi.llm.common import stored
-from vahi.llm.components import components
+from vahi.functions import values as V
+from vahi.storage import new_path
 
-RESULT = "client_id int, gstin string, row_id long, invoice_id long, status string, taxable_diff double, tax_diff double"
-#: Groups of this many rows and more are split by their keys' components; components of this many rows and one exact key are matched by windows.
-LARGE_GROUP = 20_000
-#: Buckets of groups for each shuffle partition.
-BUCKETS = 8
+RESULT = "client_id int, gstin string, row_id long, invoice_id long, status string, taxable_diff double, tax_diff double, row_tax double"
+_RESULT_TYPES = pa.schema([
+    ("client_id", pa.int32()), ("gstin", pa.string()), ("row_id", pa.int64()), ("invoice_id", pa.int64()), ("status", pa.string()), ("taxable_diff", pa.float64()), ("tax_diff", pa.float64()), ("row_tax", pa.float64()),
+])
+# Results by status, in the order of their declaration.
+STATUSES = ("MATCHED", "VALUE_MISMATCH", "MISSING_IN_2B", "MISSING_IN_BOOKS", "DUPLICATE")
 
 
 def purchase_books(invoices: DataFrame, vouchers: DataFrame) -> DataFrame:
@@ -26,7 +28,9 @@ def purchase_books(invoices: DataFrame, vouchers: DataFrame) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, gstin: str, number: str) -> DataFrame:
-    return rows.withColumns({"gstin": F.coalesce(T.norm_gstin(F.col(gstin)), F.lit("")), "exact": T.squeeze_upper(F.col(number)), "soft": F.coalesce(T.norm_name(F.col(number)), F.lit(""))})
+    """Adds the registration, the exact and the soft key of the number, and its digits, which are equal wherever either key is."""
+    digits = F.coalesce(F.regexp_replace(number, "[^0-9]", ""), F.lit(""))
+    return rows.withColumns({"gstin": F.coalesce(T.norm_gstin(F.col(gstin)), F.lit("")), "exact": T.squeeze_upper(F.col(number)), "soft": F.coalesce(T.norm_name(F.col(number)), F.lit("")), "digits": digits})
 
 
 def book_side(books: DataFrame) -> DataFrame:
@@ -34,118 +38,158 @@ def book_side(books: DataFrame) -> DataFrame:
     part = lambda *xs: sum((F.coalesce(x, F.lit(0.0)) for x in map(F.col, xs)), F.lit(0.0))
     out = books.withColumn("taxable", F.coalesce(F.col("subtotal"), F.coalesce("total_amount", F.lit(0.0)) - F.coalesce("tax_amount", F.lit(0.0)))).withColumn("tax", F.coalesce(F.col("tax_amount"), part("cgst", "sgst", "igst")))
     out = out.withColumns({"left_taxable": F.coalesce("subtotal", F.lit(0.0)), "left_tax": F.coalesce("tax_amount", F.lit(0.0))})
-    return _keyed(out, "vendor_gstin", "invoice_number").select("client_id", "gstin", "exact", "soft", "invoice_id", "taxable", "tax", "left_taxable", "left_tax")
+    return _keyed(out, "vendor_gstin", "invoice_number").select("client_id", "gstin", "digits", "exact", "soft", "invoice_id", "taxable", "tax", "left_taxable", "left_tax")
 
 
 def row_side(rows: DataFrame) -> DataFrame:
     out = rows.withColumns({"taxable": F.coalesce("taxable_value", F.lit(0.0)), "tax": F.coalesce("total_tax", F.lit(0.0))})
-    return _keyed(out, "supplier_gstin", "invoice_number").select("client_id", "gstin", "exact", "soft", "row_id", "taxable", "tax")
+    return _keyed(out, "supplier_gstin", "invoice_number").select("client_id", "gstin", "digits", "exact", "soft", "row_id", "taxable", "tax")
+
+
+class _OpenBooks:
+    """The books of one group in columns, and for each exact and soft key the places of its books in order with the first that may be open."""
+
+    def __init__(self):
+        self.ids, self.amounts, self.used = array("q"), array("d"), bytearray()
+        self.exact: dict[str, list] = {}
+        self.soft: dict[str, list] = {}
+
+    def add(self, exact: str, soft: str, book: int, amounts: tuple) -> None:
+        for keys, key in ((self.exact, exact), (self.soft, soft)):
+            if (queue := keys.get(key)) is None:
+                queue = keys[key] = [array("q"), 0]
+            queue[0].append(len(self.ids))
+        self.ids.append(book)
+        self.amounts.extend(amounts)
+        self.used.append(0)
+
+    def take(self, exact: str, soft: str) -> int | None:
+        """The place of the first open book with the exact key, else with the soft key."""
+        for keys, key in ((self.exact, exact), (self.soft, soft)):
+            if (queue := keys.get(key)) is not None:
+                places, k = queue
+                while k < len(places) and self.used[places[k]]:
+                    k += 1
+                queue[1] = k
+                if k < len(places):
+                    self.used[places[k]] = 1
+                    return places[k]
+        return None
+
+
+_SIDES = ("client_id", "gstin", "digits", "side", "id", "exact", "soft", "taxable", "tax", "left_taxable", "left_tax")
+
+
+def _walk(tolerance: float):
+    """One pass over groups that come sorted, books before rows: rows in order, a book is taken once, exact keys before soft ones, the first book wins."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, books = None, _OpenBooks()
+
+        def left_over() -> list[tuple]:
+            a = books.amounts
+            return [(group[0], group[1], None, b, "MISSING_IN_2B", a[4 * k + 2], a[4 * k + 3], None) for k, b in enumerate(books.ids) if not books.used[k]]
+
+        def rows_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _RESULT_TYPES.types, strict=True)], schema=_RESULT_TYPES)
+
+        for batch in batches:
+            out: list[tuple] = []
+            for client, gstin, digits, side, key, exact, soft, taxable, tax, left_taxable, left_tax in zip(*(batch.column(c).to_pylist() for c in _SIDES), strict=True):
+                if (client, gstin, digits) != group:
+                    if group:
+                        out += left_over()
+                    group, books = (client, gstin, digits), _OpenBooks()
+                if side == 0:
+                    books.add(exact, soft, key, (taxable, tax, left_taxable, left_tax))
+                    continue
+                k = books.take(exact, soft)
+                if k is None:
+                    out.append((client, gstin, key, None, "MISSING_IN_BOOKS", taxable, tax, tax))
+                    continue
+                gap, tax_gap = abs(books.amounts[4 * k] - taxable), abs(books.amounts[4 * k + 1] - tax)
+                out.append((client, gstin, key, books.ids[k], "MATCHED" if gap <= tolerance and tax_gap <= tolerance else "VALUE_MISMATCH", gap, tax_gap, tax))
+            if out:
+                yield rows_of(out)
+        if group and (out := left_over()):
+            yield rows_of(out)
+
+    return walk
 
 
-def _diffs(taxable: Column, tax: Column, tolerance: float) -> Column:
-    return F.when((F.abs(taxable) <= tolerance) & (F.abs(tax) <= tolerance), "MATCHED").otherwise("VALUE_MISMATCH")
-
-
-def _match(books: pd.DataFrame, rows: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    """The sequential rule for whole (client, registration) groups: rows in order, a book is taken once, exact keys before soft ones, the first book wins."""
-    books, rows = books.sort_values("invoice_id"), rows.sort_values("row_id")
-    exact, soft = defaultdict(deque), defaultdict(deque)
-    for b in books.itertuples(index=False):
-        exact[b.client_id, b.gstin, b.exact].append(b)
-        soft[b.client_id, b.gstin, b.soft].append(b)
-    used: set[tuple] = set()
-    out = []
-
-    def take(queue: deque) -> object | None:
-        while queue and (queue[0].client_id, queue[0].invoice_id) in used:
-            queue.popleft()
-        return queue.popleft() if queue else None
+def reconcile(rows: DataFrame, books: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """Match each portal row with at most one book: MATCHED, VALUE_MISMATCH, MISSING_IN_BOOKS, and MISSING_IN_2B for books left over.
 
-    for r in rows.itertuples(index=False):
-        b = take(exact[r.client_id, r.gstin, r.exact]) or take(soft[r.client_id, r.gstin, r.soft])
-        if b is None:
-            out.append((r.client_id, r.gstin, r.row_id, None, "MISSING_IN_BOOKS", r.taxable, r.tax))
-            continue
-        used.add((b.client_id, b.invoice_id))
-        gap, tax_gap = abs(b.taxable - r.taxable), abs(b.tax - r.tax)
-        out.append((r.client_id, r.gstin, r.row_id, b.invoice_id, "MATCHED" if gap <= tolerance and tax_gap <= tolerance else "VALUE_MISMATCH", gap, tax_gap))
-    out += [(b.client_id, b.gstin, None, b.invoice_id, "MISSING_IN_2B", b.left_taxable, b.left_tax) for b in books.itertuples(index=False) if (b.client_id, b.invoice_id) not in used]
-    return pd.DataFrame(out, columns=["client_id", "gstin", "row_id", "invoice_id", "status", "taxable_diff", "tax_diff"]).astype({"row_id": "Int64", "invoice_id": "Int64"})
+    Numbers that are equal exactly or softly have the same digits in the same order, and both phases need the same registration, so the groups (client, registration,
+    digits) are independent. Both sides are read once, shuffled by group and sorted with the books first; a task walks its groups in order and holds only the
+    books of the group at hand, in columns of some 50 bytes each. The rule is the sequential one at every size.
+    Results carry row_tax, the portal row's tax. Ids are unique within a client only.
+    """
+    none = F.lit(None).cast("double")
+    left = book_side(books).withColumn("side", F.lit(0)).withColumnRenamed("invoice_id", "id")
+    right = row_side(rows).withColumns({"side": F.lit(1), "left_taxable": none, "left_tax": none}).withColumnRenamed("row_id", "id")
+    typed = [F.col("client_id").cast("int").alias("client_id"), "gstin", "digits", "side", F.col("id").cast("long").alias("id"), *_SIDES[5:]]
+    sides = left.select(*typed).unionByName(right.select(*typed))
+    ordered = sides.repartition("client_id", "gstin", "digits").sortWithinPartitions("client_id", "gstin", "digits", "side", "id")
+    return ordered.mapInArrow(_walk(tolerance), RESULT)
 
 
-def reconcile(rows: DataFrame, books: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Match each portal row with at most one book: MATCHED, VALUE_MISMATCH, MISSING_IN_BOOKS, and MISSING_IN_2B for books left over.
+def reconcile_windows(rows: DataFrame, books: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """J7 by ranks within keys: exact keys first, then soft keys among what is left. Joins and windows only.
 
-    Both phases need the same registration, and only books are used up, so the groups (client, registration) are independent. Whole groups are dealt to buckets, several
-    to a shuffle partition, and each bucket is matched in one call with the sequential result. Groups of LARGE_GROUP rows or more (say those without a
-    registration) could fill a task; they are split into components of rows and books that equal exact or soft keys connect, which are independent too.
-    A component of as many rows with one exact key goes by windows, which are the same there; one with several exact keys stays whole in one task.
+    Equal to reconcile unless an earlier row's soft match takes the book that a later row would match exactly.
     """
-    left, right = book_side(books), row_side(rows)
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both may come from one table
-    key = ["client_id", "gstin"]
-    large = stored(left.select(*key).unionByName(right.select(*key)).groupBy(*key).count().where(F.col("count") >= LARGE_GROUP).select(*key), "large_groups")
-    if large.isEmpty():
-        return _by_buckets(left, right, key, tolerance)
-    small = _by_buckets(left.join(large, key, "left_anti"), right.join(large, key, "left_anti"), key, tolerance)
-    return small.unionByName(_by_components(left.join(large, key, "left_semi"), right.join(large, key, "left_semi"), tolerance))
-
-
-def _by_buckets(books: DataFrame, rows: DataFrame, key: list[str], tolerance: float) -> DataFrame:
-    """The sequential rule where rows and books of different keys do not meet."""
-    buckets = BUCKETS * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("bucket")
-    return books.groupBy(bucket).cogroup(rows.groupBy(bucket)).applyInPandas(lambda b, r: _match(b, r, tolerance), RESULT)
-
-
-def _by_components(books: DataFrame, rows: DataFrame, tolerance: float) -> DataFrame:
-    """The sequential rule by components of the graph whose nodes are exact and soft keys, and whose links are rows and books."""
-    node = lambda kind: F.xxhash64("client_id", "gstin", F.lit(kind), kind)
-    books, rows = (stored(x.withColumn("node", node("exact")), "sides") for x in (books, rows))
-    links = books.select(F.col("node").alias("a"), node("soft").alias("b")).unionByName(rows.select(F.col("node").alias("a"), node("soft").alias("b")))
-    found = stored(components(links), "components")
-    books, rows = (stored(x.join(found, "node").drop("node"), "sides") for x in (books, rows))
-    one = F.struct("client_id", "gstin", "exact")
-    sizes = books.select("component", one.alias("k")).unionByName(rows.select("component", one.alias("k"))).groupBy("component").agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("k").alias("most"))
-    hot = stored(sizes.where((F.col("n") >= LARGE_GROUP) & F.col("least").eqNullSafe(F.col("most"))).select("component"), "hot")
-    split = lambda how: [x.join(hot, "component", how) for x in (books, rows)]
-    return _by_buckets(*split("left_anti"), ["component"], tolerance).unionByName(_by_windows(*split("left_semi"), tolerance))
-
-
-def _by_windows(books: DataFrame, rows: DataFrame, tolerance: float) -> DataFrame:
+    books, rows = book_side(books), row_side(rows)
+
     def phase(b: DataFrame, r: DataFrame, key: str) -> DataFrame:
         by = ["client_id", "gstin", key]
         b = b.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("invoice_id")))
         r = r.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("row_id")))
         return r.select(*by, "_n", "row_id", F.col("taxable").alias("r_taxable"), F.col("tax").alias("r_tax")).join(b.select(*by, "_n", "invoice_id", "taxable", "tax"), [*by, "_n"])
 
-    pairs = ["client_id", "gstin", "row_id", "invoice_id", F.abs(F.col("taxable") - F.col("r_taxable")).alias("taxable_diff"), F.abs(F.col("tax") - F.col("r_tax")).alias("tax_diff")]
+    pairs = ["client_id", "gstin", "row_id", "invoice_id", F.abs(F.col("taxable") - F.col("r_taxable")).alias("taxable_diff"), F.abs(F.col("tax") - F.col("r_tax")).alias("tax_diff"), F.col("r_tax").alias("row_tax")]
     first = phase(books, rows, "exact").select(*pairs)
     books_left = books.join(first.select("client_id", "invoice_id"), ["client_id", "invoice_id"], "left_anti")
     rows_left = rows.join(first.select("client_id", "row_id"), ["client_id", "row_id"], "left_anti")
     second = phase(books_left, rows_left, "soft").select(*pairs)
-    matched = first.unionByName(second).withColumn("status", _diffs(F.col("taxable_diff"), F.col("tax_diff"), tolerance))
+    near = V.within(F.col("taxable_diff"), F.lit(0.0), tolerance) & V.within(F.col("tax_diff"), F.lit(0.0), tolerance)
+    matched = first.unionByName(second).withColumn("status", F.when(near, "MATCHED").otherwise("VALUE_MISMATCH"))
     none = F.lit(None).cast("long")
-    only_rows = rows_left.join(second.select("client_id", "row_id"), ["client_id", "row_id"], "left_anti").select("client_id", "gstin", "row_id", none.alias("invoice_id"), F.col("taxable").alias("taxable_diff"), F.col("tax").alias("tax_diff"), F.lit("MISSING_IN_BOOKS").alias("status"))
-    only_books = books_left.join(second.select("client_id", "invoice_id"), ["client_id", "invoice_id"], "left_anti").select("client_id", "gstin", none.alias("row_id"), "invoice_id", F.col("left_taxable").alias("taxable_diff"), F.col("left_tax").alias("tax_diff"), F.lit("MISSING_IN_2B").alias("status"))
-    return matched.unionByName(only_rows).unionByName(only_books).select("client_id", "gstin", "row_id", "invoice_id", "status", "taxable_diff", "tax_diff")
+    only_rows = rows_left.join(second.select("client_id", "row_id"), ["client_id", "row_id"], "left_anti").select("client_id", "gstin", "row_id", none.alias("invoice_id"), F.col("taxable").alias("taxable_diff"), F.col("tax").alias("tax_diff"), F.col("tax").alias("row_tax"), F.lit("MISSING_IN_BOOKS").alias("status"))
+    only_books = books_left.join(second.select("client_id", "invoice_id"), ["client_id", "invoice_id"], "left_anti").select("client_id", "gstin", none.alias("row_id"), "invoice_id", F.col("left_taxable").alias("taxable_diff"), F.col("left_tax").alias("tax_diff"), F.lit(None).cast("double").alias("row_tax"), F.lit("MISSING_IN_2B").alias("status"))
+    return matched.unionByName(only_rows).unionByName(only_books).select("client_id", "gstin", "row_id", "invoice_id", "status", "taxable_diff", "tax_diff", "row_tax")
 
 
-def reconcile_windows(rows: DataFrame, books: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """J7 by ranks within keys: exact keys first, then soft keys among what is left. Joins and windows only.
-
-    Equal to reconcile unless an earlier row's soft match takes the book that a later row would match exactly.
-    """
-    return _by_windows(book_side(books), row_side(rows), tolerance)
-
-
-def summary(results: DataFrame, rows: DataFrame) -> DataFrame:
+def summary(results: DataFrame) -> DataFrame:
     """A10: counts by status, and tax credit in paise: that of matched rows, and the difference of all others."""
     paise = lambda c: F.floor(c * 100 + F.lit(0.5)).cast("long")
-    out = results.join(rows.select("row_id", "total_tax"), "row_id", "left")
     is_ = lambda s: F.col("status") == s
-    return out.groupBy("client_id").agg(
-        *[F.count_if(is_(s)).alias(f"n_{s.lower()}") for s in ("MATCHED", "VALUE_MISMATCH", "MISSING_IN_2B", "MISSING_IN_BOOKS")],
-        F.coalesce(F.sum(F.when(is_("MATCHED"), paise(F.col("total_tax")))), F.lit(0)).alias("itc_eligible_p"),
+    return results.groupBy("client_id").agg(
+        *[F.count_if(is_(s)).alias(f"n_{s.lower()}") for s in STATUSES[:4]],
+        F.coalesce(F.sum(F.when(is_("MATCHED"), paise(F.col("row_tax")))), F.lit(0)).alias("itc_eligible_p"),
         F.coalesce(F.sum(F.when(~is_("MATCHED"), paise(F.col("tax_diff")))), F.lit(0)).alias("itc_at_risk_p"),
     )
+
+
+def by_status(results: DataFrame) -> DataFrame:
+    """Results with the place of their status in its declaration, ordered by it within the client; a range sort, so no client fills a task."""
+    place = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status")).cast("int")
+    return results.withColumn("status_order", place).orderBy("client_id", "status_order", F.col("row_id").asc_nulls_last(), F.col("invoice_id").asc_nulls_last())
+
+
+def upload_header(results: DataFrame, created_at: Column) -> DataFrame:
+    """K6: one header a client for this run: how many rows came, the counts by status and the tax credit."""
+    sums = summary(results).withColumn("created_at", created_at)
+    rows = results.groupBy("client_id").agg(F.count("row_id").alias("row_count"))
+    return sums.join(rows, "client_id")
+
+
+def persist(results: DataFrame, rows: DataFrame, created_at: Column, path: str) -> None:
+    """K6: header, rows and matches as three tables under a new path; a reader sees the run once all three are there, for the header is written last."""
+    spark = results.sparkSession
+    matches = new_path(spark, "matches")
+    results.write.parquet(matches)  # once, so that header and matches agree
+    results = spark.read.schema(results.schema).parquet(matches)
+    rows.write.parquet(f"{path}/rows")
+    results.drop("row_tax").write.parquet(f"{path}/matches")
+    upload_header(results, created_at).write.parquet(f"{path}/header")

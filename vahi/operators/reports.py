@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vahi.functions import values as V
+from vahi.operators.order import positions
 from vahi.operators.vouchers import is_purchase_report
 
 
@@ -32,35 +33,43 @@ def monthly(invoices: DataFrame) -> DataFrame:
 
 
 def register(vouchers: DataFrame, invoices: DataFrame, purchases: bool) -> DataFrame:
-    """The purchase register, or the outward one, whose party is the customer if named."""
+    """The purchase register, or the outward one, whose party is the customer if named and whose registration falls back to the vendor's. Vouchers without invoice stay."""
     kind = is_purchase_report(F.col("voucher_type")) if purchases else F.col("voucher_type").isin("SALE", "CREDIT_NOTE")
     party = F.col("vendor") if purchases else F.coalesce(F.nullif("customer_name", F.lit("")), F.col("vendor"))
-    return vouchers.where(kind).join(invoices.drop("client_id", "created_at", "status"), "invoice_id").select(
-        "client_id", "voucher_id", "voucher_date", party.alias("party"), (F.col("vendor_gstin") if purchases else F.col("customer_gstin")).alias("gstin"), "invoice_number",
+    gstin = F.col("vendor_gstin") if purchases else F.coalesce(F.nullif("customer_gstin", F.lit("")), F.col("vendor_gstin"))
+    return vouchers.where(kind).join(invoices.drop("client_id", "created_at", "status"), "invoice_id", "left").select(
+        "client_id", "voucher_id", "voucher_date", party.alias("party"), gstin.alias("gstin"), "invoice_number",
         *[_paise(c).alias(f"{c}_p") for c in ("subtotal", "cgst", "sgst", "igst")], F.coalesce(F.nullif(_paise("total_amount"), F.lit(0)), F.col("debit_p")).alias("total_p"),
     )
 
 
+def _with_party(vouchers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Vouchers with p, the name and credit of their party's line, and owed_p: that credit, else the voucher's, else 0."""
+    party = lines.where("role = 'PARTY'").groupBy("voucher_id").agg(F.min_by(F.struct("ledger_name", "credit_p"), "sort_order").alias("p"))
+    owed = F.coalesce(F.nullif("p.credit_p", F.lit(0)), F.nullif("credit_p", F.lit(0)), F.lit(0))
+    return vouchers.join(party, "voucher_id", "left").withColumn("owed_p", owed)
+
+
 def party_outstanding(vouchers: DataFrame, lines: DataFrame, invoices: DataFrame, most: int = 20) -> DataFrame:
     """What is owed to each party of purchases, the largest first; the party's line, else the vendor, names it."""
-    party = lines.where("role = 'PARTY'").groupBy("voucher_id").agg(F.min_by(F.struct("ledger_name", "credit_p"), "sort_order").alias("p"))
-    out = vouchers.where(is_purchase_report(F.col("voucher_type"))).join(party, "voucher_id", "left").join(invoices.select("invoice_id", "vendor"), "invoice_id", "left")
+    out = _with_party(vouchers.where(is_purchase_report(F.col("voucher_type"))), lines).join(invoices.select("invoice_id", "vendor"), "invoice_id", "left")
     name = F.coalesce(F.nullif("p.ledger_name", F.lit("")), F.nullif("vendor", F.lit("")), F.lit("Unknown"))
-    owed = F.coalesce(F.nullif("p.credit_p", F.lit(0)), F.nullif("credit_p", F.lit(0)), F.lit(0))
-    return out.groupBy(name.alias("party")).agg(F.sum(owed).alias("owed_p")).orderBy(F.desc("owed_p"), "party").limit(most)
+    return out.groupBy(name.alias("party")).agg(F.sum("owed_p").alias("owed_p")).orderBy(F.desc("owed_p"), "party").limit(most)
 
 
-def profit_and_loss(vouchers: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Conditional sums of each client in one pass: income, expense, tax in and out, liabilities, assets, equity."""
-    rows = vouchers.join(invoices.select("invoice_id", "subtotal", "cgst", "sgst", "igst"), "invoice_id")
-    buys, sells = is_purchase_report(F.col("voucher_type")), ~is_purchase_report(F.col("voucher_type"))
-    tax = _paise("cgst") + _paise("sgst") + _paise("igst")
+def profit_and_loss(vouchers: DataFrame, lines: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Each client's sketch over all vouchers: assets are the input tax, liabilities what all parties of purchases are owed and the output tax, equity the profit."""
+    kind = F.col("voucher_type")
+    buys, sells = is_purchase_report(kind), kind.isin("SALE", "CREDIT_NOTE")
+    rows = _with_party(vouchers.where(buys | sells), lines).join(invoices.select("invoice_id", "subtotal", "tax_amount"), "invoice_id", "left")
     total = lambda when, what: F.coalesce(F.sum(F.when(when, what)), F.lit(0))
     out = rows.groupBy("client_id").agg(
-        total(sells, _paise("subtotal")).alias("income_p"), total(buys, _paise("subtotal")).alias("expense_p"), total(buys, tax).alias("tax_in_p"), total(sells, tax).alias("tax_out_p"),
-        total(sells, F.col("debit_p")).alias("assets_p"), total(buys, F.col("credit_p")).alias("liabilities_p"),
+        total(sells, _paise("subtotal")).alias("income_p"), total(buys, _paise("subtotal")).alias("expense_p"), total(buys, _paise("tax_amount")).alias("tax_in_p"),
+        total(sells, _paise("tax_amount")).alias("tax_out_p"), total(buys, F.col("owed_p")).alias("owed_p"),
+    )
+    return out.select(
+        "client_id", "income_p", "expense_p", "tax_in_p", "tax_out_p", F.col("tax_in_p").alias("assets_p"), (F.col("owed_p") + F.col("tax_out_p")).alias("liabilities_p"), (F.col("income_p") - F.col("expense_p")).alias("equity_p"),
     )
-    return out.withColumns({"profit_p": F.col("income_p") - F.col("expense_p"), "equity_p": F.col("assets_p") - F.col("liabilities_p"), "gst_liability_p": F.greatest(F.lit(0), F.col("tax_out_p") - F.col("tax_in_p"))})
 
 
 def mapping_accuracy(lines: DataFrame, vouchers: DataFrame) -> DataFrame:
@@ -93,9 +102,20 @@ PRIORITIES = ("critical", "low", "ready", "high")
 
 
 def review_queue(reviewed: DataFrame) -> DataFrame:
-    """Each client's drafts in review order: priority, then confidence with none as 1, then id."""
-    order = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("priority"))
-    return reviewed.withColumn("position", F.row_number().over(Window.partitionBy("client_id").orderBy(order, F.coalesce("avg_confidence", F.lit(1.0)), "voucher_id")))
+    """Each client's drafts in review order: priority, then confidence with none as 1, then id. Clients of any size are spread over tasks."""
+    place = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("priority"))
+    rows = reviewed.withColumns({"_place": place, "_conf": F.coalesce("avg_confidence", F.lit(1.0))})
+    return positions(rows, "client_id", [F.col("_place"), F.col("_conf"), F.col("voucher_id")]).drop("_place", "_conf")
+
+
+def review_filter(reviewed: DataFrame, which: str) -> DataFrame:
+    """what the list shows: needs (critical and low), high, or all."""
+    return reviewed.where({"needs": "priority IN ('critical', 'low')", "high": "priority = 'high'", "all": "true"}[which])
+
+
+def high_ready(reviewed: DataFrame) -> DataFrame:
+    """How many drafts of each client could be approved at once: high, balanced and mapped."""
+    return reviewed.groupBy("client_id").agg(F.count_if((F.col("priority") == "high") & F.col("balanced") & ~F.col("unmapped")).alias("n_high_ready"))
 
 
 def pipeline_board(invoices: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -111,7 +131,7 @@ def status_chip(vouchers: DataFrame) -> DataFrame:
     """The label of a voucher in lists, and the badge of the dashboard."""
     conf = F.col("avg_confidence")
     chip = (
-        F.when(F.col("is_duplicate"), "Duplicate").when(F.col("status") == "EXPORTED_DEMO", "Exported").when(F.col("status").isin("APPROVED", "POSTED"), "Approved")
+        F.when(F.col("is_duplicate"), "Duplicate").when(F.col("status") == "EXPORTED_DEMO", "Exported XML").when(F.col("status") == "APPROVED", "Approved").when(F.col("status").isin("POSTED", "SYNCED"), "Synced")
         .when(F.col("unmapped"), "Needs ledger").when(conf < 0.7, "Low conf.").otherwise("Ready")
     )
     badge = F.when(F.col("unmapped"), "unmapped").when(F.coalesce(conf, F.lit(1.0)) < 0.7, "low").otherwise("ok")
@@ -125,37 +145,58 @@ def line_chip(lines: DataFrame) -> DataFrame:
 
 
 def neighbours(vouchers: DataFrame) -> DataFrame:
-    """The draft before and after each draft of a client, newest first."""
-    w = Window.partitionBy("client_id").orderBy(F.desc("created_at"), "voucher_id")
-    return vouchers.where("status = 'DRAFT'").select("client_id", "voucher_id", F.lag("voucher_id").over(w).alias("previous_id"), F.lead("voucher_id").over(w).alias("next_id"))
+    """The draft before and after each draft of a client, newest first. Places are made without a task a client, then rows meet their neighbours' places."""
+    placed = positions(vouchers.where("status = 'DRAFT'").select("client_id", "voucher_id", "created_at"), "client_id", [F.desc("created_at"), F.col("voucher_id")])
+    at = lambda shift, name: placed.select("client_id", (F.col("position") + shift).alias("position"), F.col("voucher_id").alias(name))
+    out = placed.join(at(1, "previous_id"), ["client_id", "position"], "left").join(at(-1, "next_id"), ["client_id", "position"], "left")
+    return out.select("client_id", "voucher_id", "previous_id", "next_id")
+
 
+def dashboard(flagged: DataFrame, invoices: DataFrame, lines: DataFrame, statements: DataFrame, uploads: DataFrame) -> DataFrame:
+    """A1, A2: the headline numbers of each client, one pass a table, then joins of one row a client.
 
-def dashboard(flagged: DataFrame, invoices: DataFrame, lines: DataFrame, statements: DataFrame) -> DataFrame:
-    """A1, A2: the headline numbers of each client, one pass a table, then joins of one row a client."""
-    n = lambda when: F.count_if(when)
+    The last three columns are those of the client's latest reconciliation (null without any).
+    """
+    draft = F.col("status") == "DRAFT"
     v = flagged.groupBy("client_id").agg(
-        n(F.col("status") == "DRAFT").alias("n_drafts"), n((F.col("status") == "DRAFT") & F.col("unmapped")).alias("n_unmapped_drafts"), n(F.col("status") == "APPROVED").alias("n_approved"),
-        n(F.col("status").isin("EXPORTED_DEMO", "POSTED")).alias("n_exported"), n((F.col("status") == "DRAFT") & (F.col("avg_confidence") < 0.7)).alias("n_low"),
+        F.count_if(draft).alias("n_drafts"), F.count_if(F.col("status") == "APPROVED").alias("n_approved"), F.count_if(F.col("status").isin("EXPORTED_DEMO", "POSTED")).alias("n_exported"),
+        F.count_if(draft & (F.coalesce(F.col("avg_confidence") < 0.7, F.lit(False)) | F.col("unmapped"))).alias("n_pending_review"),
     )
-    tax = _paise("cgst") + _paise("sgst") + _paise("igst")
-    buys = F.col("voucher_type") == "PURCHASE"
-    sums = invoices.select("invoice_id", "cgst", "sgst", "igst").join(flagged.select("invoice_id", "client_id", "voucher_type"), "invoice_id").groupBy("client_id").agg(
-        F.coalesce(F.sum(F.when(buys, tax)), F.lit(0)).alias("input_p"), F.coalesce(F.sum(F.when(F.col("voucher_type") == "SALE", tax)), F.lit(0)).alias("output_p")
-    )
-    party = lines.where("role = 'PARTY' AND ledger_id IS NULL").join(flagged.select("voucher_id", "client_id"), "voucher_id").groupBy("client_id").agg(F.count("*").alias("n_parties_open"))
+    kinds = flagged.select("invoice_id", F.col("client_id").alias("_client"), "voucher_type")
+    i = invoices.groupBy("client_id").agg(F.count("*").alias("n_invoices"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("voucher_type") == kind, _paise("tax_amount"))), F.lit(0))
+    sums = invoices.select("invoice_id", "tax_amount").join(kinds, "invoice_id").groupBy(F.col("_client").alias("client_id")).agg(of("PURCHASE").alias("input_p"), of("SALE").alias("output_p"))
+    party = lines.where("role = 'PARTY' AND ledger_id IS NULL").join(flagged.where(draft).select("voucher_id", "client_id"), "voucher_id").groupBy("client_id").agg(F.count("*").alias("n_parties_open"))
     banks = statements.groupBy("client_id").agg(F.count("*").alias("n_statements"))
-    out = v.join(sums, "client_id", "left").join(party, "client_id", "left").join(banks, "client_id", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("input_p", "output_p", "n_parties_open", "n_statements")}).withColumn("gst_liability_p", F.greatest(F.lit(0), F.col("output_p") - F.col("input_p")))
+    latest = uploads.groupBy("client_id").agg(F.max_by(F.struct("itc_at_risk_p", "matched", "mismatched"), F.struct("created_at", "upload_id")).alias("u")).select("client_id", "u.*")
+    out = i.join(v, "client_id", "full")
+    for x in (sums, party, banks, latest):
+        out = out.join(x, "client_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_invoices", "n_drafts", "n_approved", "n_exported", "n_pending_review", "input_p", "output_p", "n_parties_open", "n_statements")}
+    return out.withColumns(zero).withColumn("gst_liability_p", F.greatest(F.lit(0), F.col("output_p") - F.col("input_p")))
+
+
+def draft_list(flagged: DataFrame, invoices: DataFrame, most: int = 20) -> DataFrame:
+    """Each client's newest drafts as one JSON array; clients without drafts have an empty one. At most `most` rows a client are gathered."""
+    w = Window.partitionBy("client_id").orderBy(F.desc("created_at"), "voucher_id")
+    rows = flagged.where("status = 'DRAFT'").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).join(invoices.select("invoice_id", "vendor", "invoice_number"), "invoice_id", "left")
+    one = F.struct("_n", F.struct(F.col("voucher_id").alias("id"), "voucher_type", F.col("debit_p").alias("total_debit_p"), "vendor", "invoice_number", F.col("unmapped").alias("has_unmapped")).alias("row"))
+    lists = rows.groupBy("client_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(one)), lambda x: x.row), {"ignoreNullFields": "false"}).alias("rows"))
+    return flagged.select("client_id").distinct().join(lists, "client_id", "left").withColumn("rows", F.coalesce("rows", F.lit("[]")))
 
 
 def anomalies(invoices: DataFrame, least: float = 2.5, history: int = 3) -> DataFrame:
-    """Each invoice's z-score against the vendor's earlier totals (population deviation; none counts as 1), where there are enough."""
+    """Each invoice's z-score against the vendor's earlier totals (population deviation; none counts as 1), where there are enough.
+
+    Sums and sums of squares of whole paise are exact decimals, so equal totals have a deviation of exactly none.
+    """
     w = Window.partitionBy("client_id", "vendor").orderBy("created_at", "invoice_id").rowsBetween(Window.unboundedPreceding, -1)
-    x = _paise("total_amount")
-    out = invoices.where("vendor <> ''").select("client_id", "vendor", "invoice_id", x.alias("total_p"), F.count("*").over(w).alias("n"), F.sum(x).over(w).alias("s"), F.sum(x.cast("double") * x).over(w).alias("ss"))
-    return out.where(F.col("n") >= history).withColumn("_var", F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n")))).withColumn(
-        "z", (F.col("total_p") - F.col("s") / F.col("n")) / F.when(F.sqrt("_var") > 0, F.sqrt("_var")).otherwise(F.lit(1.0))
-    ).withColumn("is_anomaly", F.abs("z") >= least).drop("_var", "s", "ss")
+    x = _paise("total_amount").cast("decimal(15,0)")
+    out = invoices.where("vendor <> ''").select("client_id", "vendor", "invoice_id", x.alias("p"), F.count("*").over(w).alias("n"), F.sum(x).over(w).cast("decimal(18,0)").alias("s"), F.sum(x * x).over(w).cast("decimal(30,0)").alias("ss"))
+    n = F.col("n").cast("decimal(8,0)")
+    spread, off = (n * F.col("ss") - F.col("s") * F.col("s")).cast("double"), (n * F.col("p") - F.col("s")).cast("double")
+    z = F.when(spread > 0, off / F.sqrt(spread)).otherwise(off / F.col("n") / F.lit(100.0))  # a rupee, where there is no deviation
+    return out.where(F.col("n") >= history).withColumn("z", z).withColumn("is_anomaly", F.abs("z") >= least).select("client_id", "vendor", "invoice_id", F.col("p").cast("long").alias("total_p"), "n", "z", "is_anomaly")
 
 
 def duplicates(keyed: DataFrame) -> DataFrame:

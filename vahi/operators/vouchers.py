@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vahi.functions import values as V
 
-LINE = "struct<role:string,ledger_id:bigint,debit_p:bigint,credit_p:bigint>"
+LINE = "struct<role:string,ledger_id:bigint,debit_p:bigint,credit_p:bigint,confidence:double,mapped_via:string,hsn_code:string,gst_rate:double>"
 
 
 def voucher_type(document_type: Column) -> Column:
@@ -31,44 +31,51 @@ def is_purchase_report(kind: Column) -> Column:
     return kind.isin("PURCHASE", "DEBIT_NOTE")
 
 
-def _line(role: str, ledger: Column, paise: Column, debit: Column) -> Column:
+def _line(role: str, ledger: Column, paise: Column, debit: Column, confidence: Column | None = None, via: Column | None = None, hsn: Column | None = None, rate: Column | None = None) -> Column:
     """One line with the amount on its side; nothing if the amount isn't above 0."""
-    zero = F.lit(0).cast("long")
-    return F.when(paise > 0, F.struct(F.lit(role).alias("role"), ledger.cast("long").alias("ledger_id"), F.when(debit, paise).otherwise(zero).alias("debit_p"), F.when(debit, zero).otherwise(paise).alias("credit_p")).cast(LINE))
+    zero, none = F.lit(0).cast("long"), F.lit(None)
+    extra = [(none if x is None else x).alias(n) for n, x in (("confidence", confidence), ("mapped_via", via), ("hsn_code", hsn), ("gst_rate", rate))]
+    return F.when(paise > 0, F.struct(F.lit(role).alias("role"), ledger.cast("long").alias("ledger_id"), F.when(debit, paise).otherwise(zero).alias("debit_p"), F.when(debit, zero).otherwise(paise).alias("credit_p"), *extra).cast(LINE))
+
+
+ITEM = "array<struct<price:double,ledger_id:bigint,confidence:double,mapped_via:string,hsn_code:string,gst_rate:double>>"
 
 
 def build_vouchers(invoices: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Add voucher_type, lines, total_debit_p, total_credit_p, round_off_p, has_unmapped and warnings to invoices with items and ledgers.
+    """Add voucher_type, lines, total_debit_p, total_credit_p, round_off_p, has_unmapped, avg_confidence and warnings to invoices with items and ledgers.
 
-    Needs subtotal, cgst, sgst, igst, discount, total_amount, document_type, items (array of structs with price and ledger_id), party_ledger and the ledgers
-    cgst_ledger, sgst_ledger, igst_ledger, round_off_ledger, discount_ledger. Amounts are whole paise; the round-off line makes debits equal credits. One projection.
+    Needs subtotal, cgst, sgst, igst, discount, total_amount, document_type, items (ITEM), party_ledger, party_confidence, party_via and the ledgers
+    cgst_ledger, sgst_ledger, igst_ledger, round_off_ledger, discount_ledger; voucher_type, where it is given and not null, goes before the document's.
+    Amounts are whole paise; the round-off line makes debits equal credits. One projection.
     """
     p = lambda name: V.to_paise(F.coalesce(F.col(name), F.lit(0.0)))
-    out = invoices.withColumn("voucher_type", voucher_type(F.col("document_type")))
-    item_debit = is_purchase_build(F.col("voucher_type"))
+    by_hand = F.col("voucher_type") if "voucher_type" in invoices.columns else F.lit(None).cast("string")
+    out = invoices.withColumn("voucher_type", F.coalesce(by_hand, voucher_type(F.col("document_type"))))
+    item_debit, default = is_purchase_build(F.col("voucher_type")), F.lit("DEFAULT")
     has_items = F.coalesce(F.size("items"), F.lit(0)) > 0
-    each = F.transform("items", lambda x: _line("ITEM", x.ledger_id, V.to_paise(F.coalesce(x.price, F.lit(0.0))), item_debit))
-    first = F.try_element_at(F.col("items"), F.lit(1)).ledger_id
-    whole = F.array(_line("ITEM", first, V.to_paise(F.coalesce("subtotal", F.lit(0.0)) - F.coalesce("discount", F.lit(0.0))), item_debit))
+    each = F.transform("items", lambda x: _line("ITEM", x.ledger_id, V.to_paise(F.coalesce(x.price, F.lit(0.0))), item_debit, x.confidence, x.mapped_via, x.hsn_code, x.gst_rate))
+    whole = F.array(_line("ITEM", F.lit(None), p("subtotal") - p("discount"), item_debit, via=default))  # no items, so no ledger of an item
     igst = p("igst") > 0
     rest = F.array(
-        F.when(F.col("discount_ledger").isNotNull(), _line("DISCOUNT", F.col("discount_ledger"), p("discount"), ~item_debit)),
-        _line("IGST", F.col("igst_ledger"), p("igst"), item_debit),
-        F.when(~igst, _line("CGST", F.col("cgst_ledger"), p("cgst"), item_debit)),
-        F.when(~igst, _line("SGST", F.col("sgst_ledger"), p("sgst"), item_debit)),
-        _line("PARTY", F.col("party_ledger"), p("total_amount"), ~item_debit),
+        F.when(F.col("discount_ledger").isNotNull(), _line("DISCOUNT", F.col("discount_ledger"), p("discount"), ~item_debit, via=default)),
+        _line("IGST", F.col("igst_ledger"), p("igst"), item_debit, via=default),
+        F.when(~igst, _line("CGST", F.col("cgst_ledger"), p("cgst"), item_debit, via=default)),
+        F.when(~igst, _line("SGST", F.col("sgst_ledger"), p("sgst"), item_debit, via=default)),
+        _line("PARTY", F.col("party_ledger"), p("total_amount"), ~item_debit, F.col("party_confidence"), F.col("party_via")),
     )
     out = out.withColumn("lines", F.array_compact(F.concat(F.when(has_items, each).otherwise(whole), rest)))
     total = lambda side: F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x[side])
     out = out.withColumn("round_off_p", total("debit_p") - total("credit_p"))
-    off = _line("ROUND_OFF", F.col("round_off_ledger"), F.abs("round_off_p"), F.col("round_off_p") < 0)
+    off = _line("ROUND_OFF", F.col("round_off_ledger"), F.abs("round_off_p"), F.col("round_off_p") < 0, via=default)
     out = out.withColumn("lines", F.array_compact(F.concat("lines", F.array(off))))
     unmapped = F.col("party_ledger").isNull() | F.when(has_items, F.exists("items", lambda x: x.ledger_id.isNull())).otherwise(F.lit(True))
     warnings = F.array_compact(F.array(
         F.when(igst & ((p("cgst") > 0) | (p("sgst") > 0)), F.lit("integrated tax beside central or state tax")),
         F.when(F.abs("round_off_p") > int(tolerance * 100), F.lit("round-off above the tolerance")),
     ))
-    return out.withColumns({"total_debit_p": total("debit_p"), "total_credit_p": total("credit_p"), "has_unmapped": unmapped, "warnings": warnings})
+    sure = F.filter(F.transform("lines", lambda x: x.confidence), lambda c: c.isNotNull())
+    mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda acc, c: acc + c) / F.size(sure))
+    return out.withColumns({"total_debit_p": total("debit_p"), "total_credit_p": total("credit_p"), "has_unmapped": unmapped, "avg_confidence": mean, "warnings": warnings})
 
 
 def gate(vouchers: DataFrame, lines: DataFrame) -> DataFrame:
@@ -91,18 +98,31 @@ def auto_approve(gated: DataFrame, threshold: float = 0.9) -> DataFrame:
     return bulk_approve(gated.where(F.col("avg_confidence") >= threshold))
 
 
-def remapped(lines: DataFrame, updates: DataFrame) -> DataFrame:
-    """M6: lines with updates (voucher_id, sort_order, new_ledger) applied: a ledger by hand has confidence 1, none clears the mapping. The header's confidence is not touched."""
-    out = lines.join(updates.withColumn("_hit", F.lit(True)), ["voucher_id", "sort_order"], "left")
+def remapped(lines: DataFrame, updates: DataFrame, vouchers: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """Lines with updates (voucher_id, sort_order, new_ledger) applied: a ledger by hand has confidence 1, none clears the mapping.
+
+    Updates of unknown lines fall away, and so do those whose ledger is not one of the voucher's client. The header's confidence is not touched.
+    """
+    owned = updates.join(vouchers.select("voucher_id", "client_id"), "voucher_id").join(ledgers.select("client_id", F.col("ledger_id").alias("new_ledger"), F.col("name").alias("_name"), F.lit(True).alias("_known")), ["client_id", "new_ledger"], "left")
+    valid = owned.where("new_ledger IS NULL OR _known").select("voucher_id", "sort_order", "new_ledger", "_name", F.lit(True).alias("_hit"))
+    out = lines.join(valid, ["voucher_id", "sort_order"], "left")
     hit, new = F.coalesce("_hit", F.lit(False)), F.col("new_ledger")
     return out.select(
-        "voucher_id", "sort_order", "role", F.when(hit, new).otherwise(F.col("ledger_id")).alias("ledger_id"), "debit_p", "credit_p",
+        "voucher_id", "sort_order", "role", F.when(hit, new).otherwise(F.col("ledger_id")).alias("ledger_id"), F.when(hit, F.col("_name")).otherwise(F.col("ledger_name")).alias("ledger_name"), "debit_p", "credit_p",
         F.when(hit, F.when(new.isNotNull(), "MANUAL")).otherwise(F.col("mapped_via")).alias("mapped_via"), F.when(hit, F.when(new.isNotNull(), 1.0)).otherwise(F.col("confidence")).alias("confidence"),
     )
 
 
-def exported(vouchers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """K4, M8: the vouchers with approved ones marked exported, and one audit row a client with the ids; exporting again is allowed."""
+def exported(vouchers: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The vouchers with approved ones (of these ids, if given) marked exported, and the audit: one row a voucher with the client's count.
+
+    Exporting again is allowed. The audit keeps ids as rows, so a large client's list is never gathered.
+    """
     chosen = F.col("status").isin("APPROVED", "EXPORTED_DEMO")
-    audit = vouchers.where(chosen).groupBy("client_id").agg(F.count("*").alias("n_vouchers"), F.sort_array(F.collect_list("voucher_id")).alias("voucher_ids"))
-    return vouchers.withColumn("status", F.when(chosen, "EXPORTED_DEMO").otherwise(F.col("status"))), audit
+    if ids is not None:
+        vouchers = vouchers.join(ids.select("voucher_id").distinct().withColumn("_asked", F.lit(True)), "voucher_id", "left")
+        chosen &= F.coalesce("_asked", F.lit(False))
+    out = vouchers.withColumns({"_chosen": chosen, "status": F.when(chosen, "EXPORTED_DEMO").otherwise(F.col("status"))})
+    some = out.where("_chosen")
+    audit = some.select("client_id", "voucher_id").join(some.groupBy("client_id").agg(F.count("*").alias("n_vouchers")), "client_id")
+    return out.drop("_chosen", "_asked"), audit

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from vahi.functions import text as T
 from vahi.functions import values as V
 from vahi.operators import bank, documents, export, ledgers, reconcile, reports, validate, vouchers
+from vahi.operators.matching import contains_join, dice_join
+from vahi.operators.order import positions
 from vahi.sources import files
 from vahi.sources.bindings import view, with_sql
+from vahi.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,10 +82,11 @@ def s1_tenant_scan(t: Tables) -> DataFrame:
     return t.invoice.where("client_id = 7 AND user_id = 2 AND document_type = 'PURCHASE'").select("client_id", "user_id", "invoice_id", "vendor", "status")
 
 
-@query("SELECT voucher_id, status, debit_p FROM {voucher} WHERE voucher_id = 42 AND client_id = (SELECT client_id FROM {voucher} WHERE voucher_id = 42)")
+@query("SELECT voucher_id, status, debit_p FROM {voucher} WHERE client_id = 7 AND voucher_id = (SELECT max(voucher_id) FROM {voucher} WHERE client_id = 7)")
 def s2_point_lookup(t: Tables) -> DataFrame:
-    """One voucher by id, within its tenant."""
-    return t.voucher.where("voucher_id = 42").select("voucher_id", "status", "debit_p")
+    """One voucher by id, within its tenant: here the client's last one."""
+    own = t.voucher.where("client_id = 7")
+    return own.join(F.broadcast(own.agg(F.max("voucher_id").alias("voucher_id"))), "voucher_id").select("voucher_id", "status", "debit_p")
 
 
 @query("""
@@ -134,26 +139,41 @@ def s9_bank_json(t: Tables) -> DataFrame:
     return files.bank_rows(docs).select("statement_id", "sort_order", "description", V.to_paise(F.col("withdrawal")).alias("out_p"), V.to_paise(F.col("deposit")).alias("in_p"))
 
 
-@query("SELECT invoice_id, nullif(vendor, '') AS vendor, {g} AS vendor_gstin, {t} AS total_p, (SELECT count(*) FROM {invoice_item} x WHERE x.invoice_id = i.invoice_id) AS n_items FROM {invoice} i".replace("{g}", NORM_GSTIN("vendor_gstin")).replace("{t}", P("total_amount")))
+@query("""
+SELECT i.invoice_id, nullif(vendor, '') AS vendor, {g} AS vendor_gstin, {t} AS total_p, coalesce(n, 0) AS n_items, coalesce(qty, 0) AS qty, coalesce(price_p, 0) AS price_p, coalesce(names, 0) AS n_unnamed, CAST(coalesce(invoice_date, TIMESTAMP '1998-06-01') AS DATE) AS day
+FROM {invoice} i LEFT JOIN (SELECT invoice_id, count(*) AS n, CAST(sum(CASE WHEN part_key % 3 = 0 THEN 0 ELSE qty END) AS BIGINT) AS qty, CAST(sum(CASE part_key % 3 WHEN 0 THEN 0 WHEN 1 THEN {q} ELSE {p} END) AS BIGINT) AS price_p, count(*) FILTER (WHERE part_key % 5 = 0) AS names FROM {invoice_item} GROUP BY invoice_id) x ON x.invoice_id = i.invoice_id
+""".replace("{g}", NORM_GSTIN("vendor_gstin")).replace("{t}", P("total_amount")).replace("{q}", "CAST(floor(qty * rate * 100 + 0.5) AS BIGINT)").replace("{p}", "CAST(floor(abs(price) * 100 + 0.5) AS BIGINT)"))
 def s7_extracted_invoices(t: Tables) -> DataFrame:
-    """Invoices as extracted JSON, normalised."""
-    rows = validate.with_items(t.invoice, t.invoice_item)
-    doc = F.to_json(F.struct(F.col("invoice_number"), "vendor", "vendor_gstin", F.col("total_amount").cast("decimal(18,2)").cast("string").alias("total"), "items"))
-    out = files.invoice_rows(rows.select("invoice_id", doc.alias("payload")), as_of())
-    return out.select("invoice_id", "vendor", "vendor_gstin", V.to_paise(F.col("total_amount")).alias("total_p"), F.size("items").cast("long").alias("n_items"))
+    """Invoices as extracted JSON, under several names, some items without quantity, price or name; normalised."""
+    f = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    k = F.col("part_key") % 3
+    item = F.struct(
+        "sort_order", F.when((k == 1) & (F.col("part_key") % 5 != 0), F.col("name")).alias("item_name"), F.when((k != 1) & (F.col("part_key") % 5 != 0), F.col("name")).alias("description"),
+        F.when(k == 1, f("qty")).alias("qty"), F.when(k == 2, f("qty")).alias("quantity"), f("rate").alias("rate"), F.when(k == 2, F.abs("price").cast("decimal(18,2)").cast("string")).alias("total"), F.col("hsn_code").alias("hsnCode"), F.col("gst_rate").cast("string").alias("gstRate"),
+    )
+    items = t.invoice_item.groupBy("invoice_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("sort_order")).alias("items"))
+    doc = F.to_json(F.struct("invoice_number", F.date_format("invoice_date", "d/M/yyyy").alias("date"), "vendor", "vendor_gstin", f("total_amount").alias("total_amount"), F.lit("1.00").alias("total"), "items"))
+    out = files.invoice_rows(t.invoice.join(items, "invoice_id", "left").select("invoice_id", doc.alias("payload")), as_of())
+    total = lambda g: F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc + g(x))
+    return out.select(
+        "invoice_id", "vendor", "vendor_gstin", V.to_paise(F.col("total_amount")).alias("total_p"), F.size("items").cast("long").alias("n_items"), total(lambda x: x.qty.cast("long")).alias("qty"), total(lambda x: V.to_paise(x.price)).alias("price_p"),
+        F.size(F.filter("items", lambda x: x["name"] == "Item")).cast("long").alias("n_unnamed"), F.to_date("invoice_date").alias("day"),
+    )
 
 
-@query("SELECT client_id, count(*) AS n FROM (SELECT client_id FROM {client} UNION SELECT client_id + 100 FROM {client}), range(32) WHERE client_id NOT IN (SELECT client_id FROM {ledger}) GROUP BY client_id")
+@query("SELECT client_id, name, ledger_group, ledger_type, CAST(gst_rate AS BIGINT) AS rate, is_system FROM (SELECT client_id FROM {client} UNION SELECT client_id + 100 FROM {client}), (VALUES " + ", ".join("('" + "', '".join(r[:3]) + f"', {'NULL' if r[3] is None else r[3]}, {r[4]})" for r in files.SEED_LEDGERS) + ") seed(name, ledger_group, ledger_type, gst_rate, is_system) WHERE client_id NOT IN (SELECT client_id FROM {ledger})")
 def s10_seed_ledgers(t: Tables) -> DataFrame:
     """The chart of accounts for clients without ledgers."""
-    clients = t.client.unionByName(t.client.withColumn("client_id", F.col("client_id") + 100))  # the second half is new
-    return files.seed_ledgers(clients, t.ledger).groupBy("client_id").agg(F.count("*").alias("n"))
+    clients = t.client.select("client_id").unionByName(t.client.select((F.col("client_id") + 100).alias("client_id")))  # the second half is new
+    return files.seed_ledgers(clients, t.ledger).select("client_id", "name", "ledger_group", "ledger_type", F.col("gst_rate").cast("long").alias("rate"), "is_system")
 
 
-@query("SELECT voucher_id, voucher_type, status FROM {voucher} WHERE (avg_confidence < 0.7 OR avg_confidence IS NULL) AND status = 'DRAFT' AND voucher_type = 'PURCHASE'")
+@query("SELECT voucher_id, voucher_type, status, CASE WHEN avg_confidence >= 0.9 THEN 'high' ELSE 'low' END AS side FROM {voucher} WHERE (avg_confidence < 0.7 OR avg_confidence IS NULL OR avg_confidence >= 0.9) AND status = 'DRAFT' AND voucher_type = 'PURCHASE'")
 def f3_low_confidence(t: Tables) -> DataFrame:
-    """drafts of low or no confidence."""
-    return t.voucher.where("status = 'DRAFT' AND voucher_type = 'PURCHASE'").where((F.col("avg_confidence") < 0.7) | F.col("avg_confidence").isNull()).select("voucher_id", "voucher_type", "status")
+    """drafts of low or no confidence, and those of high confidence."""
+    some = t.voucher.where("status = 'DRAFT' AND voucher_type = 'PURCHASE'")
+    c, columns = F.col("avg_confidence"), ["voucher_id", "voucher_type", "status"]
+    return some.where((c < 0.7) | c.isNull()).select(*columns, F.lit("low").alias("side")).unionByName(some.where(c >= 0.9).select(*columns, F.lit("high").alias("side")))
 
 
 @query("SELECT i.invoice_id, i.client_id FROM {invoice} i LEFT JOIN {voucher} v ON v.invoice_id = i.invoice_id WHERE i.document_type = 'PURCHASE' OR i.document_type IS NULL OR v.voucher_type = 'PURCHASE'")
@@ -206,18 +226,21 @@ def f14_upload_admission(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT client_id, n_drafts, n_unmapped_drafts, n_approved, n_exported, n_low, coalesce(input_p, 0) AS input_p, coalesce(output_p, 0) AS output_p, coalesce(n_parties_open, 0) AS n_parties_open,
-  coalesce(n_statements, 0) AS n_statements, greatest(0, coalesce(output_p, 0) - coalesce(input_p, 0)) AS gst_liability_p
-FROM (SELECT client_id, count(*) FILTER (WHERE status = 'DRAFT') AS n_drafts, count(*) FILTER (WHERE status = 'DRAFT' AND EXISTS (SELECT 1 FROM {voucher_line} l WHERE l.voucher_id = v.voucher_id AND ledger_id IS NULL)) AS n_unmapped_drafts,
-    count(*) FILTER (WHERE status = 'APPROVED') AS n_approved, count(*) FILTER (WHERE status IN ('EXPORTED_DEMO', 'POSTED')) AS n_exported, count(*) FILTER (WHERE status = 'DRAFT' AND avg_confidence < 0.7) AS n_low FROM {voucher} v GROUP BY client_id)
+SELECT client_id, coalesce(n_invoices, 0) AS n_invoices, coalesce(n_drafts, 0) AS n_drafts, coalesce(n_approved, 0) AS n_approved, coalesce(n_exported, 0) AS n_exported, coalesce(n_pending_review, 0) AS n_pending_review, coalesce(input_p, 0) AS input_p, coalesce(output_p, 0) AS output_p,
+  coalesce(n_parties_open, 0) AS n_parties_open, coalesce(n_statements, 0) AS n_statements, itc_at_risk_p, matched, mismatched, greatest(0, coalesce(output_p, 0) - coalesce(input_p, 0)) AS gst_liability_p
+FROM (SELECT client_id FROM {invoice} UNION SELECT client_id FROM {voucher})
+LEFT JOIN (SELECT client_id, count(*) AS n_invoices FROM {invoice} GROUP BY client_id) USING (client_id)
+LEFT JOIN (SELECT client_id, count(*) FILTER (WHERE status = 'DRAFT') AS n_drafts, count(*) FILTER (WHERE status = 'APPROVED') AS n_approved, count(*) FILTER (WHERE status IN ('EXPORTED_DEMO', 'POSTED')) AS n_exported,
+    count(*) FILTER (WHERE status = 'DRAFT' AND (avg_confidence < 0.7 OR EXISTS (SELECT 1 FROM {voucher_line} l WHERE l.voucher_id = v.voucher_id AND ledger_id IS NULL))) AS n_pending_review FROM {voucher} v GROUP BY client_id) USING (client_id)
 LEFT JOIN (SELECT v.client_id, CAST(sum(CASE WHEN voucher_type = 'PURCHASE' THEN tax ELSE 0 END) AS BIGINT) AS input_p, CAST(sum(CASE WHEN voucher_type = 'SALE' THEN tax ELSE 0 END) AS BIGINT) AS output_p
-    FROM {voucher} v JOIN (SELECT invoice_id, {c} + {s} + {i} AS tax FROM {invoice}) USING (invoice_id) GROUP BY v.client_id) USING (client_id)
-LEFT JOIN (SELECT client_id, count(*) AS n_parties_open FROM {voucher_line} JOIN {voucher} USING (voucher_id) WHERE role = 'PARTY' AND ledger_id IS NULL GROUP BY client_id) USING (client_id)
+    FROM {voucher} v JOIN (SELECT invoice_id, {x} AS tax FROM {invoice}) USING (invoice_id) GROUP BY v.client_id) USING (client_id)
+LEFT JOIN (SELECT client_id, count(*) AS n_parties_open FROM {voucher_line} JOIN (SELECT voucher_id, client_id FROM {voucher} WHERE status = 'DRAFT') USING (voucher_id) WHERE role = 'PARTY' AND ledger_id IS NULL GROUP BY client_id) USING (client_id)
 LEFT JOIN (SELECT client_id, count(*) AS n_statements FROM {bank_statement} GROUP BY client_id) USING (client_id)
-""".replace("{c}", P("cgst")).replace("{s}", P("sgst")).replace("{i}", P("igst")))
+LEFT JOIN (SELECT client_id, itc_at_risk_p, matched, mismatched FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY created_at DESC, upload_id DESC) AS n FROM {gst2b_upload}) WHERE n = 1) USING (client_id)
+""".replace("{x}", P("tax_amount")))
 def a1_dashboard(t: Tables) -> DataFrame:
-    """The headline of each client."""
-    return reports.dashboard(_flagged(t), t.invoice, t.voucher_line, t.bank_statement)
+    """The headline of each client."""
+    return reports.dashboard(_flagged(t), t.invoice, t.voucher_line, t.bank_statement, t.gst2b_upload)
 
 
 @query("SELECT user_id, count(*) AS n, CAST(sum({t}) AS BIGINT) AS total_p, CAST(sum({x}) AS BIGINT) AS tax_p, count(DISTINCT CASE WHEN vendor <> '' THEN vendor END) AS n_vendors, CAST(floor(sum({t}) / count(*) + 0.5) AS BIGINT) AS mean_p FROM {invoice} GROUP BY user_id".replace("{t}", P("total_amount")).replace("{x}", P("tax_amount")))
@@ -258,14 +281,15 @@ def a7_party_outstanding(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT *, income_p - expense_p AS profit_p, assets_p - liabilities_p AS equity_p, greatest(0, tax_out_p - tax_in_p) AS gst_liability_p FROM (
-SELECT client_id, CAST(coalesce(sum({s}) FILTER (WHERE NOT b), 0) AS BIGINT) AS income_p, CAST(coalesce(sum({s}) FILTER (WHERE b), 0) AS BIGINT) AS expense_p, CAST(coalesce(sum({c} + {g} + {i}) FILTER (WHERE b), 0) AS BIGINT) AS tax_in_p,
-  CAST(coalesce(sum({c} + {g} + {i}) FILTER (WHERE NOT b), 0) AS BIGINT) AS tax_out_p, CAST(coalesce(sum(debit_p) FILTER (WHERE NOT b), 0) AS BIGINT) AS assets_p, CAST(coalesce(sum(credit_p) FILTER (WHERE b), 0) AS BIGINT) AS liabilities_p
-FROM (SELECT v.*, subtotal, cgst, sgst, igst, voucher_type IN ('PURCHASE', 'DEBIT_NOTE') AS b FROM {voucher} v JOIN {invoice} i ON i.invoice_id = v.invoice_id) GROUP BY client_id)
-""".replace("{s}", P("subtotal")).replace("{c}", P("cgst")).replace("{g}", P("sgst")).replace("{i}", P("igst")))
+SELECT client_id, income_p, expense_p, tax_in_p, tax_out_p, tax_in_p AS assets_p, owed_p + tax_out_p AS liabilities_p, income_p - expense_p AS equity_p FROM (
+SELECT client_id, CAST(coalesce(sum({s}) FILTER (WHERE NOT b), 0) AS BIGINT) AS income_p, CAST(coalesce(sum({s}) FILTER (WHERE b), 0) AS BIGINT) AS expense_p, CAST(coalesce(sum({x}) FILTER (WHERE b), 0) AS BIGINT) AS tax_in_p,
+  CAST(coalesce(sum({x}) FILTER (WHERE NOT b), 0) AS BIGINT) AS tax_out_p, CAST(coalesce(sum(owed) FILTER (WHERE b), 0) AS BIGINT) AS owed_p
+FROM (SELECT v.client_id, subtotal, tax_amount, coalesce(nullif(l.credit_p, 0), nullif(v.credit_p, 0), 0) AS owed, voucher_type IN ('PURCHASE', 'DEBIT_NOTE') AS b
+  FROM {voucher} v LEFT JOIN {invoice} i ON i.invoice_id = v.invoice_id LEFT JOIN (SELECT voucher_id, credit_p FROM {voucher_line} WHERE role = 'PARTY') l ON l.voucher_id = v.voucher_id WHERE voucher_type IN ('PURCHASE', 'DEBIT_NOTE', 'SALE', 'CREDIT_NOTE')) GROUP BY client_id)
+""".replace("{s}", P("subtotal")).replace("{x}", P("tax_amount")))
 def a8_profit_and_loss(t: Tables) -> DataFrame:
-    """The profit-and-loss sketch of each client, over all vouchers."""
-    return reports.profit_and_loss(t.voucher, t.invoice)
+    """The profit-and-loss and balance sketch of each client, over all vouchers."""
+    return reports.profit_and_loss(t.voucher, t.voucher_line, t.invoice)
 
 
 @query("""
@@ -282,7 +306,7 @@ def a9_mapping_accuracy(t: Tables) -> DataFrame:
 
 @query("""
 SELECT client_id, voucher_id, voucher_date, vendor AS party, vendor_gstin AS gstin, invoice_number, {s} AS subtotal_p, {c} AS cgst_p, {g} AS sgst_p, {i} AS igst_p, coalesce(nullif({t}, 0), debit_p) AS total_p
-FROM (SELECT v.client_id, v.voucher_id, v.voucher_date, v.debit_p, v.voucher_type, i.vendor, i.vendor_gstin, i.invoice_number, i.subtotal, i.cgst, i.sgst, i.igst, i.total_amount FROM {voucher} v JOIN {invoice} i USING (invoice_id)) WHERE voucher_type IN ('PURCHASE', 'DEBIT_NOTE')
+FROM (SELECT v.client_id, v.voucher_id, v.voucher_date, v.debit_p, v.voucher_type, i.vendor, i.vendor_gstin, i.invoice_number, i.subtotal, i.cgst, i.sgst, i.igst, i.total_amount FROM {voucher} v LEFT JOIN {invoice} i USING (invoice_id)) WHERE voucher_type IN ('PURCHASE', 'DEBIT_NOTE')
 """.replace("{s}", P("subtotal")).replace("{c}", P("cgst")).replace("{g}", P("sgst")).replace("{i}", P("igst")).replace("{t}", P("total_amount")))
 def p2_purchase_register(t: Tables) -> DataFrame:
     """The purchase register."""
@@ -290,8 +314,8 @@ def p2_purchase_register(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT client_id, voucher_id, voucher_date, coalesce(nullif(customer_name, ''), vendor) AS party, customer_gstin AS gstin, invoice_number, {s} AS subtotal_p, {c} AS cgst_p, {g} AS sgst_p, {i} AS igst_p, coalesce(nullif({t}, 0), debit_p) AS total_p
-FROM (SELECT v.client_id, v.voucher_id, v.voucher_date, v.debit_p, v.voucher_type, i.vendor, i.customer_name, i.customer_gstin, i.invoice_number, i.subtotal, i.cgst, i.sgst, i.igst, i.total_amount FROM {voucher} v JOIN {invoice} i USING (invoice_id)) WHERE voucher_type IN ('SALE', 'CREDIT_NOTE')
+SELECT client_id, voucher_id, voucher_date, coalesce(nullif(customer_name, ''), vendor) AS party, coalesce(nullif(customer_gstin, ''), vendor_gstin) AS gstin, invoice_number, {s} AS subtotal_p, {c} AS cgst_p, {g} AS sgst_p, {i} AS igst_p, coalesce(nullif({t}, 0), debit_p) AS total_p
+FROM (SELECT v.client_id, v.voucher_id, v.voucher_date, v.debit_p, v.voucher_type, i.vendor, i.vendor_gstin, i.customer_name, i.customer_gstin, i.invoice_number, i.subtotal, i.cgst, i.sgst, i.igst, i.total_amount FROM {voucher} v LEFT JOIN {invoice} i USING (invoice_id)) WHERE voucher_type IN ('SALE', 'CREDIT_NOTE')
 """.replace("{s}", P("subtotal")).replace("{c}", P("cgst")).replace("{g}", P("sgst")).replace("{i}", P("igst")).replace("{t}", P("total_amount")))
 def p3_outward_register(t: Tables) -> DataFrame:
     """The outward register."""
@@ -302,7 +326,7 @@ _FLAGGED = "(SELECT v.*, EXISTS (SELECT 1 FROM {voucher_line} l WHERE l.voucher_
 
 
 @query(f"""
-SELECT voucher_id, CASE WHEN is_duplicate THEN 'Duplicate' WHEN status = 'EXPORTED_DEMO' THEN 'Exported' WHEN status IN ('APPROVED', 'POSTED') THEN 'Approved' WHEN unmapped THEN 'Needs ledger' WHEN avg_confidence < 0.7 THEN 'Low conf.' ELSE 'Ready' END AS chip,
+SELECT voucher_id, CASE WHEN is_duplicate THEN 'Duplicate' WHEN status = 'EXPORTED_DEMO' THEN 'Exported XML' WHEN status = 'APPROVED' THEN 'Approved' WHEN status IN ('POSTED', 'SYNCED') THEN 'Synced' WHEN unmapped THEN 'Needs ledger' WHEN avg_confidence < 0.7 THEN 'Low conf.' ELSE 'Ready' END AS chip,
   CASE WHEN unmapped THEN 'unmapped' WHEN coalesce(avg_confidence, 1) < 0.7 THEN 'low' ELSE 'ok' END AS badge
 FROM {_FLAGGED} f JOIN (SELECT invoice_id, is_duplicate FROM {{invoice}}) USING (invoice_id)
 """)
@@ -324,7 +348,7 @@ FROM (SELECT voucher_id, f.client_id, avg_confidence, CASE WHEN unmapped OR coal
   FROM {_FLAGGED} f JOIN (SELECT invoice_id, is_duplicate, n_flags FROM {{invoice}}) USING (invoice_id) WHERE status = 'DRAFT')
 """)
 def v12_review_queue(t: Tables) -> DataFrame:
-    """Drafts in review order."""
+    """Drafts in review order."""
     out = reports.review_queue(reports.review_priority(t.invoice, _flagged(t)))
     return out.select("voucher_id", "client_id", "priority", F.col("position").cast("long").alias("position"))
 
@@ -355,18 +379,23 @@ def w2_latest(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, client_id, name FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY is_default DESC, client_id) AS n FROM {client}) WHERE n = 1")
 def w10_default_client(t: Tables) -> DataFrame:
-    """The default client of each user."""
+    """The default client of each user."""
     best = t.client.groupBy("user_id").agg(F.min_by(F.struct("client_id", "name"), F.struct(~F.col("is_default"), F.col("client_id"))).alias("c"))
     return best.select("user_id", "c.client_id", "c.name")
 
 
+@query("SELECT user_id, client_id, row_number() OVER (PARTITION BY user_id ORDER BY is_default DESC, name, client_id) AS position FROM {client}")
+def o6_client_order(t: Tables) -> DataFrame:
+    """Each user's clients, the default ones first, then by name."""
+    return positions(t.client.select("user_id", "client_id", "name", "is_default"), "user_id", [F.desc("is_default"), F.col("name"), F.col("client_id")]).select("user_id", "client_id", "position")
+
+
 @query("SELECT client_id, ledger_id, row_number() OVER (PARTITION BY client_id ORDER BY CASE ledger_group WHEN 'SUNDRY_CREDITORS' THEN 1 WHEN 'SUNDRY_DEBTORS' THEN 2 WHEN 'DUTIES_AND_TAXES' THEN 3 WHEN 'PURCHASE_ACCOUNTS' THEN 4 ELSE 5 END, name, ledger_id) AS position FROM {ledger}")
 def o2_ledger_order(t: Tables) -> DataFrame:
     """O2: ledgers in the order of their groups' declaration, then name."""
-    from pyspark.sql import Window
-
     place = F.array_position(F.array(*map(F.lit, export.GROUP_NAMES)), F.col("ledger_group"))
-    return t.ledger.select("client_id", "ledger_id", F.row_number().over(Window.partitionBy("client_id").orderBy(place, "name", "ledger_id")).cast("long").alias("position"))
+    rows = t.ledger.select("client_id", "ledger_id", "name", place.alias("place"))
+    return positions(rows, "client_id", [F.col("place"), F.col("name"), F.col("ledger_id")]).select("client_id", "ledger_id", "position")
 
 
 @query("SELECT voucher_id, client_id, status FROM {voucher} ORDER BY created_at DESC, voucher_id LIMIT 20")
@@ -395,19 +424,19 @@ _DICE = """CASE WHEN coalesce(a, '') = '' OR coalesce(b, '') = '' THEN 0.0::DOUB
   ELSE 2.0::DOUBLE * (SELECT coalesce(sum(least(x.n, y.n)), 0) FROM (SELECT g, count(*) AS n FROM (SELECT unnest([a[i:i + 1] for i in range(1, length(a))]) AS g) GROUP BY g) x JOIN (SELECT g, count(*) AS n FROM (SELECT unnest([b[i:i + 1] for i in range(1, length(b))]) AS g) GROUP BY g) y USING (g))::DOUBLE / (length(a) + length(b) - 2) END"""
 
 
-@query(f"SELECT a, b, CAST(floor(1000000 * ({_DICE}) + 0.5) AS BIGINT) AS millionths FROM (SELECT DISTINCT {NORM_NAME('name')} AS a FROM {{ledger}}) CROSS JOIN (SELECT DISTINCT match_key AS b FROM {{memory}} WHERE match_type = 'VENDOR_NAME')")
+@query(f"SELECT a, b, CAST(floor(1000000 * ({_DICE}) + 0.5) AS BIGINT) AS millionths FROM (SELECT DISTINCT client_id, {NORM_NAME('name')} AS a FROM {{ledger}}) x JOIN (SELECT DISTINCT client_id, match_key AS b FROM {{memory}} WHERE match_type = 'VENDOR_NAME') y USING (client_id) WHERE ({_DICE}) >= 0.72")
 def c7_dice(t: Tables) -> DataFrame:
-    """Similarity of ledger names and remembered names, all distinct pairs of the two small sets."""
-    a = t.ledger.select(T.norm_name(F.col("name")).alias("a")).distinct()
-    b = t.memory.where("match_type = 'VENDOR_NAME'").select(F.col("match_key").alias("b")).distinct()
-    return a.join(b).select("a", "b", F.floor(F.lit(1000000) * T.dice(F.col("a"), F.col("b")) + F.lit(0.5)).cast("long").alias("millionths"))
+    """Ledger names and remembered names of a client that are alike, with their similarity."""
+    a = t.ledger.select("client_id", T.norm_name(F.col("name")).alias("a"))
+    b = t.memory.where("match_type = 'VENDOR_NAME'").select("client_id", F.col("match_key").alias("b"))
+    return dice_join(a, b, "a", "b", ["client_id"], 0.72).select("a", "b", F.floor(F.lit(1000000) * F.col("score") + F.lit(0.5)).cast("long").alias("millionths"))
 
 
-@query(f"SELECT invoice_id, {VALID('g')} AS valid, substring(g, 1, 2) AS state, CASE WHEN length(g) = 15 THEN substring(g, 3, 10) END AS pan FROM (SELECT invoice_id, upper(trim(coalesce(vendor_gstin, ''))) AS g FROM {{invoice}})")
+@query(f"SELECT invoice_id, {VALID('g')} AS valid, substring(g, 1, 2) AS state, CASE WHEN length(g) = 15 THEN substring(g, 3, 10) END AS pan, s.name AS state_name FROM (SELECT invoice_id, upper(trim(coalesce(vendor_gstin, ''))) AS g FROM {{invoice}}) LEFT JOIN (VALUES {', '.join(repr(x) for x in T.STATES.items())}) s(code, name) ON s.code = substring(g, 1, 2)")
 def c9_gstin(t: Tables) -> DataFrame:
-    """Registrations."""
+    """Registrations and their states."""
     g = F.upper(F.trim(F.coalesce("vendor_gstin", F.lit(""))))
-    return t.invoice.select("invoice_id", T.gstin_valid(g).alias("valid"), T.state_code(g).alias("state"), T.pan_of(g).alias("pan"))
+    return t.invoice.select("invoice_id", T.gstin_valid(g).alias("valid"), T.state_code(g).alias("state"), T.pan_of(g).alias("pan"), T.state_name(T.state_code(g)).alias("state_name"))
 
 
 @query("""
@@ -440,7 +469,7 @@ def c31_dates(t: Tables) -> DataFrame:
 _CHECKS = """
 WITH b AS (SELECT *, upper(trim(coalesce(vendor_gstin, ''))) AS v, upper(trim(coalesce(customer_gstin, ''))) AS c, cgst + sgst + igst AS taxes, subtotal - discount + (cgst + sgst + igst) AS expected FROM {invoice}),
 h AS (SELECT *, CASE WHEN v <> '' AND c <> '' THEN substring(v, 1, 2) <> substring(c, 1, 2) END AS inter FROM b),
-items AS (SELECT invoice_id, count(*) AS n, count(*) FILTER (WHERE coalesce(trim(hsn_code), '') = '') AS bare, count(*) FILTER (WHERE coalesce(trim(hsn_code), '') <> '' AND NOT regexp_full_match(hsn_code, '[0-9]{{4,8}}')) AS odd_hsn,
+items AS (SELECT invoice_id, count(*) AS n, count(*) FILTER (WHERE coalesce(trim(hsn_code), '') = '') AS bare, count(*) FILTER (WHERE coalesce(trim(hsn_code), '') <> '' AND NOT regexp_full_match(regexp_replace(hsn_code, '\\s', '', 'g'), '[0-9]{{4,8}}')) AS odd_hsn,
   count(*) FILTER (WHERE qty > 0 AND rate > 0 AND price > 0 AND abs(qty * rate - price) > greatest(2, price * 0.02::DOUBLE)) AS off, count(*) FILTER (WHERE gst_rate NOT IN (0, 0.25, 3, 5, 12, 18, 28)) AS odd_rate FROM {invoice_item} GROUP BY invoice_id),
 j AS (SELECT h.*, coalesce(n, 0) AS n, coalesce(bare, 0) AS bare, coalesce(odd_hsn, 0) AS odd_hsn, coalesce(off, 0) AS off, coalesce(odd_rate, 0) AS odd_rate FROM h LEFT JOIN items USING (invoice_id)),
 codes AS (SELECT invoice_id, unnest(list_filter([
@@ -486,9 +515,9 @@ def v2_duplicates(t: Tables) -> DataFrame:
 
 @query(f"""
 SELECT client_id, vendor, invoice_id, n, CAST(floor(1000 * z + 0.5) AS BIGINT) AS z_thousandths, abs(z) >= 2.5 AS is_anomaly FROM (
-SELECT *, (p - s / n) / CASE WHEN var > 0 THEN sqrt(var) ELSE 1 END AS z FROM (SELECT *, greatest(0, ss / n - (s / n) * (s / n)) AS var FROM (
-SELECT client_id, vendor, invoice_id, p, count(*) OVER w AS n, CAST(sum(p) OVER w AS DOUBLE) AS s, sum(CAST(p AS DOUBLE) * p) OVER w AS ss FROM (SELECT *, {P('total_amount')} AS p FROM {{invoice}} WHERE vendor <> '') WINDOW w AS (PARTITION BY client_id, vendor ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n >= 3))
-""")
+SELECT *, CASE WHEN n * ss > s * s THEN CAST(n * p - s AS DOUBLE) / sqrt(CAST(n * ss - s * s AS DOUBLE)) ELSE CAST(n * p - s AS DOUBLE) / n / 100.0::DOUBLE END AS z FROM (
+SELECT client_id, vendor, invoice_id, p, CAST(count(*) OVER w AS HUGEINT) AS n, CAST(sum(p) OVER w AS HUGEINT) AS s, CAST(sum(CAST(p AS HUGEINT) * p) OVER w AS HUGEINT) AS ss FROM (SELECT *, {P('total_amount')} AS p FROM {{invoice}} WHERE vendor <> '') WINDOW w AS (PARTITION BY client_id, vendor ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n >= 3)
+""".replace("invoice_id, n, CAST", "invoice_id, CAST(n AS BIGINT) AS n, CAST", 1))
 def v8_anomalies(t: Tables) -> DataFrame:
     """Totals far from the vendor's history."""
     return reports.anomalies(t.invoice).select("client_id", "vendor", "invoice_id", "n", F.floor(F.lit(1000) * F.col("z") + F.lit(0.5)).cast("long").alias("z_thousandths"), "is_anomaly")
@@ -543,7 +572,7 @@ def v4b_party_suggestion(t: Tables) -> DataFrame:
 SELECT client_id, hsn_code, gst_rate, CASE WHEN r.ledger_id IS NOT NULL THEN 'RULE' WHEN coalesce(rate.ledger_id, d.ledger_id) IS NOT NULL THEN 'DEFAULT' END AS item_via, coalesce(r.ledger_id, rate.ledger_id, d.ledger_id) AS item_ledger,
   CASE WHEN r.ledger_id IS NOT NULL THEN 100 WHEN rate.ledger_id IS NOT NULL THEN 60 WHEN d.ledger_id IS NOT NULL THEN 50 END::BIGINT AS item_percent
 FROM (SELECT DISTINCT client_id, hsn_code, gst_rate FROM {invoice_item} JOIN (SELECT invoice_id, client_id FROM {invoice}) USING (invoice_id)) i
-LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id, pattern ORDER BY priority, rule_id) AS n FROM {mapping_rule} WHERE enabled AND rule_type = 'HSN_EQUALS') WHERE n = 1) r ON r.client_id = i.client_id AND r.pattern = i.hsn_code
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id, pattern ORDER BY priority, rule_id) AS n FROM (SELECT client_id, rule_id, priority, ledger_id, regexp_replace(pattern, '\\s+', '', 'g') AS pattern FROM {mapping_rule} WHERE enabled AND rule_type = 'HSN_EQUALS')) WHERE n = 1) r ON r.client_id = i.client_id AND r.pattern = regexp_replace(i.hsn_code, '\\s+', '', 'g')
 LEFT JOIN (SELECT client_id AS rc, gst_rate AS rr, max(ledger_id) AS ledger_id FROM {ledger} WHERE ledger_type = 'PURCHASE' AND gst_rate IS NOT NULL GROUP BY ALL) rate ON rc = i.client_id AND rr = i.gst_rate
 LEFT JOIN (SELECT client_id AS dc, ledger_id FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY (gst_rate IS NULL) DESC, ledger_id) AS n FROM {ledger} WHERE ledger_type = 'PURCHASE') WHERE n = 1) d ON dc = i.client_id
 """.replace("SELECT client_id, hsn_code", "SELECT i.client_id, hsn_code", 1))
@@ -567,17 +596,22 @@ def m4_learned_memory(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT rule_id, count(invoice_id) AS n FROM (SELECT rule_id, client_id, rule_type, CASE rule_type WHEN 'GSTIN_EQUALS' THEN {NORM_GSTIN('pattern')} WHEN 'VENDOR_NAME_EQUALS' THEN {NORM_NAME('pattern')} WHEN 'VENDOR_NAME_CONTAINS' THEN trim(regexp_replace(lower(pattern), '\\s+', ' ', 'g')) ELSE pattern END AS norm FROM {{mapping_rule}}) r
-LEFT JOIN (SELECT client_id AS c, invoice_id, {NORM_GSTIN('vendor_gstin')} AS g, {NORM_NAME('vendor')} AS name, (SELECT list(DISTINCT hsn_code) FROM {{invoice_item}} x WHERE x.invoice_id = i.invoice_id) AS codes FROM {{invoice}} i)
+SELECT rule_id, count(invoice_id) AS n FROM (SELECT rule_id, client_id, rule_type, CASE rule_type WHEN 'GSTIN_EQUALS' THEN {NORM_GSTIN('pattern')} WHEN 'VENDOR_NAME_EQUALS' THEN {NORM_NAME('pattern')} WHEN 'VENDOR_NAME_CONTAINS' THEN trim(regexp_replace(lower(pattern), '\\s+', ' ', 'g')) ELSE regexp_replace(pattern, '\\s+', '', 'g') END AS norm FROM {{mapping_rule}}) r
+LEFT JOIN (SELECT client_id AS c, invoice_id, {NORM_GSTIN('vendor_gstin')} AS g, {NORM_NAME('vendor')} AS name, (SELECT list(DISTINCT regexp_replace(hsn_code, '\\s+', '', 'g')) FROM {{invoice_item}} x WHERE x.invoice_id = i.invoice_id) AS codes FROM {{invoice}} i)
 ON c = client_id AND CASE rule_type WHEN 'GSTIN_EQUALS' THEN g = norm WHEN 'VENDOR_NAME_EQUALS' THEN name = norm WHEN 'VENDOR_NAME_CONTAINS' THEN contains(name, norm) ELSE list_contains(codes, norm) END GROUP BY rule_id
 """)
 def v14_rule_preview(t: Tables) -> DataFrame:
-    """How many invoices each rule would reach, all of them counted."""
-    codes = t.invoice_item.groupBy("invoice_id").agg(F.collect_set("hsn_code").alias("codes"))
-    inv = t.invoice.join(codes, "invoice_id", "left").select("client_id", "invoice_id", T.norm_gstin(F.col("vendor_gstin")).alias("g"), T.norm_name(F.col("vendor")).alias("name"), "codes")
+    """How many invoices each rule would reach, all of them counted: equal keys join directly, names are counted once a distinct name."""
     rules = t.mapping_rule.select("rule_id", "client_id", "rule_type", T.norm_pattern(F.col("rule_type"), F.col("pattern")).alias("norm"))
-    hit = F.expr("CASE rule_type WHEN 'GSTIN_EQUALS' THEN g = norm WHEN 'VENDOR_NAME_EQUALS' THEN name = norm WHEN 'VENDOR_NAME_CONTAINS' THEN contains(name, norm) ELSE array_contains(codes, norm) END")
-    met = inv.join(rules, "client_id").where(hit).groupBy("rule_id").agg(F.count("*").alias("n"))
+    rules = stored(rules.where("norm <> ''"), "rules")
+    of = lambda kind: rules.where(F.col("rule_type") == kind).drop("rule_type")
+    counted = lambda key: t.invoice.select("client_id", key.alias("norm")).where("norm IS NOT NULL").groupBy("client_id", "norm").agg(F.count("*").alias("n"))
+    names = stored(counted(T.norm_name(F.col("vendor"))), "names")
+    codes = t.invoice_item.select("invoice_id", F.regexp_replace("hsn_code", r"\s+", "").alias("norm")).where("norm <> ''").distinct().join(t.invoice.select("invoice_id", "client_id"), "invoice_id").groupBy("client_id", "norm").agg(F.count("*").alias("n"))
+    contains = of("VENDOR_NAME_CONTAINS").withColumnRenamed("norm", "part")
+    inside = contains_join(names, contains, "norm", "part", ["client_id"]).join(names, ["client_id", "norm"]).groupBy("client_id", "part").agg(F.sum("n").alias("n"))
+    equal = [of(kind).join(x, ["client_id", "norm"]).select("rule_id", "n") for kind, x in (("GSTIN_EQUALS", counted(T.norm_gstin(F.col("vendor_gstin")))), ("VENDOR_NAME_EQUALS", names), ("HSN_EQUALS", codes))]
+    met = reduce(DataFrame.unionByName, [*equal, contains.join(inside, ["client_id", "part"]).select("rule_id", "n")])
     return t.mapping_rule.select("rule_id").join(met, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -585,24 +619,28 @@ def v14_rule_preview(t: Tables) -> DataFrame:
 
 
 def _built(t: Tables) -> DataFrame:
-    items = t.invoice_item.groupBy("invoice_id").agg(F.sort_array(F.collect_list(F.struct("sort_order", "price", F.when(F.col("part_key") % 19 != 0, F.col("part_key") % 40).alias("ledger_id")))).alias("items"))
+    ledger_of = F.when(F.col("part_key") % 19 != 0, F.col("part_key") % 40).cast("long")
+    item = F.struct("sort_order", "price", ledger_of.alias("ledger_id"), F.when(F.col("part_key") % 19 != 0, F.lit(0.5)).alias("confidence"), F.lit("DEFAULT").alias("mapped_via"), "hsn_code", "gst_rate")
+    items = t.invoice_item.groupBy("invoice_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("sort_order")).cast(vouchers.ITEM).alias("items"))
     ledger = lambda k, name: F.lit(k).cast("long").alias(name)
-    rows = t.invoice.join(items, "invoice_id", "left").withColumn("party_ledger", F.when(F.col("invoice_id") % 12 != 0, 100 + F.col("invoice_id") % 50))
+    mapped = F.col("invoice_id") % 12 != 0
+    rows = t.invoice.join(items, "invoice_id", "left").withColumns({"party_ledger": F.when(mapped, 100 + F.col("invoice_id") % 50), "party_confidence": F.when(mapped, F.lit(0.85)), "party_via": F.when(mapped, F.lit("NAME_MEMORY"))})
     return vouchers.build_vouchers(rows.select("*", ledger(901, "cgst_ledger"), ledger(902, "sgst_ledger"), ledger(903, "igst_ledger"), ledger(904, "round_off_ledger"), ledger(905, "discount_ledger")))
 
 
 @query(f"""
 WITH h AS (SELECT *, CASE document_type WHEN 'SALES' THEN 'SALE' WHEN 'CREDIT_NOTE' THEN 'CREDIT_NOTE' WHEN 'DN' THEN 'DEBIT_NOTE' ELSE 'PURCHASE' END AS kind FROM {{invoice}}),
-e AS (SELECT invoice_id, count(*) AS n, sum(greatest(0, {P('price')})) AS p, count(*) FILTER (WHERE {P('price')} > 0) AS lines, bool_or(part_key % 19 = 0) AS open FROM {{invoice_item}} GROUP BY invoice_id),
+e AS (SELECT invoice_id, count(*) AS n, sum(greatest(0, {P('price')})) AS p, count(*) FILTER (WHERE {P('price')} > 0) AS lines, count(*) FILTER (WHERE {P('price')} > 0 AND part_key % 19 <> 0) AS sure, bool_or(part_key % 19 = 0) AS open FROM {{invoice_item}} GROUP BY invoice_id),
 x AS (SELECT h.*, kind IN ('PURCHASE', 'CREDIT_NOTE', 'PAYMENT') AS buys, n IS NULL AS bare, CASE WHEN n IS NULL THEN greatest(0, {P('subtotal - discount')}) ELSE p END AS items_p, CASE WHEN n IS NULL THEN ({P('subtotal - discount')} > 0)::INT ELSE lines END AS item_lines,
-  coalesce(open, TRUE) AS open, greatest(0, {P('discount')}) AS d, CASE WHEN {P('igst')} > 0 THEN {P('igst')} ELSE greatest(0, {P('cgst')}) + greatest(0, {P('sgst')}) END AS t, CASE WHEN {P('igst')} > 0 THEN 1 ELSE ({P('cgst')} > 0)::INT + ({P('sgst')} > 0)::INT END AS tax_lines, greatest(0, {P('total_amount')}) AS party FROM h LEFT JOIN e USING (invoice_id)),
-y AS (SELECT *, (items_p + t - d - party) * CASE WHEN buys THEN 1 ELSE -1 END AS off FROM x)
+  coalesce(open, TRUE) AS open, coalesce(sure, 0) AS sure_items, greatest(0, {P('discount')}) AS d, CASE WHEN {P('igst')} > 0 THEN {P('igst')} ELSE greatest(0, {P('cgst')}) + greatest(0, {P('sgst')}) END AS t, CASE WHEN {P('igst')} > 0 THEN 1 ELSE ({P('cgst')} > 0)::INT + ({P('sgst')} > 0)::INT END AS tax_lines, greatest(0, {P('total_amount')}) AS party FROM h LEFT JOIN e USING (invoice_id)),
+y AS (SELECT *, (party > 0 AND invoice_id % 12 <> 0)::INT AS sure_party, (items_p + t - d - party) * CASE WHEN buys THEN 1 ELSE -1 END AS off FROM x)
 SELECT invoice_id, kind AS voucher_type, CAST(off AS BIGINT) AS round_off_p, CAST(CASE WHEN buys THEN items_p + t ELSE d + party END + greatest(0, -off) AS BIGINT) AS total_debit_p, CAST(CASE WHEN buys THEN d + party ELSE items_p + t END + greatest(0, off) AS BIGINT) AS total_credit_p,
-  CAST(item_lines + tax_lines + (d > 0)::INT + (party > 0)::INT + (off <> 0)::INT AS BIGINT) AS n_lines, invoice_id % 12 = 0 OR open AS has_unmapped, CAST((abs(off) > 100)::INT + ({P('igst')} > 0 AND ({P('cgst')} > 0 OR {P('sgst')} > 0))::INT AS BIGINT) AS n_warnings FROM y
+  CAST(item_lines + tax_lines + (d > 0)::INT + (party > 0)::INT + (off <> 0)::INT AS BIGINT) AS n_lines, invoice_id % 12 = 0 OR open AS has_unmapped, CAST((abs(off) > 100)::INT + ({P('igst')} > 0 AND ({P('cgst')} > 0 OR {P('sgst')} > 0))::INT AS BIGINT) AS n_warnings,
+  CASE WHEN sure_items + sure_party > 0 THEN CAST(floor(1000 * (sure_items * 0.5::DOUBLE + sure_party * 0.85::DOUBLE) / (sure_items + sure_party) + 0.5) AS BIGINT) END AS sure FROM y
 """)
 def v5_voucher_builder(t: Tables) -> DataFrame:
-    """Balanced vouchers from all invoices."""
-    return _built(t).select("invoice_id", "voucher_type", "round_off_p", "total_debit_p", "total_credit_p", F.size("lines").cast("long").alias("n_lines"), "has_unmapped", F.size("warnings").cast("long").alias("n_warnings"))
+    """Balanced vouchers from all invoices."""
+    return _built(t).select("invoice_id", "voucher_type", "round_off_p", "total_debit_p", "total_credit_p", F.size("lines").cast("long").alias("n_lines"), "has_unmapped", F.size("warnings").cast("long").alias("n_warnings"), F.floor(F.lit(1000) * F.col("avg_confidence") + F.lit(0.5)).cast("long").alias("sure"))
 
 
 @query(f"""
@@ -632,13 +670,17 @@ def m3_auto_approve(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT voucher_id, sort_order, CASE WHEN hit THEN new ELSE ledger_id END AS ledger_id, CASE WHEN hit THEN CASE WHEN new IS NOT NULL THEN 'MANUAL' END ELSE mapped_via END AS mapped_via
-FROM (SELECT *, voucher_id % 10 = 3 AND sort_order = 1 AS hit, CASE WHEN voucher_id % 20 = 3 THEN NULL ELSE 777 END AS new FROM {voucher_line})
+WITH u AS (SELECT voucher_id, client_id, CASE WHEN voucher_id % 20 = 3 THEN NULL ELSE voucher_id % 150 END AS new FROM {voucher} WHERE voucher_id % 10 = 3),
+ok AS (SELECT u.voucher_id, new, name FROM u LEFT JOIN {ledger} l ON l.client_id = u.client_id AND l.ledger_id = u.new WHERE new IS NULL OR l.ledger_id IS NOT NULL)
+SELECT voucher_id, sort_order, CASE WHEN hit THEN new ELSE ledger_id END AS ledger_id, CASE WHEN hit THEN name ELSE ledger_name END AS ledger_name, CASE WHEN hit THEN CASE WHEN new IS NOT NULL THEN 'MANUAL' END ELSE mapped_via END AS mapped_via
+FROM (SELECT l.*, ok.voucher_id IS NOT NULL AS hit, ok.new, ok.name FROM {voucher_line} l LEFT JOIN ok ON ok.voucher_id = l.voucher_id AND l.sort_order = 1)
 """)
 def m6_manual_remap(t: Tables) -> DataFrame:
-    """Lines mapped by hand; updates of unknown vouchers fall away."""
-    updates = t.voucher.where("voucher_id % 10 = 3").select("voucher_id", F.lit(1).alias("sort_order"), F.when(F.col("voucher_id") % 20 != 3, F.lit(777).cast("long")).alias("new_ledger"))
-    return vouchers.remapped(t.voucher_line, updates).select("voucher_id", "sort_order", "ledger_id", "mapped_via")
+    """Lines mapped by hand; updates of unknown vouchers and with other clients' ledgers fall away."""
+    v = F.col("voucher_id")
+    some = t.voucher.where("voucher_id % 10 = 3").select("voucher_id", F.lit(1).alias("sort_order"), F.when(v % 20 != 3, v % 150).cast("long").alias("new_ledger"))
+    unknown = some.select((v + 1_000_000_000).alias("voucher_id"), "sort_order", "new_ledger")
+    return vouchers.remapped(t.voucher_line, some.unionByName(unknown), t.voucher, t.ledger).select("voucher_id", "sort_order", "ledger_id", "ledger_name", "mapped_via")
 
 
 @query("SELECT voucher_id, abs(d - c) < 1 AS balanced, d AS debit_p, c AS credit_p FROM (SELECT voucher_id, CAST(sum(debit_p) AS BIGINT) AS d, CAST(sum(credit_p) AS BIGINT) AS c FROM {voucher_line} GROUP BY voucher_id)")
@@ -659,8 +701,8 @@ def a20_export_ledgers(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT txn_id, CASE WHEN contra THEN 'CONTRA' WHEN withdrawal > 0 AND deposit <= 0 THEN 'PAYMENT' WHEN deposit > 0 AND withdrawal <= 0 THEN 'RECEIPT' WHEN deposit > withdrawal THEN 'RECEIPT' ELSE 'PAYMENT' END AS voucher_type,
-  CASE WHEN contra THEN 85 WHEN (withdrawal > 0) <> (deposit > 0) THEN 90 ELSE 55 END::BIGINT AS percent
+SELECT txn_id, CASE WHEN contra THEN 'CONTRA' WHEN withdrawal > 0 AND deposit = 0 THEN 'PAYMENT' WHEN deposit > 0 AND withdrawal = 0 THEN 'RECEIPT' WHEN deposit > withdrawal THEN 'RECEIPT' ELSE 'PAYMENT' END AS voucher_type,
+  CASE WHEN contra THEN 85 WHEN (withdrawal > 0 AND deposit = 0) OR (deposit > 0 AND withdrawal = 0) THEN 90 ELSE 55 END::BIGINT AS percent
 FROM (SELECT *, regexp_matches(lower(description), 'self|transfer|neft own|own a/c|own account|cash dep|cash deposit|atm wdl|atm withdrawal|to cash|from cash|imps self') AS contra FROM {bank_txn})
 """)
 def v9_bank_classification(t: Tables) -> DataFrame:
@@ -686,8 +728,9 @@ def v10_narration_memory(t: Tables) -> DataFrame:
 
 @query("""
 SELECT file_id, kind, CASE kind WHEN 'bank' THEN 'BANK' WHEN 'credit_note' THEN 'CREDIT_NOTE' WHEN 'debit_note' THEN 'DEBIT_NOTE' WHEN 'receipt' THEN 'RECEIPT' ELSE 'PURCHASE' END AS stored FROM (
-SELECT file_id, CASE WHEN regexp_matches(n, 'bank|statement|passbook') OR e LIKE '%"transactions": [%' THEN 'bank' WHEN n LIKE '%credit note%' OR e LIKE '%credit note%' THEN 'credit_note' WHEN n LIKE '%debit note%' OR e LIKE '%debit note%' THEN 'debit_note' WHEN n LIKE '%receipt%' OR e LIKE '%receipt%' THEN 'receipt' ELSE 'invoice' END AS kind
-FROM (SELECT file_id, translate(lower(file_name), '_-', '  ') AS n, lower(coalesce(extracted, '')) AS e FROM {upload}))
+SELECT file_id, CASE WHEN regexp_matches(n, 'bank|statement|passbook') OR e LIKE '%"transactions": [%' THEN 'bank' WHEN contains(e, 'credit note') OR contains(n, 'credit') OR contains(n, '_cn') THEN 'credit_note'
+  WHEN contains(e, 'debit note') OR contains(n, 'debit') OR contains(n, '_dn') THEN 'debit_note' WHEN contains(n, 'receipt') OR contains(e, 'cash receipt') THEN 'receipt' ELSE 'invoice' END AS kind
+FROM (SELECT file_id, lower(file_name) AS n, lower(coalesce(extracted, '')) AS e FROM {upload}))
 """)
 def v11_document_type(t: Tables) -> DataFrame:
     """What each upload is."""
@@ -751,16 +794,15 @@ FROM res LEFT JOIN (SELECT row_id, y FROM r) USING (row_id) GROUP BY client_id
 """)
 def a10_recon_summary(t: Tables) -> DataFrame:
     """A10: the flagship: reconciliation summary of each client."""
-    rows, books = _recon_sides(t)
-    return reconcile.summary(reconcile.reconcile(rows, books), rows)
+    return reconcile.summary(reconcile.reconcile(*_recon_sides(t)))
 
 
-@query(_GREEDY + "SELECT coalesce(res.status, '') AS status, res.row_id, res.invoice_id, q.supplier_name, i.vendor FROM res LEFT JOIN {gst2b_row} q ON q.row_id = res.row_id LEFT JOIN {invoice} i ON i.invoice_id = res.invoice_id")
+@query(_GREEDY + "SELECT res.client_id, coalesce(res.status, '') AS status, CASE res.status WHEN 'MATCHED' THEN 1 WHEN 'VALUE_MISMATCH' THEN 2 WHEN 'MISSING_IN_2B' THEN 3 ELSE 4 END AS status_order, res.row_id, res.invoice_id, q.supplier_name, i.vendor FROM res LEFT JOIN {gst2b_row} q ON q.row_id = res.row_id AND q.client_id = res.client_id LEFT JOIN {invoice} i ON i.invoice_id = res.invoice_id AND i.client_id = res.client_id")
 def j12_recon_detail(t: Tables) -> DataFrame:
-    """Results with what they refer to."""
-    rows, books = _recon_sides(t)
-    out = reconcile.reconcile(rows, books).select("status", "row_id", "invoice_id")
-    return out.join(t.gst2b_row.select("row_id", "supplier_name"), "row_id", "left").join(t.invoice.select("invoice_id", "vendor"), "invoice_id", "left").select("status", "row_id", "invoice_id", "supplier_name", "vendor")
+    """Results with what they refer to, in the order of their status."""
+    out = reconcile.reconcile(*_recon_sides(t)).select("client_id", "status", "row_id", "invoice_id")
+    out = out.join(t.gst2b_row.select("client_id", "row_id", "supplier_name"), ["client_id", "row_id"], "left").join(t.invoice.select("client_id", "invoice_id", "vendor"), ["client_id", "invoice_id"], "left")
+    return reconcile.by_status(out).select("client_id", "status", "status_order", "row_id", "invoice_id", "supplier_name", "vendor")
 
 
 # ---- exports ----
@@ -769,46 +811,64 @@ _XML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '
 
 
 @query(f"""
-SELECT client_id, invoice_id, coalesce(invoice_number, '') AS "Invoice Number", coalesce(vendor, '') AS "Vendor", coalesce(strftime(invoice_date, '%-d/%-m/%Y'), '') AS "Date", {MONEY(P('total_amount'))} AS "Total Amount", CASE WHEN gst_valid THEN 'Valid' WHEN NOT gst_valid THEN 'Invalid' ELSE '' END AS "GST Valid", coalesce(document_type, '') AS "Doc Type" FROM {{invoice}}
+SELECT client_id, invoice_id, coalesce(invoice_number, '') AS "Invoice #", coalesce(vendor, '') AS "Vendor", coalesce(vendor_gstin, '') AS "Vendor GSTIN", coalesce(strftime(invoice_date, '%-d/%-m/%Y'), '') AS "Date", {MONEY(P('subtotal'))} AS "Subtotal", {MONEY(P('cgst'))} AS "CGST",
+  {MONEY(P('sgst'))} AS "SGST", {MONEY(P('igst'))} AS "IGST", {MONEY(P('tax_amount'))} AS "Tax", {MONEY(P('total_amount'))} AS "Total Amount", CASE WHEN gst_valid THEN 'Valid' WHEN NOT gst_valid THEN 'Invalid' ELSE '' END AS "GST Valid", status AS "Status", coalesce(document_type, '') AS "Doc Type" FROM {{invoice}}
 """)
 def k1_invoice_csv(t: Tables) -> DataFrame:
-    """K1: the rows of the invoice list as the CSV export writes them."""
-    return export.invoice_list(t.invoice).select("client_id", "invoice_id", "Invoice Number", "Vendor", "Date", "Total Amount", "GST Valid", "Doc Type")
+    """K1: the rows of the invoice list as the CSV export writes them, all 13 columns."""
+    return export.invoice_list(t.invoice).select("client_id", "invoice_id", *export.CSV_COLUMNS)
 
 
-@query("SELECT client_id, count(*) + 1 AS n, CAST(count(*) AS BIGINT) AS total FROM {invoice} GROUP BY client_id")
+@query(f"SELECT client_id, 1 AS part, invoice_id, nullif(vendor, '') AS vendor, {P('total_amount')} AS total_p, CAST(NULL AS BIGINT) AS total FROM {{invoice}} UNION ALL SELECT client_id, 0, NULL, NULL, NULL, count(*) FROM {{invoice}} GROUP BY client_id")
 def k2_invoice_json(t: Tables) -> DataFrame:
-    """K2: the lines of the JSON export, counted, and the total that its envelope states."""
-    out = export.invoice_json(t.invoice, as_of())
-    total = F.get_json_object("line", "$.total").cast("long")
-    return out.groupBy("client_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("part") == 0, total)).alias("total"))
+    """K2: the lines of the JSON export read back: each invoice, and the total that each client's envelope states."""
+    at = lambda k: F.get_json_object("line", f"$.{k}")
+    return export.invoice_json(t.invoice, as_of()).select("client_id", "part", "invoice_id", F.nullif(at("vendor"), F.lit("")).alias("vendor"), V.to_paise(at("total_amount").cast("double")).alias("total_p"), F.when(F.col("part") == 0, at("total").cast("long")).alias("total"))
 
 
-@query(f"""
-SELECT client_id, place, name, '<LEDGER NAME="' || {_XML('name')} || '" ACTION="Create"><NAME.LIST><NAME>' || {_XML('name')} || '</NAME></NAME.LIST><PARENT>' || CASE ledger_group WHEN 'SUNDRY_CREDITORS' THEN 'Sundry Creditors' WHEN 'SUNDRY_DEBTORS' THEN 'Sundry Debtors' WHEN 'DUTIES_AND_TAXES' THEN 'Duties &amp; Taxes' ELSE 'Purchase Accounts' END || '</PARENT><ISBILLWISEON>No</ISBILLWISEON></LEDGER>' AS xml
-FROM (SELECT *, min(ledger_id) OVER (PARTITION BY client_id, name) AS place, row_number() OVER (PARTITION BY client_id, name ORDER BY ledger_id DESC) AS n FROM {{ledger}} WHERE name <> '') WHERE n = 1
-""")
+_LEDGER_XML = f"""SELECT client_id, place, name, '<TALLYMESSAGE xmlns:UDF="TallyUDF"><LEDGER NAME="' || {_XML('name')} || '" ACTION="Create"><NAME.LIST><NAME>' || {_XML('name')} || '</NAME></NAME.LIST><PARENT>' || CASE ledger_group WHEN 'SUNDRY_CREDITORS' THEN 'Sundry Creditors' WHEN 'SUNDRY_DEBTORS' THEN 'Sundry Debtors' WHEN 'DUTIES_AND_TAXES' THEN 'Duties &amp; Taxes' ELSE 'Purchase Accounts' END || '</PARENT>' ||
+  CASE WHEN gstin <> '' THEN '<PARTYGSTIN>' || gstin || '</PARTYGSTIN>' ELSE '' END || '<ISBILLWISEON>No</ISBILLWISEON></LEDGER></TALLYMESSAGE>' AS xml
+FROM (SELECT *, min(ledger_id) OVER (PARTITION BY client_id, name) AS place, row_number() OVER (PARTITION BY client_id, name ORDER BY ledger_id DESC) AS n FROM {{chosen}} WHERE name <> '') WHERE n = 1"""
+_VOUCHER_XML = f"""SELECT client_id, nth, voucher_id, '<TALLYMESSAGE xmlns:UDF="TallyUDF"><VOUCHER REMOTEID="V-' || CAST(nth - 1 AS VARCHAR) || '-' || strftime(voucher_date, '%Y%m%d') || '" VCHTYPE="' || k || '" ACTION="Create"><DATE>' || strftime(voucher_date, '%Y%m%d') || '</DATE><NARRATION>' || {_XML("coalesce(nullif(narration, ''), nullif(concat_ws(' / ', nullif(vendor, ''), 'Inv ' || nullif(invoice_number, '')), ''), 'Imported')")}
+  || '</NARRATION><VOUCHERTYPENAME>' || k || '</VOUCHERTYPENAME><VOUCHERNUMBER>' || {_XML("coalesce(nullif(invoice_number, ''), 'V-' || CAST(nth AS VARCHAR))")} || '</VOUCHERNUMBER>' || coalesce(entries, '') || '</VOUCHER></TALLYMESSAGE>' AS xml
+FROM (SELECT *, CASE voucher_type WHEN 'SALE' THEN 'Sales' WHEN 'CREDIT_NOTE' THEN 'Credit Note' WHEN 'DEBIT_NOTE' THEN 'Debit Note' ELSE 'Purchase' END AS k FROM (SELECT v.*, i.vendor, i.invoice_number, row_number() OVER (PARTITION BY v.client_id ORDER BY voucher_date, v.voucher_id) AS nth FROM {{voucher}} v LEFT JOIN {{invoice}} i USING (invoice_id) WHERE v.status IN ('APPROVED', 'EXPORTED_DEMO')))
+LEFT JOIN (SELECT voucher_id, string_agg('<ALLLEDGERENTRIES.LIST><LEDGERNAME>' || {_XML("coalesce(nullif(ledger_name, ''), 'Unknown')")} || '</LEDGERNAME><ISDEEMEDPOSITIVE>' || CASE WHEN debit_p > 0 THEN 'Yes' ELSE 'No' END || '</ISDEEMEDPOSITIVE><AMOUNT>' || CASE WHEN debit_p > 0 THEN '-' || ({MONEY('debit_p')}) ELSE {MONEY('credit_p')} END || '</AMOUNT></ALLLEDGERENTRIES.LIST>', '' ORDER BY sort_order) AS entries
+  FROM {{voucher_line}} WHERE debit_p > 0 OR credit_p > 0 GROUP BY voucher_id) USING (voucher_id)"""
+
+
+@query(_LEDGER_XML.replace("{chosen}", "{ledger}"))
 def k3_ledger_xml(t: Tables) -> DataFrame:
     """Ledger masters."""
     return export.ledger_xml(t.ledger)
 
 
-@query(f"""
-WITH e AS (SELECT voucher_id, string_agg('<ALLLEDGERENTRIES.LIST><LEDGERNAME>' || {_XML("coalesce(ledger_name, '')")} || '</LEDGERNAME><ISDEEMEDPOSITIVE>' || CASE WHEN debit_p > 0 THEN 'Yes' ELSE 'No' END || '</ISDEEMEDPOSITIVE><AMOUNT>' || CASE WHEN debit_p > 0 THEN '-' || ({MONEY('debit_p')}) ELSE {MONEY('credit_p')} END || '</AMOUNT></ALLLEDGERENTRIES.LIST>', '' ORDER BY sort_order) AS entries FROM {{voucher_line}} WHERE debit_p > 0 OR credit_p > 0 GROUP BY voucher_id),
-v AS (SELECT v.*, i.vendor, i.invoice_number, row_number() OVER (PARTITION BY v.client_id ORDER BY voucher_date, v.voucher_id) AS nth FROM {{voucher}} v LEFT JOIN {{invoice}} i USING (invoice_id) WHERE v.status IN ('APPROVED', 'EXPORTED_DEMO'))
-SELECT client_id, nth, voucher_id, '<VOUCHER VCHTYPE="' || k || '" ACTION="Create"><DATE>' || strftime(voucher_date, '%Y%m%d') || '</DATE><NARRATION>' || {_XML("coalesce(nullif(narration, ''), nullif(concat_ws(' / ', nullif(vendor, ''), 'Inv ' || nullif(invoice_number, '')), ''), 'Imported')")} || '</NARRATION><VOUCHERTYPENAME>' || k || '</VOUCHERTYPENAME><VOUCHERNUMBER>' || {_XML("coalesce(nullif(invoice_number, ''), 'V-' || CAST(nth AS VARCHAR))")} || '</VOUCHERNUMBER>' || coalesce(entries, '') || '</VOUCHER>' AS xml
-FROM (SELECT *, CASE voucher_type WHEN 'SALE' THEN 'Sales' WHEN 'CREDIT_NOTE' THEN 'Credit Note' WHEN 'DEBIT_NOTE' THEN 'Debit Note' ELSE 'Purchase' END AS k FROM v) LEFT JOIN e USING (voucher_id)
-""")
+@query(_VOUCHER_XML)
 def k3_voucher_xml(t: Tables) -> DataFrame:
     """Voucher entries."""
-    out = export.voucher_xml(t.voucher, t.voucher_line, t.invoice)
-    return out.withColumn("nth", F.col("nth").cast("long"))
+    return export.voucher_xml(t.voucher, t.voucher_line, t.invoice)
 
 
-@query("SELECT client_id, count(*) AS n_vouchers, string_agg(CAST(voucher_id AS VARCHAR), ',' ORDER BY voucher_id) AS ids FROM {voucher} WHERE status IN ('APPROVED', 'EXPORTED_DEMO') GROUP BY client_id")
+_USED = "SELECT l.* FROM {ledger} l SEMI JOIN (SELECT client_id, ledger_id FROM {voucher_line} JOIN (SELECT voucher_id, client_id FROM {voucher} WHERE status IN ('APPROVED', 'EXPORTED_DEMO')) USING (voucher_id)) u ON u.client_id = l.client_id AND u.ledger_id = l.ledger_id"
+
+
+@query(f"""
+WITH used AS ({_USED}), masters AS ({_LEDGER_XML.replace("{chosen}", "used")}), entries AS ({_VOUCHER_XML}), chosen AS (SELECT DISTINCT client_id FROM entries)
+SELECT client_id, 0 AS part, CAST(0 AS BIGINT) AS at, '<?xml version="1.0" encoding="UTF-8"?><ENVELOPE><HEADER><TALLYREQUEST>Import Data</TALLYREQUEST></HEADER><BODY><IMPORTDATA><REQUESTDESC><REPORTNAME>All Masters</REPORTNAME><STATICVARIABLES><SVCURRENTCOMPANY>' || {_XML("coalesce(nullif(name, ''), 'Import')")} || '</SVCURRENTCOMPANY></STATICVARIABLES></REQUESTDESC><REQUESTDATA>' AS xml FROM {{client}} JOIN chosen USING (client_id)
+UNION ALL SELECT client_id, 1, place, xml FROM masters JOIN chosen USING (client_id) UNION ALL SELECT client_id, 2, nth, xml FROM entries UNION ALL SELECT client_id, 3, 0, '</REQUESTDATA></IMPORTDATA></BODY></ENVELOPE>' FROM {{client}} JOIN chosen USING (client_id)
+""")
+def k3_import_document(t: Tables) -> DataFrame:
+    """Each client's whole import document as lines: the ledgers that its vouchers use, then the vouchers."""
+    chosen = t.voucher.where(F.col("status").isin("APPROVED", "EXPORTED_DEMO")).select("voucher_id", "client_id")
+    used = t.voucher_line.where("ledger_id IS NOT NULL").join(chosen, "voucher_id").select("client_id", "ledger_id").distinct()
+    masters = export.ledger_xml(t.ledger.join(used, ["client_id", "ledger_id"], "left_semi"))
+    return export.import_document(masters, export.voucher_xml(t.voucher, t.voucher_line, t.invoice), t.client)
+
+
+@query("SELECT voucher_id, v.client_id, n_vouchers, CASE WHEN status IN ('APPROVED', 'EXPORTED_DEMO') THEN 'EXPORTED_DEMO' ELSE status END AS new_status FROM {voucher} v LEFT JOIN (SELECT client_id, count(*) AS n_vouchers FROM {voucher} WHERE status IN ('APPROVED', 'EXPORTED_DEMO') GROUP BY client_id) a ON a.client_id = v.client_id AND v.status IN ('APPROVED', 'EXPORTED_DEMO')")
 def k4_export_audit(t: Tables) -> DataFrame:
-    """The audit rows of an export."""
-    return vouchers.exported(t.voucher)[1].select("client_id", "n_vouchers", F.array_join("voucher_ids", ",").alias("ids"))
+    """K4, M8: the audit rows of an export beside the vouchers as they are afterwards."""
+    after, audit = vouchers.exported(t.voucher)
+    return after.select("voucher_id", "client_id", F.col("status").alias("new_status")).join(audit, ["client_id", "voucher_id"], "left")
 
 
 @query(f"SELECT invoice_id, nullif({P('subtotal')}, 0) AS subtotal_p, nullif({P('discount')}, 0) AS discount_p, nullif({P('igst')}, 0) AS igst_p, {P('tax_amount')} AS tax_p FROM {{invoice}}")
@@ -819,3 +879,5 @@ def k8_stored_invoices(t: Tables) -> DataFrame:
 
 
 FLAGSHIP = QUERIES["a10_recon_summary"]
+
+from vahi.plans import screens as _screens  # noqa: E402, F401  registers more queries

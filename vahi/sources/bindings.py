@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
-_WORDS = "trim(substring('Acme   Bharat Coral  Delta  Ember  FortunaGanga  Harit  ', CAST(1 + 7 * ({k} % 8) AS INT), 7)) || ' ' || trim(substring('Nova  Prime Royal ', CAST(1 + 6 * ({k} % 3) AS INT), 6))"
+#: Two known words and one spelt from the key, so that names grow with the keys.
+_WORDS = (
+    "trim(substring('Acme   Bharat Coral  Delta  Ember  FortunaGanga  Harit  ', CAST(1 + 7 * ({k} % 8) AS INT), 7)) || ' ' || trim(substring('Nova  Prime Royal ', CAST(1 + 6 * ({k} % 3) AS INT), 6)) "
+    "|| ' ' || translate(CAST(CAST(floor({k} / 7) AS BIGINT) AS VARCHAR(12)), '0123456789', 'aeioukmrst')"
+)
 _NAME = (
     "CASE {k} % 7 WHEN 0 THEN 'The ' || {w} || ' Traders Pvt. Ltd.' WHEN 1 THEN {w} || ' & Co' WHEN 2 THEN {w} || ' Industries (India) Limited' "
     "WHEN 3 THEN upper({w}) || ' ENTERPRISES' WHEN 4 THEN {w} || ' Steel  Works' WHEN 5 THEN {w} || '-Agro LLP' ELSE {w} || ' s Stores' END"
@@ -40,14 +44,14 @@ SELECT l_orderkey AS invoice_id, CAST(row_number() OVER (PARTITION BY l_orderkey
   l_partkey AS part_key, p_name AS name, l_quantity AS qty,
   CASE WHEN l_partkey % 17 = 0 THEN CAST(floor(l_extendedprice * 50 / l_quantity + 0.5) AS DOUBLE) / 100 ELSE CAST(floor(l_extendedprice * 100 / l_quantity + 0.5) AS DOUBLE) / 100 END AS rate,
   CASE WHEN l_partkey % 41 = 0 THEN -l_extendedprice ELSE l_extendedprice END AS price,
-  CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 23 = 0 THEN 'HS' || CAST(l_partkey AS VARCHAR(9)) ELSE lpad(CAST(7200 + l_partkey % 40 AS VARCHAR(9)), 4, '0') END AS hsn_code,
+  CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 23 = 0 THEN 'HS' || CAST(l_partkey AS VARCHAR(9)) WHEN l_partkey % 13 = 0 THEN '72 ' || lpad(CAST(l_partkey % 40 AS VARCHAR(9)), 2, '0') ELSE lpad(CAST(7200 + l_partkey % 40 AS VARCHAR(9)), 4, '0') END AS hsn_code,
   CAST(floor(l_tax * 100 + 0.5) AS DOUBLE) AS gst_rate,
   CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS price_p, CAST(floor(l_extendedprice * l_tax * 100 + 0.5) AS BIGINT) AS tax_p
 FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
 """,
     "invoice": f"""
 SELECT o_orderkey AS invoice_id, c_nationkey AS client_id, c_nationkey % 5 AS user_id,
-  CASE WHEN o_orderkey % 43 = 0 THEN '' WHEN o_orderkey % 47 = 0 THEN NULL ELSE {_name("o_custkey % 97")} END AS vendor, {_gstin("o_custkey")} AS vendor_gstin,
+  CASE WHEN o_orderkey % 43 = 0 THEN '' WHEN o_orderkey % 47 = 0 THEN NULL ELSE {_name("o_custkey")} END AS vendor, {_gstin("o_custkey")} AS vendor_gstin,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE c_name END AS customer_name, {_gstin("c_nationkey * 3 + 1")} AS customer_gstin,
   CASE WHEN o_orderkey % 61 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'INV ' || CAST(o_orderkey % 200 AS VARCHAR(9)) WHEN o_orderkey % 5 = 1 THEN 'inv' || CAST((o_orderkey - 1) % 200 AS VARCHAR(9)) ELSE 'B-' || CAST(o_orderkey AS VARCHAR(9)) END AS invoice_number,
   CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_orderdate END AS invoice_date, o_orderdate AS created_at,
@@ -102,23 +106,25 @@ SELECT user_id AS statement_id, event_id AS txn_id, CAST(row_number() OVER (PART
 FROM {events}
 """,
     "bank_statement": "SELECT DISTINCT user_id AS statement_id, user_id % 25 AS client_id FROM {events} UNION ALL SELECT -1 AS statement_id, 3 AS client_id",
-    # ledgers of a client: party names that differ a little from the vendors' names
+    # ledgers of a client, one a customer: party names that differ a little from the vendors' names
     "ledger": f"""
-SELECT n_nationkey * 1000 + k AS ledger_id, n_nationkey AS client_id, CASE WHEN k % 5 = 0 THEN {_name("k")} || ' India' WHEN k % 5 = 1 THEN substring({_name("k")}, 1, 14) ELSE {_name("k")} END AS name,
-  CASE k % 4 WHEN 0 THEN 'SUNDRY_CREDITORS' WHEN 1 THEN 'SUNDRY_DEBTORS' WHEN 2 THEN 'PURCHASE_ACCOUNTS' ELSE 'DUTIES_AND_TAXES' END AS ledger_group,
-  CASE WHEN k % 4 < 2 THEN 'PARTY' WHEN k % 4 = 2 THEN 'PURCHASE' ELSE 'TAX_INPUT' END AS ledger_type, CASE WHEN k % 4 = 2 AND k % 3 > 0 THEN CAST(k % 9 AS DOUBLE) ELSE NULL END AS gst_rate
-FROM {{nation}} CROSS JOIN (SELECT p_partkey AS k FROM {{part}} WHERE p_partkey < 24) p
+SELECT c_custkey AS ledger_id, c_nationkey AS client_id, CASE WHEN c_custkey % 5 = 0 THEN {_name("c_custkey")} || ' India' WHEN c_custkey % 5 = 1 THEN substring({_name("c_custkey")}, 1, 14) ELSE {_name("c_custkey")} END AS name,
+  CASE c_custkey % 4 WHEN 0 THEN 'SUNDRY_CREDITORS' WHEN 1 THEN 'SUNDRY_DEBTORS' WHEN 2 THEN 'PURCHASE_ACCOUNTS' ELSE 'DUTIES_AND_TAXES' END AS ledger_group, CASE WHEN c_custkey % 4 < 2 AND c_custkey % 3 = 0 THEN {_gstin("c_custkey")} END AS gstin,
+  CASE WHEN c_custkey % 4 < 2 THEN 'PARTY' WHEN c_custkey % 4 = 2 THEN 'PURCHASE' ELSE 'TAX_INPUT' END AS ledger_type, CASE WHEN c_custkey % 4 = 2 AND c_custkey % 3 > 0 THEN CAST(c_custkey % 9 AS DOUBLE) ELSE NULL END AS gst_rate
+FROM {{customer}}
 """,
+    # one rule a supplier, for the customer of its key
     "mapping_rule": f"""
-SELECT n_nationkey * 100 + k AS rule_id, n_nationkey AS client_id, CASE k % 4 WHEN 0 THEN 'GSTIN_EQUALS' WHEN 1 THEN 'VENDOR_NAME_EQUALS' WHEN 2 THEN 'VENDOR_NAME_CONTAINS' ELSE 'HSN_EQUALS' END AS rule_type,
-  CASE k % 4 WHEN 0 THEN {_gstin("k * 25 + 5")} WHEN 1 THEN {_name("k")} WHEN 2 THEN CASE WHEN k % 8 = 2 THEN 'coral' ELSE 'Ember  Royal' END ELSE CAST(7200 + k AS VARCHAR(9)) END AS pattern,
-  n_nationkey * 1000 + k AS ledger_id, CAST(k % 5 AS INT) AS priority, k % 6 <> 5 AS enabled
-FROM {{nation}} CROSS JOIN (SELECT p_partkey AS k FROM {{part}} WHERE p_partkey < 16) p
+SELECT s_suppkey AS rule_id, c_nationkey AS client_id, CASE s_suppkey % 4 WHEN 0 THEN 'GSTIN_EQUALS' WHEN 1 THEN 'VENDOR_NAME_EQUALS' WHEN 2 THEN 'VENDOR_NAME_CONTAINS' ELSE 'HSN_EQUALS' END AS rule_type,
+  CASE s_suppkey % 4 WHEN 0 THEN {_gstin("s_suppkey")} WHEN 1 THEN {_name("s_suppkey")} WHEN 2 THEN CASE WHEN s_suppkey % 8 = 2 THEN 'coral' ELSE 'Ember  Royal' END ELSE '72 ' || lpad(CAST(s_suppkey % 40 AS VARCHAR(9)), 2, '0') END AS pattern,
+  c_custkey AS ledger_id, CAST(s_suppkey % 5 AS INT) AS priority, s_suppkey % 6 <> 5 AS enabled
+FROM {{supplier}} JOIN {{customer}} ON c_custkey = s_suppkey
 """,
+    # one remembered key a part, for the customer of its key; two thirds of them are not what the customer's invoices say
     "memory": f"""
-SELECT n_nationkey AS client_id, CASE WHEN k % 2 = 0 THEN 'GSTIN' ELSE 'VENDOR_NAME' END AS match_type, CASE WHEN k % 2 = 0 THEN {_gstin("n_nationkey + k * 10")} ELSE lower({_WORDS.replace("{k}", "(k)")}) END AS match_key,
-  n_nationkey * 1000 + k % 24 AS ledger_id, CAST(1 + k % 4 AS INT) AS hit_count
-FROM {{nation}} CROSS JOIN (SELECT p_partkey AS k FROM {{part}} WHERE p_partkey < 40) p
+SELECT c_nationkey AS client_id, CASE WHEN p_partkey % 2 = 0 THEN 'GSTIN' ELSE 'VENDOR_NAME' END AS match_type,
+  CASE WHEN p_partkey % 2 = 0 THEN {_gstin("p_partkey + p_partkey % 3")} ELSE lower({_WORDS.replace("{k}", "(p_partkey)")}) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' x' END END AS match_key, c_custkey AS ledger_id, CAST(1 + p_partkey % 4 AS INT) AS hit_count
+FROM {{part}} JOIN {{customer}} ON c_custkey = p_partkey
 """,
     # what the tax portal says: the books with rows dropped, values shifted, numbers noised and rows doubled
     "gst2b_row": """
@@ -128,8 +134,20 @@ SELECT client_id, invoice_id * 10 + copy AS row_id, vendor_gstin AS supplier_gst
 FROM {invoice} JOIN (SELECT CAST(n_nationkey AS INT) AS copy FROM {nation} WHERE n_nationkey < 2) c ON copy = 0 OR invoice_id % 14 = 0
 WHERE (document_type = 'PURCHASE' OR document_type IS NULL) AND invoice_id % 9 <> 0
 """,
+    # reconciliation runs of a client, as their headers keep them
+    "gst2b_upload": """
+SELECT client_id, client_id * 100 + invoice_id % 50 AS upload_id, max(created_at) AS created_at, CAST(count(*) AS BIGINT) AS row_count, CAST(count(CASE WHEN invoice_id % 3 = 0 THEN 1 END) AS BIGINT) AS matched,
+  CAST(count(CASE WHEN invoice_id % 3 = 1 THEN 1 END) AS BIGINT) AS mismatched, CAST(sum(CASE WHEN invoice_id % 3 = 1 THEN CAST(floor(tax_amount * 100 + 0.5) AS BIGINT) ELSE 0 END) AS BIGINT) AS itc_at_risk_p
+FROM {invoice} GROUP BY client_id, client_id * 100 + invoice_id % 50
+""",
+    "task": "SELECT event_id AS task_id, user_id % 25 AS client_id, event_type AS title, CASE event_id % 3 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'IN_PROGRESS' ELSE 'DONE' END AS status, CAST(event_id % 4 AS INT) AS priority, ts AS created_at FROM {events}",
+    "thread": """
+SELECT c.conv_id, n_name AS client_name, CASE WHEN c.n % 4 = 0 THEN NULL ELSE 'INV-' || CAST(c.n AS VARCHAR(9)) END AS invoice_number, CAST(c.n % 3 AS INT) AS unread, c.n % 2 = 0 AS pinned
+FROM (SELECT conv_id, CAST(count(*) AS BIGINT) AS n, max(length(text)) AS longest FROM {conversations} GROUP BY conv_id) c JOIN {nation} ON n_nationkey = c.longest % 25
+""",
+    "chat_member": "SELECT conv_id, role AS member, max(turn) % 2 = 0 AS online FROM {conversations} GROUP BY conv_id, role",
     "approval": """
-SELECT client_id, invoice_id AS event_seq, vendor_gstin, vendor, 1000 * client_id + invoice_id % 24 AS ledger_id FROM {invoice} WHERE invoice_id % 5 = 0
+SELECT client_id, invoice_id AS event_seq, vendor_gstin, vendor, invoice_id % 24 AS ledger_id FROM {invoice} WHERE invoice_id % 5 = 0
 """,
     "upload": """
 SELECT doc_id AS file_id, source || CASE WHEN doc_id % 6 = 0 THEN '_bank-statement' WHEN doc_id % 6 = 1 THEN '_Credit_Note' WHEN doc_id % 6 = 2 THEN ' debit note' WHEN doc_id % 6 = 3 THEN '_receipt' ELSE '_scan' END || '.pdf' AS file_name,

@@ -8,45 +8,63 @@ from pyspark.sql import functions as F
 from vahi.functions import text as T
 from vahi.functions import values as V
 
-_INV = "struct<inum:string,idt:string,txval:string,camt:string,samt:string,iamt:string,csamt:string,inv_typ:string>"
+_INV = "struct<inum:string,idt:string,txval:string,camt:string,samt:string,iamt:string,csamt:string,igst:string,cgst:string,sgst:string,cess:string,inv_typ:string>"
 _B2B = f"array<struct<ctin:string,trdnm:string,inv:array<{_INV}>>>"
 PORTAL = f"struct<data:struct<docdata:struct<b2b:{_B2B}>>,docdata:struct<b2b:{_B2B}>,b2b:{_B2B}>"
 # The names under which a flat statement may have each field.
 FLAT = {
     "supplier_gstin": ("ctin", "gstin", "supplierGstin"), "supplier_name": ("trdnm", "supplierName", "vendor"), "invoice_number": ("inum", "invoiceNumber", "invoice_number"),
-    "invoice_date": ("idt", "invoiceDate", "date"), "taxable_value": ("txval", "taxableValue", "subtotal"), "igst": ("iamt", "igst"), "cgst": ("camt", "cgst"), "sgst": ("samt", "sgst"), "cess": ("csamt", "cess"),
+    "invoice_date": ("idt", "invoiceDate", "date"), "taxable_value": ("txval", "taxableValue", "subtotal"), "igst": ("igst", "iamt"), "cgst": ("cgst", "camt"), "sgst": ("sgst", "samt"), "cess": ("cess", "csamt"),
+    "invoice_type": ("inv_typ", "invoiceType"),
 }
 
+# The headers under which a statement in CSV may have each field, in lower case.
+CSV = {
+    "supplier_gstin": ("gstin", "supplier gstin", "ctin"), "supplier_name": ("trade/legal name", "supplier", "supplier name"), "invoice_number": ("invoice number", "invoicenumber", "invoice no", "inum"),
+    "invoice_date": ("invoice date", "invoicedate", "idt"), "taxable_value": ("taxable value", "taxable", "txval"), "igst": ("igst", "igst amount"), "cgst": ("cgst", "cgst amount"), "sgst": ("sgst", "sgst amount"), "cess": ("cess",),
+    "invoice_type": ("invoice type", "inv_typ"),
+}
+_AMOUNTS = ("taxable_value", "igst", "cgst", "sgst", "cess")
+
 
 def _typed(rows: DataFrame) -> DataFrame:
-    taxes = {c: V.clean_money(F.col(c)) for c in ("taxable_value", "igst", "cgst", "sgst", "cess")}
-    out = rows.withColumns({"supplier_gstin": T.norm_gstin(F.col("supplier_gstin")), "supplier_name": T.blank_to_null(F.col("supplier_name")), "invoice_number": T.blank_to_null(F.col("invoice_number")), "invoice_date": V.parse_date(F.col("invoice_date")), **taxes})
+    taxes = {c: V.clean_money(F.col(c)) for c in _AMOUNTS}
+    out = rows.withColumns({"supplier_gstin": T.norm_gstin(F.col("supplier_gstin")), "supplier_name": T.blank_to_null(F.col("supplier_name")), "invoice_number": T.blank_to_null(F.col("invoice_number")), "invoice_date": V.parse_date(F.col("invoice_date")), "invoice_type": F.coalesce(F.nullif("invoice_type", F.lit("")), F.lit("B2B")), **taxes})
     return out.withColumn("total_tax", F.col("igst") + F.col("cgst") + F.col("sgst") + F.col("cess"))
 
 
+def _either(one: str, other: str) -> Column:
+    """The first amount that is neither missing, empty nor zero."""
+    return F.when(V.clean_money(F.col(one)) != 0, F.col(one)).otherwise(F.col(other))
+
+
 def portal_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """One row an invoice of the first statement that a payload holds, at data.docdata.b2b, docdata.b2b or b2b; comments are allowed."""
     doc = F.from_json(column, PORTAL, {"allowComments": "true"})
     rest = [c for c in payloads.columns if c != column]
     parties = payloads.withColumn("_d", doc).select(*rest, F.posexplode(F.coalesce("_d.data.docdata.b2b", "_d.docdata.b2b", "_d.b2b")).alias("party_no", "p"))
     rows = parties.select(*rest, "party_no", "p.ctin", "p.trdnm", F.posexplode("p.inv").alias("seq", "i"))
-    return _typed(rows.select(*rest, "party_no", "seq", F.col("ctin").alias("supplier_gstin"), F.col("trdnm").alias("supplier_name"), F.col("i.inum").alias("invoice_number"), F.col("i.idt").alias("invoice_date"), F.col("i.txval").alias("taxable_value"), F.col("i.iamt").alias("igst"), F.col("i.camt").alias("cgst"), F.col("i.samt").alias("sgst"), F.col("i.csamt").alias("cess"), F.col("i.inv_typ").alias("invoice_type")))
+    return _typed(rows.select(*rest, "party_no", "seq", F.col("ctin").alias("supplier_gstin"), F.col("trdnm").alias("supplier_name"), F.col("i.inum").alias("invoice_number"), F.col("i.idt").alias("invoice_date"), F.col("i.txval").alias("taxable_value"), *[_either(f"i.{a}", f"i.{b}").alias(a) for a, b in (("igst", "iamt"), ("cgst", "camt"), ("sgst", "samt"), ("cess", "csamt"))], F.col("i.inv_typ").alias("invoice_type")))
 
 
 def flat_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """One row an object of a JSON array; the first name that has a value gives a field."""
+    """One row an object of a JSON array; the first name that has a value gives a field: an amount may be empty, a text may not."""
     rest = [c for c in payloads.columns if c != column]
     rows = payloads.select(*rest, F.posexplode(F.from_json(column, "array<map<string,string>>")).alias("seq", "m"))
-    value: dict[str, Column] = {name: F.coalesce(*[F.try_element_at("m", F.lit(k)) for k in keys]) for name, keys in FLAT.items()}
-    return _typed(rows.select(*rest, "seq", *[v.alias(k) for k, v in value.items()], F.lit(None).cast("string").alias("invoice_type")))
+    at = lambda k: F.try_element_at("m", F.lit(k))
+    value: dict[str, Column] = {name: F.coalesce(*[at(k) if name in _AMOUNTS else F.nullif(at(k), F.lit("")) for k in keys]) for name, keys in FLAT.items()}
+    return _typed(rows.select(*rest, "seq", *[v.alias(k) for k, v in value.items()]))
 
 
 def read_portal_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A statement as CSV with a header, quoted cells and blank lines; header names match in any case."""
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).csv(path)
+    """A statement as CSV with a header in any case, quoted cells, commas and doubled quotes inside them; blank lines go, no lines give no rows.
+
+    The first header that has text gives a field.
+    """
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     have = {c.strip().lower(): c for c in raw.columns}
-    pick = lambda keys: F.coalesce(*[F.col(f"`{have[k.lower()]}`") for k in keys if k.lower() in have], F.lit(None).cast("string"))
-    return _typed(raw.select(*[pick(keys).alias(name) for name, keys in FLAT.items()], F.lit(None).cast("string").alias("invoice_type")))
+    pick = lambda keys: F.coalesce(*[F.nullif(F.col(f"`{have[k]}`"), F.lit("")) for k in keys if k in have], F.lit(None).cast("string"))
+    return _typed(raw.select(*[pick(keys).alias(name) for name, keys in CSV.items()]))
 
 
 def bank_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -59,38 +77,68 @@ def bank_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def invoice_rows(payloads: DataFrame, as_of: Column, column: str = "payload") -> DataFrame:
-    """Extracted invoices as typed rows with items; an item's price falls back to quantity x rate, nulls in the list go."""
-    item = "struct<name:string,description:string,qty:string,quantity:string,rate:string,price:string,amount:string,hsn_code:string,hsn:string,gst_rate:string,tax_rate:string>"
-    doc = F.from_json(column, f"struct<invoice_number:string,date:string,vendor:string,vendor_gstin:string,customer_name:string,customer_gstin:string,subtotal:string,cgst:string,sgst:string,igst:string,discount:string,total:string,total_amount:string,items:array<{item}>>")
+    """Extracted invoices as typed rows with items.
+
+    An item's name is the first that is not blank; the first amount that is there is its price, and without one it is quantity x rate, each 0 if missing.
+    Nulls in the list go; a list that is none is empty.
+    """
+    names = ("selected_item_name", "item_name", "name", "description", "qty", "quantity", "rate", "price", "amount", "total", "hsn_code", "hsn", "hsnCode", "gst_rate", "gstRate", "tax_rate")
+    item = f"struct<{','.join(f'`{x}`:string' for x in names)}>"
+    doc = F.from_json(column, f"struct<invoice_number:string,date:string,vendor:string,vendor_gstin:string,customer_name:string,customer_gstin:string,subtotal:string,cgst:string,sgst:string,igst:string,discount:string,total_amount:string,items:array<{item}>>", {"caseSensitive": "true"})
     d = lambda x: F.col(f"_d.{x}")
 
     def one(x: Column) -> Column:
-        qty, rate, price = V.clean_money(F.coalesce(x.qty, x.quantity, F.lit("1"))), V.clean_money(x.rate), V.clean_money(F.coalesce(x.price, x.amount))
-        rate_of = F.coalesce(x.gst_rate, x.tax_rate)
+        first = lambda *keys: F.coalesce(*[x[k] for k in keys])
+        qty, rate, price = V.clean_money(first("qty", "quantity")), V.clean_money(x["rate"]), V.clean_money(first("price", "amount", "total"))
+        rate_of = first("gst_rate", "gstRate", "tax_rate")
         return F.struct(
-            F.coalesce(T.blank_to_null(x["name"]), T.blank_to_null(x.description), F.lit("Item")).alias("name"), qty.alias("qty"), rate.alias("rate"), F.when(price != 0, price).otherwise(qty * rate).alias("price"),
-            F.coalesce(T.blank_to_null(x.hsn_code), T.blank_to_null(x.hsn)).alias("hsn_code"), F.when(rate_of.isNotNull(), V.clean_money(rate_of)).alias("gst_rate"),
+            F.coalesce(*[T.blank_to_null(x[k]) for k in names[:4]], F.lit("Item")).alias("name"), qty.alias("qty"), rate.alias("rate"), F.when(price != 0, price).otherwise(qty * rate).alias("price"),
+            T.blank_to_null(first("hsn_code", "hsn", "hsnCode")).alias("hsn_code"), F.when(rate_of.isNotNull(), V.clean_money(rate_of)).alias("gst_rate"),
         )
 
     items = F.coalesce(F.transform(F.filter(d("items"), lambda x: x.isNotNull()), one), F.array())
     rest = [c for c in payloads.columns if c != column]
     return payloads.withColumn("_d", doc).select(
         *rest, T.blank_to_null(d("invoice_number")).alias("invoice_number"), V.clean_date(d("date"), as_of).alias("invoice_date"), T.blank_to_null(d("vendor")).alias("vendor"), T.norm_gstin(d("vendor_gstin")).alias("vendor_gstin"),
-        T.blank_to_null(d("customer_name")).alias("customer_name"), T.norm_gstin(d("customer_gstin")).alias("customer_gstin"), *[V.clean_money(d(c)).alias(c) for c in ("subtotal", "cgst", "sgst", "igst", "discount")],
-        V.clean_money(F.coalesce(d("total"), d("total_amount"))).alias("total_amount"), items.alias("items"),
+        T.blank_to_null(d("customer_name")).alias("customer_name"), T.norm_gstin(d("customer_gstin")).alias("customer_gstin"), *[V.clean_money(d(c)).alias(c) for c in ("subtotal", "cgst", "sgst", "igst", "discount", "total_amount")], items.alias("items"),
     )
 
 
 # The chart of accounts that a new client starts with: name, group, type, rate, system ledger.
 SEED_LEDGERS = [
-    ("Sundry Creditors", "SUNDRY_CREDITORS", "PARTY", None, False), ("Sundry Debtors", "SUNDRY_DEBTORS", "PARTY", None, False),
-    ("CGST Input", "DUTIES_AND_TAXES", "TAX_INPUT", None, True), ("SGST Input", "DUTIES_AND_TAXES", "TAX_INPUT", None, True), ("IGST Input", "DUTIES_AND_TAXES", "TAX_INPUT", None, True),
-    ("CGST Output", "DUTIES_AND_TAXES", "TAX_OUTPUT", None, True), ("SGST Output", "DUTIES_AND_TAXES", "TAX_OUTPUT", None, True), ("IGST Output", "DUTIES_AND_TAXES", "TAX_OUTPUT", None, True),
-    *[(name, f"{kind}_ACCOUNTS", kind if kind == "PURCHASE" else "SALE", rate, False) for kind, title in (("PURCHASE", "Purchase"), ("SALES", "Sales")) for name, rate in ((f"{title} Accounts", None), *((f"{title} - GST {r}%", float(r)) for r in (5, 12, 18, 28)))],
-    *[(name, "INDIRECT_EXPENSES", "EXPENSE", None, False) for name in ("Rent", "Telephone & Internet", "Professional Fees", "Office Expenses", "Bank Charges", "Repairs & Maintenance", "Travelling & Conveyance", "Printing & Stationery")],
-    ("Freight & Carriage Inward", "DIRECT_EXPENSES", "EXPENSE", None, False), ("Discount Received", "INDIRECT_INCOME", "INCOME", None, False), ("Discount Allowed", "INDIRECT_EXPENSES", "EXPENSE", None, False),
-    ("Round Off", "CURRENT_LIABILITIES", "ROUND_OFF", None, True), ("Bank Account", "BANK_ACCOUNTS", "BANK", None, False), ("Cash", "CASH_IN_HAND", "CASH", None, False),
-]
+    ("Sundry Creditors", "SUNDRY_CREDITORS", "PARTY", None, False),
+    ("Sundry Debtors", "SUNDRY_DEBTORS", "PARTY", None, False),
+    ("CGST Input", "DUTIES_AND_TAXES", "TAX_INPUT", None, True),
+    ("SGST Input", "DUTIES_AND_TAXES", "TAX_INPUT", None, True),
+    ("IGST Input", "DUTIES_AND_TAXES", "TAX_INPUT", None, True),
+    ("CGST Output", "DUTIES_AND_TAXES", "TAX_OUTPUT", None, True),
+    ("SGST Output", "DUTIES_AND_TAXES", "TAX_OUTPUT", None, True),
+    ("IGST Output", "DUTIES_AND_TAXES", "TAX_OUTPUT", None, True),
+    ("Purchase Accounts", "PURCHASE_ACCOUNTS", "PURCHASE", None, False),
+    ("Purchase - GST 5%", "PURCHASE_ACCOUNTS", "PURCHASE", 5.0, False),
+    ("Purchase - GST 12%", "PURCHASE_ACCOUNTS", "PURCHASE", 12.0, False),
+    ("Purchase - GST 18%", "PURCHASE_ACCOUNTS", "PURCHASE", 18.0, False),
+    ("Purchase - GST 28%", "PURCHASE_ACCOUNTS", "PURCHASE", 28.0, False),
+    ("Sales Accounts", "SALES_ACCOUNTS", "SALE", None, False),
+    ("Sales - GST 5%", "SALES_ACCOUNTS", "SALE", 5.0, False),
+    ("Sales - GST 12%", "SALES_ACCOUNTS", "SALE", 12.0, False),
+    ("Sales - GST 18%", "SALES_ACCOUNTS", "SALE", 18.0, False),
+    ("Sales - GST 28%", "SALES_ACCOUNTS", "SALE", 28.0, False),
+    ("Rent", "INDIRECT_EXPENSES", "EXPENSE", None, False),
+    ("Telephone & Internet", "INDIRECT_EXPENSES", "EXPENSE", None, False),
+    ("Professional Fees", "INDIRECT_EXPENSES", "EXPENSE", None, False),
+    ("Office Expenses", "INDIRECT_EXPENSES", "EXPENSE", None, False),
+    ("Bank Charges", "INDIRECT_EXPENSES", "EXPENSE", None, False),
+    ("Repairs & Maintenance", "INDIRECT_EXPENSES", "EXPENSE", None, False),
+    ("Travelling & Conveyance", "INDIRECT_EXPENSES", "EXPENSE", None, False),
+    ("Printing & Stationery", "INDIRECT_EXPENSES", "EXPENSE", None, False),
+    ("Freight & Carriage Inward", "DIRECT_EXPENSES", "EXPENSE", None, False),
+    ("Discount Received", "INDIRECT_INCOME", "INCOME", None, False),
+    ("Discount Allowed", "INDIRECT_EXPENSES", "EXPENSE", None, False),
+    ("Round Off", "CURRENT_LIABILITIES", "ROUND_OFF", None, True),
+    ("Bank Account", "BANK_ACCOUNTS", "BANK", None, False),
+    ("Cash", "CASH_IN_HAND", "CASH", None, False),
+]
 
 
 def seed_ledgers(clients: DataFrame, ledgers: DataFrame) -> DataFrame:

@@ -15,14 +15,16 @@ def classified_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return bank.classify(spark.readStream.schema(schema).parquet(path))
 
 
-def learn_stream(txns: DataFrame, memory_path: str, checkpoint: str) -> StreamingQuery:
+def learn_stream(txns: DataFrame, memory_path: str, checkpoint: str, as_names: bool = False) -> StreamingQuery:
     """M5: append each micro-batch's (client_id, match_key, ledger_id) counts to a log of deltas; a repeated batch overwrites its own folder, so a restart changes nothing.
 
-    memory() folds the log.
+    memory() folds the log. as_names: learn under the narration as a name, not under the key by which it is looked up.
     """
 
+    key = F.coalesce(T.norm_name(F.col("description")), F.lit("")) if as_names else T.narration_key(F.col("description"))
+
     def add(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.where("ledger_id IS NOT NULL").select("client_id", T.narration_key(F.col("description")).alias("match_key"), "ledger_id", "txn_id").where("match_key <> ''")
+        keyed = batch.where("ledger_id IS NOT NULL").select("client_id", key.alias("match_key"), "ledger_id", "txn_id").where("match_key <> ''")
         deltas = keyed.groupBy("client_id", "match_key", "ledger_id").agg(F.count("*").alias("hits"), F.max("txn_id").alias("at"))
         deltas.write.mode("overwrite").parquet(f"{memory_path}/batch={batch_id}")
 
