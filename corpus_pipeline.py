@@ -3,41 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vahi.llm import toxicity
-from vahi.llm.common import by_ids, documents, stored, table
-from vahi.llm.decontamination import contamination
-from vahi.llm.exact_dedup import exact_dedup
+from vahi.llm.common import BROADCAST_IDS, clean_text, documents, stored, table, text_key
+from vahi.llm.decontamination import without_contaminated
+from vahi.llm.exact_dedup import exact_dedup, normalised
 from vahi.llm.minhash import near_duplicates
 from vahi.llm.queries import packed
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that a classifier trained on `labels` calls toxic."""
+    """Without the rows that a classifier trained on `labels` calls toxic; each row is judged by its own text."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without these doc_ids; rows with a null id stay."""
-    return by_ids(docs, stored(ids.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti")
+def _without(docs: DataFrame, key, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose id and key (a column made of the text) are among dropped (doc_id, key): rows go, not ids. Null ids are compared as values."""
+    dropped = stored(dropped.toDF("_id", "_key").distinct(), "dropped")
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id. Should rows repeat a doc_id, one of them stays."""
+    """Of equal texts one row, that with the smallest doc_id; if rows repeat an id with a text that stays, one of them stays. Rows without an id stay only where no row has one."""
     found = stored(exact_dedup(docs), "copies")
-    named = found.where("kept").select("doc_id")
-    rest = _without(docs, found.where("NOT kept"))
-    return rest if named.count() == named.distinct().count() else rest.dropDuplicates(["doc_id", "text"])
+    sha = F.sha2(normalised(clean_text()), 256)
+    rest = _without(docs, sha, found.where("NOT kept").select("doc_id", "text_sha256"))
+    kept = found.where("kept").select("doc_id", "text_sha256")
+    if kept.count() == kept.distinct().count():
+        return rest
+    return rest.withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the smallest doc_id."""
-    return _without(docs, near_duplicates(docs).where("NOT kept"))
+    """Of each component of near-duplicates (five words, 0.85) the rows of the smallest doc_id. Rows without an id link to nothing and stay."""
+    return _without(docs, text_key(), near_duplicates(docs).where("NOT kept").select("doc_id", "text_key"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a window of a benchmark item."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Without the rows that hold a window of a benchmark item."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,9 +135,9 @@ def test_packing_asks_for_all_terms():
     terms = [count(*range(40))] + [count(39, 100 + k) for k in range(30)] + [count(*range(39))]
     index = packing.Index(terms, packing.rarity(frequency, len(terms)), 3.0)
     index.unused[0] = False
-    assert index.neighbours(0) == [31, *range(1, 31)]
+    assert list(index.neighbours(0)) == [31, *range(1, 31)]
     index.unused[:20] = False
-    assert index.neighbours(0) == [31, *range(20, 31)]
+    assert list(index.neighbours(0)) == [31, *range(20, 31)]
     # short documents fill a window from one seed's list: 1 to 30 before the unrelated 31
     terms = [count(39, 100 + k) for k in range(31)] + [count(7)]
     index = packing.Index([terms[0], terms[31], *terms[1:31]], packing.rarity(frequency, len(terms)), 2.0)

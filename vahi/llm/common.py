@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vahi.storage import new_path, stored, tasks  # noqa: F401  what the operators share
+
 #: Fixed values of the contracts: white space is these ASCII characters and no others.
 WHITE = " \t\n\x0b\f\r"
 WHITE_RE = r"[\x20\x09-\x0D]+"
@@ -28,32 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="vahi-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and reread: the lineage ends here and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -63,8 +38,21 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
-def tasks(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Keys that are broadcast at most because they are hot: each of them holds more than this share of all rows.
+HOT_KEYS = 4096
+
+
+def join_by(rows: DataFrame, few: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with few, which has one row a key and in `weight` how many rows the key has, where one key may hold most of the rows.
+
+    Keys of more than total / HOT_KEYS rows are fewer than HOT_KEYS, so they are broadcast and their rows stay where they are; the other keys are shuffled.
+    how: inner or left.
+    """
+    least = total // HOT_KEYS + 1
+    few = few.where(F.col(key).isNotNull())
+    hot = few.where(F.col(weight) > least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(few.where(F.col(weight) <= least), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def clean_text(name: str = "text"):
@@ -135,7 +123,9 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, white: np.ndarray = _IS_WHI
 
 
 class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as far as they have been asked for."""
+    """Powers of an odd number and of its inverse modulo 2**64, kept as far as they have been asked for, up to KEPT of them."""
+
+    KEPT = 1 << 21
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -143,11 +133,15 @@ class _Powers:
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
+            size = max(n, min(2 * len(self.up), self.KEPT))
+            both = []
+            for base in (self.base, self.inverse):
                 values = np.full(size, base, np.uint64)
                 values[0] = 1
-                setattr(self, name, np.cumprod(values))
+                both.append(np.cumprod(values))
+            if size > self.KEPT:  # one very long text: its powers are not kept
+                return both[0], both[1]
+            self.up, self.down = both
         return self.up, self.down
 
 
@@ -183,6 +177,37 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _spans_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, _OF_BYTES)
 
 
+#: Bytes of a text whose words are hashed at once; longer words than LONG_WORD have a digest, for sums of powers modulo 2**64 can be made to collide in long ones.
+PIECE_BYTES, LONG_WORD = 4 << 20, 512
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, and the text number of each; a very long text is worked through in pieces that end at white space."""
+    if len(data) <= PIECE_BYTES:
+        starts, ends, text = word_spans(data, bounds)
+        words = span_hashes(data, starts, ends)
+        for k in np.flatnonzero(ends - starts > LONG_WORD):
+            words[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        return words, text
+    words, texts = [], []
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        while a < b:
+            to = min(a + PIECE_BYTES, b)
+            if to < b:
+                white = np.flatnonzero(_IS_WHITE[data[a:to]])
+                to = a + int(white[-1]) + 1 if len(white) else b  # a word longer than a piece stays whole
+            piece = data[a:to]
+            if len(piece) > PIECE_BYTES:
+                starts, ends, _ = word_spans(piece, np.array([0, len(piece)]))
+                hashed = np.array([int.from_bytes(hashlib.blake2b(piece[x:y].tobytes(), digest_size=8).digest(), "little") if y - x > LONG_WORD else span_hashes(piece[x:y], np.zeros(1, np.int64), np.full(1, y - x))[0] for x, y in zip(starts, ends, strict=True)], np.uint64)
+            else:
+                hashed, _ = word_hashes(piece, np.array([0, len(piece)]))
+            words.append(hashed)
+            texts.append(np.full(len(hashed), k, np.int64))
+            a = to
+    return np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate([np.zeros(0, np.int64), *texts])
+
+
 def run_hashes(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of each run of `length` word hashes that begins at starts."""
     return _spans_hash(words, starts, starts + length, _OF_WORDS)

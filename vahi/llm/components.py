@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vahi.llm.common import stored
+from vahi.llm.common import join_by, stored
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is hung on the smallest node of its neighbourhood."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # stored, so that the join's hot nodes can be split
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+    return join_by(both, least, "a", "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours are hung on the smallest of them."""
-    least = stored(links.groupBy("a").agg(F.min("b").alias("m")), "least")
-    hung = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return hung.unionByName(least.withColumnRenamed("m", "b")).distinct()
+    least = stored(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+    hung = join_by(links, least, "a", "n", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
 
     before = state(links)
     while before[0]:
-        links = stored(_small_star(_large_star(links)), "links")
+        large = stored(_large_star(links, before[0]), "links")  # at most as many as before
+        links = stored(_small_star(large, before[0]), "links")
         after = state(links)
         if after == before:
             break

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vahi.llm import fuse_filter
-from vahi.llm.common import WHITE_RE, clean_text, new_path, stored
+from vahi.llm.common import WHITE_RE, clean_text, join_by, stored
 
 #: Distinct texts that one filter, and one task that builds or probes it, handles.
 BUCKET_KEYS = 50_000
@@ -54,20 +54,16 @@ def _probe(rows: pa.Table, filters: pa.Table) -> pa.Table:
 class Snapshot:
     """An immutable set of distinct normalised texts: exact buckets (digest, keep_id, n, body) and a fuse filter for each bucket.
 
-    Both are tables in the shared folder. A bucket has about BUCKET_KEYS distinct digests, so its filter is built in one task of bounded size;
-    copies never share a bucket row, for they are summed to one row a digest first.
+    Both are tables in the shared folder. A bucket has about BUCKET_KEYS distinct digests of the snapshot or of the largest batch to come (`batch`), so its filter is
+    built and probed in tasks of bounded size; copies never share a bucket row, for they are summed to one row a digest first.
     """
 
-    def __init__(self, docs: DataFrame):
-        spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, batch: int = 0):
         self.groups = stored(grouped(digests(docs)), "snapshot-groups")
-        self.buckets = self.groups.count() // BUCKET_KEYS + 1
+        self.buckets = max(self.groups.count(), batch) // BUCKET_KEYS + 1
         kept = self.groups.select("digest", F.col("keep_id").alias("doc_id"), "keep_id", "n")
         bodies = docs.select("doc_id", normalised(clean_text()).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
-        exact = bodies.join(kept, ["doc_id", "digest"]).dropDuplicates(["digest"]).select("digest", "keep_id", "n", "body")
-        path = new_path(spark, "snapshot")
-        exact.write.parquet(path)
-        self.exact = spark.read.schema(exact.schema).parquet(path)
+        self.exact = stored(bodies.join(kept, ["doc_id", "digest"]).dropDuplicates(["digest"]).select("digest", "keep_id", "n", "body"), "snapshot")
         self.filters = stored(
             self.groups.select(_bucket(self.buckets), "digest").groupBy("bucket").applyInArrow(_build, "bucket int, seed int, packed binary"), "snapshot-filters"
         )
@@ -78,18 +74,20 @@ class Snapshot:
         return incoming.cogroup(self.filters.groupBy("bucket")).applyInArrow(_probe, groups.select("digest", "keep_id", "n").schema)
 
     def held(self, docs: DataFrame, positives: DataFrame) -> DataFrame:
-        """Of the screened digests those whose text equals the snapshot's byte for byte: (digest, keep_id of the snapshot, n of the batch)."""
+        """Of the screened digests those whose text equals the snapshot's byte for byte: (digest, keep_id and n of the snapshot, more: n of the batch)."""
         asked = positives.select("digest", F.col("keep_id").alias("doc_id"), F.col("n").alias("more"))
-        texts = docs.select("doc_id", normalised(clean_text()).alias("said")).join(asked, "doc_id")
-        texts = texts.where(F.unhex(F.sha2("said", 256)) == F.col("digest")).dropDuplicates(["digest"])
-        return texts.join(self.exact.select("digest", "keep_id", "body"), "digest").where(F.col("said") == F.col("body")).select("digest", "keep_id", F.col("more").alias("n"))
+        texts = docs.select("doc_id", normalised(clean_text()).alias("said")).withColumn("digest", F.unhex(F.sha2("said", 256)))
+        x, y = texts.alias("x"), asked.alias("y")
+        mine = x.join(y, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.digest") == F.col("y.digest"))).select("x.digest", "x.said", "y.more").dropDuplicates(["digest"])
+        return mine.join(self.exact, "digest").where(F.col("said") == F.col("body")).select("digest", "keep_id", "n", "more")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """Find equal texts (white space runs count as one space); of equals the row with the smallest doc_id stays.
 
-    The lower half of the id range makes the snapshot, the upper half comes as a batch: its digests are grouped (duplicates within the batch meet here),
-    screened by the snapshot's filters, and only the few that pass are joined with the exact buckets, where the bytes are compared.
+    The lower half of the rows by id makes the snapshot, the upper half and rows without an id come as a batch: its digests are grouped (duplicates within the batch
+    meet here), screened by the snapshot's filters, and only the few that pass are joined with the exact buckets, where the bytes are compared. Only what
+    passes both joins a group of the snapshot; all other digests of the batch make groups of their own.
     Text is shuffled only to fill the snapshot and for that comparison.
 
     Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256. Null text counts as empty. Repeated rows of one doc_id all count
@@ -97,23 +95,19 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     An empty table gives no rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_digests = stored(digests(docs), "digests")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        groups = grouped(all_digests)
-    else:
-        cut = low + (high - low) // 2
-        old = F.col("doc_id") <= cut
-        snapshot = Snapshot(docs.where(old))
-        batch = stored(grouped(all_digests.where(~old)), "batch-groups")
-        held = stored(snapshot.held(docs.where(~old), snapshot.screen(batch)), "batch-held")
-        # held rows add their count to the snapshot's group; the rest of the batch makes groups of its own
-        groups = snapshot.groups.unionByName(held).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        nameless = grouped(all_digests.where("doc_id is null"))
-        groups = groups.unionByName(batch.join(held, "digest", "left_anti")).unionByName(nameless)
-        groups = groups.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    groups = stored(groups, "groups")
-    return all_digests.join(groups, "digest", "left").select(
+    cut = docs.agg(F.percentile_approx("doc_id", 0.5, 1000)).first()[0]  # about the middle row, however uneven the ids are; any cut gives the same result
+    old = F.coalesce(F.col("doc_id") <= F.lit(cut), F.lit(False))
+    all_digests = stored(digests(docs).withColumn("old", old), "digests")
+    batch = stored(grouped(all_digests.where("NOT old")), "batch-groups")
+    snapshot = Snapshot(docs.where(old), batch.count())
+    held = stored(snapshot.held(docs.where(~old), snapshot.screen(batch)), "batch-held")
+    met = held.select("digest", F.col("keep_id").alias("held_id"), F.col("n").alias("held_n"), "more")
+    ours = snapshot.groups.join(met.select("digest", "more"), "digest", "left").select(F.lit(True).alias("old"), "digest", "keep_id", F.col("n").alias("rows"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    theirs = batch.join(met, "digest", "left").select(F.lit(False).alias("old"), "digest", F.when(F.col("more").isNotNull(), F.col("held_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.col("n").alias("rows"), (F.col("n") + F.coalesce("held_n", F.lit(0))).alias("n"))
+    side = F.concat(F.col("digest"), F.when(F.col("old"), F.lit(b"\x01")).otherwise(F.lit(b"\x00"))).alias("side")
+    groups = stored(ours.unionByName(theirs).select(side, "keep_id", "rows", "n"), "groups")
+    out = join_by(all_digests.select("doc_id", "digest", side), groups, "side", "rows", all_digests.count())
+    return out.select(
         "doc_id", "keep_id", F.col("n").cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )

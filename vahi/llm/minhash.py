@@ -3,30 +3,41 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vahi.llm.common import LOWER, by_ids, chunks, distinct, raw, run_hashes, span_hashes, stored, word_spans
+from vahi.llm.common import LOWER, by_ids, chunks, distinct, join_by, raw, run_hashes, stored, text_key, word_hashes
 from vahi.llm.components import components
 
 SHINGLE, K = 5, 64
 #: Links have Jaccard similarity of at least PERCENT / 100.
 PERCENT = 85
-#: Standard deviations by which a sketch may fall short of what a link's sketches share on average: less than one link in a million that sits right at the threshold.
-SLACK = 5.0
+#: The share of links right at the threshold that a sketch may lose: the exact binomial tail beyond the cut-off is below it. Links above the threshold are lost far less.
+MISSED = 1e-6
+#: Standard deviations by which the place of a shared value may miss what sizes lead to expect.
+SLACK = 6.0
 #: Longer inverted lists are worked through by stars, on full sets.
 LONG_LIST = 40
 
 
+def least_shared(union: int, percent: int, missed: float = MISSED) -> int:
+    """The largest c such that a link's union sketch of this size shares fewer than c values with a probability of at most `missed`."""
+    j, below = percent / 100, 0.0
+    for c in range(union + 1):
+        below += comb(union, c) * j**c * (1 - j) ** (union - c)
+        if below > missed:
+            return c
+    return union
+
+
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer words than a shingle are one shingle, no words none."""
-    data = LOWER[data]
-    starts, ends, text = word_spans(data, bounds)
-    words = span_hashes(data, starts, ends)
+    words, text = word_hashes(LOWER[data], bounds)
     first = np.searchsorted(text, np.arange(len(bounds)))
     grams = run_hashes(words, np.arange(max(0, len(words) - shingle + 1)), shingle)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -46,58 +57,43 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64))
 
 
-def _views(column: pa.Array) -> list[np.ndarray]:
-    flat, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-    return [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+def _digest(values: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
 
 
 def sketches(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, digest, sketch): the set's size, a digest equal for equal sets (null for the empty set), and its k smallest hashes."""
+    """(doc_id, text_key, n, digest, sketch): the set's size, a digest equal for equal sets (null for the empty set), and its k smallest hashes without their last bit, which are never negative."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, shingle):
-            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-            yield pa.record_batch([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), _longs([x[:k] for x in sets])], names=["doc_id", "n", "digest", "sketch"])
-
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, digest binary, sketch array<long>")
-
-
-def is_link(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sorted distinct sets are as similar as asked."""
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
-    both = np.concatenate((a, b))
-    both.sort()
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * shared >= percent * (len(both) - shared)
-
-
-def may_link(a: np.ndarray, b: np.ndarray, k: int, percent: int = PERCENT) -> bool:
-    """Whether the union's sketch allows a link: the k smallest hashes of both hold a share of common ones near the similarity."""
-    both = np.concatenate((a[:k], b[:k]))
-    both.sort()
-    twice = np.concatenate((both[1:] == both[:-1], [False]))
-    first = np.concatenate(([True], both[1:] != both[:-1]))
-    union = min(k, int(first.sum()))
-    if not union:
-        return False
-    last = np.flatnonzero(first)[union - 1]
-    j = percent / 100
-    whole = len(a) < k and len(b) < k
-    return int(twice[: last + 1].sum()) / union >= j - (1e-9 if whole else SLACK * (j * (1 - j) / union) ** 0.5)
+            columns = [part.column("doc_id"), part.column("text_key"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary()), _longs([x[:k] >> np.uint64(1) for x in sets])]
+            yield pa.record_batch(columns, names=["doc_id", "text_key", "n", "digest", "sketch"])
 
+    return docs.select("doc_id", "text_key", "text").mapInArrow(sketch, "doc_id long, text_key long, n long, digest binary, sketch array<long>")
 
-def _checked(pairs: DataFrame, sets: DataFrame, column: str, keep) -> DataFrame:
-    """The pairs (a, b) whose arrays in sets pass keep."""
+
+def _checked(pairs: DataFrame, sets: DataFrame, column: str, keep: Callable[[Column, Column], Column]) -> DataFrame:
+    """The pairs (a, b) whose arrays in sets pass keep; all in Spark's own expressions, a pair at a time."""
     a = sets.select(F.col("node").alias("a"), F.col(column).alias("of_a"))
     b = sets.select(F.col("node").alias("b"), F.col(column).alias("of_b"))
+    return pairs.join(a, "a").join(b, "b").where(keep(F.col("of_a"), F.col("of_b"))).select("a", "b")
+
+
+def is_link(a: Column, b: Column, percent: int = PERCENT) -> Column:
+    """Whether two arrays of distinct values are as similar as asked; sizes too far apart are not intersected."""
+    x, y = F.size(a), F.size(b)
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(F.least(x, y) * 100 >= F.greatest(x, y) * percent, shared * 100 >= (x + y - shared) * percent).otherwise(F.lit(False))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [keep(x, y) for x, y in zip(_views(batch.column("of_a")), _views(batch.column("of_b")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+def may_link(a: Column, b: Column, k: int, percent: int = PERCENT) -> Column:
+    """Whether the union's sketch allows a link: of the k smallest values of both, enough are in both. Sketches that are whole sets decide exactly."""
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+    shared = F.size(F.array_intersect(union, F.array_intersect(a, b)))
+    n = F.size(union)
+    cut = F.array(*[F.lit(least_shared(u, percent)) for u in range(1, k + 1)])
+    whole = (F.size(a) < k) & (F.size(b) < k)
+    return F.when(whole, is_link(a, b, percent)).otherwise(shared >= F.element_at(cut, n))
 
 
 def _ranked(values: DataFrame, size: str) -> DataFrame:
@@ -105,17 +101,17 @@ def _ranked(values: DataFrame, size: str) -> DataFrame:
 
     Values that one node alone holds come first and need no row: their number is the set's or sketch's size less the shared ones.
     """
-    counts = stored(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value-counts")  # stored, so that the join's hot values can be split
-    shared = values.join(counts, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("list"))
+    counts = stored(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value-counts")
+    total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    shared = join_by(values, counts, "value", "df", total).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("list"))
     return shared.select("node", "n", F.posexplode("list").alias("at", "x"), (F.expr(size) - F.size("list")).alias("alone")).select(
         "node", "n", F.col("x.value").alias("value"), F.col("x.df").alias("df"), (F.col("alone") + F.col("at")).alias("rank")
     )
 
 
-def _pairs(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
-    x, y = left.alias("x"), right.alias("y")
-    met = x.join(y, (F.col("x.value") == F.col("y.value")) & F.expr(condition))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def _as_pairs(met: DataFrame) -> DataFrame:
+    """The distinct (a, b), a < b, of rows that met with x_node and node."""
+    return met.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
 
 
 def _links_of_long_lists(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -127,26 +123,25 @@ def _links_of_long_lists(sets: DataFrame, known: DataFrame, percent: int) -> Dat
     """
     j = percent / 100
     values = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("value"))
-    rows = _ranked(values, "n").where(f"rank <= n - ceil({j} * n - 1e-9)").select("value", "node", "n", "rank")
+    rows = _ranked(values, "n").where(f"rank <= n - ceil({j} * n - 1e-9)").select("value", "node", "n", "rank", "df")
     rows = stored(rows, "long-lists")
-    bound = f"least(x.n - x.rank, y.n - y.rank) >= {j / (1 + j)} * (x.n + y.n) - 1e-9 AND least(x.n, y.n) >= {j} * greatest(x.n, y.n) - 1e-9"
-    exact = lambda pairs: stored(_checked(stored(pairs, "pairs"), sets, "set", lambda x, y: is_link(x, y, percent)), "links")
-
-    def with_component(links: DataFrame) -> DataFrame:
-        label = components(links)
-        return rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    total = rows.count()
+    bound = f"least(x_n - x_rank, n - rank) >= {j / (1 + j)} * (x_n + n) - 1e-9 AND least(x_n, n) >= {j} * greatest(x_n, n) - 1e-9"
+    exact = lambda met: stored(_checked(stored(_as_pairs(met.where(bound)), "pairs"), sets, "set", lambda x, y: is_link(x, y, percent)), "links")
 
     def pivots(some: DataFrame) -> DataFrame:
-        best = some.groupBy("value").agg(F.min(F.struct("rank", "node", "n", "component")).alias("p"))
-        return best.select("value", "p.*")
+        """One node of each value's list, and how many rows the list has at most."""
+        best = some.groupBy("value").agg(F.min(F.struct("rank", "node", "n", "component")).alias("p"), F.max("df").alias("df"))
+        return best.select("value", F.col("p.rank").alias("x_rank"), F.col("p.node").alias("x_node"), F.col("p.n").alias("x_n"), F.col("p.component").alias("x_component"), F.col("df").alias("x_df"))
 
     links, left = known, rows.withColumn("component", F.col("node"))
     for _ in range(2):
-        links = links.unionByName(exact(_pairs(pivots(left), left, f"x.node <> y.node AND {bound}")))
-        labelled = stored(with_component(links), "long-lists")
-        main = pivots(labelled).select("value", F.col("component").alias("main"))
-        left = stored(labelled.join(main, "value").where("component <> main").drop("main"), "left")
-    return links.unionByName(exact(_pairs(left, labelled, f"x.component <> y.component AND {bound}")))
+        links = links.unionByName(exact(join_by(left, pivots(left), "value", "x_df", total).where("x_node <> node")))
+        label = components(links)
+        labelled = stored(rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "long-lists")
+        left = stored(join_by(labelled, pivots(labelled), "value", "x_df", total).where("component <> x_component").select(*labelled.columns), "left")
+    x = left.select("value", F.col("rank").alias("x_rank"), F.col("node").alias("x_node"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
+    return links.unionByName(exact(x.join(labelled, "value").where("x_component <> component")))
 
 
 def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, percent: int = PERCENT, long_list: int = LONG_LIST) -> DataFrame:
@@ -155,56 +150,57 @@ def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, percent
     Equal sets collapse to one node first, so copies are never paired. Each node keeps the k smallest values of one hash function. In the order from rare to
     common, linked nodes share a value among the first few of their sketches and enough of what follows, so only those meet in inverted lists. Short lists give
     their pairs; nodes that stand in long lists are handled by stars on full sets, which pairs nothing within a component. The sketch of the union filters pairs,
-    and the full sets confirm every link. Ids are broadcast only up to a fixed number.
+    and the full sets of 64-bit shingle hashes confirm every link. A link right at the threshold is lost by its sketch less than once in 1 / MISSED times.
+    Ids are broadcast only up to a fixed number.
 
-    Returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
-    Null and empty texts have no shingles and no links. Rows with a null doc_id link to nothing, have a null component_id and are kept. Rows that repeat a doc_id are
-    one document: each is kept if the component's smallest id is theirs. An empty table gives no rows. Other columns are not read.
+    Returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), text_key (tells rows of one doc_id apart).
+    Null and empty texts have no shingles and no links. Rows with a null doc_id link to nothing, have a null component_id and are kept. Rows that repeat a doc_id stand
+    each for its own text. An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", text_key())
     every = stored(sketches(docs, k, shingle), "sketches")
-    nodes = every.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = stored(nodes, "nodes")
+    grouped = every.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered once: the table is what all others read
 
     j = percent / 100
-    least = max(1, int(j * k - SLACK * (j * (1 - j) * k) ** 0.5))  # values that two linked sketches of k share at least
-    needed = f"CASE WHEN n <= {int(j * k)} THEN ceil({j} * n - 1e-9) ELSE {least} END"
+    least = max(1, least_shared(k, percent))  # values that two linked sketches of k share at least
+    needed = f"CASE WHEN n <= {int(j * k)} THEN ceil({j} * n - 1e-9) ELSE {min(least, int(j * k))} END"
     values = nodes.select("node", "n", F.explode("sketch").alias("value"))
     rows = _ranked(values, f"least(n, {k})").where(f"rank <= least(n, {k}) - ({needed})")
     rows = stored(rows.select("value", "node", "n", "rank", "df"), "prefixes")
-    size = f"least(least(x.n, {k}) - x.rank, least(y.n, {k}) - y.rank)"
-    share = f"({j / (1 + j)} * (x.n + y.n) / greatest(x.n, y.n))"
+    size = f"least(least(x_n, {k}) - x_rank, least(n, {k}) - rank)"
+    share = f"({j / (1 + j)} * (x_n + n) / greatest(x_n, n))"
     bound = (
-        f"least(x.n, y.n) >= {j} * greatest(x.n, y.n) - 1e-9 AND {size} >= CASE WHEN greatest(x.n, y.n) <= {k} THEN {j / (1 + j)} * (x.n + y.n) - 1e-9 "
-        f"ELSE {k} * {share} - {SLACK} * sqrt({k} * {share} * (1 - {share})) - 1 END"
+        f"least(x_n, n) >= {j} * greatest(x_n, n) - 1e-9 AND {size} >= CASE WHEN greatest(x_n, n) <= {k} THEN {j / (1 + j)} * (x_n + n) - 1e-9 "
+        f"ELSE {k} * {share} - {SLACK} * sqrt({k} * {share} * (1 - least(1, {share}))) - 1 END"
     )
-    short = rows.where(F.col("df") <= long_list)
-    pairs = stored(_pairs(short, short, f"x.node < y.node AND {bound}"), "pairs")
-    in_long = rows.where(F.col("df") > long_list).select("node").distinct()
-    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    some = by_ids(nodes.select("node", "sketch"), stored(met, "met"), "node")
+    short = rows.where(F.col("df") <= long_list)  # so no list gives more than long_list ** 2 pairs
+    x = short.select("value", F.col("node").alias("x_node"), F.col("n").alias("x_n"), F.col("rank").alias("x_rank"))
+    pairs = stored(_as_pairs(x.join(short, "value").where("x_node < node").where(bound)), "pairs")
+    ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node")))
+    some = by_ids(nodes.select("node", "sketch"), stored(ends(pairs).distinct(), "met"), "node")
     pairs = stored(_checked(pairs, some, "sketch", lambda x, y: may_link(x, y, k, percent)), "pairs")
 
-    hot = stored(in_long, "hot")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot).distinct()
-    asked = stored(asked, "asked")
-    first = nodes.select("node", "digest").join(asked, "node")
+    hot = stored(rows.where(F.col("df") > long_list).select("node").distinct(), "hot")
+    asked = stored(ends(pairs).unionByName(hot).distinct().join(nodes.select("node", "digest", "first_id"), "node"), "asked")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, shingle):
-            yield pa.record_batch([part.column("node"), _longs(sets)], names=["node", "set"])
+            yield pa.record_batch([pa.array([_digest(x) for x in sets], pa.binary()), _longs(sets)], names=["digest", "set"])
 
-    texts = by_ids(docs.select(F.col("doc_id").alias("node"), "text"), first.select("node").distinct(), "node")
-    sets = stored(texts.mapInArrow(full, "node long, set array<long>").dropDuplicates(["node", "set"]), "sets")
+    texts = by_ids(docs.select(F.col("doc_id").alias("first_id"), "text"), asked.select("first_id").distinct(), "first_id")
+    sets = texts.mapInArrow(full, "digest binary, set array<long>").join(asked.select("digest", "node"), "digest").select("node", "set")
+    sets = stored(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")  # rows may repeat an id
     links = stored(_checked(pairs, sets, "set", lambda x, y: is_link(x, y, percent)), "links")
     if hot.head(1):
         links = stored(_links_of_long_lists(by_ids(sets, hot, "node"), links, percent), "links")
-    label = components(links)
-    found = nodes.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("found"))
+    label = components(links).join(nodes.select("node", "first_id"), "node")
+    label = stored(label, "labels")
+    smallest = stored(label.groupBy("component").agg(F.min("first_id").alias("found"), F.count("*").alias("in_it")), "smallest")
+    named = join_by(label.select("node", "component"), smallest, "component", "in_it", label.count()).select("node", "found")
+    found = nodes.select("digest", "node", "first_id", "copies").join(named, "node", "left").select("digest", "copies", F.coalesce("found", "first_id").alias("found"))
     found = stored(found, "components")
-    named = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return every.select("doc_id", "n", "digest").join(found, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), named.alias("component_id"), F.coalesce(F.col("doc_id") == named, F.lit(True)).alias("kept")
-    )
-
+    out = join_by(every.where("digest is not null"), found, "digest", "copies", every.count(), "left").select("doc_id", "text_key", "n", "found")
+    out = out.unionByName(every.where("digest is null").select("doc_id", "text_key", "n", F.lit(None).cast("long").alias("found")))
+    name = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(F.col("doc_id") == name, F.lit(True)).alias("kept"), "text_key")
