@@ -18,12 +18,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, key, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose id and key (a column made of the text) are among dropped (doc_id, key): rows go, not ids. Null ids are compared as values."""
-    dropped = stored(dropped.toDF("_id", "_key").distinct(), "dropped")
+    an_id, a_key = _free(docs, "_id"), _free(docs, "_key")
+    dropped = stored(dropped.toDF(an_id, a_key).distinct(), "dropped")
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col(an_id)) & (key == F.col(a_key)), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +42,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = found.where("kept").select("doc_id", "text_sha256")
     if kept.count() == kept.distinct().count():
         return rest
-    return rest.withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    name = _free(docs, "_sha")
+    return rest.withColumn(name, sha).dropDuplicates(["doc_id", name]).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

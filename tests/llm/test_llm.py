@@ -203,6 +203,175 @@ def test_exact_dedup_digest(spark):
     assert rows[0].text_sha256 == hashlib.sha256(b"one two three").hexdigest() and rows[0].keep_id == 4
 
 
+def test_fuse_filter():
+    from vahi.llm import fuse_filter
+
+    rnd = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 50, 20_000):
+        keys = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+        seed, packed = fuse_filter.build(keys)
+        assert fuse_filter.might_hold(keys, seed, packed).all()
+        others = rnd.integers(0, 1 << 63, 200_000, dtype=np.uint64)
+        assert fuse_filter.might_hold(others, seed, packed).mean() < 1e-3
+    assert len(packed) < 2 * 1.4 * n  # nearer to 1.13 fingerprints a key for more keys
+
+
+def groups_of(rows):
+    by = collections.defaultdict(list)
+    for i, text in rows:
+        by[" ".join(__import__("re").split("[ \t-\r]+", text or ""))].append(i)
+    return by
+
+
+def test_exact_dedup_depends_on_its_filters(spark, monkeypatch):
+    """With uneven ids the result is that of plain grouping; a screen that passes nothing, or bytes that never agree, leave a batch's copies apart."""
+    from vahi.llm import exact_dedup as E
+
+    rows = [(1, "a b"), (10**12, "x"), *((10**12 + k, f"t{k % 40}  u") for k in range(1, 200)), (10**12 + 500, "a  b"), (None, "x"), (None, "lonely")]
+    want = {i: (min((x for x in ids if x is not None), default=None), len(ids)) for ids in groups_of(rows).values() for i in ids if i is not None}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    run = lambda: {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(docs).collect() if r.doc_id is not None}
+    assert run() == want
+    screen, held = E.Snapshot.screen, E.Snapshot.held
+    monkeypatch.setattr(E.Snapshot, "screen", lambda self, groups: screen(self, groups).limit(0))
+    assert run()[10**12 + 500] == (10**12 + 500, 1)
+    monkeypatch.setattr(E.Snapshot, "screen", screen)
+    monkeypatch.setattr(E.Snapshot, "held", lambda self, d, p: held(self, d.withColumn("text", F.concat("text", F.lit("!"))), p))
+    assert run()[10**12 + 500] == (10**12 + 500, 1)
+
+
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_substring_dedup", "op4_line_dedup", "op6_decontamination", "op8_minhash"])
+def test_values_on_odd_documents(spark, tmp_path, name):
+    """Odd rows with ids, run through the query and through its SQL."""
+    import duckdb
+
+    line = "A line that is long enough to count"
+    more = [(20, f"{line}\n b"), (21, f" {line.upper()} \nc"), (22, f"{line}\n{line}"), (23, " ".join(f"w{k}" for k in range(70))), (24, "x " + " ".join(f"w{k}" for k in range(70)) + " one two three y")]
+    docs = odd_documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame(more, SCHEMA))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "one two three"), (2, None), (3, ""), (4, " ".join(f"W{k}" for k in range(30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    same_rows(queries.QUERIES[name](spark, str(tmp_path)), con, queries.ORACLE_SQL[name])
+
+
+def test_decontamination_in_blocks(spark):
+    docs, benchmark = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    whole = sorted(map(tuple, contamination(docs, benchmark).collect()))
+    assert sorted(map(tuple, contamination(docs, benchmark, block_bytes=100_000).collect())) == whole
+    from vahi.llm.decontamination import without_contaminated
+
+    clean = {r.doc_id for r in without_contaminated(docs, benchmark, block_bytes=100_000).collect()}
+    assert clean == {r[0] for r in whole if not r[-1]}
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    from vahi.llm import common
+
+    text = ("alpha beta  gamma\n" * 50 + "z" * 700 + " " + "y" * 90 + " end ").encode()
+    data, bounds = np.frombuffer(text + b"b c", np.uint8), np.array([0, len(text), len(text) + 3])
+    whole = common.word_hashes(data, bounds)
+    monkeypatch.setattr(common, "PIECE_BYTES", 64)
+    pieces = common.word_hashes(data, bounds)
+    assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all() and len(whole[0]) == 155
+
+
+def test_sketches_lose_few_links():
+    from math import comb
+
+    from vahi.llm import minhash
+
+    for n in (1, 10, 64):
+        c = minhash.least_shared(n, 85)
+        tail = lambda m: sum(comb(n, k) * 0.85**k * 0.15 ** (n - k) for k in range(m))  # noqa: E731, B023
+        assert tail(c) <= minhash.MISSED < tail(c + 1)
+
+
+def test_components(spark):
+    from vahi.llm.components import components
+
+    chain, star = [(k, k + 1) for k in range(100, 160)], [(1000, k) for k in range(1001, 1200)]
+    got = {r.node: r.component for r in components(spark.createDataFrame([*chain, *star, (7, 7)], "a long, b long")).collect()}
+    assert got == {k: 100 for k in range(100, 161)} | {k: 1000 for k in range(1000, 1200)}
+
+
+def test_token_query_is_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    want = {d["doc_id"]: (len((d["text"] or "").encode()), len(library.encode(d["text"] or "", add_special_tokens=False))) for d in documents()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in queries.QUERIES["op5_token_counts"](spark, SMALL).collect()}
+    assert got == want
+
+
+def test_trees_are_those_of_a_plain_walk():
+    rnd = np.random.default_rng(1)
+    x = rnd.random((400, len(quality.STATISTICS)))
+    y = (x[:, 0] + x[:, 3] > 1).astype(float)
+    model = quality.boost(x, y, np.ones(len(y)))
+    for row in x[:50]:
+        total = model.base
+        for statistic, threshold, leaf in zip(model.statistic, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(statistic):
+                node = 2 * node + (2 if row[statistic[node]] > threshold[node] else 1)
+            total += leaf[node - len(statistic)]
+        assert abs(total - model.margins(row[None])[0]) < 1e-9
+    assert (((model.margins(x) > 0) == y).mean()) > 0.95
+
+
+def test_counts_of_grams_are_those_of_a_plain_recount(spark):
+    rows = [(1, "You FOOL,  you", 1), (2, "kind words é", 0), (3, None, 0), (4, "fool fool", 1), (5, "x", 0)]
+    got = toxicity._counts(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    want = np.zeros((2, toxicity.SLOTS))
+    for _, text, y in rows:
+        clean = f" {' '.join(text.lower().split())} " if text else " "
+        slots = set()
+        for n in toxicity.LENGTHS:
+            for at in range(len(clean) - n + 1):
+                total = sum(ord(c) * int(m) for c, m in zip(clean[at : at + n], toxicity._BY_PLACE, strict=False)) % 2**32
+                h = ((total ^ (total >> 15)) * int(toxicity._SPREAD) + n) % 2**32
+                h = ((h ^ (h >> 13)) * int(toxicity._BY_PLACE[0])) % 2**32
+                slots.add(h >> (32 - toxicity.SLOT_BITS))
+        for slot in slots:
+            want[y, slot] += 1
+    assert (got == want).all()
+
+
+def test_packing_puts_likes_together(spark):
+    """Documents that follow each other in a sequence share more words than in a random order."""
+    text = {d["doc_id"]: set((d["text"] or "").split()) for d in documents(MIDDLE)}
+    rows = queries.QUERIES["op7_packing"](spark, MIDDLE).where("start = 0").select("doc_id", "sequence_id", "offset").collect()
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
+    alike = lambda ids: float(np.mean([len(text[a] & text[b]) / max(1, len(text[a] | text[b])) for a, b in zip(ids, ids[1:])]))  # noqa: E731, B905
+    by_chance = alike(np.random.default_rng(0).permutation(order).tolist())
+    assert alike(order) > 1.5 * by_chance
+
+
+def stage_rows(spark, name, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"lang": F.lit("en"), "_key": F.lit(1), "kept": F.lit("k"), "digest": F.lit("d"), "row_key": F.lit("r")})
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, SMALL)
+    assert out.columns == docs.columns
+    return collections.Counter((r.doc_id, r.text) for r in out.collect())
+
+
+def test_stages_drop_rows_and_not_ids(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    item = next(b["text"] for b in pq.read_table(f"{SMALL}/benchmark.parquet").to_pylist() if len((b["text"] or "").split()) > 12)
+    rows = [(3, "same text"), (7, "same text"), (7, "a unique text"), (7, "a unique  text"), (None, "same text"), (None, "only here"), (9, None), (9, ""), (8, None)]
+    assert stage_rows(spark, "exact_dedup", rows) in [collections.Counter([(3, "same text"), (7, t), (None, "only here"), (8, None)]) for t in ("a unique text", "a unique  text")]
+    near = [(3, words), (7, words + " more"), (7, "a unique text of some words"), (None, words + " other"), (5, None), (5, "")]
+    assert stage_rows(spark, "near_dedup", near) == collections.Counter([(3, words), (7, "a unique text of some words"), (None, words + " other"), (5, None), (5, "")])
+    dirty = [(3, f"so {item} it is"), (3, "clean"), (None, item), (None, "clean"), (4, None), (5, "")]
+    assert stage_rows(spark, "decontamination", dirty) == collections.Counter([(3, "clean"), (None, "clean"), (4, None), (5, "")])
+    for name in ("toxicity", "exact_dedup", "near_dedup", "decontamination"):
+        assert not stage_rows(spark, name, [])
+    assert set(stage_rows(spark, "toxicity", dirty)) <= set(dirty)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tokenizers import Tokenizer
