@@ -19,7 +19,7 @@ WINDOW = 50
 #: Words of the runs of which a window's smallest hash is its minimiser: long enough that no run is common by chance.
 MINIMISER = 4
 #: Bytes of super-k-mers that a task gathers before it ships them, and that a bucket's reader sorts at a time.
-PACK_BYTES, SORT_BYTES = 16 << 20, 2 << 20
+PACK_BYTES, SORT_BYTES = 8 << 20, 1 << 20
 #: Bytes of runs and ids of one minimiser that a task holds; the windows of those with more are dealt on one by one. One of SAMPLED documents is counted to know them before.
 HOT_BYTES, SAMPLED = 8 << 20, 64
 #: About what a run and an id of it take.
