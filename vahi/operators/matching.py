@@ -28,14 +28,18 @@ def dice_join(left: DataFrame, right: DataFrame, a: str, b: str, by: list[str],
     gx, gy = (stored(_bigrams(d, key), "bigrams") for d in (x, y))
     times = gx.unionByName(gy).groupBy(*by, "g").agg(F.count("*").alias("df"))
 
-    def prefixes(d: DataFrame, name: str) -> DataFrame:
-        n = F.col("n")
-        ranked = d.join(times, [*by, "g"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("all"), F.count("*").alias("n"))
+    def prefixes(d: DataFrame, side: str) -> DataFrame:
+        """A row for each bigram of a text's prefix, with the prefix and all its bigrams from rare to common."""
+        n = F.size("all")
+        ranked = d.join(times, [*by, "g"]).groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "g"))), lambda z: z.g).alias("all"))
         first = (n - F.ceil(n * F.lit(least / (2 - least)) - F.lit(1e-9)) + 1).cast("int")
-        return ranked.select(*by, F.col("t").alias(name), F.explode(F.slice("all", F.lit(1), first)).alias("p")).select(*by, name, "p.g")
+        ranked = ranked.withColumn("pre", F.slice("all", F.lit(1), first))
+        return ranked.select(*by, F.col("t").alias(f"_{side}"), F.col("all").alias(f"all_{side}"), F.col("pre").alias(f"pre_{side}"), F.explode("pre").alias("g"))
 
-    met = prefixes(gx, "_a").join(prefixes(gy, "_b"), [*by, "g"]).where((F.col("_a") != F.col("_b")) & (T.dice_bound(F.col("_a"), F.col("_b")) >= least)).select(*by, "_a", "_b").distinct()
-    scored = stored(met, "met").withColumn("score", T.dice(F.col("_a"), F.col("_b"))).where(F.col("score") >= least)
+    met = prefixes(gx, "a").join(prefixes(gy, "b"), [*by, "g"]).where((F.col("_a") != F.col("_b")) & (T.dice_bound(F.col("_a"), F.col("_b")) >= least))
+    met = met.where(F.try_element_at(F.array_intersect("pre_a", "pre_b"), F.lit(1)) == F.col("g"))  # a pair once, at the rarest bigram that both prefixes hold
+    shared = F.size(F.array_intersect("all_a", "all_b"))
+    scored = met.select(*by, "_a", "_b", (F.lit(2.0) * shared / (F.length("_a") + F.length("_b") - 2)).alias("score")).where(F.col("score") >= least)
     same = x.join(y, key).where(F.col("t") != "").select(*by, F.col("t").alias("_a"), F.col("t").alias("_b"), F.lit(1.0).alias("score"))
     return scored.unionByName(same).withColumnsRenamed({"_a": a, "_b": b})
 
