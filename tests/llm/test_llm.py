@@ -384,3 +384,14 @@ def test_pipeline(spark):
     library = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
     want = {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
     check_packing(corpus_pipeline.run(spark, SMALL).collect(), want)
+
+
+def test_components_after_more_links(spark):
+    from vahi.llm.components import components, with_links
+
+    some = lambda *pairs: spark.createDataFrame([*pairs], "a long, b long")
+    label = components(some((5, 9), (9, 12), (3, 4), (20, 21)))
+    got = lambda x: {r.node: r.component for r in x.collect()}
+    before = {5: 5, 9: 5, 12: 5, 3: 3, 4: 3, 20: 20, 21: 20}
+    assert got(with_links(label, some())) == got(label) == before
+    assert got(with_links(label, some((12, 4), (21, 1), (30, 31)))) == {5: 3, 9: 3, 12: 3, 3: 3, 4: 3, 20: 1, 21: 1, 1: 1, 30: 30, 31: 30}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vahi.llm.common import LOWER, by_ids, chunks, distinct, join_by, raw, run_hashes, stored, text_key, word_hashes
-from vahi.llm.components import components
+from vahi.llm.components import components, with_links
 
 SHINGLE, K = 5, 64
 #: Links have Jaccard similarity of at least PERCENT / 100.
@@ -114,8 +114,8 @@ def _as_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
 
 
-def _links_of_long_lists(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links among the nodes of long lists that leave no two linked nodes in different components.
+def _labels_with_long_lists(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(node, component) by the known links and those among the nodes of long lists; no two linked nodes are left in different components.
 
     On full sets the prefix bound is exact: of two linked sets, each in the order from rare to common, some value lies in both prefixes and enough values
     follow it in both. In each value's list all nodes are compared with one pivot, then those not in its component with another pivot of theirs;
@@ -134,14 +134,14 @@ def _links_of_long_lists(sets: DataFrame, known: DataFrame, percent: int) -> Dat
         best = some.groupBy("value").agg(F.min(F.struct("rank", "node", "n", "component")).alias("p"), F.max("df").alias("df"))
         return best.select("value", F.col("p.rank").alias("x_rank"), F.col("p.node").alias("x_node"), F.col("p.n").alias("x_n"), F.col("p.component").alias("x_component"), F.col("df").alias("x_df"))
 
-    links, left = known, rows.withColumn("component", F.col("node"))
+    label, left = None, rows.withColumn("component", F.col("node"))
     for _ in range(2):
-        links = links.unionByName(exact(join_by(left, pivots(left), "value", "x_df", total).where("x_node <> node")))
-        label = components(links)
+        links = exact(join_by(left, pivots(left), "value", "x_df", total).where("x_node <> node"))
+        label = with_links(label, links) if label is not None else components(known.unionByName(links))
         labelled = stored(rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "long-lists")
         left = stored(join_by(labelled, pivots(labelled), "value", "x_df", total).where("component <> x_component").select(*labelled.columns), "left")
     x = left.select("value", F.col("rank").alias("x_rank"), F.col("node").alias("x_node"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
-    return links.unionByName(exact(x.join(labelled, "value").where("x_component <> component")))
+    return with_links(label, exact(x.join(labelled, "value").where("x_component <> component")))
 
 
 def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, percent: int = PERCENT, long_list: int = LONG_LIST) -> DataFrame:
@@ -192,10 +192,8 @@ def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, percent
     sets = texts.mapInArrow(full, "digest binary, set array<long>").join(asked.select("digest", "node"), "digest").select("node", "set")
     sets = stored(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")  # rows may repeat an id
     links = stored(_checked(pairs, sets, "set", lambda x, y: is_link(x, y, percent)), "links")
-    if hot.head(1):
-        links = stored(_links_of_long_lists(by_ids(sets, hot, "node"), links, percent), "links")
-    label = components(links).join(nodes.select("node", "first_id"), "node")
-    label = stored(label, "labels")
+    label = _labels_with_long_lists(by_ids(sets, hot, "node"), links, percent) if hot.head(1) else components(links)
+    label = stored(label.join(nodes.select("node", "first_id"), "node"), "labels")
     smallest = stored(label.groupBy("component").agg(F.min("first_id").alias("found"), F.count("*").alias("in_it")), "smallest")
     named = join_by(label.select("node", "component"), smallest, "component", "in_it", label.count()).select("node", "found")
     found = nodes.select("digest", "node", "first_id", "copies").join(named, "node", "left").select("digest", "copies", F.coalesce("found", "first_id").alias("found"))
