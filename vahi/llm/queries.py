@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vahi.llm import quality, toxicity
+from vahi.llm.collocations import collocations
 from vahi.llm.common import clean_text, documents, table
 from vahi.llm.decontamination import contamination
 from vahi.llm.exact_dedup import exact_dedup
 from vahi.llm.line_dedup import line_dedup
 from vahi.llm.minhash import near_duplicates
+from vahi.llm.mixing import mix_sources
 from vahi.llm.packing import pack
 from vahi.llm.sharding import shard_by_bytes
+from vahi.llm.spelling import spelling_variants
 from vahi.llm.substring_dedup import substring_dedup
 from vahi.llm.token_counts import token_counts
 
@@ -73,7 +76,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_line_dedup, op5_token_counts, op6_decontamination, op7_packing, op8_minhash, op9_quality, op10_toxicity)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_line_dedup, op5_token_counts, op6_decontamination, op7_packing, op8_minhash, op9_quality, op10_toxicity, op11_collocations, op12_spelling, op13_mixing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -125,5 +140,53 @@ reach(doc_id, other) AS (SELECT a, b FROM edges UNION SELECT reach.doc_id, edges
 least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id, least(d.doc_id, coalesce(other, d.doc_id)) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+""",
+    "op11_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+runs AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m))),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(w[s:s + j - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, a, m, j, unnest(range(1, m - j + 2)) AS s FROM c, (SELECT unnest([2, 3]) AS j) WHERE j < m) GROUP BY ALL),
+kept AS (SELECT weakest.* FROM weakest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER v AS rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang)
+WINDOW v AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER v <= 2000
+""",
+    "op12_spelling": r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+coded AS (SELECT run, n, hex(encode(doc_id || ':' || run)) AS h FROM runs),
+summed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h FROM coded, crc),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM summed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT x.word, y.word AS near FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT less.word, words.word FROM less JOIN words ON rest = words.word UNION SELECT words.word, less.word FROM less JOIN words ON rest = words.word),
+best AS (SELECT near.word, near AS form, o.n AS form_n, count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN words o ON o.word = near
+  QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, near) = 1),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+steps(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT steps.word, forms.form FROM steps JOIN forms ON forms.word = steps.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT steps.word, steps.root FROM steps JOIN forms ON forms.word = steps.root WHERE forms.form IS NULL)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN ends ON ends.word = forms.word
+""",
+    "op13_mixing": r"""
+WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT key, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most, (row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS weight, row_number() OVER (ORDER BY key) AS place FROM d GROUP BY key),
+o AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total, coalesce(sum(most) OVER (ORDER BY source_size / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (ORDER BY source_size / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM s),
+c AS (SELECT *, most::HUGEINT * later <= weight::HUGEINT * (total - before) AS stops FROM o),
+t AS (SELECT key, place, source_size, total, CASE WHEN stops THEN most::DOUBLE ELSE (weight * (total - coalesce(sum(most) FILTER (WHERE stops) OVER (), 0)))::DOUBLE / (sum(weight) FILTER (WHERE NOT stops) OVER ())::DOUBLE END AS target FROM c),
+q AS (SELECT *, greatest(1, floor(target / 1000))::BIGINT AS quantum, (sum(size) OVER (PARTITION BY key ORDER BY md5('mix:' || doc_id), doc_id, size) - size)::BIGINT AS ahead FROM d JOIN t USING (key)),
+copies AS (SELECT *, ahead + copy * source_size AS start FROM q, (SELECT unnest([0, 1, 2]) AS copy) WHERE size > 0),
+packets AS (SELECT place, target, total, least(quantum, size - k * quantum) AS words, start + k * quantum + least(quantum, size - k * quantum) AS upto
+  FROM (SELECT *, unnest(range((size + quantum - 1) // quantum)) AS k FROM copies WHERE start < 2 * target)),
+sent AS (SELECT *, greatest(0, sum(words) OVER (ORDER BY upto::DOUBLE / target, place, upto ROWS UNBOUNDED PRECEDING) - total)::BIGINT AS past FROM packets),
+served AS (SELECT place, max(upto - past)::BIGINT AS served FROM sent WHERE past < words GROUP BY place)
+SELECT doc_id, size, source_size, target, (greatest(0, least(size, coalesce(served, 0) - ahead)) + greatest(0, least(size, coalesce(served, 0) - ahead - source_size)) + greatest(0, least(size, coalesce(served, 0) - ahead - 2 * source_size)))::BIGINT AS taken
+FROM q LEFT JOIN served USING (place)
 """,
 }
