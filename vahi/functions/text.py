@@ -23,9 +23,18 @@ STATES = {
 NARRATION_WORDS = ("upi", "neft", "imps", "rtgs", "ref", "txn")
 
 
+# The characters that count as white space at the ends of a text.
+SPACE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(v: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(v, F.lit(SPACE))
+
+
 def blank_to_null(v: Column) -> Column:
     """Trimmed text; nothing left is null."""
-    return F.nullif(F.trim(v.cast("string")), F.lit(""))
+    return F.nullif(trimmed(v.cast("string")), F.lit(""))
 
 
 def norm_gstin(v: Column) -> Column:

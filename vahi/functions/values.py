@@ -7,9 +7,26 @@ from pyspark.sql import functions as F
 
 
 def clean_money(v: Column) -> Column:
-    """A number as it is; of text, the number that its digits, points and signs begin with; else 0."""
+    """A finite number as it is; of text, the number that its digits, points and signs begin with; else 0. The column's own type decides, so a double keeps its exponent."""
     digits = F.regexp_replace(v.cast("string"), "[^0-9.-]+", "")
-    return F.coalesce(F.nullif(F.regexp_extract(digits, r"^-?(\d+\.?\d*|\.\d+)", 0), F.lit("")).try_cast("double"), F.lit(0.0))
+    text = F.nullif(F.regexp_extract(digits, r"^-?(\d+\.?\d*|\.\d+)", 0), F.lit("")).try_cast("double")
+    return F.coalesce(F.when(F.typeof(v) == "string", text).otherwise(_finite(v.try_cast("double"))), F.lit(0.0))
+
+
+def _finite(v: Column) -> Column:
+    return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
+
+
+def json_money(v: Column) -> Column:
+    """C20/C21 of a JSON value (variant): a number as it is, text by clean_money, anything else 0."""
+    kind = F.schema_of_variant(v)
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"), F.try_variant_get(v, "$", "double"))
+    return F.when(kind == "STRING", clean_money(F.try_variant_get(v, "$", "string"))).otherwise(F.coalesce(_finite(number), F.lit(0.0)))
+
+
+def json_there(v: Column) -> Column:
+    """A JSON value (variant), with JSON's null as null."""
+    return F.when(~F.is_variant_null(v), v)
 
 
 def to_paise(v: Column) -> Column:

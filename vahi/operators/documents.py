@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of upload admission.
@@ -34,3 +34,26 @@ def admit(files: DataFrame, most_bytes: int = MOST_BYTES, most_files: int = MOST
     nth = F.row_number().over(Window.partitionBy("batch", fits).orderBy("file_id"))
     verdict = F.when(~(F.col("mime").startswith("image/") | (F.col("mime") == "application/pdf")), "wrong_type").when(F.col("bytes") > most_bytes, "too_large").when(nth > most_files, "too_many").otherwise("admitted")
     return files.withColumn("verdict", verdict)
+
+
+# The type of a file by its ending; an upload's own type is that.
+ENDINGS = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "tif": "image/tiff", "tiff": "image/tiff", "bmp": "image/bmp", "heic": "image/heic"}
+
+
+def uploaded_files(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """the files below a folder, a batch each subfolder, with verdict; contents are not read. since: only files changed after this time, which the scan itself filters."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if since is not None:
+        found = found.where(F.col("modificationTime") > F.lit(since).cast("timestamp"))
+    parts = F.split("path", "/")
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    kinds = F.create_map(*[F.lit(x) for pair in ENDINGS.items() for x in pair])
+    files = found.select("path", F.element_at(parts, -2).alias("batch"), F.element_at(parts, -1).alias("file_id"), F.coalesce(F.try_element_at(kinds, ending), F.lit("application/octet-stream")).alias("mime"), F.col("length").alias("bytes"), "modificationTime")
+    return admit(files)
+
+
+def admitted_contents(spark: SparkSession, path: str, admitted: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Admitted files (path, ...) with content. The scan itself leaves out other types, by their ending, and larger files; files beyond a batch's limit fall to the join."""
+    some = "*.{" + ",".join(x for e in ENDINGS for x in (e, e.upper())) + "}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", some).load(path).where(F.col("length") <= most_bytes)
+    return admitted.where("verdict = 'admitted'").drop("verdict").join(found.select("path", "content"), "path")

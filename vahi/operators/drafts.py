@@ -70,6 +70,36 @@ def voucher_tables(drafts: DataFrame, vouchers: DataFrame, lines: DataFrame) ->
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """K5, K7: a new snapshot of tables that belong together under a new path, the last one written last, so a reader that finds it finds all."""
+    """K7: a new snapshot of tables that belong together under a new path, the last one written last, so a reader that finds it finds all."""
     for name, rows in tables.items():
         rows.write.parquet(f"{path}/{name}")
+
+
+def write_by_client(rows: DataFrame, path: str) -> None:
+    """A table as a folder a client; clients that rows has are replaced, the folders of the others stay as they are. A large client is several files."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("client_id").parquet(path)
+
+
+#: Clients that are looked up by name; more are joined.
+FEW_CLIENTS = 1000
+
+
+def of_clients(table: DataFrame, clients: DataFrame) -> DataFrame:
+    """A table of write_by_client, for some clients: a few are named in the scan's partition filter, many are joined, by which Spark prunes while it runs."""
+    named = [r[0] for r in clients.select("client_id").distinct().limit(FEW_CLIENTS + 1).collect()]
+    return table.where(F.col("client_id").isin(named)) if len(named) <= FEW_CLIENTS else table.join(clients.select("client_id").distinct(), "client_id", "left_semi")
+
+
+def redraft_in_place(drafts: DataFrame, vouchers_path: str, lines_path: str) -> None:
+    """K5: the stored vouchers and lines (both by client, see write_by_client) after the drafts; only the folders of clients with drafts are read and written.
+
+    Both results are stored before either table changes. Lines are written first, so a reader that sees a new header sees its lines; doing it again gives the same.
+    """
+    spark = drafts.sparkSession
+    drafts = stored(drafts, "drafts")
+    vouchers, lines = (of_clients(spark.read.parquet(p), drafts) for p in (vouchers_path, lines_path))
+    after, own = voucher_tables(drafts, vouchers, lines)
+    owner = after.select("voucher_id", "client_id")
+    after, own = stored(after, "vouchers-after"), stored(own.join(owner, "voucher_id"), "lines-after")
+    write_by_client(own, lines_path)
+    write_by_client(after, vouchers_path)

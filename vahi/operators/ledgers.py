@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vahi.functions import text as T
-from vahi.operators.matching import contains_join, dice_join
+from vahi.operators.matching import contains_join, dice_join, subset_join
 from vahi.storage import stored
 
 # Thresholds of similarity, and the confidence of each step.
@@ -89,13 +89,10 @@ def null_safe_left(left: DataFrame, right: DataFrame, key: list[str]) -> DataFra
 def suggest_parties(names: DataFrame, candidates: DataFrame) -> DataFrame:
     """The lenient suggestion: similarity, lifted to SUBSET_FLOOR where one name's words are among the other's; names that are equal are passed over.
 
-    Names meet by rare bigrams in common, or by an equal first word.
+    Names meet by rare bigrams in common, or at the rarest word of the one with fewer words.
     """
     near = dice_join(names, candidates, "name_key", "norm", ["client_id"], LENIENT).where("name_key <> norm")
-    first = lambda c: F.try_element_at(T.tokens(F.col(c)), F.lit(1)).alias("first_word")
-    x = names.select("client_id", "name_key", first("name_key")).distinct()
-    y = candidates.select("client_id", "norm", first("norm")).distinct()
-    inside = x.join(y, ["client_id", "first_word"]).where("name_key <> norm").where(T.token_subset(F.col("name_key"), F.col("norm"))).select("client_id", "name_key", "norm", F.lit(SUBSET_FLOOR).alias("score"))
+    inside = subset_join(names, candidates, "name_key", "norm", ["client_id"]).withColumn("score", F.lit(SUBSET_FLOOR))
     best = near.unionByName(inside).groupBy("client_id", "name_key", "norm").agg(F.max("score").alias("score"))
     return _best(best.join(candidates, ["client_id", "norm"]), ["client_id", "name_key"], F.desc("score"), F.asc("seq"))
 

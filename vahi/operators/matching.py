@@ -1,55 +1,103 @@
-"""Joins of texts by similarity or containment that meet only where they can match: no pair is looked at that shares nothing rare."""
+"""Joins of texts by similarity, containment or common words that meet only where they can match: no pair is looked at that shares nothing rare."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vahi.functions import text as T
 from vahi.storage import stored
 
 
-def _bigrams(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, g): the bigrams of each text t, the n-th time that one occurs numbered n, so that a multiset becomes a set."""
-    each = rows.where(F.length("t") > 1).select(*key, F.explode(F.sequence(F.lit(1), F.length("t") - 1)).alias("i")).select(*key, F.expr("substring(t, i, 2)").alias("g"))
-    return each.groupBy(*key, "g").agg(F.count("*").cast("int").alias("n")).select(*key, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("n"), "g").select(*key, F.concat("g", F.col("n").cast("string")).alias("g"))
+def _texts(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """The distinct texts t of a column, numbered; stored, so that the numbers stay."""
+    return stored(rows.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("t")).distinct().withColumn("id", F.monotonically_increasing_id()), "names")
+
+
+def _bigrams(t: Column) -> Column:
+    """The bigrams of a text as whole numbers: two code points, and which occurrence of them it is, so that a multiset becomes a set."""
+    code = lambda k: F.ascii(F.substring(t, k, F.lit(1))).cast("long")
+    ordered = F.sort_array(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda k: code(k) * (1 << 42) + code(k + 1) * (1 << 21)))
+    return F.transform(ordered, lambda g, k: g + k - F.array_position(ordered, g) + 1)
+
+
+def _least_shared(n: Column, m: Column, least: float) -> Column:
+    """How many bigrams texts with n and m must share to reach the score."""
+    return F.ceil(F.lit(least / 2) * (n + m) - F.lit(1e-9))
+
+
+def dice_candidates(x: DataFrame, y: DataFrame, by: list[str], least: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs (by, id_a, id_b) of numbered texts that may reach the score, each once, and all texts' bigrams (side, id, grams).
+
+    Texts of n and m bigrams must share s = ceil(least / 2 (n + m)) of them. In the order from rare to common, they then share one among the first n - s + 1 of
+    the one and the first m - s + 1 of the other: bigrams meet only there (prefix filter, for each pair's own lengths). A bigram that both share as i-th and j-th
+    leaves at most min(i, j) + min(n - i, m - j) shared ones (positional filter). What meets are numbers; the bigrams themselves stay behind.
+    """
+    both = x.select(*by, "id", F.lit("a").alias("side"), "t").unionByName(y.select(*by, "id", F.lit("b").alias("side"), "t")).where(F.length("t") > 1)
+    each = both.select(*by, "side", "id", F.explode(_bigrams(F.col("t"))).alias("g"))
+    each = stored(each, "bigrams")
+    times = each.groupBy(*by, "g").agg(F.count("*").alias("df"))
+    ranked = each.join(times, [*by, "g"]).groupBy(*by, "side", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "g"))), lambda z: z.g).alias("grams"))
+    ranked = stored(ranked.withColumn("n", F.size("grams")), "bigrams")
+    longest = (F.col("n") - F.ceil(F.col("n") * F.lit(least / (2 - least)) - F.lit(1e-9)) + 1).cast("int")  # for the shortest partner there can be
+    prefix = ranked.select(*by, "side", "id", "n", F.posexplode(F.slice("grams", F.lit(1), longest)).alias("i", "g")).withColumn("i", F.col("i") + 1)
+    side = lambda s: prefix.where(F.col("side") == s).select(*by, "g", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "i")])
+    n, m, i, j = (F.col(c) for c in ("n_a", "n_b", "i_a", "i_b"))
+    need = _least_shared(n, m, least)
+    met = side("a").join(side("b"), [*by, "g"]).where((need <= F.least(n, m)) & (i <= n - need + 1) & (j <= m - need + 1) & (F.least(i, j) + F.least(n - i, m - j) >= need))
+    return met.select(*by, "id_a", "id_b").distinct(), ranked
 
 
 def dice_join(left: DataFrame, right: DataFrame, a: str, b: str, by: list[str], least: float) -> DataFrame:
     """Distinct (by, a, b, score) of the texts of both sides whose Dice similarity is at least `least`, within equal `by` columns.
 
-    Prefix filter: with x bigrams, a partner shares at least x * least / (2 - least) of them, so in the order from rare to common it must meet one of the first
-    x less that many, plus one. Only those prefixes are joined, then lengths bound the score, then it is computed. Equal texts, which score 1 even
-    without bigrams, join directly. The distinct texts of both sides and their bigrams are stored once.
+    Candidates come from dice_candidates, then the two texts' bigrams are fetched and intersected. Equal texts, which score 1 even without bigrams, join directly.
+    Null texts match nothing; texts of one character match only themselves.
     """
-    key = [*by, "t"]
-    x = stored(left.where(F.col(a).isNotNull()).select(*by, F.col(a).alias("t")).distinct(), "names")
-    y = stored(right.where(F.col(b).isNotNull()).select(*by, F.col(b).alias("t")).distinct(), "names")
-    gx, gy = (stored(_bigrams(d, key), "bigrams") for d in (x, y))
-    times = gx.unionByName(gy).groupBy(*by, "g").agg(F.count("*").alias("df"))
-
-    def prefixes(d: DataFrame, side: str) -> DataFrame:
-        """A row for each bigram of a text's prefix, with the prefix and all its bigrams from rare to common."""
-        n = F.size("all")
-        ranked = d.join(times, [*by, "g"]).groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "g"))), lambda z: z.g).alias("all"))
-        first = (n - F.ceil(n * F.lit(least / (2 - least)) - F.lit(1e-9)) + 1).cast("int")
-        ranked = ranked.withColumn("pre", F.slice("all", F.lit(1), first))
-        return ranked.select(*by, F.col("t").alias(f"_{side}"), F.col("all").alias(f"all_{side}"), F.col("pre").alias(f"pre_{side}"), F.explode("pre").alias("g"))
-
-    met = prefixes(gx, "a").join(prefixes(gy, "b"), [*by, "g"]).where((F.col("_a") != F.col("_b")) & (T.dice_bound(F.col("_a"), F.col("_b")) >= least))
-    met = met.where(F.try_element_at(F.array_intersect("pre_a", "pre_b"), F.lit(1)) == F.col("g"))  # a pair once, at the rarest bigram that both prefixes hold
-    shared = F.size(F.array_intersect("all_a", "all_b"))
-    scored = met.select(*by, "_a", "_b", (F.lit(2.0) * shared / (F.length("_a") + F.length("_b") - 2)).alias("score")).where(F.col("score") >= least)
-    same = x.join(y, key).where(F.col("t") != "").select(*by, F.col("t").alias("_a"), F.col("t").alias("_b"), F.lit(1.0).alias("score"))
+    x, y = _texts(left, a, by), _texts(right, b, by)
+    pairs, grams = dice_candidates(x, y, by, least)
+    of = lambda rows, s: rows.select(F.col("id").alias(f"id_{s}"), F.col("t").alias(f"_{s}")).join(grams.where(F.col("side") == s).select(F.col("id").alias(f"id_{s}"), F.col("grams").alias(f"g_{s}")), f"id_{s}")
+    met = pairs.join(of(x, "a"), "id_a").join(of(y, "b"), "id_b").where(F.col("_a") != F.col("_b"))
+    shared = F.size(F.array_intersect("g_a", "g_b"))
+    scored = met.select(*by, "_a", "_b", (F.lit(2.0) * shared / (F.size("g_a") + F.size("g_b"))).alias("score")).where(F.col("score") >= least)
+    same = x.drop("id").join(y.drop("id"), [*by, "t"]).where(F.col("t") != "").select(*by, F.col("t").alias("_a"), F.col("t").alias("_b"), F.lit(1.0).alias("score"))
     return scored.unionByName(same).withColumnsRenamed({"_a": a, "_b": b})
 
 
+def subset_join(left: DataFrame, right: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """The distinct (by, a, b) of unequal texts where the words of the one with fewer are all among the other's and both begin with the same word.
+
+    The one with fewer words meets the other at its rarest word, by counts over both sides; then first words and all words are compared.
+    """
+    both = _texts(left, a, by).withColumn("side", F.lit("a")).unionByName(_texts(right, b, by).withColumn("side", F.lit("b"))).withColumn("w", T.tokens(F.col("t"))).where(F.size("w") > 0)
+    posted = stored(both.select(*by, "side", "t", F.size("w").alias("n"), F.element_at("w", 1).alias("first"), F.explode(F.array_distinct("w")).alias("word")), "words")
+    times = posted.groupBy(*by, "word").agg(F.count("*").alias("df"))
+    rarest = posted.join(times, [*by, "word"]).groupBy(*by, "side", "t", "n", "first").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    of = lambda rows, s: rows.where(F.col("side") == s).select(*by, "word", "first", F.col("t").alias(f"_{s}"), F.col("n").alias(f"n_{s}"))
+    fewer = of(rarest, "a").join(of(posted, "b"), [*by, "word", "first"]).where("n_a <= n_b")
+    more = of(posted, "a").join(of(rarest, "b"), [*by, "word", "first"]).where("n_a > n_b")
+    met = fewer.unionByName(more).where((F.col("_a") != F.col("_b")) & T.token_subset(F.col("_a"), F.col("_b")))
+    return met.select(*by, F.col("_a").alias(a), F.col("_b").alias(b))
+
+
+#: Characters of the grams at which a pattern meets texts.
+GRAM = 3
+
+
 def contains_join(hay: DataFrame, needles: DataFrame, text: str, pattern: str, by: list[str]) -> DataFrame:
     """The distinct (by, text, pattern) where the text contains the pattern, within equal `by` columns; empty patterns match nothing.
 
-    A pattern meets only the texts that hold its first three characters (all of it, if it is shorter).
+    A pattern meets texts only at its rarest gram of three characters, by counts over all places of the texts, and is compared there at its place; a pattern of fewer
+    characters is its own gram. A pattern with a gram that no text has meets nothing.
     """
-    h = hay.where(F.col(text) != "").select(*by, F.col(text).alias("_t")).distinct().select(*by, "_t", F.explode(F.sequence(F.lit(1), F.length("_t"))).alias("i"))
-    h = h.select(*by, "_t", F.explode(F.expr("array(substring(_t, i, 1), substring(_t, i, 2), substring(_t, i, 3))")).alias("g")).distinct()
-    n = needles.where(F.col(pattern) != "").select(*by, F.col(pattern).alias("_p")).distinct().withColumn("g", F.substring("_p", 1, 3))
-    return h.join(n, [*by, "g"]).where(F.contains("_t", "_p")).select(*by, F.col("_t").alias(text), F.col("_p").alias(pattern))
+    texts = stored(hay.where(F.col(text) != "").select(*by, F.col(text).alias("_t")).distinct(), "texts")
+    patterns = stored(needles.where(F.col(pattern) != "").select(*by, F.col(pattern).alias("_p")).distinct().withColumn("q", F.least(F.length("_p"), F.lit(GRAM))), "patterns")
+    sizes = [r.q for r in patterns.select("q").distinct().collect()]  # at most GRAM
+    at = texts.select(*by, "_t", F.explode(F.sequence(F.lit(1), F.length("_t"))).alias("i"))
+    grams = at.select(*by, "_t", "i", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("q")).withColumn("g", F.substring(F.col("_t"), F.col("i"), F.col("q")))
+    grams = grams.where(F.length("g") == F.col("q")).drop("q")  # what begins too late is shorter
+    times = grams.groupBy(*by, "g").agg(F.count("*").alias("df"))
+    own = patterns.select(*by, "_p", F.explode(F.sequence(F.lit(0), F.length("_p") - F.col("q"))).alias("k"), "q").withColumn("g", F.substring(F.col("_p"), F.col("k") + 1, F.col("q")))
+    rarest = own.join(times, [*by, "g"], "left").groupBy(*by, "_p").agg(F.min_by(F.struct("g", "k"), F.struct(F.coalesce("df", F.lit(0)), "k")).alias("at")).select(*by, "_p", "at.g", "at.k")
+    met = grams.join(rarest, [*by, "g"]).where((F.col("i") > F.col("k")) & (F.substring(F.col("_t"), F.col("i") - F.col("k"), F.length("_p")) == F.col("_p")))
+    return met.select(*by, F.col("_t").alias(text), F.col("_p").alias(pattern)).distinct()

@@ -23,3 +23,23 @@ def positions(rows: DataFrame, by: str, order: Sequence[Column], name: str = "po
     placed = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part", by).orderBy(*order)))
     placed = placed.join(before.withColumnRenamed("_part", "_p"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
     return placed.withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).drop("_part", "_p", "_by", "_before", "_nth")
+
+
+def earlier_sums(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, in each group, the sum of each value over all rows before it in the order, 0 for the first ones.
+
+    Rows are dealt to ranges of (group, order); the totals of each group in each range are carried to the ranges after it, so no group is one task. Values must be exact numbers
+    (whole or decimal) and not null; the order must be total within a group.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in by]
+    valued = rows.withColumns({f"_{k}": v for k, v in sums.items()})
+    dealt = stored(valued.repartitionByRange(tasks(rows.sparkSession), *keys, *order).withColumn("_part", F.spark_partition_id()), "sums")
+    totals = dealt.groupBy(*by, "_part").agg(*[F.sum(f"_{k}").alias(f"_all_{k}") for k in sums])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_p"), *[F.sum(f"_all_{k}").over(before).alias(f"_before_{k}") for k in sums])
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    met = dealt.withColumns({f"_inside_{k}": F.sum(f"_{k}").over(inside) for k in sums}).join(carried, same)
+    return met.select(*rows.columns, *[(F.coalesce(f"_before_{k}", F.lit(0)) + F.coalesce(f"_inside_{k}", F.lit(0))).alias(k) for k in sums])

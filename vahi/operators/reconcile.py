@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from vahi.functions import text as T
 from vahi.functions import values as V
-from vahi.storage import new_path
+from vahi.operators.order import positions
+from vahi.operators.skew import join_hot
+from vahi.sources import snapshots
+from vahi.storage import stored
 
 RESULT = "client_id int, gstin string, row_id long, invoice_id long, status string, taxable_diff double, tax_diff double, row_tax double"
 _RESULT_TYPES = pa.schema([
@@ -117,21 +120,90 @@ def _walk(tolerance: float):
     return walk
 
 
-def reconcile(rows: DataFrame, books: DataFrame, tolerance: float = 1.0) -> DataFrame:
+#: Records of a group (client, registration, digits) up to which one task walks it as it is.
+WALKED = 50_000
+_KEYS = ["client_id", "gstin", "exact", "soft"]
+
+
+def _mixed_components(pairs: DataFrame) -> DataFrame:
+    """pairs (client_id, gstin, exact, soft, n) with `digits`, a name of the component of keys that they are in: the least pair that is linked by equal keys.
+
+    Labels go from pair to key and back until nothing changes; each round is stored. Rounds are half as many as the longest chain of different keys.
+    """
+    label = F.concat_ws("\u0001", "exact", "soft")
+    now = stored(pairs.withColumn("digits", label), "components")
+    while True:
+        least = lambda key: now.groupBy("client_id", "gstin", key).agg(F.min("digits").alias(f"_{key}"), F.count("*").alias("_w"))  # noqa: B023, E731
+        total = now.count()
+        out = join_hot(join_hot(now, least("exact"), ["client_id", "gstin", "exact"], "_w", total), least("soft"), ["client_id", "gstin", "soft"], "_w", total)
+        out = stored(out.withColumn("_new", F.least("_exact", "_soft")), "components")
+        if out.where("_new < digits").isEmpty():
+            return out.select(*_KEYS, "n", "digits")
+        now = out.select(*_KEYS, "n", F.col("_new").alias("digits"))
+
+
+def _in_places(sides: DataFrame, tolerance: float) -> DataFrame:
+    """Components of one exact and one soft key: the n-th row takes the n-th book, for whatever is open has both keys. Places come from ranges, so a component spreads over tasks."""
+    placed = positions(sides.withColumn("_of", F.struct(*_KEYS, "side")), "_of", [F.col("id")], "place").drop("_of")
+    book = placed.where("side = 0").select(*_KEYS, "place", F.col("id").alias("invoice_id"), F.col("taxable").alias("_taxable"), F.col("tax").alias("_tax"), F.col("left_taxable").alias("_left_taxable"), F.col("left_tax").alias("_left_tax"))
+    row = placed.where("side = 1").select(*_KEYS, "place", F.col("id").alias("row_id"), "taxable", "tax")
+    met = row.join(book, [*_KEYS, "place"], "full")
+    gap, tax_gap = F.abs(F.col("_taxable") - F.col("taxable")), F.abs(F.col("_tax") - F.col("tax"))
+    alone, missing = F.col("invoice_id").isNull(), F.col("row_id").isNull()
+    return met.select(
+        "client_id", "gstin", "row_id", "invoice_id", F.when(alone, "MISSING_IN_BOOKS").when(missing, "MISSING_IN_2B").when((gap <= tolerance) & (tax_gap <= tolerance), "MATCHED").otherwise("VALUE_MISMATCH").alias("status"),
+        F.when(alone, F.col("taxable")).when(missing, F.col("_left_taxable")).otherwise(gap).alias("taxable_diff"), F.when(alone, F.col("tax")).when(missing, F.col("_left_tax")).otherwise(tax_gap).alias("tax_diff"), F.col("tax").alias("row_tax"),
+    )
+
+
+def _walked(sides: DataFrame, tolerance: float) -> DataFrame:
+    ordered = sides.select(*_SIDES).repartition("client_id", "gstin", "digits").sortWithinPartitions("client_id", "gstin", "digits", "side", "id")
+    return ordered.mapInArrow(_walk(tolerance), RESULT)
+
+
+def reconcile(rows: DataFrame, books: DataFrame, tolerance: float = 1.0, walked: int = WALKED) -> DataFrame:
     """Match each portal row with at most one book: MATCHED, VALUE_MISMATCH, MISSING_IN_BOOKS, and MISSING_IN_2B for books left over.
 
     Numbers that are equal exactly or softly have the same digits in the same order, and both phases need the same registration, so the groups (client, registration,
-    digits) are independent. Both sides are read once, shuffled by group and sorted with the books first; a task walks its groups in order and holds only the
-    books of the group at hand, in columns of some 50 bytes each. The rule is the sequential one at every size.
-    Results carry row_tax, the portal row's tax. Ids are unique within a client only.
+    digits) are independent. Groups of up to `walked` records are shuffled and sorted with the books first, and a task walks them in order, one at a time.
+    A larger group (numbers without digits, rows without registration) falls apart further, into the connected components of its exact and soft keys:
+    a component of one exact and one soft key is settled by places, without a task of its own; only components that mix keys are walked, each by itself.
+    All give what the sequential rule gives. Results carry row_tax, the portal row's tax. Ids are unique within a client only; a null client is a client of its own.
     """
     none = F.lit(None).cast("double")
     left = book_side(books).withColumn("side", F.lit(0)).withColumnRenamed("invoice_id", "id")
     right = row_side(rows).withColumns({"side": F.lit(1), "left_taxable": none, "left_tax": none}).withColumnRenamed("row_id", "id")
     typed = [F.col("client_id").cast("int").alias("client_id"), "gstin", "digits", "side", F.col("id").cast("long").alias("id"), *_SIDES[5:]]
-    sides = left.select(*typed).unionByName(right.select(*typed))
-    ordered = sides.repartition("client_id", "gstin", "digits").sortWithinPartitions("client_id", "gstin", "digits", "side", "id")
-    return ordered.mapInArrow(_walk(tolerance), RESULT)
+    sides = stored(left.select(*typed).unionByName(right.select(*typed)), "sides")
+
+    group = ["client_id", "gstin", "digits"]
+    large = sides.where("client_id IS NOT NULL").groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > walked)
+    large = stored(large, "large-groups")
+    sizes = large.agg(F.count("*"), F.sum("n")).first()
+    if not sizes[0]:
+        return _walked(sides, tolerance)
+    total = sides.count()
+    inside = stored(join_hot(sides, large, group, "n", total), "large-sides")
+    pairs = stored(inside.groupBy(*_KEYS).agg(F.count("*").alias("n")), "key-pairs")
+    count = pairs.count()
+    for key in ("exact", "soft"):  # how many pairs a key is in
+        degree = pairs.groupBy("client_id", "gstin", key).agg(F.count("*").alias(f"of_{key}"), F.count("*").alias("_w"))
+        pairs = join_hot(pairs, degree, ["client_id", "gstin", key], "_w", count)
+    pairs = stored(pairs, "key-pairs")
+    simple, mixed = pairs.where("of_exact = 1 AND of_soft = 1").select(*_KEYS, "n"), pairs.where("of_exact > 1 OR of_soft > 1").select(*_KEYS, "n")
+    settled = _in_places(join_hot(inside, simple, _KEYS, "n", sizes[1]), tolerance)
+    of_mixed = join_hot(inside.drop("digits"), _mixed_components(mixed), _KEYS, "n", sizes[1])
+    return _walked(sides.join(large.drop("n"), group, "left_anti"), tolerance).unionByName(settled).unionByName(_walked(of_mixed, tolerance))
+
+
+def notes(results: DataFrame) -> DataFrame:
+    """Results with the note of each: the two differences with two decimals where values disagree, else what the status means."""
+    amount = lambda c: V.two_places(V.to_paise(F.col(c)))
+    said = {"MATCHED": "Matched", "MISSING_IN_BOOKS": "Present in GSTR-2B but not found in purchase register", "MISSING_IN_2B": "Present in books but missing in GSTR-2B"}  # fixed values
+    note = F.when(F.col("status") == "VALUE_MISMATCH", F.concat(F.lit("Taxable Δ ₹"), amount("taxable_diff"), F.lit(", Tax Δ ₹"), amount("tax_diff")))
+    for status, text in said.items():
+        note = note.when(F.col("status") == status, text)
+    return results.withColumn("notes", note)
 
 
 def reconcile_windows(rows: DataFrame, books: DataFrame, tolerance: float = 1.0) -> DataFrame:
@@ -177,19 +249,22 @@ def by_status(results: DataFrame) -> DataFrame:
     return results.withColumn("status_order", place).orderBy("client_id", "status_order", F.col("row_id").asc_nulls_last(), F.col("invoice_id").asc_nulls_last())
 
 
-def upload_header(results: DataFrame, created_at: Column) -> DataFrame:
-    """K6: one header a client for this run: how many rows came, the counts by status and the tax credit."""
-    sums = summary(results).withColumn("created_at", created_at)
-    rows = results.groupBy("client_id").agg(F.count("row_id").alias("row_count"))
-    return sums.join(rows, "client_id")
+def upload_tables(results: DataFrame, rows: DataFrame, uploads: DataFrame, created_at: Column) -> dict[str, DataFrame]:
+    """K6: what a run stores: rows and matches under the upload's id, and one header a client that sent a file.
 
-
-def persist(results: DataFrame, rows: DataFrame, created_at: Column, path: str) -> None:
-    """K6: header, rows and matches as three tables under a new path; a reader sees the run once all three are there, for the header is written last."""
-    spark = results.sparkSession
-    matches = new_path(spark, "matches")
-    results.write.parquet(matches)  # once, so that header and matches agree
-    results = spark.read.schema(results.schema).parquet(matches)
-    rows.write.parquet(f"{path}/rows")
-    results.drop("row_tax").write.parquet(f"{path}/matches")
-    upload_header(results, created_at).write.parquet(f"{path}/header")
+    uploads: client_id, upload_id, file_name, period. The header has how many rows came, the counts by status and the tax credit, zeros for a client without results. Matches have notes.
+    Rows and results of clients without an upload belong to no run and are left out.
+    """
+    asked = uploads.select("client_id", "upload_id", "file_name", "period")
+    count = rows.groupBy("client_id").agg(F.count("*").alias("row_count"))
+    sums = summary(results)
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ["row_count", *sums.columns[1:]]}
+    header = asked.join(count, "client_id", "left").join(sums, "client_id", "left").withColumns(zero).withColumn("created_at", created_at)
+    own = asked.select("client_id", "upload_id")
+    return {"rows": rows.join(own, "client_id"), "matches": notes(results).drop("row_tax", "gstin").join(own, "client_id"), "header": header}
+
+
+def persist(results: DataFrame, rows: DataFrame, uploads: DataFrame, created_at: Column, path: str, run: str) -> bool:
+    """K6 as one transaction: rows, matches and header become readable together under the run's name, see snapshots; a run that is there already is left as it is."""
+    results = stored(results, "matches")  # once, so that header and matches agree
+    return snapshots.commit(path, run, upload_tables(results, rows, uploads, created_at))

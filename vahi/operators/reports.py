@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vahi.functions import values as V
-from vahi.operators.order import positions
+from vahi.operators.order import earlier_sums, positions
 from vahi.operators.vouchers import is_purchase_report
 
 
@@ -14,9 +14,9 @@ def _paise(name: str) -> Column:
     return V.to_paise(F.coalesce(F.col(name), F.lit(0.0)))
 
 
-def vendor_breakdown(invoices: DataFrame) -> DataFrame:
-    """A5: invoices, paise and mean paise (halves up) of each vendor; no name is `Unknown`."""
-    out = invoices.groupBy(F.coalesce(F.nullif("vendor", F.lit("")), F.lit("Unknown")).alias("vendor")).agg(F.count("*").alias("n"), F.sum(_paise("total_amount")).alias("total_p"), F.sum(_paise("tax_amount")).alias("tax_p"))
+def vendor_breakdown(invoices: DataFrame, scope: str = "user_id") -> DataFrame:
+    """A5: invoices, paise and mean paise (halves up) of each vendor of each user (or other scope); no name is `Unknown`."""
+    out = invoices.groupBy(scope, F.coalesce(F.nullif("vendor", F.lit("")), F.lit("Unknown")).alias("vendor")).agg(F.count("*").alias("n"), F.sum(_paise("total_amount")).alias("total_p"), F.sum(_paise("tax_amount")).alias("tax_p"))
     return out.withColumn("mean_p", F.floor(F.col("total_p") / F.col("n") + F.lit(0.5)).cast("long"))
 
 
@@ -51,10 +51,11 @@ def _with_party(vouchers: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def party_outstanding(vouchers: DataFrame, lines: DataFrame, invoices: DataFrame, most: int = 20) -> DataFrame:
-    """What is owed to each party of purchases, the largest first; the party's line, else the vendor, names it."""
+    """Each client's parties of purchases that are owed most, with their place; the party's line, else the vendor, names one."""
     out = _with_party(vouchers.where(is_purchase_report(F.col("voucher_type"))), lines).join(invoices.select("invoice_id", "vendor"), "invoice_id", "left")
     name = F.coalesce(F.nullif("p.ledger_name", F.lit("")), F.nullif("vendor", F.lit("")), F.lit("Unknown"))
-    return out.groupBy(name.alias("party")).agg(F.sum("owed_p").alias("owed_p")).orderBy(F.desc("owed_p"), "party").limit(most)
+    owed = out.groupBy("client_id", name.alias("party")).agg(F.sum("owed_p").alias("owed_p"))
+    return owed.withColumn("place", F.row_number().over(Window.partitionBy("client_id").orderBy(F.desc("owed_p"), "party"))).where(F.col("place") <= most)
 
 
 def profit_and_loss(vouchers: DataFrame, lines: DataFrame, invoices: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def unmapped_flags(vouchers: DataFrame, lines: DataFrame) -> DataFrame:
 
 def review_priority(invoices: DataFrame, flagged: DataFrame) -> DataFrame:
     """Critical, low, high or ready for each draft."""
-    rows = flagged.where("status = 'DRAFT'").select("voucher_id", "invoice_id", "client_id", "avg_confidence", "unmapped", "debit_p", "credit_p").join(invoices.select("invoice_id", "is_duplicate", "n_flags"), "invoice_id", "left")
+    rows = flagged.where("status = 'DRAFT'").select("voucher_id", "invoice_id", "client_id", "avg_confidence", "unmapped", "debit_p", "credit_p", "created_at").join(invoices.select("invoice_id", "is_duplicate", "n_flags"), "invoice_id", "left")
     conf = F.col("avg_confidence")
     needs = F.col("unmapped") | F.coalesce(conf < 0.7, F.lit(False)) | F.coalesce("is_duplicate", F.lit(False)) | (F.coalesce("n_flags", F.lit(0)) > 0)
     worst = F.col("unmapped") | F.coalesce(conf < 0.5, F.lit(False))
@@ -102,10 +103,13 @@ PRIORITIES = ("critical", "low", "ready", "high")
 
 
 def review_queue(reviewed: DataFrame) -> DataFrame:
-    """Each client's drafts in review order: priority, then confidence with none as 1, then id. Clients of any size are spread over tasks."""
+    """Each client's drafts in review order: priority, then confidence with none as 1; of equal ones those with a confidence first, then the newest, then by id.
+
+    Clients of any size are spread over tasks.
+    """
     place = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("priority"))
     rows = reviewed.withColumns({"_place": place, "_conf": F.coalesce("avg_confidence", F.lit(1.0))})
-    return positions(rows, "client_id", [F.col("_place"), F.col("_conf"), F.col("voucher_id")]).drop("_place", "_conf")
+    return positions(rows, "client_id", [F.col("_place"), F.col("_conf"), F.col("avg_confidence").asc_nulls_last(), F.desc("created_at"), F.col("voucher_id")]).drop("_place", "_conf")
 
 
 def review_filter(reviewed: DataFrame, which: str) -> DataFrame:
@@ -180,7 +184,7 @@ def draft_list(flagged: DataFrame, invoices: DataFrame, most: int = 20) -> DataF
     """Each client's newest drafts as one JSON array; clients without drafts have an empty one. At most `most` rows a client are gathered."""
     w = Window.partitionBy("client_id").orderBy(F.desc("created_at"), "voucher_id")
     rows = flagged.where("status = 'DRAFT'").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).join(invoices.select("invoice_id", "vendor", "invoice_number"), "invoice_id", "left")
-    one = F.struct("_n", F.struct(F.col("voucher_id").alias("id"), "voucher_type", F.col("debit_p").alias("total_debit_p"), "vendor", "invoice_number", F.col("unmapped").alias("has_unmapped")).alias("row"))
+    one = F.struct("_n", F.struct(F.col("voucher_id").alias("id"), "voucher_type", F.col("debit_p").alias("total_debit_p"), "avg_confidence", "vendor", "invoice_number", F.col("unmapped").alias("has_unmapped")).alias("row"))
     lists = rows.groupBy("client_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(one)), lambda x: x.row), {"ignoreNullFields": "false"}).alias("rows"))
     return flagged.select("client_id").distinct().join(lists, "client_id", "left").withColumn("rows", F.coalesce("rows", F.lit("[]")))
 
@@ -188,15 +192,20 @@ def draft_list(flagged: DataFrame, invoices: DataFrame, most: int = 20) -> DataF
 def anomalies(invoices: DataFrame, least: float = 2.5, history: int = 3) -> DataFrame:
     """Each invoice's z-score against the vendor's earlier totals (population deviation; none counts as 1), where there are enough.
 
-    Sums and sums of squares of whole paise are exact decimals, so equal totals have a deviation of exactly none.
+    Counts, sums and sums of squares of whole paise are exact decimals, carried over ranges of (client, vendor, time), so equal totals have a deviation of exactly none and no
+    vendor's history is one task. Products past 38 digits are made in doubles.
     """
-    w = Window.partitionBy("client_id", "vendor").orderBy("created_at", "invoice_id").rowsBetween(Window.unboundedPreceding, -1)
-    x = _paise("total_amount").cast("decimal(15,0)")
-    out = invoices.where("vendor <> ''").select("client_id", "vendor", "invoice_id", x.alias("p"), F.count("*").over(w).alias("n"), F.sum(x).over(w).cast("decimal(18,0)").alias("s"), F.sum(x * x).over(w).cast("decimal(30,0)").alias("ss"))
-    n = F.col("n").cast("decimal(8,0)")
-    spread, off = (n * F.col("ss") - F.col("s") * F.col("s")).cast("double"), (n * F.col("p") - F.col("s")).cast("double")
+    p = _paise("total_amount")
+    rows = invoices.where("vendor <> ''").select("client_id", "vendor", "invoice_id", "created_at", p.alias("p"))
+    x = F.col("p").cast("decimal(19,0)")
+    out = earlier_sums(rows, ["client_id", "vendor"], [F.col("created_at"), F.col("invoice_id")], {"n": F.lit(1).cast("long"), "s": x, "ss": (x * x).cast("decimal(38,0)")})
+    n, s, ss = F.col("n").cast("decimal(19,0)"), F.col("s").cast("decimal(29,0)"), F.col("ss")
+    real = lambda c: c.cast("double")
+    exact = F.try_subtract(F.try_multiply(n, ss), F.try_multiply(s, s))
+    spread = F.coalesce(real(exact), real(n) * real(ss) - real(s) * real(s))
+    off = F.coalesce(real(F.try_subtract(F.try_multiply(n, x), s)), real(n) * real(x) - real(s))
     z = F.when(spread > 0, off / F.sqrt(spread)).otherwise(off / F.col("n") / F.lit(100.0))  # a rupee, where there is no deviation
-    return out.where(F.col("n") >= history).withColumn("z", z).withColumn("is_anomaly", F.abs("z") >= least).select("client_id", "vendor", "invoice_id", F.col("p").cast("long").alias("total_p"), "n", "z", "is_anomaly")
+    return out.where(F.col("n") >= history).withColumn("z", z).withColumn("is_anomaly", F.abs("z") >= least).select("client_id", "vendor", "invoice_id", F.col("p").alias("total_p"), "n", "z", "is_anomaly")
 
 
 def duplicates(keyed: DataFrame) -> DataFrame:

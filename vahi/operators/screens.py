@@ -65,18 +65,20 @@ def with_item_names(items: Column, chosen: Column, *names: str) -> Column:
     return F.transform(items, lambda x, i: x.withField("selected_item_name", F.coalesce(F.nullif(F.try_element_at(chosen, i + 1), F.lit("")), item_label(x, *names))))
 
 
-def patched(invoices: DataFrame, updates: DataFrame) -> DataFrame:
-    """Invoices after edits (invoice_id and new values, all null where not given).
+def patched(invoices: DataFrame, updates: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Invoices after edits (invoice_id and new values, all null where not given; columns that the edits lack are as not given).
 
-    Numbers and the invoice's number keep the old value for nothing, empty text and zero; names and registrations keep it only for nothing; total and tax are always
-    overwritten, by 0 if not given.
+    Numbers and the invoice's number keep the old value for nothing, empty text and zero; the date for nothing and empty text, and other text that is no date becomes as_of; names,
+    registrations, address and phone keep it only for nothing; items for no list at all; total and tax are always overwritten, by 0 if not given.
     """
     out = invoices.join(updates.withColumnsRenamed({c: f"_{c}" for c in updates.columns if c != "invoice_id"}).withColumn("_hit", F.lit(True)), "invoice_id", "left")
     new = lambda c: F.col(f"_{c}")
-    merged = {c: F.coalesce(new(c), F.col(c)) for c in ("vendor", "vendor_gstin", "customer_name", "customer_gstin")}
-    merged |= {c: F.coalesce(F.nullif(V.clean_money(new(c)), F.lit(0.0)), F.col(c)) for c in ("subtotal", "cgst", "sgst", "igst", "discount")}
-    merged |= {"invoice_number": F.coalesce(F.nullif(new("invoice_number"), F.lit("")), F.col("invoice_number"))}
-    merged |= {c: F.when(F.col("_hit"), V.clean_money(new(c))).otherwise(F.col(c)) for c in ("total_amount", "tax_amount")}
+    given = lambda *names: [c for c in names if c in updates.columns and c in invoices.columns]
+    merged = {c: F.coalesce(new(c), F.col(c)) for c in given("vendor", "vendor_gstin", "vendor_address", "vendor_phone", "customer_name", "customer_gstin", "items")}
+    merged |= {c: F.coalesce(F.nullif(V.clean_money(new(c)), F.lit(0.0)), F.col(c)) for c in given("subtotal", "cgst", "sgst", "igst", "discount")}
+    merged |= {c: F.coalesce(F.nullif(new(c), F.lit("")), F.col(c)) for c in given("invoice_number")}
+    merged |= {c: F.when(new(c) != "", V.clean_date(new(c), F.current_timestamp() if as_of is None else as_of)).otherwise(F.col(c)) for c in given("invoice_date")}
+    merged |= {c: F.when(F.col("_hit"), V.clean_money(new(c) if c in updates.columns else F.lit(None).cast("double"))).otherwise(F.col(c)) for c in ("total_amount", "tax_amount")}
     return out.withColumns(merged).select(*invoices.columns)
 
 
@@ -113,7 +115,7 @@ def first_issues(validated: DataFrame, most: int = MOST_ISSUES) -> DataFrame:
 def name_taken(asked: DataFrame, ledgers: DataFrame) -> DataFrame:
     """asked (client_id, query) with whether a ledger of the client has just that name, in any case and without white space at the ends."""
     have = ledgers.select("client_id", F.lower("name").alias("_key")).distinct().withColumn("_there", F.lit(True))
-    return asked.withColumn("_key", F.lower(F.trim("query"))).join(have, ["client_id", "_key"], "left").withColumn("taken", F.coalesce("_there", F.lit(False))).drop("_key", "_there")
+    return asked.withColumn("_key", F.lower(T.trimmed(F.col("query")))).join(have, ["client_id", "_key"], "left").withColumn("taken", F.coalesce("_there", F.lit(False))).drop("_key", "_there")
 
 
 def thread_filter(threads: DataFrame, search: str, which: str) -> DataFrame:

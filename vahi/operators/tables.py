@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vahi.functions import text as T
+
 
 def applied(table: DataFrame, key: str, created: DataFrame | None = None, patches: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """The table after patches (key and new values; null leaves the old one), deletions (keys) and creations; unknown keys change nothing."""
@@ -21,7 +23,7 @@ def upsert_ledgers(ledgers: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Of several wanted with one name the smallest id is made.
     """
-    named = wanted.withColumn("name", F.trim("name")).where("name <> ''")
+    named = wanted.withColumn("name", T.trimmed(F.col("name"))).where("name <> ''")
     one = named.groupBy("client_id", "name").agg(F.min_by(F.struct(*[c for c in ledgers.columns if c not in ("client_id", "name")]), "ledger_id").alias("r")).select("client_id", "name", "r.*")
     return ledgers.unionByName(one.join(ledgers.select("client_id", "name"), ["client_id", "name"], "left_anti").select(*ledgers.columns))
 

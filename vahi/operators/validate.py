@@ -53,7 +53,7 @@ def _head_issues(as_of: Column) -> list[Column]:
         _issue((subtotal > 0) & (F.abs(total - expected) > 2), "TOTAL_MATH_MISMATCH", "warning", F.concat(F.lit("Total "), _money(total), F.lit(" where "), _money(expected), F.lit(" is expected"))),
         _issue(total < 0, "NEGATIVE_TOTAL", "error", "The total is negative"),
         _issue((subtotal > 0) & (discount > subtotal), "DISCOUNT_EXCEEDS_SUBTOTAL", "error", "The discount is above the subtotal"),
-        _issue(F.trim(F.coalesce("invoice_number", F.lit(""))) == "", "INVOICE_NUMBER_MISSING", "warning", "No invoice number"),
+        _issue(T.trimmed(F.coalesce("invoice_number", F.lit(""))) == "", "INVOICE_NUMBER_MISSING", "warning", "No invoice number"),
         _issue(F.col("_date_given").isNull(), "INVOICE_DATE_MISSING", "warning", "No invoice date"),
         _issue(F.col("_date_given").isNotNull() & F.col("_date").isNull(), "INVOICE_DATE_INVALID", "error", "The invoice date cannot be read"),
         _issue(V.in_future(F.col("_date"), as_of), "INVOICE_DATE_FUTURE", "warning", "The invoice date lies ahead"),
@@ -62,7 +62,7 @@ def _head_issues(as_of: Column) -> list[Column]:
 
 def _line_issues() -> Column:
     items = F.coalesce(F.col("items"), F.array().cast("array<struct<name:string,qty:double,rate:double,price:double,hsn_code:string,gst_rate:double>>"))
-    bare = F.size(F.filter(items, lambda x: F.coalesce(F.trim(x.hsn_code), F.lit("")) == ""))
+    bare = F.size(F.filter(items, lambda x: F.coalesce(T.trimmed(x.hsn_code), F.lit("")) == ""))
     n = F.size(items)
 
     def hsn(x: Column, i: Column) -> Column:
@@ -101,8 +101,8 @@ def validate(invoices: DataFrame, as_of: Column, save_route_profile: bool = Fals
     """
     if save_route_profile:
         invoices = invoices.withColumns({"invoice_number": F.lit(None).cast("string"), "invoice_date": F.lit(None).cast("string"), "irn": F.lit(None).cast("string"), "eway_bill_no": F.lit(None).cast("string"), "reverse_charge": F.lit(False)})
-    upper = lambda x: F.upper(F.trim(F.coalesce(x, F.lit(""))))
-    given = F.nullif(F.trim(F.col("invoice_date").cast("string")), F.lit(""))
+    upper = lambda x: F.upper(T.trimmed(F.coalesce(x, F.lit(""))))
+    given = T.blank_to_null(F.col("invoice_date"))
     out = invoices.withColumns({"_v": upper(F.col("vendor_gstin")), "_c": upper(F.col("customer_gstin")), "_date_given": given})
     out = out.withColumns({"interstate": interstate_of(F.col("_v"), F.col("_c")), "_date": F.coalesce(F.col("_date_given").try_cast("timestamp"), V.parse_date(F.col("_date_given")).cast("timestamp"))})
     issues = F.array_compact(F.concat(F.array(*_head_issues(as_of)), _line_issues(), F.array(*_tail_issues())))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vahi.functions import text as T
 from vahi.functions import values as V
 
 LINE = "struct<role:string,ledger_id:bigint,debit_p:bigint,credit_p:bigint,confidence:double,mapped_via:string,hsn_code:string,gst_rate:double>"
@@ -12,7 +13,7 @@ LINE = "struct<role:string,ledger_id:bigint,debit_p:bigint,credit_p:bigint,confi
 
 def voucher_type(document_type: Column) -> Column:
     """V3: the type of voucher that a document becomes; unknown documents become purchases."""
-    d = F.upper(F.trim(F.coalesce(document_type, F.lit(""))))
+    d = F.upper(T.trimmed(F.coalesce(document_type, F.lit(""))))
     return F.when(d.isin("SALE", "SALES", "OUTWARD"), "SALE").when(d.isin("CREDIT_NOTE", "CREDITNOTE", "CN"), "CREDIT_NOTE").when(d.isin("DEBIT_NOTE", "DEBITNOTE", "DN"), "DEBIT_NOTE").otherwise("PURCHASE")
 
 
@@ -93,6 +94,18 @@ def bulk_approve(gated: DataFrame, only_high: bool = False) -> DataFrame:
     return out.withColumn("new_status", F.when(F.col("reason").isNull(), "APPROVED").otherwise(F.col("status")))
 
 
+def approval_events(approved: DataFrame, lines: DataFrame, invoices: DataFrame) -> DataFrame:
+    """What approvals teach (client_id, match_type, match_key, ledger_id, at): the ledger of each approved voucher's first party line, under its invoice's registration and vendor name.
+
+    Vouchers without invoice, without party line, or whose party has no ledger teach nothing; so do blank keys. at: the voucher's id, for approvals come in that order.
+    """
+    party = lines.where("role = 'PARTY'").groupBy("voucher_id").agg(F.min_by(F.struct("ledger_id"), "sort_order").alias("p")).where("p.ledger_id IS NOT NULL")
+    rows = approved.where("new_status = 'APPROVED'").select("voucher_id", "client_id", "invoice_id").join(party, "voucher_id").join(invoices.select("invoice_id", "vendor", "vendor_gstin"), "invoice_id")
+    key = lambda kind, v: F.struct(F.lit(kind).alias("match_type"), v.alias("match_key"))
+    keys = F.array(key("GSTIN", T.norm_gstin(F.col("vendor_gstin"))), key("VENDOR_NAME", T.norm_name(F.col("vendor"))))
+    return rows.select("client_id", F.explode(keys).alias("k"), F.col("p.ledger_id").alias("ledger_id"), F.col("voucher_id").alias("at")).select("client_id", "k.*", "ledger_id", "at").where("match_key <> ''")
+
+
 def auto_approve(gated: DataFrame, threshold: float = 0.9) -> DataFrame:
     """M3: drafts with at least this confidence, nulls left out."""
     return bulk_approve(gated.where(F.col("avg_confidence") >= threshold))

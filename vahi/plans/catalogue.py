@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vahi.functions import text as T
@@ -255,10 +255,10 @@ def a4_monthly(t: Tables) -> DataFrame:
     return reports.monthly(t.invoice)
 
 
-@query("SELECT coalesce(nullif(vendor, ''), 'Unknown') AS vendor, count(*) AS n, CAST(sum({t}) AS BIGINT) AS total_p, CAST(sum({x}) AS BIGINT) AS tax_p, CAST(floor(sum({t}) / count(*) + 0.5) AS BIGINT) AS mean_p FROM {invoice} GROUP BY 1".replace("{t}", P("total_amount")).replace("{x}", P("tax_amount")))
+@query("SELECT user_id, coalesce(nullif(vendor, ''), 'Unknown') AS vendor, count(*) AS n, CAST(sum({t}) AS BIGINT) AS total_p, CAST(sum({x}) AS BIGINT) AS tax_p, CAST(floor(sum({t}) / count(*) + 0.5) AS BIGINT) AS mean_p FROM {invoice} GROUP BY 1, 2".replace("{t}", P("total_amount")).replace("{x}", P("tax_amount")))
 def a5_vendor_breakdown(t: Tables) -> DataFrame:
-    """A5, O1: vendors by amount."""
-    return reports.vendor_breakdown(t.invoice).orderBy(F.desc("total_p"), "vendor")
+    """A5, O1: each user's vendors by amount."""
+    return reports.vendor_breakdown(t.invoice).orderBy("user_id", F.desc("total_p"), "vendor")
 
 
 @query("""
@@ -271,12 +271,13 @@ def a6_statement_rollup(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT coalesce(nullif(l.ledger_name, ''), nullif(i.vendor, ''), 'Unknown') AS party, CAST(sum(coalesce(nullif(l.credit_p, 0), nullif(v.credit_p, 0), 0)) AS BIGINT) AS owed_p
+SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY owed_p DESC, party) AS place FROM (
+SELECT v.client_id, coalesce(nullif(l.ledger_name, ''), nullif(i.vendor, ''), 'Unknown') AS party, CAST(sum(coalesce(nullif(l.credit_p, 0), nullif(v.credit_p, 0), 0)) AS BIGINT) AS owed_p
 FROM {voucher} v LEFT JOIN (SELECT * FROM {voucher_line} WHERE role = 'PARTY') l USING (voucher_id) LEFT JOIN {invoice} i ON i.invoice_id = v.invoice_id
-WHERE voucher_type IN ('PURCHASE', 'DEBIT_NOTE') GROUP BY 1 ORDER BY owed_p DESC, party LIMIT 20
+WHERE voucher_type IN ('PURCHASE', 'DEBIT_NOTE') GROUP BY 1, 2) QUALIFY place <= 20
 """)
 def a7_party_outstanding(t: Tables) -> DataFrame:
-    """The 20 parties that are owed most."""
+    """Each client's 20 parties that are owed most."""
     return reports.party_outstanding(t.voucher, t.voucher_line, t.invoice)
 
 
@@ -342,8 +343,8 @@ def p9_line_chips(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT voucher_id, client_id, priority, row_number() OVER (PARTITION BY client_id ORDER BY CASE priority WHEN 'critical' THEN 1 WHEN 'low' THEN 2 WHEN 'ready' THEN 3 ELSE 4 END, coalesce(avg_confidence, 1), voucher_id) AS position
-FROM (SELECT voucher_id, f.client_id, avg_confidence, CASE WHEN unmapped OR coalesce(avg_confidence < 0.7, FALSE) OR is_duplicate OR n_flags > 0
+SELECT voucher_id, client_id, priority, row_number() OVER (PARTITION BY client_id ORDER BY CASE priority WHEN 'critical' THEN 1 WHEN 'low' THEN 2 WHEN 'ready' THEN 3 ELSE 4 END, coalesce(avg_confidence, 1), avg_confidence NULLS LAST, created_at DESC, voucher_id) AS position
+FROM (SELECT voucher_id, f.client_id, avg_confidence, created_at, CASE WHEN unmapped OR coalesce(avg_confidence < 0.7, FALSE) OR is_duplicate OR n_flags > 0
   THEN CASE WHEN unmapped OR coalesce(avg_confidence < 0.5, FALSE) THEN 'critical' ELSE 'low' END WHEN avg_confidence >= 0.9 THEN 'high' ELSE 'ready' END AS priority
   FROM {_FLAGGED} f JOIN (SELECT invoice_id, is_duplicate, n_flags FROM {{invoice}}) USING (invoice_id) WHERE status = 'DRAFT')
 """)
@@ -398,10 +399,11 @@ def o2_ledger_order(t: Tables) -> DataFrame:
     return positions(rows, "client_id", [F.col("place"), F.col("name"), F.col("ledger_id")]).select("client_id", "ledger_id", "position")
 
 
-@query("SELECT voucher_id, client_id, status FROM {voucher} ORDER BY created_at DESC, voucher_id LIMIT 20")
+@query("SELECT voucher_id, client_id, status FROM {voucher} WHERE status = 'DRAFT' QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY created_at DESC, voucher_id) <= 20")
 def l1_top_20(t: Tables) -> DataFrame:
-    """L1, L2: the newest 20."""
-    return t.voucher.orderBy(F.desc("created_at"), "voucher_id").limit(20).select("voucher_id", "client_id", "status")
+    """L1, L2: each client's newest 20 drafts."""
+    w = Window.partitionBy("client_id").orderBy(F.desc("created_at"), "voucher_id")
+    return t.voucher.where("status = 'DRAFT'").withColumn("_n", F.row_number().over(w)).where("_n <= 20").select("voucher_id", "client_id", "status")
 
 
 # ---- functions ----
@@ -880,4 +882,5 @@ def k8_stored_invoices(t: Tables) -> DataFrame:
 
 FLAGSHIP = QUERIES["a10_recon_summary"]
 
-from vahi.plans import screens as _screens  # noqa: E402, F401  registers more queries
+from vahi.plans import changes as _changes  # noqa: E402, F401  registers more queries
+from vahi.plans import screens as _screens  # noqa: E402, F401

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from vahi.functions import text as T
 from vahi.functions import values as V
 
-_INV = "struct<inum:string,idt:string,txval:string,camt:string,samt:string,iamt:string,csamt:string,igst:string,cgst:string,sgst:string,cess:string,inv_typ:string>"
+# amounts stay JSON values, for a number and a text are read differently
+_INV = "struct<inum:string,idt:string,txval:variant,camt:variant,samt:variant,iamt:variant,csamt:variant,igst:variant,cgst:variant,sgst:variant,cess:variant,inv_typ:string>"
 _B2B = f"array<struct<ctin:string,trdnm:string,inv:array<{_INV}>>>"
 PORTAL = f"struct<data:struct<docdata:struct<b2b:{_B2B}>>,docdata:struct<b2b:{_B2B}>,b2b:{_B2B}>"
 # The names under which a flat statement may have each field.
@@ -35,7 +36,7 @@ def _typed(rows: DataFrame) -> DataFrame:
 
 def _either(one: str, other: str) -> Column:
     """The first amount that is neither missing, empty nor zero."""
-    return F.when(V.clean_money(F.col(one)) != 0, F.col(one)).otherwise(F.col(other))
+    return F.coalesce(F.nullif(V.json_money(F.col(one)), F.lit(0.0)), V.json_money(F.col(other)))
 
 
 def portal_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -44,15 +45,16 @@ def portal_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     rest = [c for c in payloads.columns if c != column]
     parties = payloads.withColumn("_d", doc).select(*rest, F.posexplode(F.coalesce("_d.data.docdata.b2b", "_d.docdata.b2b", "_d.b2b")).alias("party_no", "p"))
     rows = parties.select(*rest, "party_no", "p.ctin", "p.trdnm", F.posexplode("p.inv").alias("seq", "i"))
-    return _typed(rows.select(*rest, "party_no", "seq", F.col("ctin").alias("supplier_gstin"), F.col("trdnm").alias("supplier_name"), F.col("i.inum").alias("invoice_number"), F.col("i.idt").alias("invoice_date"), F.col("i.txval").alias("taxable_value"), *[_either(f"i.{a}", f"i.{b}").alias(a) for a, b in (("igst", "iamt"), ("cgst", "camt"), ("sgst", "samt"), ("cess", "csamt"))], F.col("i.inv_typ").alias("invoice_type")))
+    return _typed(rows.select(*rest, "party_no", "seq", F.col("ctin").alias("supplier_gstin"), F.col("trdnm").alias("supplier_name"), F.col("i.inum").alias("invoice_number"), F.col("i.idt").alias("invoice_date"), V.json_money(F.col("i.txval")).alias("taxable_value"), *[_either(f"i.{a}", f"i.{b}").alias(a) for a, b in (("igst", "iamt"), ("cgst", "camt"), ("sgst", "samt"), ("cess", "csamt"))], F.col("i.inv_typ").alias("invoice_type")))
 
 
 def flat_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """One row an object of a JSON array; the first name that has a value gives a field: an amount may be empty, a text may not."""
     rest = [c for c in payloads.columns if c != column]
-    rows = payloads.select(*rest, F.posexplode(F.from_json(column, "array<map<string,string>>")).alias("seq", "m"))
-    at = lambda k: F.try_element_at("m", F.lit(k))
-    value: dict[str, Column] = {name: F.coalesce(*[at(k) if name in _AMOUNTS else F.nullif(at(k), F.lit("")) for k in keys]) for name, keys in FLAT.items()}
+    rows = payloads.select(*rest, F.posexplode(F.from_json(column, "array<map<string,variant>>")).alias("seq", "m"))
+    at = lambda k: V.json_there(F.try_element_at("m", F.lit(k)))
+    text = lambda k: F.nullif(F.try_variant_get(at(k), "$", "string"), F.lit(""))
+    value: dict[str, Column] = {name: V.json_money(F.coalesce(*map(at, keys))) if name in _AMOUNTS else F.coalesce(*map(text, keys)) for name, keys in FLAT.items()}
     return _typed(rows.select(*rest, "seq", *[v.alias(k) for k, v in value.items()]))
 
 
@@ -69,11 +71,11 @@ def read_portal_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def bank_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """One row a transaction of data.transactions or transactions, numbered from 0."""
-    txn = "array<struct<date:string,description:string,ref:string,withdrawal:string,deposit:string,balance:string>>"
+    txn = "array<struct<date:string,description:string,ref:string,withdrawal:variant,deposit:variant,balance:variant>>"
     doc = F.from_json(column, f"struct<data:struct<transactions:{txn}>,transactions:{txn}>")
     rest = [c for c in payloads.columns if c != column]
     rows = payloads.withColumn("_d", doc).select(*rest, F.posexplode(F.coalesce("_d.data.transactions", "_d.transactions")).alias("sort_order", "t"))
-    return rows.select(*rest, "sort_order", V.parse_date(F.col("t.date")).alias("txn_date"), T.txn_description(F.col("t.description")).alias("description"), T.blank_to_null(F.col("t.ref")).alias("ref"), V.clean_money(F.col("t.withdrawal")).alias("withdrawal"), V.clean_money(F.col("t.deposit")).alias("deposit"))
+    return rows.select(*rest, "sort_order", V.parse_date(F.col("t.date")).alias("txn_date"), T.txn_description(F.col("t.description")).alias("description"), T.blank_to_null(F.col("t.ref")).alias("ref"), V.json_money(F.col("t.withdrawal")).alias("withdrawal"), V.json_money(F.col("t.deposit")).alias("deposit"))
 
 
 def invoice_rows(payloads: DataFrame, as_of: Column, column: str = "payload") -> DataFrame:
@@ -83,24 +85,26 @@ def invoice_rows(payloads: DataFrame, as_of: Column, column: str = "payload") ->
     Nulls in the list go; a list that is none is empty.
     """
     names = ("selected_item_name", "item_name", "name", "description", "qty", "quantity", "rate", "price", "amount", "total", "hsn_code", "hsn", "hsnCode", "gst_rate", "gstRate", "tax_rate")
-    item = f"struct<{','.join(f'`{x}`:string' for x in names)}>"
-    doc = F.from_json(column, f"struct<invoice_number:string,date:string,vendor:string,vendor_gstin:string,customer_name:string,customer_gstin:string,subtotal:string,cgst:string,sgst:string,igst:string,discount:string,total_amount:string,items:array<{item}>>", {"caseSensitive": "true"})
+    kind = lambda x: "variant" if x in ("qty", "quantity", "rate", "price", "amount", "total", "gst_rate", "gstRate", "tax_rate") else "string"
+    item = f"struct<{','.join(f'`{x}`:{kind(x)}' for x in names)}>"
+    doc = F.from_json(column, f"struct<invoice_number:string,date:string,vendor:string,vendor_gstin:string,customer_name:string,customer_gstin:string,subtotal:variant,cgst:variant,sgst:variant,igst:variant,discount:variant,total_amount:variant,items:array<{item}>>", {"caseSensitive": "true"})
     d = lambda x: F.col(f"_d.{x}")
 
     def one(x: Column) -> Column:
         first = lambda *keys: F.coalesce(*[x[k] for k in keys])
-        qty, rate, price = V.clean_money(first("qty", "quantity")), V.clean_money(x["rate"]), V.clean_money(first("price", "amount", "total"))
-        rate_of = first("gst_rate", "gstRate", "tax_rate")
+        there = lambda *keys: F.coalesce(*[V.json_there(x[k]) for k in keys])
+        qty, rate, price = (V.json_money(there(*keys)) for keys in (("qty", "quantity"), ("rate",), ("price", "amount", "total")))
+        rate_of = there("gst_rate", "gstRate", "tax_rate")
         return F.struct(
             F.coalesce(*[T.blank_to_null(x[k]) for k in names[:4]], F.lit("Item")).alias("name"), qty.alias("qty"), rate.alias("rate"), F.when(price != 0, price).otherwise(qty * rate).alias("price"),
-            T.blank_to_null(first("hsn_code", "hsn", "hsnCode")).alias("hsn_code"), F.when(rate_of.isNotNull(), V.clean_money(rate_of)).alias("gst_rate"),
+            T.blank_to_null(first("hsn_code", "hsn", "hsnCode")).alias("hsn_code"), F.when(rate_of.isNotNull(), V.json_money(rate_of)).alias("gst_rate"),
         )
 
     items = F.coalesce(F.transform(F.filter(d("items"), lambda x: x.isNotNull()), one), F.array())
     rest = [c for c in payloads.columns if c != column]
     return payloads.withColumn("_d", doc).select(
         *rest, T.blank_to_null(d("invoice_number")).alias("invoice_number"), V.clean_date(d("date"), as_of).alias("invoice_date"), T.blank_to_null(d("vendor")).alias("vendor"), T.norm_gstin(d("vendor_gstin")).alias("vendor_gstin"),
-        T.blank_to_null(d("customer_name")).alias("customer_name"), T.norm_gstin(d("customer_gstin")).alias("customer_gstin"), *[V.clean_money(d(c)).alias(c) for c in ("subtotal", "cgst", "sgst", "igst", "discount", "total_amount")], items.alias("items"),
+        T.blank_to_null(d("customer_name")).alias("customer_name"), T.norm_gstin(d("customer_gstin")).alias("customer_gstin"), *[V.json_money(d(c)).alias(c) for c in ("subtotal", "cgst", "sgst", "igst", "discount", "total_amount")], items.alias("items"),
     )
 
 
