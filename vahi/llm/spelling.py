@@ -150,44 +150,53 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def near_in_bucket(words: list[str], whole: list[bool]) -> Iterator[tuple[int, int]]:
-    """The pairs of a bucket's words that are one edit apart, by a positional inverted index of the bucket.
+    """The pairs of a bucket's words that are one edit apart, by a positional inverted index of the bucket, whose lists are sorted.
 
     A longer word of L characters has L + 2 grams, and a word within one edit shares at least L - 1 of them, at the same position or, if it is shorter, at the
-    same or the one before. So it is in one of any four of the L + 2 lists: the four shortest are heap-merged, and what comes up is counted in the others by binary
-    search, kept at L - 1 and then compared. Each pair comes once, by the longer or later word.
+    same or the one before. So at least L - 1 lists have members, and the word is in one of the shortest of those, all but L - 2: they are heap-merged, and what comes up
+    is counted in the others by binary search, kept at L - 1 and then compared. Words are asked one after the other and then join the index, so a pair comes once.
     """
-    own = [grams(word) for word in words]
-    index: dict[tuple[int, int, bool], list[int]] = defaultdict(list)
-    for k, of in enumerate(own):
-        for place, gram in enumerate(of):
-            index[gram, place, whole[k]].append(k)
-    none: list[int] = []
+    shorter: dict[tuple[str, int], list[int]] = {}
+    for k, word in enumerate(words):
+        if not whole[k]:
+            for key in _places(word):
+                shorter.setdefault(key, []).append(k)
+    earlier: dict[tuple[str, int], list[int]] = {}
     for k, word in enumerate(words):
         if not whole[k]:
             continue
-        least = len(word) - 1
-        same = [index.get((gram, place, True), none) for place, gram in enumerate(own[k])]
-        found = _common(same, least, lambda x, k=k: x < k)
-        shorter = [sorted({*index.get((gram, place, False), none), *index.get((gram, place - 1, False), none)}) for place, gram in enumerate(own[k])]
-        found += _common(shorter, least, lambda x: True)
+        least, own = len(word) - 1, _places(word)
+        same = [x for key in own if (x := earlier.get(key))]
+        found = _common(same, least) if len(same) >= least else []
+        if shorter:
+            both = [(shorter.get(key), shorter.get((key[0], key[1] - 1))) for key in own]
+            lists = [sorted({*x, *y}) if x and y else x or y for x, y in both if x or y]
+            if len(lists) >= least:
+                found += _common(lists, least)
         for other in found:
             if one_edit(word, words[other]):
                 yield k, other
+        for key in own:
+            earlier.setdefault(key, []).append(k)
+
 
+def _places(word: str) -> list[tuple[str, int]]:
+    """The word's grams with their positions."""
+    padded = f"\0\0{word}\0\0"
+    return [(padded[p : p + Q], p) for p in range(len(word) + 2)]
 
-def _common(lists: list[list[int]], least: int, admitted) -> list[int]:
+
+def _common(lists: list[list[int]], least: int) -> list[int]:
     """The members of at least `least` of the sorted lists."""
     lists = sorted(lists, key=len)
     first, rest = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
-    out, last = [], -1
-    merged = list(heapq.merge(*first)) if sum(map(bool, first)) > 1 else max(first, key=len, default=[])
+    out: list[int] = []
+    merged = list(heapq.merge(*first)) if len(first) > 1 else first[0] if first else []
     at, n = 0, len(merged)
     while at < n:
         x, times = merged[at], 0
         while at < n and merged[at] == x:
             at, times = at + 1, times + 1
-        if not admitted(x) or x == last:
-            continue
         left = len(rest)
         for members in reversed(rest):  # the longest first: most hits
             if times + left < least or times >= least:
@@ -196,7 +205,6 @@ def _common(lists: list[list[int]], least: int, admitted) -> list[int]:
             times, left = times + (p < len(members) and members[p] == x), left - 1
         if times >= least:
             out.append(x)
-            last = x
     return out
 
 
@@ -239,7 +247,8 @@ def near_words(spark: SparkSession, words: DataFrame, ranks: np.ndarray) -> Data
     posted = words.mapInArrow(_postings(shared), "bucket long, whole boolean, word string, n long")
     sharded = posted.repartition(max(tasks(spark), 1), "bucket").sortWithinPartitions("bucket", "word")
     once = sharded.mapInArrow(_near, "word string, n long, near string, near_n long").dropDuplicates(["word", "near"])
-    return once.unionByName(once.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    end = lambda *names: F.struct(*[F.col(c).alias(as_) for c, as_ in zip(names, ("word", "n", "near", "near_n"), strict=True)])
+    return once.select(F.inline(F.array(end("word", "n", "near", "near_n"), end("near", "near_n", "word", "n"))))
 
 
 def roots(forms: DataFrame) -> DataFrame:
