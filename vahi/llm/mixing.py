@@ -71,7 +71,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     )
     sized = stored(sized, "mix-sizes")
     sources = stored(source_targets(sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), weights, most), "mix-sources")
-    n_sources, n_rows = sources.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    n_sources, n_rows, budget = sources.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.max("total"), F.lit(0))).first()
     few = n_sources <= BROADCAST_IDS
 
     order = ["shuffle", "doc_id", "size", "row"]
@@ -95,8 +95,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     sums = sent.groupBy("part").agg(F.sum("words").alias("part_words"))  # one row a partition
     sums = sums.select("part", F.coalesce(F.sum("part_words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sent_before"))
     running = F.sum("words").over(Window.partitionBy("part").orderBy(*line).rowsBetween(Window.unboundedPreceding, 0))
-    budget = sources.agg(F.max("total").alias("budget"))
-    in_line = sent.withColumn("running", running).join(F.broadcast(sums), "part").join(F.broadcast(budget)).withColumn("over", F.greatest(F.lit(0), F.col("sent_before") + F.col("running") - F.col("budget")))
+    in_line = sent.withColumn("running", running).join(F.broadcast(sums), "part").withColumn("over", F.greatest(F.lit(0), F.col("sent_before") + F.col("running") - budget))
     served = in_line.where("over < words").groupBy("place").agg(F.max(F.col("upto") - F.col("over")).alias("served"))  # a row a source
     sources = stored(sources.join(served, "place", "left").withColumn("served", F.coalesce("served", F.lit(0))), "mix-served")
 
