@@ -36,7 +36,7 @@ def draft_vouchers(invoices: DataFrame, items: DataFrame, existing: DataFrame, r
     rows = rows.withColumns({"gstin_key": T.norm_gstin(F.col("vendor_gstin")), "name_key": T.norm_name(F.col("vendor"))})
     rows = stored(rows, "to-draft")  # three readers follow
 
-    parties = L.resolve_parties(rows.select("client_id", "gstin_key", "name_key"), rules, memory, ledgers).select("client_id", "gstin_key", "name_key", F.col("ledger_id").alias("_party"), F.col("confidence").alias("_sure"), F.col("via").alias("_via"))
+    parties = L.resolve_parties(rows.select("client_id", "gstin_key", "name_key").distinct(), rules, memory, ledgers).select("client_id", "gstin_key", "name_key", F.col("ledger_id").alias("_party"), F.col("confidence").alias("_sure"), F.col("via").alias("_via"))
     rows = L.null_safe_left(rows, parties, ["client_id", "gstin_key", "name_key"])
     own = ledgers.select("client_id", F.col("ledger_id").alias("_asked"), F.lit(True).alias("_own"))
     rows = rows.join(own, ["client_id", "_asked"], "left")

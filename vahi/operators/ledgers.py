@@ -35,7 +35,13 @@ def candidates_of(memory: DataFrame, ledgers: DataFrame) -> DataFrame:
     """Names that parties are compared with: remembered names first, then party ledgers."""
     known = memory.where("match_type = 'VENDOR_NAME'").select("client_id", "ledger_id", F.col("match_key").alias("norm"), "hit_count", F.struct(F.lit(0).alias("k"), F.col("ledger_id").alias("i"), F.col("match_key").alias("m")).alias("seq"))
     named = ledgers.where("ledger_type = 'PARTY'").select("client_id", "ledger_id", T.norm_name(F.col("name")).alias("norm"), F.lit(0).alias("hit_count"), F.struct(F.lit(1).alias("k"), F.col("ledger_id").alias("i"), F.col("name").alias("m")).alias("seq"))
-    return stored(known.unionByName(named).where("norm IS NOT NULL"), "candidates")  # its names are asked several times
+    return stored(known.unionByName(named), "candidates").where("norm IS NOT NULL")  # its names are asked several times; a filter before would make each twice
+
+
+def party_keys(rows: DataFrame) -> DataFrame:
+    """The distinct (client_id, gstin_key, name_key) of rows with vendor and vendor_gstin; each spelling is normalised once."""
+    spelt = rows.select("client_id", "vendor", "vendor_gstin").distinct()
+    return spelt.select("client_id", T.norm_gstin(F.col("vendor_gstin")).alias("gstin_key"), T.norm_name(F.col("vendor")).alias("name_key")).distinct()
 
 
 def resolve_parties(parties: DataFrame, rules: DataFrame, memory: DataFrame, ledgers: DataFrame) -> DataFrame:
@@ -46,7 +52,7 @@ def resolve_parties(parties: DataFrame, rules: DataFrame, memory: DataFrame, led
     """
     parties = stored(parties.select("client_id", "gstin_key", "name_key").distinct(), "parties")
     key = ["client_id", "gstin_key", "name_key"]
-    active = stored(rules.where("enabled AND rule_type <> 'HSN_EQUALS'").select("client_id", "rule_type", "rule_id", "priority", F.col("ledger_id").alias("rule_ledger"), T.norm_pattern(F.col("rule_type"), F.col("pattern")).alias("norm")).where("norm <> ''"), "rules")  # its keys are asked several times
+    active = stored(rules.where("enabled AND rule_type <> 'HSN_EQUALS'").select("client_id", "rule_type", "rule_id", "priority", F.col("ledger_id").alias("rule_ledger"), T.norm_pattern(F.col("rule_type"), F.col("pattern")).alias("norm")), "rules").where("norm <> ''")  # its keys are asked several times
     of = lambda kind, name: active.where(F.col("rule_type") == kind).withColumnRenamed("norm", name)
     inside = contains_join(parties, of("VENDOR_NAME_CONTAINS", "norm"), "name_key", "norm", ["client_id"])
     hits = [

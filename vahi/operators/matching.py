@@ -9,16 +9,21 @@ from vahi.functions import text as T
 from vahi.storage import stored
 
 
+#: Bigrams of texts, 8 bytes each, up to which they are broadcast.
+FETCHED = 4_000_000
+
+
 def _texts(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     """The distinct texts t of a column, numbered; stored, so that the numbers stay."""
     return stored(rows.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("t")).distinct().withColumn("id", F.monotonically_increasing_id()), "names")
 
 
-def _bigrams(t: Column) -> Column:
-    """The bigrams of a text as whole numbers: two code points, and which occurrence of them it is, so that a multiset becomes a set."""
-    code = lambda k: F.ascii(F.substring(t, k, F.lit(1))).cast("long")
-    ordered = F.sort_array(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda k: code(k) * (1 << 42) + code(k + 1) * (1 << 21)))
-    return F.transform(ordered, lambda g, k: g + k - F.array_position(ordered, g) + 1)
+def _with_bigrams(rows: DataFrame) -> DataFrame:
+    """rows with `grams`, the bigrams of the text t as whole numbers: two code points, and which occurrence of them it is, so that a multiset becomes a set."""
+    code = lambda k: F.ascii(F.substring(F.col("t"), k, F.lit(1))).cast("long")
+    ordered = F.sort_array(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda k: code(k) * (1 << 42) + code(k + 1) * (1 << 21)))
+    rows = rows.withColumn("_ordered", ordered)  # a column of its own, or the lambda would make it anew for each bigram
+    return rows.withColumn("grams", F.transform("_ordered", lambda g, k: g + k - F.array_position("_ordered", g) + 1)).drop("_ordered")
 
 
 def _least_shared(n: Column, m: Column, least: float) -> Column:
@@ -34,7 +39,7 @@ def dice_candidates(x: DataFrame, y: DataFrame, by: list[str], least: float) ->
     leaves at most min(i, j) + min(n - i, m - j) shared ones (positional filter). What meets are numbers; the bigrams themselves stay behind.
     """
     both = x.select(*by, "id", F.lit("a").alias("side"), "t").unionByName(y.select(*by, "id", F.lit("b").alias("side"), "t")).where(F.length("t") > 1)
-    each = both.select(*by, "side", "id", F.explode(_bigrams(F.col("t"))).alias("g"))
+    each = _with_bigrams(both).select(*by, "side", "id", F.explode_outer("grams").alias("g"))  # none is empty, and explode would ask twice
     each = stored(each, "bigrams")
     times = each.groupBy(*by, "g").agg(F.count("*").alias("df"))
     ranked = each.join(times, [*by, "g"]).groupBy(*by, "side", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "g"))), lambda z: z.g).alias("grams"))
@@ -51,12 +56,14 @@ def dice_candidates(x: DataFrame, y: DataFrame, by: list[str], least: float) ->
 def dice_join(left: DataFrame, right: DataFrame, a: str, b: str, by: list[str], least: float) -> DataFrame:
     """Distinct (by, a, b, score) of the texts of both sides whose Dice similarity is at least `least`, within equal `by` columns.
 
-    Candidates come from dice_candidates, then the two texts' bigrams are fetched and intersected. Equal texts, which score 1 even without bigrams, join directly.
+    Candidates come from dice_candidates, then the two texts' bigrams are fetched and intersected: from tables that every task has, if the texts have no more than FETCHED
+    bigrams, else by shuffles. Equal texts, which score 1 even without bigrams, join directly.
     Null texts match nothing; texts of one character match only themselves.
     """
     x, y = _texts(left, a, by), _texts(right, b, by)
     pairs, grams = dice_candidates(x, y, by, least)
-    of = lambda rows, s: rows.select(F.col("id").alias(f"id_{s}"), F.col("t").alias(f"_{s}")).join(grams.where(F.col("side") == s).select(F.col("id").alias(f"id_{s}"), F.col("grams").alias(f"g_{s}")), f"id_{s}")
+    held = F.broadcast if grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= FETCHED else lambda rows: rows
+    of = lambda rows, s: held(rows.select(F.col("id").alias(f"id_{s}"), F.col("t").alias(f"_{s}")).join(grams.where(F.col("side") == s).select(F.col("id").alias(f"id_{s}"), F.col("grams").alias(f"g_{s}")), f"id_{s}"))
     met = pairs.join(of(x, "a"), "id_a").join(of(y, "b"), "id_b").where(F.col("_a") != F.col("_b"))
     shared = F.size(F.array_intersect("g_a", "g_b"))
     scored = met.select(*by, "_a", "_b", (F.lit(2.0) * shared / (F.size("g_a") + F.size("g_b"))).alias("score")).where(F.col("score") >= least)

@@ -551,8 +551,7 @@ FROM f LEFT JOIN near ON near.client_id = f.client_id AND near.name = f.name
 def v4_party_resolution(t: Tables) -> DataFrame:
     """The ledger of each distinct party."""
     c = F.col
-    parties = t.invoice.select("client_id", T.norm_gstin(c("vendor_gstin")).alias("gstin_key"), T.norm_name(c("vendor")).alias("name_key"))
-    out = ledgers.resolve_parties(parties, t.mapping_rule, t.memory, t.ledger)
+    out = ledgers.resolve_parties(ledgers.party_keys(t.invoice), t.mapping_rule, t.memory, t.ledger)
     return out.select("client_id", "gstin_key", "name_key", "ledger_id", F.floor(F.lit(10000) * c("confidence") + F.lit(0.5)).cast("long").alias("confidence"), "via")
 
 
@@ -565,7 +564,7 @@ SELECT client_id, name AS name_key, ledger_id, CAST(floor(10000 * score + 0.5) A
 """)
 def v4b_party_suggestion(t: Tables) -> DataFrame:
     """Lenient suggestions."""
-    names = t.invoice.select("client_id", T.norm_name(F.col("vendor")).alias("name_key")).where("name_key IS NOT NULL").distinct()
+    names = stored(ledgers.party_keys(t.invoice).select("client_id", "name_key").distinct(), "names").where("name_key IS NOT NULL")
     out = ledgers.suggest_parties(names, ledgers.candidates_of(t.memory, t.ledger))
     return out.select("client_id", "name_key", "ledger_id", F.floor(F.lit(10000) * F.col("score") + F.lit(0.5)).cast("long").alias("score"))
 
@@ -605,7 +604,7 @@ ON c = client_id AND CASE rule_type WHEN 'GSTIN_EQUALS' THEN g = norm WHEN 'VEND
 def v14_rule_preview(t: Tables) -> DataFrame:
     """How many invoices each rule would reach, all of them counted: equal keys join directly, names are counted once a distinct name."""
     rules = t.mapping_rule.select("rule_id", "client_id", "rule_type", T.norm_pattern(F.col("rule_type"), F.col("pattern")).alias("norm"))
-    rules = stored(rules.where("norm <> ''"), "rules")
+    rules = stored(rules, "rules").where("norm <> ''")
     of = lambda kind: rules.where(F.col("rule_type") == kind).drop("rule_type")
     counted = lambda key: t.invoice.select("client_id", key.alias("norm")).where("norm IS NOT NULL").groupBy("client_id", "norm").agg(F.count("*").alias("n"))
     names = stored(counted(T.norm_name(F.col("vendor"))), "names")

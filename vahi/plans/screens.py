@@ -315,6 +315,5 @@ FROM v4 LEFT JOIN v4b ON v4b.client_id = v4.client_id AND v4b.name_key = v4.name
 def v4b_behind_v4(t: Tables) -> DataFrame:
     """The ledger of each party, and the lenient suggestion where there is none."""
     c = F.col
-    parties = t.invoice.select("client_id", T.norm_gstin(c("vendor_gstin")).alias("gstin_key"), T.norm_name(c("vendor")).alias("name_key"))
-    out = ledgers.suggested(ledgers.resolve_parties(parties, t.mapping_rule, t.memory, t.ledger), ledgers.candidates_of(t.memory, t.ledger))
+    out = ledgers.suggested(ledgers.resolve_parties(ledgers.party_keys(t.invoice), t.mapping_rule, t.memory, t.ledger), ledgers.candidates_of(t.memory, t.ledger))
     return out.select("client_id", "gstin_key", "name_key", "ledger_id", c("suggested_ledger").alias("suggested"), F.floor(F.lit(10000) * c("suggested_score") + F.lit(0.5)).cast("long").alias("score"))
