@@ -164,10 +164,13 @@ def _hits(docs: DataFrame, needed: Windows) -> DataFrame:
         for part in chunks(batches, "text"):
             text, begin, length, window, words = shared.value.occurrences(part.column("text"))
             out: list[list] = [[[] for _ in range(part.num_rows)] for _ in range(3)]
+            found: list[set[int]] = [set() for _ in range(part.num_rows)]
             for t, b, n, w in zip(text.tolist(), begin.tolist(), length.tolist(), window.tolist(), strict=True):
                 out[0][t].append(b)
                 out[1][t].append(b + n)
-                out[2][t] += shared.value.items[w]
+                found[t].add(w)
+            for t, held in enumerate(found):  # a window's items once a row, however often it occurs there
+                out[2][t] = list(set().union(*(shared.value.items[w] for w in held)))
             yield pa.record_batch([part.column("doc_id"), part.column("row_key"), pa.array(words, pa.int64()), *(pa.array(x, ints) for x in out)], names=["doc_id", "row_key", "n_words", "starts", "ends", "items"])
 
     return docs.mapInArrow(match, "doc_id long, row_key long, n_words long, starts array<long>, ends array<long>, items array<long>")

@@ -136,9 +136,11 @@ def line_dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batc
     low, high, total = lines.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     if low is not None:
         runs = LineRuns(spark, max(tasks(spark), total // BUCKET_LINES + 1), fanout)
-        step = (high - low) // batches + 1
-        for k in reversed(range(batches)):
-            runs.add(lines.where((F.col("doc_id") >= low + k * step) & (F.col("doc_id") < low + (k + 1) * step)))
+        shares = [k / batches for k in range(1, batches)]
+        cuts = lines.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 1000)).first()[0] if shares else []
+        edges = [low, *sorted({c for c in cuts if low < c <= high}), None]  # batches of about as many lines; equal ids stay together
+        for first, past in reversed(list(zip(edges, edges[1:], strict=False))):
+            runs.add(lines.where(F.col("doc_id") >= first) if past is None else lines.where((F.col("doc_id") >= first) & (F.col("doc_id") < past)))
         lost = join_by(lines, runs.common(least_docs), "key", "n_docs", total).where("doc_id <> owner").select("doc_id", "text_key", "line_no")
     else:
         lost = lines.select("doc_id", "text_key", "line_no")

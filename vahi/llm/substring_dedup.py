@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vahi.llm.common import chunks, compact, mix, raw, run_hashes, span_hashes, stored, tasks, text_key, word_spans
+from vahi.llm.common import chunks, compact, join_by, mix, raw, run_hashes, span_hashes, stored, tasks, text_key, word_spans
 
 WINDOW = 50
 #: Words of the runs of which a window's smallest hash is its minimiser: long enough that no run is common by chance.
@@ -22,6 +22,8 @@ MINIMISER = 4
 PACK_BYTES, SORT_BYTES = 8 << 20, 1 << 20
 #: Bytes of runs and ids of one minimiser that a task holds; the windows of those with more are dealt on one by one. One of SAMPLED documents is counted to know them before.
 HOT_BYTES, SAMPLED = 8 << 20, 64
+#: Hot minimisers that go to the executors by name; the list is a hint, and its size is fixed whatever the corpus.
+MOST_HOT = 100_000
 #: About what a run and an id of it take.
 _RUN_BYTES, _ID_BYTES = 300, 64
 #: Ids in a batch of windows.
@@ -63,7 +65,7 @@ def super_kmers(data: np.ndarray, bounds: np.ndarray, window: int) -> Iterator[t
 
 
 def hot_minimisers(docs: DataFrame, window: int) -> frozenset[int]:
-    """The minimisers whose runs would take more than HOT_BYTES, by a sample. It only decides how runs are dealt; _judge finds those that it missed."""
+    """The minimisers whose runs would take more than HOT_BYTES, by a sample, the hottest MOST_HOT of them. It only decides how runs are dealt; _judge finds those that it missed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
@@ -72,7 +74,7 @@ def hot_minimisers(docs: DataFrame, window: int) -> frozenset[int]:
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
     sums = some.mapInArrow(count, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    return frozenset(r.minimiser for r in sums.where(F.col("n") * SAMPLED * (_RUN_BYTES + _ID_BYTES) > HOT_BYTES).where("n > 1").collect())
+    return frozenset(r.minimiser for r in sums.where(F.col("n") * SAMPLED * (_RUN_BYTES + _ID_BYTES) > HOT_BYTES).where("n > 1").orderBy(F.desc("n"), "minimiser").limit(MOST_HOT).collect())
 
 
 def _pack(window: int, buckets: int, hot: frozenset[int]):
@@ -241,9 +243,9 @@ def _judge(window: int, hot: frozenset[int]):
 
 
 def _spans_of_windows(windows: DataFrame, window: int) -> DataFrame:
-    """The spans of the windows that _judge passed on: the smallest document by window is found in Spark, so no task holds a window's documents."""
-    ends = windows.groupBy("digest").agg(F.min(F.array_min("docs")).alias("earliest"), F.max(F.array_max("docs")).alias("latest")).where("earliest < latest")
-    each = windows.join(ends.select("digest", "earliest"), "digest").select("first", "earliest", F.inline(F.arrays_zip("docs", "keys", "starts")))
+    """The spans of the windows that _judge passed on: the smallest document by window is found in Spark, and rows of hot windows stay where they are, so no task holds a window's documents."""
+    ends = windows.groupBy("digest").agg(F.min(F.array_min("docs")).alias("earliest"), F.max(F.array_max("docs")).alias("latest"), F.count("*").alias("rows")).where("earliest < latest")
+    each = join_by(windows, ends.select("digest", "earliest", "rows"), "digest", "rows", windows.count()).select("first", "earliest", F.inline(F.arrays_zip("docs", "keys", "starts")))
     at = F.col("starts") + F.col("first")
     return each.where("docs > earliest").select(F.col("docs").alias("doc_id"), F.col("keys").alias("text_key"), at.alias("first"), (at + F.lit(window)).alias("past"))
 
