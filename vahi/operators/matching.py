@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vahi.functions import text as T
-from vahi.storage import stored
+from vahi.storage import forget, stored
 
 
 #: Bigrams of texts, 8 bytes each, up to which they are broadcast.
@@ -44,6 +44,7 @@ def dice_candidates(x: DataFrame, y: DataFrame, by: list[str], least: float) ->
     times = each.groupBy(*by, "g").agg(F.count("*").alias("df"))
     ranked = each.join(times, [*by, "g"]).groupBy(*by, "side", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "g"))), lambda z: z.g).alias("grams"))
     ranked = stored(ranked.withColumn("n", F.size("grams")), "bigrams")
+    forget(each)
     longest = (F.col("n") - F.ceil(F.col("n") * F.lit(least / (2 - least)) - F.lit(1e-9)) + 1).cast("int")  # for the shortest partner there can be
     prefix = ranked.select(*by, "side", "id", "n", F.posexplode(F.slice("grams", F.lit(1), longest)).alias("i", "g")).withColumn("i", F.col("i") + 1)
     side = lambda s: prefix.where(F.col("side") == s).select(*by, "g", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "i")])

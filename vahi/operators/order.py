@@ -13,16 +13,28 @@ from vahi.storage import stored, tasks
 def positions(rows: DataFrame, by: str, order: Sequence[Column], name: str = "position") -> DataFrame:
     """rows with each row's place, from 1, in the order within its group.
 
-    Rows are dealt to ranges of (group, order), so a large group spreads over many tasks; the counts of each group in each range, one small row each, give the
-    places before the range. The order must be total within a group for a stable result.
+    Rows are dealt to ranges of (group, order) and sorted there, so a large group spreads over many tasks, and numbered in their partition by Spark itself. A row's place is that number less
+    the first one of its group in the range, plus the rows of the group in the ranges before: one small row each group and range, so the rows are shuffled once.
+    The order must be total within a group for a stable result.
     """
-    keys = [F.col(by).asc_nulls_first(), *order]
-    dealt = stored(rows.repartitionByRange(tasks(rows.sparkSession), *keys).withColumn("_part", F.spark_partition_id()), "positions")
-    counts = dealt.groupBy(by, "_part").agg(F.count("*").alias("_n"))
-    before = counts.select(F.col(by).alias("_by"), "_part", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part", by).orderBy(*order)))
-    placed = placed.join(before.withColumnRenamed("_part", "_p"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
-    return placed.withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).drop("_part", "_p", "_by", "_before", "_nth")
+    spark, keys = rows.sparkSession, [F.col(by).asc_nulls_first(), *order]
+    dealt = rows.repartitionByRange(tasks(spark), *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    dealt = stored(dealt.withColumn("_part", F.shiftright("_at", 33)), "positions")  # the bits above 33 are the partition, the others the row's number in it
+    counts = dealt.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), (earlier - F.col("_first") + 1).alias("_shift"))
+    placed = dealt.join(_few(before), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    return placed.withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_p", "_by", "_shift")
+
+
+#: Rows, one each group and range, that are broadcast at most.
+FEW_ROWS = 200_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows to be broadcast if, counted first, they are few; else as they are, for a join by shuffle."""
+    rows = stored(rows, "offsets")
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
 
 
 def earlier_sums(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
@@ -41,5 +53,5 @@ def earlier_sums(rows: DataFrame, by: Sequence[str], order: Sequence[Column], su
     same = F.col("_part") == F.col("_p")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    met = dealt.withColumns({f"_inside_{k}": F.sum(f"_{k}").over(inside) for k in sums}).join(carried, same)
+    met = dealt.withColumns({f"_inside_{k}": F.sum(f"_{k}").over(inside) for k in sums}).join(_few(carried), same)
     return met.select(*rows.columns, *[(F.coalesce(f"_before_{k}", F.lit(0)) + F.coalesce(f"_inside_{k}", F.lit(0))).alias(k) for k in sums])

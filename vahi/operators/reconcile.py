@@ -14,7 +14,7 @@ from vahi.functions import values as V
 from vahi.operators.order import positions
 from vahi.operators.skew import join_hot
 from vahi.sources import snapshots
-from vahi.storage import stored
+from vahi.storage import forget, stored
 
 RESULT = "client_id int, gstin string, row_id long, invoice_id long, status string, taxable_diff double, tax_diff double, row_tax double"
 _RESULT_TYPES = pa.schema([
@@ -131,15 +131,16 @@ def _mixed_components(pairs: DataFrame) -> DataFrame:
     Labels go from pair to key and back until nothing changes; each round is stored. Rounds are half as many as the longest chain of different keys.
     """
     label = F.concat_ws("\u0001", "exact", "soft")
-    now = stored(pairs.withColumn("digits", label), "components")
+    now = held = stored(pairs.withColumn("digits", label), "components")
     while True:
         least = lambda key: now.groupBy("client_id", "gstin", key).agg(F.min("digits").alias(f"_{key}"), F.count("*").alias("_w"))  # noqa: B023, E731
         total = now.count()
         out = join_hot(join_hot(now, least("exact"), ["client_id", "gstin", "exact"], "_w", total), least("soft"), ["client_id", "gstin", "soft"], "_w", total)
         out = stored(out.withColumn("_new", F.least("_exact", "_soft")), "components")
+        forget(held)
         if out.where("_new < digits").isEmpty():
             return out.select(*_KEYS, "n", "digits")
-        now = out.select(*_KEYS, "n", F.col("_new").alias("digits"))
+        now, held = out.select(*_KEYS, "n", F.col("_new").alias("digits")), out
 
 
 def _in_places(sides: DataFrame, tolerance: float) -> DataFrame:

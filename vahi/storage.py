@@ -28,7 +28,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    object.__setattr__(out, "_stored_at", path)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that stored() gave and that nobody reads any more: all that was made of them is stored itself. Other DataFrames are left alone."""
+    for df in tables:
+        if (path := df.__dict__.pop("_stored_at", None)) is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tasks(spark: SparkSession) -> int:
