@@ -20,6 +20,8 @@ TERM_BITS = 18
 TERMS = 1 << TERM_BITS
 #: Bytes of ids of a shard of the index; of a task while there are fewer than MOST_TASKS, and beyond that. Tasks and shards depend on the data alone.
 SHARD_BYTES, TASK_BYTES, MOST_TASKS, LARGE_TASK_BYTES = 6 << 20, 24 << 20, 4096, 1 << 30
+#: A shard has no more documents than this, however short they are.
+SHARD_DOCS = 100_000
 #: Terms that more than one in DENSE documents of a shard hold are rows of a dense matrix; and so many neighbours are ranked first, the rest if they are asked for.
 DENSE, FIRST = 16, 64
 K1, B = 1.2, 0.75
@@ -141,28 +143,45 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.doc, self.score = doc[order], score[order].astype(np.float64)  # as bincount takes them
         self.lists = np.searchsorted(term[order], np.arange(TERMS + 1))
-        self.terms, self.unused, self.names = terms, np.ones(len(terms), bool), np.arange(len(terms))
+        self.terms, self.unused, self.names, self.gone = terms, np.ones(len(terms), bool), np.arange(len(terms)), 0
+
+    def use(self, k: int) -> None:
+        """Takes a document out of what is answered."""
+        self.unused[k] = False
+        self.gone += 1
 
     def _forget(self) -> None:
         """Takes the used documents out of lists and matrix once they are half of those held."""
-        keep = self.unused[self.names]
-        if 2 * int(np.count_nonzero(keep)) <= len(keep):
+        if 2 * self.gone >= len(self.names):
+            keep = self.unused[self.names]
             place, stays = np.cumsum(keep) - 1, keep[self.doc]
             self.lists = np.concatenate(([0], np.cumsum(stays)))[self.lists]
             self.doc, self.score = place[self.doc[stays]], self.score[stays]
-            self.dense, self.names = np.ascontiguousarray(self.dense[:, keep]), self.names[keep]
+            self.dense, self.names, self.gone = np.ascontiguousarray(self.dense[:, keep]), self.names[keep], 0
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """All unused documents that share a term with the seed, best score first, ties by place; every term of the seed counts."""
-        self._forget()
+        """All unused documents that share a term with the seed, best score first, ties by place; every term of the seed counts.
+
+        A seed without frequent terms costs the length of its terms' lists, not that of the shard: one without terms or partners costs next to nothing.
+        """
         term, _ = self.terms[seed]
+        if not len(term):
+            return
+        self._forget()
         row = self.row[term]
-        total = self.dense[row[row >= 0]].sum(0, dtype=np.float32).astype(np.float64)
         some = term[row < 0]
         first = self.lists[some]
         n = self.lists[some + 1] - first
-        if n.any():  # all lists of these terms in one piece
-            at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+        at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)  # all lists of these terms in one piece
+        if len(some) == len(term) and 8 * len(at) < len(self.names):
+            at = at[self.unused[self.names[self.doc[at]]]]
+            found, of = np.unique(self.doc[at], return_inverse=True)
+            total = np.bincount(of, self.score[at], len(found))
+            for k in found[np.argsort(-total, kind="stable")].tolist():
+                yield int(self.names[k])
+            return
+        total = self.dense[row[row >= 0]].sum(0, dtype=np.float32).astype(np.float64)
+        if len(at):
             total += np.bincount(self.doc[at], self.score[at], len(self.names))
         total *= self.unused[self.names]
         best = np.flatnonzero(total > 0)
@@ -190,7 +209,7 @@ def packing_order(index: Index, lengths: list[int], window: int) -> Iterator[int
             if first == len(unused):
                 return
             seed = first
-        unused[seed] = False
+        index.use(seed)
         yield seed
         fill = (fill + lengths[seed]) % window
         room, following = (window - fill) % window, None
@@ -198,7 +217,7 @@ def packing_order(index: Index, lengths: list[int], window: int) -> Iterator[int
             if room <= 0:
                 following = near
                 break
-            unused[near] = False
+            index.use(near)
             yield near
             room -= lengths[near]
             fill = (fill + lengths[near]) % window
@@ -243,7 +262,7 @@ def _pack(window: int, starts: np.ndarray, weight: np.ndarray, mean_words: float
             bodies += new
             size += sum(x.nbytes for x in new)
             names += batch.column("doc_id").to_pylist()
-            if size > SHARD_BYTES:
+            if size > SHARD_BYTES or len(bodies) >= SHARD_DOCS:
                 yield from flush()
                 names, terms, bodies, shards, size = [], [], [], shards + 1, 0
         if bodies:
