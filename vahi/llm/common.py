@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vahi.storage import new_path, stored, tasks  # noqa: F401  what the operators share
+from vahi.storage import forget, new_path, stored, tasks  # noqa: F401  what the operators share
 
 #: Fixed values of the contracts: white space is these ASCII characters and no others.
 WHITE = " \t\n\x0b\f\r"

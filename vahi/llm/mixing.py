@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vahi.llm.common import BROADCAST_IDS, WHITE, WHITE_RE, clean_text, join_by, stored, tasks
+from vahi.llm.common import BROADCAST_IDS, WHITE, WHITE_RE, clean_text, forget, join_by, stored, tasks
 
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -76,12 +76,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
 
     order = ["shuffle", "doc_id", "size", "row"]
     dealt = stored(sized.repartitionByRange(tasks(spark), "key", *order).withColumn("part", F.spark_partition_id()), "mix-queues")
+    forget(sized)
     totals = dealt.groupBy("part", "key").agg(F.sum("size").alias("part_words"))  # at most as many rows as partitions and sources
     carried = totals.withColumn("words_before", F.coalesce(F.sum("part_words").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     carried = carried.select("part", "key", "words_before")
     inside = Window.partitionBy("part", "key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     queued = dealt.withColumn("upto", F.sum("size").over(inside)).join(F.broadcast(carried) if few else carried, ["part", "key"])
     queued = stored(queued.select("doc_id", "key", "size", (F.col("words_before") + F.col("upto") - F.col("size")).alias("before")), "mix-queued")
+    forget(dealt)
 
     copies = _with_source(queued.where("size > 0"), sources.select("key", "place", "source_size", "n_rows", "target"), few, n_rows)
     copies = copies.select("place", "size", "target", F.greatest(F.lit(1), F.floor(F.col("target") / grain)).cast("long").alias("quantum"), "before", "source_size", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"))
@@ -98,6 +100,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     in_line = sent.withColumn("running", running).join(F.broadcast(sums), "part").withColumn("over", F.greatest(F.lit(0), F.col("sent_before") + F.col("running") - budget))
     served = in_line.where("over < words").groupBy("place").agg(F.max(F.col("upto") - F.col("over")).alias("served"))  # a row a source
     sources = stored(sources.join(served, "place", "left").withColumn("served", F.coalesce("served", F.lit(0))), "mix-served")
+    forget(sent)
 
     out = _with_source(queued, sources.select("key", "source_size", "n_rows", "target", "served"), few, n_rows)
     of_copy = (F.greatest(F.lit(0), F.least(F.col("size"), F.col("served") - F.col("before") - k * F.col("source_size"))) for k in range(most))

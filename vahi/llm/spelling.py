@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vahi.llm.common import chunks, stored, tasks
+from vahi.llm.common import chunks, forget, stored, tasks
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _NO_LETTER = re.compile("[^A-Za-zÀ-ÿ]")
@@ -257,6 +257,7 @@ def roots(forms: DataFrame) -> DataFrame:
     while True:
         ahead = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
         step = stored(at.join(ahead, "root", "left"), "spelling-roots")
+        forget(at)
         if step.where("next is not null").isEmpty():
             return step.select("word", "root")
         at = step.select("word", F.coalesce("next", "root").alias("root"))
@@ -280,5 +281,6 @@ def spelling_variants(docs: DataFrame, least_chars: int = 5, least_n: int = 3, r
     joined = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
     often = F.col("form_n") >= ratio * F.col("n")
     formed = stored(joined.select("word", "n", "n_near", F.when(often, F.col("form")).alias("form"), F.when(often, F.col("form_n")).alias("form_n")), "spelling-forms")
+    forget(words)
     ends = roots(formed.where("form is not null"))
     return formed.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
