@@ -69,8 +69,9 @@ def test_collocations_across_shards_and_spans(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(k, "".join(rng.choice(["a", "bb", "c", "dé", "E"]) + rng.choice([" ", "\t", "  ", " ", ", ", ".", "\n"]) for _ in range(rng.randrange(300))), rng.choice(["en", "fr", None]), "s") for k in range(60)]
     expected = plain_collocations([{"text": t, "lang": lang} for _, t, lang, _ in rows], 4, 50)
-    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
-    assert {tuple(r) for r in C.collocations(docs, 4, 50).collect()} == expected
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for dealt in (docs.coalesce(1), docs.repartition(9)):  # one shard, and nine whose filters meet
+        assert {tuple(r) for r in C.collocations(dealt, 4, 50).collect()} == expected
     # the same encoder with tiny spans and shards, here in the driver
     monkeypatch.setattr(C, "SPAN_BYTES", 64)
     monkeypatch.setattr(C, "SHARD_WORDS", 100)
@@ -79,10 +80,10 @@ def test_collocations_across_shards_and_spans(spark, monkeypatch):
     shards, got = list(C._encode(iter([batch]))), collections.Counter()
     assert len(shards) > 20
     for x in C._rows_of(iter(shards)):
-        place, left, lcp = C.suffix_array(x["ids"], 4)
+        place, left, lcp = C.suffix_array(x.ids, 4)
         for m in range(1, 5):
             at, n, _ = C.intervals(place, left, lcp, m)
-            for key, count in zip(C._phrases(x["words"], x["langs"], x["lang_of"], x["ids"], at, m).to_pylist(), n.tolist(), strict=True):
+            for key, count in zip(C._keys(x.words, x.langs, x.lang_of, x.ids, at, m).to_pylist(), n.tolist(), strict=True):
                 phrase, lang = key.split("\t", 1)
                 got[lang, tuple(phrase.split(" "))] += count
     assert got == plain_counts([{"text": t, "lang": lang} for _, t, lang, _ in rows])[0]
@@ -104,6 +105,31 @@ def test_suffix_array_is_sorted():
     assert all(k == sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(a, b, strict=False))) for k, a, b in zip(lcp[1:].tolist(), found, found[1:], strict=False))
 
 
+def test_filter_judges_equal_hashes_alike():
+    """Hashes of several shards, some equal, come back as bits in each shard's own order."""
+    rng = np.random.default_rng(2)
+    parts, shards = 5, [rng.integers(0, 1 << 12, 400).astype(np.uint64) << np.uint64(36) for _ in range(6)]
+    counts = [rng.integers(1, 4, 400).astype(np.int64) for _ in shards]
+
+    class Shard:
+        def __init__(self, k):
+            self.shard = k
+
+    total = collections.Counter()
+    for h, c in zip(shards, counts, strict=True):
+        for x, n in zip(h.tolist(), c.tolist(), strict=True):
+            total[x] += n
+    rows_of, C._rows_of = C._rows_of, lambda batches: map(Shard, range(6))
+    try:
+        sent = pa.Table.from_batches(list(C._sent(lambda x: (shards[x.shard], counts[x.shard]), parts)(iter([])))).sort_by("part")
+    finally:
+        C._rows_of = rows_of
+    judged = pa.Table.from_batches(list(C._judged(9)(iter(sent.to_batches())))).sort_by([("shard", "ascending"), ("part", "ascending")]).to_pylist()
+    for k, h in enumerate(shards):
+        flags = C._staying(h, [r["bits"] for r in judged if r["shard"] == k], parts)
+        assert flags.tolist() == [total[x] >= 9 for x in h.tolist()]
+
+
 def test_top_of_groups_in_rounds(spark, monkeypatch):
     rows = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 3001).alias("v"))
     monkeypatch.setattr(C, "RANKED_ROWS", 50)
@@ -224,3 +250,29 @@ def test_mix_of_odd_rows(spark):
     assert len(got) == len(ODD) and all(0 <= r.taken <= 3 * r["size"] for r in got) and sum(r.taken for r in got) == sum(r["size"] for r in got)
     assert mix_sources(odd(spark, [])).count() == 0
     assert [tuple(r) for r in mix_sources(odd(spark, [(1, None, "en", "a"), (2, " ", None, None)])).orderBy("doc_id").collect()] == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+def test_items_of_a_window_that_occurs_often(spark):
+    """A window of very many items that a document repeats gives each item once a row."""
+    import hashlib
+
+    from vahi.llm.decontamination import contamination
+
+    window = "a b c d e f g h i j"
+    items = spark.createDataFrame([(k, window) for k in range(3000)], "item_id long, text string")
+    (row,) = contamination(spark.createDataFrame([(1, " ".join([window] * 2000))], "doc_id long, text string"), items).collect()
+    assert (row.n_words, row.n_hit, row.n_items) == (20_000, 20_000, 3000)
+    assert row.items_sha256 == hashlib.sha256(",".join(sorted(map(str, range(3000)))).encode()).hexdigest()
+
+
+def test_line_batches_follow_the_rows(spark, monkeypatch):
+    """One far id does not put all other rows into one batch."""
+    from vahi.llm import line_dedup as L
+
+    sizes = []
+    add = L.LineRuns.add
+    monkeypatch.setattr(L.LineRuns, "add", lambda self, lines: (sizes.append(lines.count()), add(self, lines))[1])
+    rows = [(k, f"a line that all documents hold\nits own line number {k:06d}") for k in range(300)] + [(1 << 60, "a line that all documents hold")]
+    out = {r.doc_id: r.n_dropped for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(sizes) == 3 and min(sizes) > 100 and sum(sizes) == 601
+    assert out[1 << 60] == 0 and all(out[k] == 1 for k in range(300))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from vahi.llm.common import BROADCAST_IDS, LOWER, chunks, join_by, raw, stored, tasks, word_spans
+from vahi.llm.common import BROADCAST_IDS, LOWER, chunks, forget, join_by, mix, raw, span_hashes, stored, tasks, word_spans
 
 #: Kinds of bytes: of words 0, blanks 1, ends of pieces 2.
 _KIND = np.zeros(256, np.uint8)
@@ -20,7 +22,7 @@ _KIND[[32, 9]] = 1
 _KIND[[ord(x) for x in ".,;:!?\n\x0b\x0c\r"]] = 2
 _APART = _KIND > 0
 #: Bytes of text that are split at once, words of a shard, and rows of a batch that is passed on.
-SPAN_BYTES, SHARD_WORDS, BATCH_ROWS = 1 << 20, 5 << 20, 1 << 16
+SPAN_BYTES, SHARD_WORDS, BATCH_ROWS = 1 << 20, 2 << 20, 1 << 15
 
 
 def _spans(text: np.ndarray) -> Iterator[np.ndarray]:
@@ -74,8 +76,25 @@ def _words_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.
             yield words, fresh, text
 
 
-SHARD = "shard long, langs array<string>, lang_of array<int>, words array<string>, counts array<long>, ids binary"
-_SHARD_NAMES = ["shard", "langs", "lang_of", "words", "counts", "ids"]
+#: A shard as a row: its languages with their words, and compressed the dictionary (bytes of the words, their lengths, languages and counts) and the texts as ids.
+SHARD = "shard long, langs array<string>, lang_words array<long>, words binary, lengths binary, lang_of binary, counts binary, ids binary"
+_SHARD_NAMES = ["shard", "langs", "lang_words", "words", "lengths", "lang_of", "counts", "ids"]
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
+
+
+def _unsqueeze(data: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def _shard_row(shard: int, langs: pa.Array, lang_words: np.ndarray, words: pa.Array, lang_of: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    data, bounds = raw(words)
+    packed = [_squeeze(x) for x in (data, np.diff(bounds).astype(np.int32), lang_of.astype(np.int32), counts.astype(np.int64), ids)]
+    return pa.record_batch([pa.array([shard], pa.int64()), _one(langs), _one(pa.array(lang_words, pa.int64())), *(pa.array([x], pa.binary()) for x in packed)], names=_SHARD_NAMES)
 
 
 def _one(values: pa.Array) -> pa.Array:
@@ -97,10 +116,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def shard() -> pa.RecordBatch:
         nonlocal made
-        words = pa.chunked_array([x for x, _, _ in held]).combine_chunks().dictionary_encode()
+        words = pa.chunked_array([x for x, _, _ in held]).dictionary_encode().combine_chunks()  # the words' bytes are not copied
         fresh, lang = np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held])
+        held.clear()
         n_words = len(words.dictionary)
-        code = words.indices.to_numpy().astype(np.int64) + lang * n_words
+        code = words.indices.to_numpy() + lang.astype(np.int32 if n_words * len(codes) < 1 << 31 else np.int64) * n_words
         if n_words * len(codes) <= 8 * len(code) + (1 << 20):
             counts = np.bincount(code, minlength=n_words * len(codes))
             kept = np.flatnonzero(counts)
@@ -109,9 +129,9 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             kept, ids, counts = np.unique(code, return_inverse=True, return_counts=True)
             ids = ids.astype(np.int32) + 1
-        columns = [_one(pa.array(list(codes), pa.string())), _one(pa.array((kept // n_words).astype(np.int32))), _one(words.dictionary.take(pa.array(kept % n_words))), _one(pa.array(counts.astype(np.int64)))]
+        del code
         made += 1
-        return pa.record_batch([pa.array([(task << 32) | made], pa.int64()), *columns, pa.array([_sequence(ids, fresh).tobytes()], pa.binary())], names=_SHARD_NAMES)
+        return _shard_row((task << 32) | made, pa.array(list(codes), pa.string()), np.bincount(lang, minlength=len(codes)), words.dictionary.take(pa.array(kept % n_words)), kept // n_words, counts, _sequence(ids, fresh))
 
     for batch in batches:
         langs = [codes.setdefault(x, len(codes)) for x in ("und" if x is None else x for x in batch.column("lang").to_pylist())]
@@ -120,12 +140,13 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > SHARD_WORDS and len(fresh) and (cut := int(np.argmax(fresh))) + int(fresh.any()):
                 held.append((words.slice(0, cut), fresh[:cut], lang[:cut]))
                 yield shard()
-                held, size = [], 0
+                size = 0
                 words, fresh, lang = words.slice(cut), fresh[cut:], lang[cut:]
             held.append((words, fresh, lang))
             size += len(fresh)
     if size:
         yield shard()
+    pa.default_memory_pool().release_unused()
 
 
 def _words_of_rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -174,100 +195,208 @@ def intervals(place: np.ndarray, left: np.ndarray, lcp: np.ndarray, length: int)
     return place[opens], counts, np.where(long_enough, number, -1)
 
 
-def _phrases(words: pa.Array, langs: pa.Array, lang_of: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int) -> pa.Array:
+def _keys(words: pa.Array, langs: pa.Array, lang_of: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int) -> pa.Array:
     """The keys of the phrases at some positions: words joined by spaces, a tab, the language. No word has a tab or a space."""
     parts = [words.take(pa.array(ids[at + k] - 1)) for k in range(length)]
     phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
     return pc.binary_join_element_wise(phrase, langs.take(pa.array(lang_of[ids[at] - 1])), "\t")
 
 
-def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+class _Rows:
+    """A shard as a task reads it."""
+
+    def __init__(self, batch: pa.RecordBatch, k: int):
+        row = {name: batch.column(name)[k] for name in batch.schema.names}
+        self.shard, self.langs = row["shard"].as_py(), row["langs"].values
+        data, lengths, self.lang_of, self.counts, self.ids = (_unsqueeze(row[name].as_buffer(), t) for name, t in zip(_SHARD_NAMES[3:], (np.uint8, np.int32, np.int32, np.int64, np.int32), strict=True))
+        ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        self.words = pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        self.bits = row["bits"].as_py() if "bits" in row else None
+
+    def hashes(self) -> np.ndarray:
+        """A 48-bit hash of each (lang, word) of the dictionary; words whose hashes are equal are only judged alike by the filter."""
+        data, bounds = raw(self.words)
+        of_lang = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs.to_pylist()], np.uint64)
+        return mix(span_hashes(data, bounds[:-1], bounds[1:]) ^ of_lang[self.lang_of]) >> np.uint64(16)
+
+    def grams(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the phrases of so many words, by the suffix array: first position, count and hash of each, and at each position the phrase's number or -1."""
+        place, left, lcp = suffix_array(self.ids, 2 if length == 2 else 4)
+        at, counts, number = intervals(place, left, lcp, length)
+        word, total = np.concatenate((np.zeros(1, np.uint64), self.hashes())), np.zeros(len(at), np.uint64)
+        for k in range(length):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + word[self.ids[at + k]]
+        of = np.full(len(self.ids), -1, np.int64)
+        of[place] = number
+        return at, counts, mix(total) >> np.uint64(16), of
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {name: batch.column(name)[k] for name in batch.schema.names}
-            out = {"shard": row["shard"].as_py(), "ids": np.frombuffer(row["ids"].as_buffer(), np.int32), "words": row["words"].values, "langs": row["langs"].values, "lang_of": row["lang_of"].values.to_numpy(zero_copy_only=False)}
-            if "stays" in row:
-                out["stays"] = np.zeros(0, np.int64) if row["stays"].values is None else row["stays"].values.to_numpy(zero_copy_only=False).astype(np.int64)
-            yield out
-
-
-def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards cut at the words that do not stay; stays: places in the dictionary, from 0."""
-    for x in _rows_of(batches):
-        stays = np.sort(x["stays"])
-        new = np.zeros(len(x["words"]) + 1, np.int32)
-        new[stays + 1] = np.arange(1, len(stays) + 1)
-        ids = new[x["ids"]]
-        ids = ids[np.concatenate(([True], (ids[1:] > 0) | (ids[:-1] > 0)))[: len(ids)]]  # one 0 is enough
-        at = pa.array(stays)
-        empty = _one(pa.array([], pa.int64()))
-        yield pa.record_batch([pa.array([x["shard"]], pa.int64()), _one(x["langs"]), _one(pa.array(x["lang_of"][stays])), _one(x["words"].take(at)), empty, pa.array([ids.tobytes()], pa.binary())], names=_SHARD_NAMES)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every phrase of two words of a shard: key, count, shard and number of its interval."""
-    for x in _rows_of(batches):
-        place, left, lcp = suffix_array(x["ids"], 2)
-        at, counts, _ = intervals(place, left, lcp, 2)
-        for k in range(0, len(at), BATCH_ROWS):
+            yield _Rows(batch, k)
+
+
+# ---- the filter: hashes and counts of all shards meet by ranges of hashes, and one bit comes back for each ----
+
+
+def _ranges(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the 48-bit hashes, and the bounds in it of each of `parts` equal ranges of hashes."""
+    order = np.argsort(hashes)
+    part = ((hashes[order] >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
+    return order, np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
+def _of_words(x: _Rows) -> tuple[np.ndarray, np.ndarray]:
+    return x.hashes(), x.counts
+
+
+def _of_grams(length: int):
+    def counted(x: _Rows) -> tuple[np.ndarray, np.ndarray]:
+        _, counts, hashes, _ = x.grams(length)
+        return hashes, counts
+
+    return counted
+
+
+def _sent(counted: Callable[[_Rows], tuple[np.ndarray, np.ndarray]], parts: int):
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _rows_of(batches):
+            hashes, counts = counted(x)
+            order, bounds = _ranges(hashes, parts)
+            hashes, counts = hashes[order], counts[order].astype(np.uint64)
+            some = np.flatnonzero(bounds[1:] > bounds[:-1])
+            packed = []
+            for k in some.tolist():
+                mine = hashes[bounds[k] : bounds[k + 1]]
+                packed.append((_squeeze(np.diff(mine, prepend=np.uint64(0))), _squeeze(counts[bounds[k] : bounds[k + 1]])))
+            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), x.shard, np.int64)), *(pa.array([p[c] for p in packed], pa.binary()) for c in (0, 1))], names=["part", "shard", "hashes", "counts"])
+
+    return sent
+
+
+def _judged(least: int):
+    """For each range of hashes, which of the sent ones occur at least so often over all shards; rows come in order of part, and one part is held at a time."""
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def decide() -> pa.RecordBatch:
+            hashes = [np.cumsum(_unsqueeze(h, np.uint64)) for _, h, _ in held]
+            every, of = np.unique(np.concatenate(hashes), return_inverse=True)
+            total = np.bincount(of, np.concatenate([_unsqueeze(c, np.uint64) for _, _, c in held]).astype(np.float64), len(every))  # exact below 2 ** 53
+            stays = (total >= least)[of]
+            edges = np.cumsum([0, *map(len, hashes)])
+            bits = [np.packbits(stays[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            return pa.record_batch([pa.array([s for s, _, _ in held], pa.int64()), pa.array([part] * len(held), pa.int32()), pa.array(bits, pa.binary())], names=["shard", "part", "bits"])
+
+        for batch in batches:
+            for p, shard, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "hashes", "counts")), strict=True):
+                if p != part:
+                    if held:
+                        yield decide()
+                    part, held = p, []
+                held.append((shard, hashes, counts))
+        if held:
+            yield decide()
+
+    return judged
+
+
+def _with_bits(shards: DataFrame, counted: Callable, least: int, parts: int) -> DataFrame:
+    """shards with a bit for each of what is counted in them, in order of hash and by ranges: whether it may be frequent. A list is no longer than its shard."""
+    sent = shards.mapInArrow(_sent(counted, parts), "part int, shard long, hashes binary, counts binary")
+    judged = sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_judged(least), "shard long, part int, bits binary")
+    bits = judged.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "bits"))), lambda x: x.bits).alias("bits"))
+    return shards.join(bits.hint("shuffle_hash"), "shard", "left")
+
+
+def _staying(hashes: np.ndarray, bits: list[bytes] | None, parts: int) -> np.ndarray:
+    """The flags of what a shard had sent, in its own order."""
+    order, bounds = _ranges(hashes, parts)
+    sizes = np.diff(bounds)
+    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(bits or [], sizes[sizes > 0].tolist(), strict=True)]
+    out = np.zeros(len(hashes), bool)
+    out[order] = np.concatenate(flags).astype(bool) if flags else False
+    return out
+
+
+def _trim(parts: int):
+    """Shards cut at the words that cannot be frequent."""
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _rows_of(batches):
+            stays = np.flatnonzero(_staying(x.hashes(), x.bits, parts))
+            new = np.zeros(len(x.words) + 1, np.int32)
+            new[stays + 1] = np.arange(1, len(stays) + 1)
+            ids = new[x.ids]
+            ids = ids[np.concatenate(([True], (ids[1:] > 0) | (ids[:-1] > 0)))[: len(ids)]]  # one 0 is enough
+            yield _shard_row(x.shard, x.langs, np.zeros(0, np.int64), x.words.take(pa.array(stays)), x.lang_of[stays], x.counts[stays], ids)
+
+    return trim
+
+
+def _link(parts: int):
+    """Shards cut between the words of pairs that cannot be frequent."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _rows_of(batches):
+            _, _, hashes, of = x.grams(2)
+            linked = np.append(_staying(hashes, x.bits, parts), False)[of]  # -1 is the last, which does not stay
+            at = np.flatnonzero((x.ids > 0) & (linked | np.concatenate(([False], linked[:-1]))[: len(x.ids)]))
+            cut = _sequence(x.ids[at], np.concatenate(([True], ~linked[at[:-1]]))[: len(at)])
+            yield _shard_row(x.shard, x.langs, np.zeros(0, np.int64), x.words, x.lang_of, x.counts, cut)
+
+    return link
+
+
+def _phrases_of(parts: int):
+    """Phrases of a shard that may be frequent, key, count and length: its words and pairs, the triples that stay, and phrases of four words whose triples both stay."""
+
+    def rows(keys: Callable[[slice], pa.Array], counts: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(counts), BATCH_ROWS):
             part = slice(k, k + BATCH_ROWS)
-            keys = _phrases(x["words"], x["langs"], x["lang_of"], x["ids"], at[part], 2)
-            yield pa.record_batch([keys, pa.array(counts[part].astype(np.int64)), pa.array(np.full(len(keys), x["shard"], np.int64)), pa.array(np.arange(k, k + len(keys), dtype=np.int32))], names=["key", "n", "shard", "number"])
-
-
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every phrase of three and four words of a shard whose pairs of words all stay: key, count. stays: intervals of pairs."""
-    for x in _rows_of(batches):
-        ids = x["ids"]
-        place, left, lcp = suffix_array(ids, 2)
-        _, counts, number = intervals(place, left, lcp, 2)
-        stays = np.zeros(len(counts) + 1, bool)
-        stays[x["stays"]] = True
-        linked = np.zeros(len(ids) + 1, bool)
-        linked[place] = stays[number]  # number -1 is the last, which does not stay
-        word = (ids > 0) & (linked[:-1] | np.concatenate(([False], linked[:-1]))[: len(ids)])
-        at = np.flatnonzero(word)
-        cut = _sequence(ids[at], np.concatenate(([True], ~linked[at[:-1]]))[: len(at)])
-        place, left, lcp = suffix_array(cut, 4)
-        for length in (3, 4):
-            at, counts, _ = intervals(place, left, lcp, length)
-            for k in range(0, len(at), BATCH_ROWS):
-                part = slice(k, k + BATCH_ROWS)
-                yield pa.record_batch([_phrases(x["words"], x["langs"], x["lang_of"], cut, at[part], length), pa.array(counts[part].astype(np.int64)), pa.array(np.full(len(at[part]), length, np.int32))], names=["key", "n", "length"])
-
-
-def _kept(rows: DataFrame, least: int) -> DataFrame:
-    """rows (key, n, shard, number) of keys that occur at least so often, with the total in place of n. Both sides are one shuffle by key, and a key has at most one row a shard."""
-    total = rows.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-    return rows.select("key", "shard", "number").join(total.hint("shuffle_hash"), "key")
-
-
-def _with_stays(shards: DataFrame, kept: DataFrame) -> DataFrame:
-    """shards with the numbers of what stays in each; a list is no longer than its shard."""
-    stays = kept.groupBy("shard").agg(F.collect_list("number").alias("stays"))
-    return shards.join(stays.hint("shuffle_hash"), "shard", "left").withColumn("stays", F.coalesce("stays", F.array().cast("array<int>")))
+            yield pa.record_batch([keys(part), pa.array(counts[part].astype(np.int64)), pa.array(np.full(len(counts[part]), length, np.int32))], names=["key", "n", "length"])
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _rows_of(batches):
+            yield from rows(lambda part, x=x: pc.binary_join_element_wise(x.words[part], x.langs.take(pa.array(x.lang_of[part])), "\t"), x.counts, 1)
+            triple, counts, hashes, of = x.grams(3)
+            stays = np.append(_staying(hashes, x.bits, parts), False)
+            pair, pair_counts, *_ = intervals(*suffix_array(x.ids, 2), 2)
+            four, four_counts, *_ = intervals(*suffix_array(x.ids, 4), 4)
+            both = stays[of[four]] & stays[of[four + 1]] if len(four) else np.zeros(0, bool)
+            for length, at, n in ((2, pair, pair_counts), (3, triple[stays[:-1]], counts[stays[:-1]]), (4, four[both], four_counts[both])):
+                yield from rows(lambda part, x=x, at=at, length=length: _keys(x.words, x.langs, x.lang_of, x.ids, at[part], length), n, length)
+
+    return phrases
+
+
+#: Words of the corpus for each range of hashes.
+PART_WORDS = 4_000_000
 
 
 def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(key, n, length) of all phrases of one to four words that occur at least so often, and (lang, total) of words.
 
-    A phrase is frequent only if its words and pairs of words are. So shards are cut at rare words, then between words of rare pairs, and only what is left is counted further;
-    what is frequent over all shards comes back to each as numbers in its own lists.
+    A phrase is frequent only if its words, pairs and triples of words are. So 48-bit hashes of a shard's words, with counts, first meet those of all other shards, and one bit for each comes
+    back; the shard is cut at rare words. The same is done for pairs of words and for triples, and then only what is left is counted by its words themselves, which are the key of the merge:
+    equal hashes of different phrases let a rare one through the filter, never into the result, and lose none.
     """
     docs = docs.select("text", F.col("lang").cast("string").alias("lang"))
-    parts = tasks(docs.sparkSession)
     shards = stored(docs.mapInArrow(_encode, SHARD), "phrase-shards")
-    each = shards.select("shard", "langs", F.posexplode(F.arrays_zip("lang_of", "words", "counts")).alias("number", "x"))
-    each = each.select("shard", "number", F.get("langs", F.col("x.lang_of")).alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    totals = stored(each.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
-    words = each.select(F.concat("word", F.lit("\t"), "lang").alias("key"), "n", "shard", "number")
-    one = stored(_kept(words.repartition(parts, "key"), least), "phrase-words")
-    trimmed = stored(_with_stays(shards, one).mapInArrow(_trim, SHARD), "phrase-shards")
-    pairs = trimmed.mapInArrow(_pairs, "key string, n long, shard long, number int")
-    two = stored(_kept(pairs.repartition(parts, "key"), least), "phrase-pairs")
-    longer = _with_stays(trimmed, two).mapInArrow(_longer, "key string, n long, length int").groupBy("key", "length").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    by_words = [x.groupBy("key").agg(F.max("total").alias("n")).withColumn("length", F.lit(k)) for k, x in ((1, one), (2, two))]
-    return stored(by_words[0].unionByName(by_words[1]).unionByName(longer.select("key", "n", "length")), "phrases"), totals
+    totals = stored(shards.select(F.inline(F.arrays_zip("langs", "lang_words"))).groupBy(F.col("langs").alias("lang")).agg(F.sum("lang_words").alias("total")).where("total > 0"), "phrase-totals")
+    words = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    parts = max(tasks(docs.sparkSession), int(words) // PART_WORDS + 1)
+    trimmed = stored(_with_bits(shards, _of_words, least, parts).mapInArrow(_trim(parts), SHARD), "phrase-shards")
+    forget(shards)
+    linked = stored(_with_bits(trimmed, _of_grams(2), least, parts).mapInArrow(_link(parts), SHARD), "phrase-shards")
+    forget(trimmed)
+    every = _with_bits(linked, _of_grams(3), least, parts).mapInArrow(_phrases_of(parts), "key string, n long, length int")
+    frequent = every.groupBy("key", "length").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    phrases = stored(frequent.select("key", "n", "length"), "phrases")
+    forget(linked)
+    return phrases, totals
 
 
 def _exact(column) -> F.Column:
