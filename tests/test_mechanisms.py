@@ -219,3 +219,19 @@ def test_compaction_changes_nothing(spark, tmp_path):
 def test_blank_text(spark):
     rows = spark.createDataFrame([("\n",), ("\tAcme\n",), (" ﻿x y ",), (None,)], "v string")
     assert [r.v for r in rows.select(T.blank_to_null(F.col("v")).alias("v")).collect()] == [None, "Acme", "x y", None]
+
+
+def test_json_amounts_of_large_invoices(spark, tmp_path):
+    """Amounts up to 9e11 in millionths: invoice numbers near the largest that the query's amounts are made of."""
+    import duckdb
+
+    from tests.conftest import SMALL, same_rows
+    from vahi.plans import catalogue
+
+    con = duckdb.connect()
+    shift = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+    for name in ("nation", "customer", "part", "orders", "lineitem"):
+        key = shift.get(name)
+        con.execute(f"COPY (SELECT *{f' REPLACE ({key} + 890000 AS {key})' if key else ''} FROM '{SMALL}/{name}.parquet') TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    same_rows(catalogue.QUERIES["c20_json_amounts"](spark, str(tmp_path)), con, catalogue.ORACLE_SQL["c20_json_amounts"])

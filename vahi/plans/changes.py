@@ -14,8 +14,8 @@ from vahi.streaming import bank_stream
 
 
 def _micro(c):
-    """Millionths, for amounts below a paisa."""
-    return F.round(c * 1_000_000, 0).cast("long")
+    """Millionths, for amounts below a paisa: of the decimal digits that a double stands for, since a product of doubles is not exact above some thousand millions."""
+    return (c.cast("decimal(30,6)") * 1_000_000).cast("long")
 
 
 # ---- amounts as JSON ----
