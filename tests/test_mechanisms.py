@@ -235,3 +235,23 @@ def test_json_amounts_of_large_invoices(spark, tmp_path):
         con.execute(f"COPY (SELECT *{f' REPLACE ({key} + 890000 AS {key})' if key else ''} FROM '{SMALL}/{name}.parquet') TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
     same_rows(catalogue.QUERIES["c20_json_amounts"](spark, str(tmp_path)), con, catalogue.ORACLE_SQL["c20_json_amounts"])
+
+
+def test_nearest_names_without_stored_pairs(spark, monkeypatch):
+    """Small blocks: the best of each name by score and rank is that of all pairs, and similar names' pairs are neither shuffled nor stored."""
+    monkeypatch.setattr(matching, "BLOCK", 16)
+    rnd = random.Random(5)
+    names = list({f"{rnd.choice(['acme nova', 'coral', 'a'])} {''.join(rnd.choices('aeé', k=rnd.randrange(4)))}".strip() for _ in range(200)} | {"a", "é", ""})
+    x = spark.createDataFrame([(k % 2, v) for k, v in enumerate(names * 2)] + [(None, "acme nova"), (1, None)], "c int, a string")
+    y = spark.createDataFrame([(k % 2, v, k % 3, k) for k, v in enumerate(names[::2])] + [(None, "acme nova", 0, 0)], "c int, b string, h int, k int")
+    every = x.join(y, "c").distinct().withColumn("score", T.dice(F.col("a"), F.col("b"))).where("score >= 0.6").collect()
+    for equal in (True, False):
+        want = {}
+        for r in sorted((r for r in every if equal or r.a != r.b), key=lambda r: (-r.score, r.h, r.k)):
+            want.setdefault((r.c, r.a), (r.score, r.h, r.k))
+        got = matching.nearest(x, y, "a", "b", ["c"], 0.6, ["h", "k"], equal=equal).collect()
+        assert len(want) > 20 and {(r.c, r.a): (r.score, r.h, r.k) for r in got} == want and len(got) == len(want)
+    joined = matching.dice_join(x, y, "a", "b", ["c"], 0.6)
+    assert set(map(tuple, joined.collect())) == {(r.c, r.a, r.b, r.score) for r in every}
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Aggregate" not in plan

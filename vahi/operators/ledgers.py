@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vahi.functions import text as T
-from vahi.operators.matching import contains_join, dice_join, subset_join
+from vahi.operators.matching import contains_join, nearest, subset_join
 from vahi.storage import stored
 
 # Thresholds of similarity, and the confidence of each step.
@@ -26,9 +26,9 @@ def fuzzy_confidence(score: Column) -> Column:
 
 
 def similar_names(names: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
-    """The best candidate of each (client_id, name_key) by Dice similarity, then hits, then order; only names with rare bigrams in common meet."""
-    pairs = dice_join(names, candidates, "name_key", "norm", ["client_id"], least)
-    return _best(pairs.join(candidates, ["client_id", "norm"]), ["client_id", "name_key"], F.desc("score"), F.desc("hit_count"), F.asc("seq"))
+    """The best candidate of each (client_id, name_key) by Dice similarity, then hits, then order; only names that have enough bigrams in common with a block of names meet it."""
+    ranked = candidates.groupBy("client_id", "norm").agg(F.min(F.struct((-F.col("hit_count")).alias("h"), "seq.k", "seq.i", "seq.m")).alias("r")).select("client_id", "norm", "r.*")
+    return nearest(names, ranked, "name_key", "norm", ["client_id"], least, ["h", "k", "i", "m"]).withColumnRenamed("i", "ledger_id").drop("h", "k", "m")
 
 
 def candidates_of(memory: DataFrame, ledgers: DataFrame) -> DataFrame:
@@ -95,12 +95,14 @@ def null_safe_left(left: DataFrame, right: DataFrame, key: list[str]) -> DataFra
 def suggest_parties(names: DataFrame, candidates: DataFrame) -> DataFrame:
     """The lenient suggestion: similarity, lifted to SUBSET_FLOOR where one name's words are among the other's; names that are equal are passed over.
 
-    Names meet by rare bigrams in common, or at the rarest word of the one with fewer words.
+    Names meet by bigrams in common, or at the rarest word of the one with fewer words.
     """
-    near = dice_join(names, candidates, "name_key", "norm", ["client_id"], LENIENT).where("name_key <> norm")
-    inside = subset_join(names, candidates, "name_key", "norm", ["client_id"]).withColumn("score", F.lit(SUBSET_FLOOR))
-    best = near.unionByName(inside).groupBy("client_id", "name_key", "norm").agg(F.max("score").alias("score"))
-    return _best(best.join(candidates, ["client_id", "norm"]), ["client_id", "name_key"], F.desc("score"), F.asc("seq"))
+    rank = ["k", "i", "m"]
+    ranked = stored(candidates.groupBy("client_id", "norm").agg(F.min("seq").alias("r")).select("client_id", "norm", "r.*"), "candidates")
+    near = nearest(names, ranked, "name_key", "norm", ["client_id"], LENIENT, rank, equal=False)
+    inside = subset_join(names, ranked, "name_key", "norm", ["client_id"]).join(ranked, ["client_id", "norm"]).select("client_id", "name_key", F.lit(SUBSET_FLOOR).alias("score"), *rank)
+    first = F.min(F.struct((-F.col("score")).alias("s"), *rank)).alias("r")  # a pair that is both counts by the larger score
+    return near.unionByName(inside).groupBy("client_id", "name_key").agg(first).select("client_id", "name_key", F.col("r.i").alias("ledger_id"), (-F.col("r.s")).alias("score"))
 
 
 def suggested(resolved: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from vahi.functions import text as T
 from vahi.storage import forget, stored
 
 
-#: Bigrams of texts, 8 bytes each, up to which they are broadcast.
-FETCHED = 4_000_000
+#: Texts of a block: what one task compares at a time is two blocks.
+BLOCK = 2048
+#: Blocks whose bigrams are broadcast at most.
+FEW_BLOCKS = 20_000
+#: Bigrams that one product of matrices covers.
+WIDTH = 1024
 
 
 def _texts(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -54,22 +61,128 @@ def dice_candidates(x: DataFrame, y: DataFrame, by: list[str], least: float) ->
     return met.select(*by, "id_a", "id_b").distinct(), ranked
 
 
+def _in_blocks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose text t has bigrams, with their number n, the distinct ones, and `_block`: at most BLOCK neighbours in the order of texts within equal `by` columns."""
+    rows = rows.where(F.length("t") > 1)
+    dealt = rows.repartitionByRange(rows.count() // (4 * BLOCK) + 1, *by, "t").sortWithinPartitions(*by, "t").withColumn("_at", F.monotonically_increasing_id())
+    block = F.shiftright("_at", 33) * (1 << 33) + (F.col("_at") % (1 << 33) / BLOCK).cast("long")  # the bits above 33 are the partition
+    code = lambda k: F.ascii(F.substring(F.col("t"), k, F.lit(1))).cast("long")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda k: code(k) * (1 << 21) + code(k + 1)))
+    return stored(dealt.withColumns({"_block": block, "n": F.length("t") - 1, "grams": grams}).drop("_at"), "blocks")
+
+
+def _sent(rows: DataFrame, others: DataFrame, by: list[str], own: str, other: str, least: float) -> DataFrame:
+    """rows once for each block of the others in which a text may reach the score: by the bigrams that the block has at all and by its texts' lengths."""
+    each = others.select(*by, "_block", "n", F.explode("grams").alias("g")).groupBy(*by, "_block").agg(F.collect_set("g").alias("_held"), F.min("n").alias("_lo"), F.max("n").alias("_hi"))
+    each = stored(each.withColumnRenamed("_block", other), "block-bigrams")
+    met = rows.withColumnRenamed("_block", own).join(F.broadcast(each) if each.count() <= FEW_BLOCKS else each, by)
+    met = met.withColumn("_c", F.col("n") - F.size("grams") + F.size(F.array_intersect("_held", "grams")))  # repeated bigrams count as shared
+    m = F.greatest(F.least("_c", "_hi"), F.col("_lo"))  # the length that would score best
+    return met.where(F.lit(2.0) * F.least(F.col("_c"), m) >= F.lit(least) * (F.col("n") + m) - F.lit(1e-9)).drop("_c", "_held", "_lo", "_hi", "grams", "n")
+
+
+def _numbered(texts: list[str]):
+    """The bigrams of texts as (text's number, bigram, which occurrence of it in the text, from 0)."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    inside = row[1:] == row[:-1]
+    r, g = row[:-1][inside], (codes[:-1] * (1 << 21) + codes[1:])[inside]
+    order = np.lexsort((g, r))
+    r, g, at = r[order], g[order], np.arange(len(r))
+    first = np.maximum.accumulate(np.where(np.r_[True, (g[1:] != g[:-1]) | (r[1:] != r[:-1])], at, 0))
+    return r, g, at - first
+
+
+def _shared(a: list[str], b: list[str]) -> np.ndarray:
+    """How many bigrams, occurrences counted, each text of a shares with each of b: products of 0-1 matrices, WIDTH bigrams at a time."""
+    (ra, ga, ka), (rb, gb, kb) = _numbered(a), _numbered(b)
+    times = max(ka.max(), kb.max()) + 1
+    _, ids = np.unique(np.r_[ga, gb], return_inverse=True)
+    ia, ib = ids[: len(ga)] * times + ka, ids[len(ga) :] * times + kb
+    both = np.intersect1d(ia, ib)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, len(both), WIDTH):
+        some = both[start : start + WIDTH]
+        sides = []
+        for rows, grams, n in ((ra, ia, len(a)), (rb, ib, len(b))):
+            at = np.minimum(np.searchsorted(some, grams), len(some) - 1)
+            hit = some[at] == grams
+            matrix = np.zeros((n, len(some)), np.float32)
+            matrix[rows[hit], at[hit]] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _meet(by: list[str], least: float, rank: list[str], best: bool):
+    """Two blocks to their unequal texts that reach the score; with `best`, each left text's best only, the first in the order of rank among equals."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([(c, "ascending") for c in [*rank, "t"]]) if best else right
+        i = j = np.zeros(0, np.int64)
+        score = np.zeros(0)
+        if left.num_rows and right.num_rows:
+            a, b = left["t"].to_pylist(), right["t"].to_pylist()
+            n, m = (np.array([len(t) - 1 for t in x], np.int64) for x in (a, b))
+            place = {t: k for k, t in enumerate(b)}
+            same = np.array([place.get(t, -1) for t in a])
+            shared, found = _shared(a, b), []
+            for at in range(0, len(a), 256):
+                scores = 2.0 * shared[at : at + 256] / (n[at : at + 256, None] + m)  # float32 times float is exact here, the quotient by whole numbers is a double
+                mine = same[at : at + 256]
+                scores[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -1
+                if best:
+                    top = scores.argmax(axis=1)
+                    rows = np.flatnonzero(scores[np.arange(len(top)), top] >= least)
+                    found.append((rows + at, top[rows], scores[rows, top[rows]]))
+                else:
+                    rows, cols = np.nonzero(scores >= least)
+                    found.append((rows + at, cols, scores[rows, cols]))
+            i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        mine, theirs = left.select([*by, "t"]).take(pa.array(i)), right.select(["t", *rank]).take(pa.array(j))
+        return pa.table([*[mine[c] for c in by], mine["t"], theirs["t"], pa.array(score), *[theirs[c] for c in rank]], names=[*by, "_a", "_b", "score", *rank])
+
+    return meet
+
+
+def _scored(x: DataFrame, y: DataFrame, by: list[str], least: float, rank: list[str], best: bool) -> DataFrame:
+    """(by, _a, _b, score, rank) of the unequal texts t of both sides that reach the score: blocks of neighbours in the order of texts meet where they can match, two a time.
+
+    Pairs are neither shuffled nor stored. What is shuffled are texts, once for each block of the other side that has enough of their bigrams.
+    """
+    x, y = _in_blocks(x, by), _in_blocks(y, by)
+    keys = [*by, "_x", "_y"]
+    a, b = _sent(x, y, by, "_x", "_y", least), _sent(y, x, by, "_y", "_x", least)
+    fields = {f.name: f for f in [*x.schema.fields, *y.schema.fields]}
+    text = lambda c: StructField(c, StringType())
+    schema = StructType([*[fields[c] for c in by], text("_a"), text("_b"), StructField("score", DoubleType()), *[fields[c] for c in rank]])
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_meet(by, least, rank, best), schema)
+
+
+def _equal(x: DataFrame, y: DataFrame, by: list[str], rank: list[str]) -> DataFrame:
+    """(by, _a, _b, score, rank) of equal texts, which score 1 even without bigrams."""
+    return x.select(*by, "t").join(y.select(*by, "t", *rank), [*by, "t"]).where(F.col("t") != "").select(*by, F.col("t").alias("_a"), F.col("t").alias("_b"), F.lit(1.0).alias("score"), *rank)
+
+
 def dice_join(left: DataFrame, right: DataFrame, a: str, b: str, by: list[str], least: float) -> DataFrame:
     """Distinct (by, a, b, score) of the texts of both sides whose Dice similarity is at least `least`, within equal `by` columns.
 
-    Candidates come from dice_candidates, then the two texts' bigrams are fetched and intersected: from tables that every task has, if the texts have no more than FETCHED
-    bigrams, else by shuffles. Equal texts, which score 1 even without bigrams, join directly.
-    Null texts match nothing; texts of one character match only themselves.
+    Blocks of texts meet, see _scored; equal texts join directly. Null texts match nothing; texts of one character match only themselves.
     """
     x, y = _texts(left, a, by), _texts(right, b, by)
-    pairs, grams = dice_candidates(x, y, by, least)
-    held = F.broadcast if grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= FETCHED else lambda rows: rows
-    of = lambda rows, s: held(rows.select(F.col("id").alias(f"id_{s}"), F.col("t").alias(f"_{s}")).join(grams.where(F.col("side") == s).select(F.col("id").alias(f"id_{s}"), F.col("grams").alias(f"g_{s}")), f"id_{s}"))
-    met = pairs.join(of(x, "a"), "id_a").join(of(y, "b"), "id_b").where(F.col("_a") != F.col("_b"))
-    shared = F.size(F.array_intersect("g_a", "g_b"))
-    scored = met.select(*by, "_a", "_b", (F.lit(2.0) * shared / (F.size("g_a") + F.size("g_b"))).alias("score")).where(F.col("score") >= least)
-    same = x.drop("id").join(y.drop("id"), [*by, "t"]).where(F.col("t") != "").select(*by, F.col("t").alias("_a"), F.col("t").alias("_b"), F.lit(1.0).alias("score"))
-    return scored.unionByName(same).withColumnsRenamed({"_a": a, "_b": b})
+    return _scored(x, y, by, least, [], False).unionByName(_equal(x, y, by, [])).withColumnsRenamed({"_a": a, "_b": b})
+
+
+def nearest(left: DataFrame, right: DataFrame, a: str, b: str, by: list[str], least: float, rank: list[str], equal: bool = True) -> DataFrame:
+    """(by, a, score, rank) of the best text of the right side for each text of the left one that has any of at least this similarity: by score, then by the columns of rank, ascending.
+
+    The right side has one row a text. Each task keeps a text's best in a block only, so what is shuffled grows with the texts and not with the pairs. Without `equal`, equal texts are passed over.
+    """
+    x, y = _texts(left, a, by), stored(right.where(F.col(b).isNotNull()).select(*by, F.col(b).alias("t"), *rank), "names")
+    met = _scored(x, y, by, least, rank, True)
+    met = met.unionByName(_equal(x, y, by, rank)) if equal else met
+    first = F.min(F.struct((-F.col("score")).alias("_s"), *rank)).alias("_r")
+    return met.groupBy(*by, F.col("_a").alias(a)).agg(first).select(*by, a, (-F.col("_r._s")).alias("score"), *[F.col(f"_r.{c}").alias(c) for c in rank])
 
 
 def subset_join(left: DataFrame, right: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
