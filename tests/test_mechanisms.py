@@ -255,3 +255,14 @@ def test_nearest_names_without_stored_pairs(spark, monkeypatch):
     assert set(map(tuple, joined.collect())) == {(r.c, r.a, r.b, r.score) for r in every}
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Aggregate" not in plan
+
+
+def test_stored_tables_leave_no_shuffles(spark):
+    """What a stored table was made with is deleted with its query, not some time later."""
+    from vahi.storage import CLEANUP, stored
+
+    left = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before, was = left(), spark.conf.get(CLEANUP)
+    rows = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    assert rows.count() == 7 and spark.conf.get(CLEANUP) == was
+    assert left() <= before + 1  # the one of count()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vahi.functions import text as T
 from vahi.operators import ledgers as L
 from vahi.operators.vouchers import ITEM, build_vouchers, is_purchase_resolve, voucher_type
-from vahi.storage import stored
+from vahi.storage import no_shuffles_left, stored
 
 # Names of the ledgers that a client's taxes and discounts go to, for purchases and for all others.
 SYSTEM = {
@@ -77,7 +77,8 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
 
 def write_by_client(rows: DataFrame, path: str) -> None:
     """A table as a folder a client; clients that rows has are replaced, the folders of the others stay as they are. A large client is several files."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("client_id").parquet(path)
+    with no_shuffles_left(rows.sparkSession):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("client_id").parquet(path)
 
 
 #: Clients that are looked up by name; more are joined.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +25,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's switch: the shuffles of a finished query are deleted at once, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
+    """The queries that are written inside leave no shuffle files behind; what they wrote is all that later steps read."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and reread: the lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with no_shuffles_left(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     object.__setattr__(out, "_stored_at", path)
     return out
