@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vahi.functions import text as T
 from vahi.operators import ledgers as L
-from vahi.operators.vouchers import ITEM, build_vouchers, is_purchase_resolve, voucher_type
+from vahi.operators.vouchers import ITEM, build_vouchers, is_purchase_resolve, lines_of, voucher_type
 from vahi.storage import no_shuffles_left, stored
 
 # Names of the ledgers that a client's taxes and discounts go to, for purchases and for all others.
@@ -63,7 +63,7 @@ def voucher_tables(drafts: DataFrame, vouchers: DataFrame, lines: DataFrame) ->
         "voucher_id", "invoice_id", "client_id", "voucher_type", F.lit("DRAFT").alias("status"), F.col("total_debit_p").alias("debit_p"), F.col("total_credit_p").alias("credit_p"), "avg_confidence",
         F.coalesce("invoice_date", "created_at").alias("voucher_date"), "created_at", "narration",
     )
-    own = drafts.select("voucher_id", F.posexplode("lines").alias("sort_order", "l")).select("voucher_id", "sort_order", "l.role", "l.ledger_id", "l.debit_p", "l.credit_p", "l.mapped_via", "l.confidence")
+    own = lines_of(drafts, "voucher_id").select("voucher_id", "sort_order", "role", "ledger_id", "debit_p", "credit_p", "mapped_via", "confidence")
     rest = drafts.select("voucher_id")
     kept = vouchers.join(rest, "voucher_id", "left_anti").select(*header.columns)
     return kept.unionByName(header), lines.select(*own.columns).join(rest, "voucher_id", "left_anti").unionByName(own)

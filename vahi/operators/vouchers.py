@@ -79,6 +79,14 @@ def build_vouchers(invoices: DataFrame, tolerance: float = 1.0) -> DataFrame:
     return out.withColumns({"total_debit_p": total("debit_p"), "total_credit_p": total("credit_p"), "has_unmapped": unmapped, "avg_confidence": mean, "warnings": warnings})
 
 
+def lines_of(built: DataFrame, *keep: str) -> DataFrame:
+    """One row a line of built vouchers, beside the columns to keep.
+
+    The outer form is used since Spark puts a filter on the array below the plain one, where the whole expression of the lines takes the column's place, once for each use; a voucher without lines gives no row.
+    """
+    return built.select(*keep, F.posexplode_outer("lines").alias("sort_order", "line")).where("line IS NOT NULL").select(*keep, "sort_order", "line.*")
+
+
 def gate(vouchers: DataFrame, lines: DataFrame) -> DataFrame:
     """Add unmapped (any line without a ledger; none without lines) and unbalanced: what approval asks. Lines are summed before the join."""
     sums = lines.groupBy("voucher_id").agg(F.max(F.col("ledger_id").isNull()).alias("unmapped"))

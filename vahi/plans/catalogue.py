@@ -652,7 +652,7 @@ UNION ALL SELECT invoice_id, 'SGST', {P('sgst')} FROM {{invoice}} WHERE igst <=
 """)
 def v5_voucher_lines(t: Tables) -> DataFrame:
     """The lines of the built vouchers by role, without round-offs."""
-    lines = _built(t).select("invoice_id", F.posexplode("lines").alias("sort_order", "line")).select("invoice_id", "line.*").where("role <> 'ROUND_OFF'")
+    lines = vouchers.lines_of(_built(t), "invoice_id").where("role <> 'ROUND_OFF'")
     return lines.groupBy("invoice_id", "role").agg(F.count("*").alias("n"), F.sum(F.col("debit_p") + F.col("credit_p")).alias("p"))
 
 
