@@ -12,7 +12,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["v5_voucher_lines"])
+@pytest.mark.parametrize("name", ["v5_voucher_lines", "v1_validation_codes"])
 def test_arrays_are_not_made_again_for_a_filter(spark, name):
     """Spark's own filter below an explode would hold the whole expression of the array."""
     assert not re.search(r"Filter \(+size\(", _plan(catalogue.QUERIES[name](spark, SMALL)))

@@ -112,6 +112,11 @@ def validate(invoices: DataFrame, as_of: Column, save_route_profile: bool = Fals
     return out.withColumn("is_valid", ~F.exists("issues", lambda x: x.severity == "error")).drop("_v", "_c", "_date", "_date_given")
 
 
+def codes_of(validated: DataFrame, *keep: str) -> DataFrame:
+    """One row an issue's code, beside the columns to keep. The outer form, for below the plain one Spark filters by the array, which makes all issues once more; an invoice without issues gives no row."""
+    return validated.select(*keep, F.explode_outer("issues.code").alias("code")).where("code IS NOT NULL")
+
+
 def with_items(invoices: DataFrame, items: DataFrame) -> DataFrame:
     """S3: each invoice with its lines as an ordered array; one shuffle, on the invoice's id."""
     rows = F.sort_array(F.collect_list(F.struct("sort_order", "name", "qty", "rate", "price", "hsn_code", "gst_rate")))

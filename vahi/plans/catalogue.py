@@ -495,7 +495,7 @@ def _validated(t: Tables) -> DataFrame:
 @query(_CHECKS + "SELECT code, count(*) AS n, count(DISTINCT invoice_id) AS n_invoices FROM codes GROUP BY code")
 def v1_validation_codes(t: Tables) -> DataFrame:
     """How often each check fires."""
-    return _validated(t).select("invoice_id", F.explode("issues.code").alias("code")).groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("invoice_id").alias("n_invoices"))
+    return validate.codes_of(_validated(t), "invoice_id").groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("invoice_id").alias("n_invoices"))
 
 
 @query(_CHECKS + "SELECT j.invoice_id, count(code) FILTER (WHERE code IN ('VENDOR_GSTIN_INVALID', 'CUSTOMER_GSTIN_INVALID', 'VENDOR_PAN_IN_GSTIN', 'TAX_TYPE_INTERSTATE', 'IGST_ON_INTRASTATE', 'NEGATIVE_TOTAL', 'DISCOUNT_EXCEEDS_SUBTOTAL')) = 0 AS is_valid, count(code) AS n_issues, any_value(inter) AS interstate, CAST(22 AS INT) AS check_count FROM j LEFT JOIN codes USING (invoice_id) GROUP BY j.invoice_id")
