@@ -3,9 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from vahi.plans import catalogue
+from vahi.sources import files
 
 
 def _plan(df) -> str:
@@ -16,3 +18,10 @@ def _plan(df) -> str:
 def test_arrays_are_not_made_again_for_a_filter(spark, name):
     """Spark's own filter below an explode would hold the whole expression of the array."""
     assert not re.search(r"Filter \(+size\(", _plan(catalogue.QUERIES[name](spark, SMALL)))
+
+
+def test_amounts_of_items_are_read_once(spark):
+    out = files.invoice_rows(spark.createDataFrame([('{"items": [{"qty": 2, "rate": "1.50"}, {"price": 0, "qty": "3", "rate": 2}, {"total": "7"}]}',)], "payload string"), F.lit("1998-06-01").cast("timestamp"))
+    assert [x.price for x in out.first()["items"]] == [3.0, 6.0, 7.0]
+    transform = _plan(out.select("items"))
+    assert len(re.findall(r"regexp_extract\(", transform)) == 4  # quantity, rate, price, tax rate

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def clean_money(v: Column) -> Column:
     """A finite number as it is; of text, the number that its digits, points and signs begin with; else 0. The column's own type decides, so a double keeps its exponent."""
     digits = F.regexp_replace(v.cast("string"), "[^0-9.-]+", "")
-    text = F.nullif(F.regexp_extract(digits, r"^-?(\d+\.?\d*|\.\d+)", 0), F.lit("")).try_cast("double")
+    text = F.regexp_extract(digits, r"^-?(\d+\.?\d*|\.\d+)", 0).try_cast("double")  # nothing found is no number
     return F.coalesce(F.when(F.typeof(v) == "string", text).otherwise(_finite(v.try_cast("double"))), F.lit(0.0))
 
 

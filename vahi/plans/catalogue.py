@@ -151,7 +151,7 @@ def s7_extracted_invoices(t: Tables) -> DataFrame:
         "sort_order", F.when((k == 1) & (F.col("part_key") % 5 != 0), F.col("name")).alias("item_name"), F.when((k != 1) & (F.col("part_key") % 5 != 0), F.col("name")).alias("description"),
         F.when(k == 1, f("qty")).alias("qty"), F.when(k == 2, f("qty")).alias("quantity"), f("rate").alias("rate"), F.when(k == 2, F.abs("price").cast("decimal(18,2)").cast("string")).alias("total"), F.col("hsn_code").alias("hsnCode"), F.col("gst_rate").cast("string").alias("gstRate"),
     )
-    items = t.invoice_item.groupBy("invoice_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("sort_order")).alias("items"))
+    items = t.invoice_item.groupBy("invoice_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     doc = F.to_json(F.struct("invoice_number", F.date_format("invoice_date", "d/M/yyyy").alias("date"), "vendor", "vendor_gstin", f("total_amount").alias("total_amount"), F.lit("1.00").alias("total"), "items"))
     out = files.invoice_rows(t.invoice.join(items, "invoice_id", "left").select("invoice_id", doc.alias("payload")), as_of())
     total = lambda g: F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc + g(x))

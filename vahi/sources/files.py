@@ -93,14 +93,18 @@ def invoice_rows(payloads: DataFrame, as_of: Column, column: str = "payload") ->
     def one(x: Column) -> Column:
         first = lambda *keys: F.coalesce(*[x[k] for k in keys])
         there = lambda *keys: F.coalesce(*[V.json_there(x[k]) for k in keys])
-        qty, rate, price = (V.json_money(there(*keys)) for keys in (("qty", "quantity"), ("rate",), ("price", "amount", "total")))
+        amount = lambda name, *keys: V.json_money(there(*keys)).alias(name)
         rate_of = there("gst_rate", "gstRate", "tax_rate")
         return F.struct(
-            F.coalesce(*[T.blank_to_null(x[k]) for k in names[:4]], F.lit("Item")).alias("name"), qty.alias("qty"), rate.alias("rate"), F.when(price != 0, price).otherwise(qty * rate).alias("price"),
+            F.coalesce(*[T.blank_to_null(x[k]) for k in names[:4]], F.lit("Item")).alias("name"), amount("qty", "qty", "quantity"), amount("rate", "rate"), amount("price", "price", "amount", "total"),
             T.blank_to_null(first("hsn_code", "hsn", "hsnCode")).alias("hsn_code"), F.when(rate_of.isNotNull(), V.json_money(rate_of)).alias("gst_rate"),
         )
 
-    items = F.coalesce(F.transform(F.filter(d("items"), lambda x: x.isNotNull()), one), F.array())
+    def priced(x: Column) -> Column:
+        return F.struct(x["name"].alias("name"), x.qty.alias("qty"), x.rate.alias("rate"), F.when(x.price != 0, x.price).otherwise(x.qty * x.rate).alias("price"), x.hsn_code.alias("hsn_code"), x.gst_rate.alias("gst_rate"))
+
+    # two steps: in a function of an array Spark evaluates an expression anew at each use, so amounts are read once and then used
+    items = F.coalesce(F.transform(F.transform(F.filter(d("items"), lambda x: x.isNotNull()), one), priced), F.array())
     rest = [c for c in payloads.columns if c != column]
     return payloads.withColumn("_d", doc).select(
         *rest, T.blank_to_null(d("invoice_number")).alias("invoice_number"), V.clean_date(d("date"), as_of).alias("invoice_date"), T.blank_to_null(d("vendor")).alias("vendor"), T.norm_gstin(d("vendor_gstin")).alias("vendor_gstin"),
