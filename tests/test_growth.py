@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
+from tests.test_operators import BOOK, ROW
+from vahi.operators import reconcile
 from vahi.plans import catalogue
 from vahi.sources import files
 
@@ -25,3 +27,10 @@ def test_amounts_of_items_are_read_once(spark):
     assert [x.price for x in out.first()["items"]] == [3.0, 6.0, 7.0]
     transform = _plan(out.select("items"))
     assert len(re.findall(r"regexp_extract\(", transform)) == 4  # quantity, rate, price, tax rate
+
+
+def test_sides_are_made_once(spark, monkeypatch):
+    made, keep = [], reconcile.stored
+    monkeypatch.setattr(reconcile, "stored", lambda df, name: made.append(name) or keep(df, name))
+    reconcile.reconcile_windows(spark.createDataFrame([], ROW), spark.createDataFrame([], BOOK))
+    assert made == ["books", "rows", "exact-pairs", "soft-pairs"]

@@ -208,11 +208,11 @@ def notes(results: DataFrame) -> DataFrame:
 
 
 def reconcile_windows(rows: DataFrame, books: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """J7 by ranks within keys: exact keys first, then soft keys among what is left. Joins and windows only.
+    """J7 by ranks within keys: exact keys first, then soft keys among what is left. Joins and windows only, over sides that are stored once.
 
     Equal to reconcile unless an earlier row's soft match takes the book that a later row would match exactly.
     """
-    books, rows = book_side(books), row_side(rows)
+    books, rows = stored(book_side(books), "books"), stored(row_side(rows), "rows")  # each is read by up to six branches
 
     def phase(b: DataFrame, r: DataFrame, key: str) -> DataFrame:
         by = ["client_id", "gstin", key]
@@ -221,10 +221,10 @@ def reconcile_windows(rows: DataFrame, books: DataFrame, tolerance: float = 1.0)
         return r.select(*by, "_n", "row_id", F.col("taxable").alias("r_taxable"), F.col("tax").alias("r_tax")).join(b.select(*by, "_n", "invoice_id", "taxable", "tax"), [*by, "_n"])
 
     pairs = ["client_id", "gstin", "row_id", "invoice_id", F.abs(F.col("taxable") - F.col("r_taxable")).alias("taxable_diff"), F.abs(F.col("tax") - F.col("r_tax")).alias("tax_diff"), F.col("r_tax").alias("row_tax")]
-    first = phase(books, rows, "exact").select(*pairs)
+    first = stored(phase(books, rows, "exact").select(*pairs), "exact-pairs")
     books_left = books.join(first.select("client_id", "invoice_id"), ["client_id", "invoice_id"], "left_anti")
     rows_left = rows.join(first.select("client_id", "row_id"), ["client_id", "row_id"], "left_anti")
-    second = phase(books_left, rows_left, "soft").select(*pairs)
+    second = stored(phase(books_left, rows_left, "soft").select(*pairs), "soft-pairs")
     near = V.within(F.col("taxable_diff"), F.lit(0.0), tolerance) & V.within(F.col("tax_diff"), F.lit(0.0), tolerance)
     matched = first.unionByName(second).withColumn("status", F.when(near, "MATCHED").otherwise("VALUE_MISMATCH"))
     none = F.lit(None).cast("long")
