@@ -34,3 +34,13 @@ def test_sides_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(reconcile, "stored", lambda df, name: made.append(name) or keep(df, name))
     reconcile.reconcile_windows(spark.createDataFrame([], ROW), spark.createDataFrame([], BOOK))
     assert made == ["books", "rows", "exact-pairs", "soft-pairs"]
+
+
+def test_a_repeated_run_is_not_matched_again(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, None, "A1", 1.0, 1.0)], ROW)
+    uploads = spark.createDataFrame([(1, 7, "f", "2024-01")], "client_id int, upload_id int, file_name string, period string")
+    results = reconcile.reconcile(rows, spark.createDataFrame([], BOOK))
+    now = F.lit("1998-06-01").cast("timestamp")
+    assert reconcile.persist(results, rows, uploads, now, str(tmp_path / "runs"), "r1")
+    fails = results.withColumn("tax_diff", F.raise_error(F.lit("made again")).cast("double"))
+    assert not reconcile.persist(fails, rows, uploads, now, str(tmp_path / "runs"), "r1")

@@ -267,5 +267,7 @@ def upload_tables(results: DataFrame, rows: DataFrame, uploads: DataFrame, creat
 
 def persist(results: DataFrame, rows: DataFrame, uploads: DataFrame, created_at: Column, path: str, run: str) -> bool:
     """K6 as one transaction: rows, matches and header become readable together under the run's name, see snapshots; a run that is there already is left as it is."""
+    if run in snapshots.runs(results.sparkSession, path):
+        return False
     results = stored(results, "matches")  # once, so that header and matches agree
     return snapshots.commit(path, run, upload_tables(results, rows, uploads, created_at))

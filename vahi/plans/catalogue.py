@@ -801,8 +801,10 @@ def a10_recon_summary(t: Tables) -> DataFrame:
 @query(_GREEDY + "SELECT res.client_id, coalesce(res.status, '') AS status, CASE res.status WHEN 'MATCHED' THEN 1 WHEN 'VALUE_MISMATCH' THEN 2 WHEN 'MISSING_IN_2B' THEN 3 ELSE 4 END AS status_order, res.row_id, res.invoice_id, q.supplier_name, i.vendor FROM res LEFT JOIN {gst2b_row} q ON q.row_id = res.row_id AND q.client_id = res.client_id LEFT JOIN {invoice} i ON i.invoice_id = res.invoice_id AND i.client_id = res.client_id")
 def j12_recon_detail(t: Tables) -> DataFrame:
     """Results with what they refer to, in the order of their status."""
-    out = reconcile.reconcile(*_recon_sides(t)).select("client_id", "status", "row_id", "invoice_id")
-    out = out.join(t.gst2b_row.select("client_id", "row_id", "supplier_name"), ["client_id", "row_id"], "left").join(t.invoice.select("client_id", "invoice_id", "vendor"), ["client_id", "invoice_id"], "left")
+    rows, books = _recon_sides(t)
+    rows = stored(rows, "portal-rows")  # matched and then joined
+    out = reconcile.reconcile(rows, books).select("client_id", "status", "row_id", "invoice_id")
+    out = out.join(rows.select("client_id", "row_id", "supplier_name"), ["client_id", "row_id"], "left").join(t.invoice.select("client_id", "invoice_id", "vendor"), ["client_id", "invoice_id"], "left")
     return reconcile.by_status(out).select("client_id", "status", "status_order", "row_id", "invoice_id", "supplier_name", "vendor")
 
 

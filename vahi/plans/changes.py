@@ -9,7 +9,7 @@ from vahi.functions import values as V
 from vahi.operators import documents, drafts, ledgers, reconcile, screens, tables, validate, vouchers
 from vahi.plans.catalogue import _CHECKS, _FLAGGED, _GREEDY, _RECON, MONEY, NARRATION, NORM_GSTIN, NORM_NAME, P, Tables, _flagged, _recon_sides, _validated, as_of, query
 from vahi.sources import files, snapshots
-from vahi.storage import new_path
+from vahi.storage import new_path, stored
 from vahi.streaming import bank_stream
 
 
@@ -114,6 +114,7 @@ def _uploads(t: Tables) -> DataFrame:
 def _run(t: Tables) -> tuple[SparkSession, str]:
     """A run persisted twice, of which the second changes nothing."""
     rows, books = _recon_sides(t)
+    rows = stored(rows, "portal-rows")  # matched, counted and written
     spark, path = rows.sparkSession, new_path(rows.sparkSession, "recon-runs")
     results = reconcile.reconcile(rows, books)
     for _ in range(2):
