@@ -44,3 +44,11 @@ def test_a_repeated_run_is_not_matched_again(spark, tmp_path):
     assert reconcile.persist(results, rows, uploads, now, str(tmp_path / "runs"), "r1")
     fails = results.withColumn("tax_diff", F.raise_error(F.lit("made again")).cast("double"))
     assert not reconcile.persist(fails, rows, uploads, now, str(tmp_path / "runs"), "r1")
+
+
+def test_stream_files_are_not_written_by_one_task(spark, monkeypatch):
+    def fail(self, n):
+        raise AssertionError("all rows in one task")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", fail)
+    assert catalogue.QUERIES["m5_stream_memory"](spark, SMALL).count() > 0

@@ -184,13 +184,13 @@ def m2_approve_and_learn(t: Tables) -> DataFrame:
 
 @query("WITH k AS (SELECT CAST(statement_id % 25 AS INT) AS client_id, " + NARRATION.replace("{0}", "description") + " AS match_key, ledger_id, txn_id FROM {bank_txn} WHERE ledger_id IS NOT NULL) SELECT client_id, match_key, arg_max(ledger_id, txn_id) AS ledger_id, count(*) AS hit_count FROM k WHERE match_key <> '' GROUP BY ALL")
 def m5_stream_memory(t: Tables) -> DataFrame:
-    """Narration memory that a stream over four files learns in four batches; the log is compacted after the second and third, and what is read is base and deltas."""
+    """Narration memory that a stream over four parts, each of as many files as tasks write, learns in four batches; the log is compacted after the second and third, and what is read is base and deltas."""
     spark = t.bank_txn.sparkSession
     path = new_path(spark, "bank-stream")
     rows = t.bank_txn.select((F.col("statement_id") % 25).cast("int").alias("client_id"), F.col("txn_id").cast("long").alias("txn_id"), "description", "withdrawal", "deposit", F.col("ledger_id").cast("long").alias("ledger_id"))
     schema = rows.schema
     for k in range(4):
-        rows.where(F.pmod("txn_id", F.lit(4)) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        rows.where(F.pmod("txn_id", F.lit(4)) == k).write.mode("append").parquet(f"{path}/in")
         bank_stream.learn_stream(bank_stream.classified_stream(spark, f"{path}/in", schema), f"{path}/memory", f"{path}/checkpoint").awaitTermination()
         if k in (1, 2):
             bank_stream.compact(spark, f"{path}/memory", k)
