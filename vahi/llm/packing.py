@@ -20,6 +20,8 @@ TERM_BITS = 18
 TERMS = 1 << TERM_BITS
 #: Bytes of ids of a shard of the index; of a task while there are fewer than MOST_TASKS, and beyond that. Tasks and shards depend on the data alone.
 SHARD_BYTES, TASK_BYTES, MOST_TASKS, LARGE_TASK_BYTES = 6 << 20, 24 << 20, 4096, 1 << 30
+#: Bytes of text that are encoded at once: the more, the more pieces are met again.
+ENCODED_BYTES = 1 << 20
 #: A shard has no more documents than this, however short they are.
 SHARD_DOCS = 100_000
 #: Terms that more than one in DENSE documents of a shard hold are rows of a dense matrix; and so many neighbours are ranked first, the rest if they are asked for.
@@ -84,7 +86,7 @@ def encoded(docs: DataFrame, make: Callable, starts: np.ndarray, end_id: int) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, end = make(), np.array([end_id], np.uint32)
         frequency, rows, words, size = np.zeros(TERMS, np.int64), 0, 0, 0
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", ENCODED_BYTES):
             texts = to_ids([x or "" for x in batch.column("text").to_pylist()])
             n = len(texts)
             word, length, text = words_of(texts, starts)
