@@ -89,6 +89,29 @@ def test_collocations_across_shards_and_spans(spark, monkeypatch):
     assert got == plain_counts([{"text": t, "lang": lang} for _, t, lang, _ in rows])[0]
 
 
+def test_shards_of_a_task_are_merged(monkeypatch):
+    """A phrase is one row a task, not one for each of its shards, unless more rows are held than may be merged at once."""
+    texts = [("das haus und das haus", "de"), ("das haus", "de"), ("das haus", None), ("und das haus", "de")]
+    monkeypatch.setattr(C, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    shards = [next(C._encode(iter([pa.record_batch([pa.array([t]), pa.array([lang], pa.string())], names=["text", "lang"])]))) for t, lang in texts]
+
+    def with_bits(batch):
+        _, _, hashes, _ = next(C._rows_of(iter([batch]))).grams(3)
+        bits = [np.packbits(np.ones(len(hashes), bool)).tobytes()] if len(hashes) else []
+        return batch.append_column("bits", pa.array([bits], pa.list_(pa.binary())))
+
+    for most, once in ((1 << 21, True), (1, False)):
+        monkeypatch.setattr(C, "MERGED_ROWS", most)
+        rows = [r for batch in C._phrases_of(1)(iter(map(with_bits, shards))) for r in batch.to_pylist()]
+        got = collections.Counter()
+        for r in rows:
+            phrase, lang = r["key"].split("\t")
+            assert r["length"] == len(phrase.split(" "))
+            got[lang, tuple(phrase.split(" "))] += r["n"]
+        assert got == plain_counts([{"text": t, "lang": lang} for t, lang in texts])[0]
+        assert (len(rows) == len(got)) is once
+
+
 def test_suffix_array_is_sorted():
     ids = np.random.default_rng(3).integers(0, 4, 3000).astype(np.int32)
     place, left, lcp = C.suffix_array(ids, 4)

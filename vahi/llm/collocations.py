@@ -350,24 +350,68 @@ def _link(parts: int):
     return link
 
 
-def _phrases_of(parts: int):
-    """Phrases of a shard that may be frequent, key, count and length: its words and pairs, the triples that stay, and phrases of four words whose triples both stay."""
+class _Merged:
+    """Phrases of several shards of a task, each once: words are numbered over these shards, and a phrase is the numbers of its words."""
+
+    def __init__(self):
+        self.words: list[pa.Array] = []
+        self.langs: list[pa.Array] = []
+        self.phrases: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {k: [] for k in (1, 2, 3, 4)}
+        self.rows = 0
+
+    def add(self, x: _Rows, found: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """A shard, and by length the positions and counts of its phrases."""
+        self.words.append(x.words)
+        self.langs.append(x.langs.take(pa.array(x.lang_of)))
+        self.phrases[1].append((len(self.words) - 1, np.arange(len(x.words), dtype=np.int32)[None], x.counts))
+        for length, (at, counts) in found.items():
+            self.phrases[length].append((len(self.words) - 1, np.stack([x.ids[at + k] - 1 for k in range(length)]), counts.astype(np.int32)))
+        self.rows += len(x.words) + sum(len(at) for at, _ in found.values())
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        words, langs = pa.concat_arrays(self.words), pa.concat_arrays(self.langs)
+        number = pc.binary_join_element_wise(words, langs, "\t").dictionary_encode().indices.to_numpy()
+        _, of = np.unique(number, return_index=True)
+        words, langs, every = words.take(pa.array(of)), langs.take(pa.array(of)), np.arange(len(of))
+        of_shard = np.split(number.astype(np.int64), np.cumsum(list(map(len, self.words)))[:-1])
+        for length, held in self.phrases.items():
+            if not held:
+                continue
+            ids = np.concatenate([of_shard[k][local] for k, local, _ in held], axis=1)
+            code = ids[0]
+            for k in range(1, length):
+                code = np.unique(code, return_inverse=True)[1] * len(words) + ids[k]
+            _, first, place = np.unique(code, return_index=True, return_inverse=True)
+            counts = np.zeros(len(first), np.int64)
+            np.add.at(counts, place, np.concatenate([n for _, _, n in held]))
+            ids, at = ids[:, first].T.ravel() + 1, np.arange(len(first)) * length
+            for k in range(0, len(at), BATCH_ROWS):
+                part = slice(k, k + BATCH_ROWS)
+                yield pa.record_batch([_keys(words, langs, every, ids, at[part], length), pa.array(counts[part]), pa.array(np.full(len(at[part]), length, np.int32))], names=["key", "n", "length"])
+
+
+#: Phrases of a task that are merged at once; shards are held until they have more.
+MERGED_ROWS = 1 << 21
+
 
-    def rows(keys: Callable[[slice], pa.Array], counts: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(counts), BATCH_ROWS):
-            part = slice(k, k + BATCH_ROWS)
-            yield pa.record_batch([keys(part), pa.array(counts[part].astype(np.int64)), pa.array(np.full(len(counts[part]), length, np.int32))], names=["key", "n", "length"])
+def _phrases_of(parts: int):
+    """Phrases that may be frequent, key, count and length: the words and pairs of shards, the triples that stay, and phrases of four words whose triples both stay. A task's shards are merged first."""
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged = _Merged()
         for x in _rows_of(batches):
-            yield from rows(lambda part, x=x: pc.binary_join_element_wise(x.words[part], x.langs.take(pa.array(x.lang_of[part])), "\t"), x.counts, 1)
             triple, counts, hashes, of = x.grams(3)
             stays = np.append(_staying(hashes, x.bits, parts), False)
             pair, pair_counts, *_ = intervals(*suffix_array(x.ids, 2), 2)
             four, four_counts, *_ = intervals(*suffix_array(x.ids, 4), 4)
             both = stays[of[four]] & stays[of[four + 1]] if len(four) else np.zeros(0, bool)
-            for length, at, n in ((2, pair, pair_counts), (3, triple[stays[:-1]], counts[stays[:-1]]), (4, four[both], four_counts[both])):
-                yield from rows(lambda part, x=x, at=at, length=length: _keys(x.words, x.langs, x.lang_of, x.ids, at[part], length), n, length)
+            merged.add(x, {2: (pair, pair_counts), 3: (triple[stays[:-1]], counts[stays[:-1]]), 4: (four[both], four_counts[both])})
+            del triple, counts, hashes, of, stays, pair, pair_counts, four, four_counts, both
+            if merged.rows > MERGED_ROWS:
+                yield from merged.batches()
+                merged = _Merged()
+        if merged.rows:
+            yield from merged.batches()
 
     return phrases
 
