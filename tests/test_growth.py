@@ -52,3 +52,9 @@ def test_stream_files_are_not_written_by_one_task(spark, monkeypatch):
 
     monkeypatch.setattr(type(spark.range(1)), "coalesce", fail)
     assert catalogue.QUERIES["m5_stream_memory"](spark, SMALL).count() > 0
+
+
+@pytest.mark.parametrize("name", ["k3_voucher_xml", "k3_import_document"])
+def test_exports_make_invoices_and_lines_once(spark, name):
+    """Vouchers, lines and entries are made of stored invoices and lines: the last plan reads no line items."""
+    assert "lineitem.parquet" not in catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()

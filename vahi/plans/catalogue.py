@@ -32,6 +32,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return view(self._spark, self._dir, name, self._made)
 
+    def keep(self, name: str, *columns: str) -> None:
+        """Store these columns of a binding: what is asked for later reads them instead of making the binding again."""
+        self._made[name] = stored(getattr(self, name).select(*columns), name)
+
 
 def query(sql: str | None):
     """Register a function of Tables under its name; sql uses {binding} for the tables."""
@@ -845,9 +849,16 @@ def k3_ledger_xml(t: Tables) -> DataFrame:
     return export.ledger_xml(t.ledger)
 
 
+def _keep_exported(t: Tables) -> None:
+    """Invoices and voucher lines, which vouchers are made of too, are made once for an export."""
+    t.keep("invoice", "invoice_id", "client_id", "document_type", "created_at", "invoice_number", "vendor", "total_amount")
+    t.keep("voucher_line", "voucher_id", "sort_order", "ledger_id", "ledger_name", "debit_p", "credit_p")
+
+
 @query(_VOUCHER_XML)
 def k3_voucher_xml(t: Tables) -> DataFrame:
     """Voucher entries."""
+    _keep_exported(t)
     return export.voucher_xml(t.voucher, t.voucher_line, t.invoice)
 
 
@@ -861,10 +872,12 @@ UNION ALL SELECT client_id, 1, place, xml FROM masters JOIN chosen USING (client
 """)
 def k3_import_document(t: Tables) -> DataFrame:
     """Each client's whole import document as lines: the ledgers that its vouchers use, then the vouchers."""
+    _keep_exported(t)
     chosen = t.voucher.where(F.col("status").isin("APPROVED", "EXPORTED_DEMO")).select("voucher_id", "client_id")
     used = t.voucher_line.where("ledger_id IS NOT NULL").join(chosen, "voucher_id").select("client_id", "ledger_id").distinct()
     masters = export.ledger_xml(t.ledger.join(used, ["client_id", "ledger_id"], "left_semi"))
-    return export.import_document(masters, export.voucher_xml(t.voucher, t.voucher_line, t.invoice), t.client)
+    entries = stored(export.voucher_xml(t.voucher, t.voucher_line, t.invoice), "entries")  # written, and asked for their clients
+    return export.import_document(masters, entries, t.client)
 
 
 @query("SELECT voucher_id, v.client_id, n_vouchers, CASE WHEN status IN ('APPROVED', 'EXPORTED_DEMO') THEN 'EXPORTED_DEMO' ELSE status END AS new_status FROM {voucher} v LEFT JOIN (SELECT client_id, count(*) AS n_vouchers FROM {voucher} WHERE status IN ('APPROVED', 'EXPORTED_DEMO') GROUP BY client_id) a ON a.client_id = v.client_id AND v.status IN ('APPROVED', 'EXPORTED_DEMO')")
