@@ -112,6 +112,37 @@ def test_shards_of_a_task_are_merged(monkeypatch):
         assert (len(rows) == len(got)) is once
 
 
+def test_a_frequent_phrase_is_one_row_however_many_shards_have_it(spark, monkeypatch):
+    """Nine shards with the same phrases: no step makes more rows than there are frequent phrases, and counts are those of brute force."""
+    rng = random.Random(7)
+    text = " ".join(rng.choice("abcdefgh") + rng.choice(["", "", ".", "é"]) for _ in range(4000))
+    docs = spark.range(9, numPartitions=9).select(F.lit(text).alias("text"), F.when(F.col("id") % 2 == 0, "en").alias("lang"))
+    made, plain = [], type(docs).mapInArrow
+
+    def counted(df, func, schema):
+        rows = spark.sparkContext.accumulator(0)
+        made.append(rows)
+
+        def counting(batches):
+            for batch in func(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return plain(df, counting, schema)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # shards stay in tasks of their own
+    try:
+        phrases = C.phrase_counts(docs, 5)[0].collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    counts = plain_counts([{"text": text, "lang": "en" if k % 2 == 0 else None} for k in range(9)])[0]
+    expected = {(" ".join(w) + "\t" + lang, n, len(w)) for (lang, w), n in counts.items() if n >= 5}
+    assert {(r.key, r.n, r.length) for r in phrases} == expected and len(phrases) == len(expected) > 4000
+    assert max(x.value for x in made) <= len(expected)
+
+
 def test_suffix_array_is_sorted():
     ids = np.random.default_rng(3).integers(0, 4, 3000).astype(np.int32)
     place, left, lcp = C.suffix_array(ids, 4)

@@ -1,7 +1,8 @@
-"""Collocations: phrases of two to four words, counted by word-id suffix arrays of shards and merged by key."""
+"""Collocations: phrases of two to four words, counted by word-id suffix arrays of shards; what is frequent gets an id for all shards, of which longer phrases are made."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -211,7 +212,7 @@ class _Rows:
         data, lengths, self.lang_of, self.counts, self.ids = (_unsqueeze(row[name].as_buffer(), t) for name, t in zip(_SHARD_NAMES[3:], (np.uint8, np.int32, np.int32, np.int64, np.int32), strict=True))
         ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
         self.words = pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-        self.bits = row["bits"].as_py() if "bits" in row else None
+        self.bits, self.names = (row[c].as_py() if c in row else None for c in ("bits", "names"))
 
     def hashes(self) -> np.ndarray:
         """A 48-bit hash of each (lang, word) of the dictionary; words whose hashes are equal are only judged alike by the filter."""
@@ -251,14 +252,6 @@ def _of_words(x: _Rows) -> tuple[np.ndarray, np.ndarray]:
     return x.hashes(), x.counts
 
 
-def _of_grams(length: int):
-    def counted(x: _Rows) -> tuple[np.ndarray, np.ndarray]:
-        _, counts, hashes, _ = x.grams(length)
-        return hashes, counts
-
-    return counted
-
-
 def _sent(counted: Callable[[_Rows], tuple[np.ndarray, np.ndarray]], parts: int):
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _rows_of(batches):
@@ -275,30 +268,32 @@ def _sent(counted: Callable[[_Rows], tuple[np.ndarray, np.ndarray]], parts: int)
     return sent
 
 
+def _held_by_part(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """Each part with its rows, which come in order of part; one part is held at a time."""
+    part, held = None, []
+    for batch in batches:
+        for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", *columns)), strict=True):
+            if p != part:
+                if held:
+                    yield part, held
+                part, held = p, []
+            held.append(tuple(row))
+    if held:
+        yield part, held
+
+
 def _judged(least: int):
     """For each range of hashes, which of the sent ones occur at least so often over all shards; rows come in order of part, and one part is held at a time."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
-
-        def decide() -> pa.RecordBatch:
+        for part, held in _held_by_part(batches, ("shard", "hashes", "counts")):
             hashes = [np.cumsum(_unsqueeze(h, np.uint64)) for _, h, _ in held]
             every, of = np.unique(np.concatenate(hashes), return_inverse=True)
             total = np.bincount(of, np.concatenate([_unsqueeze(c, np.uint64) for _, _, c in held]).astype(np.float64), len(every))  # exact below 2 ** 53
             stays = (total >= least)[of]
             edges = np.cumsum([0, *map(len, hashes)])
             bits = [np.packbits(stays[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            return pa.record_batch([pa.array([s for s, _, _ in held], pa.int64()), pa.array([part] * len(held), pa.int32()), pa.array(bits, pa.binary())], names=["shard", "part", "bits"])
-
-        for batch in batches:
-            for p, shard, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "hashes", "counts")), strict=True):
-                if p != part:
-                    if held:
-                        yield decide()
-                    part, held = p, []
-                held.append((shard, hashes, counts))
-        if held:
-            yield decide()
+            yield pa.record_batch([pa.array([s for s, _, _ in held], pa.int64()), pa.array([part] * len(held), pa.int32()), pa.array(bits, pa.binary())], names=["shard", "part", "bits"])
 
     return judged
 
@@ -336,22 +331,8 @@ def _trim(parts: int):
     return trim
 
 
-def _link(parts: int):
-    """Shards cut between the words of pairs that cannot be frequent."""
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _rows_of(batches):
-            _, _, hashes, of = x.grams(2)
-            linked = np.append(_staying(hashes, x.bits, parts), False)[of]  # -1 is the last, which does not stay
-            at = np.flatnonzero((x.ids > 0) & (linked | np.concatenate(([False], linked[:-1]))[: len(x.ids)]))
-            cut = _sequence(x.ids[at], np.concatenate(([True], ~linked[at[:-1]]))[: len(at)])
-            yield _shard_row(x.shard, x.langs, np.zeros(0, np.int64), x.words, x.lang_of, x.counts, cut)
-
-    return link
-
-
 class _Merged:
-    """Phrases of several shards of a task, each once: words are numbered over these shards, and a phrase is the numbers of its words."""
+    """Phrases of several shards of a task, each once: words are numbered over these shards, and a phrase is the numbers of its words. A test holds it; phrase_counts uses names instead."""
 
     def __init__(self):
         self.words: list[pa.Array] = []
@@ -395,7 +376,9 @@ MERGED_ROWS = 1 << 21
 
 
 def _phrases_of(parts: int):
-    """Phrases that may be frequent, key, count and length: the words and pairs of shards, the triples that stay, and phrases of four words whose triples both stay. A task's shards are merged first."""
+    """Phrases that may be frequent, key, count and length: the words and pairs of shards, the triples that stay, and phrases of four words whose triples both stay. A task's shards are merged first.
+
+    A test holds it; phrase_counts does not use it, for a phrase is a row in each task here, which grows faster than the input."""
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged = _Merged()
@@ -416,6 +399,191 @@ def _phrases_of(parts: int):
     return phrases
 
 
+# ---- names: keys and counts of all shards meet by ranges, and each key that is frequent gets an id that all shards share ----
+
+#: What a range gives back: to each shard, in the order in which it sent its keys, a bit for each and the ranks of those that stay; and without a shard each key that stays, once: its id, its word and language or the ids of its two parts, and its count.
+NAMED = "shard long, part int, bits binary, ranks binary, id long, word string, first long, second long, n long"
+
+
+def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by parts, equal in hashes, and the bounds of each part in it; the keys of a part stay in their order."""
+    part = ((mix(hashes) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+
+
+def _neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of two ids that stand side by side, by the suffix array: the keys, ascending, their counts, and at each position the key's number or -1."""
+    place, left, lcp = suffix_array(ids, 2)
+    at, counts, number = intervals(place, left, lcp, 2)
+    of = np.full(len(ids), -1, np.int64)
+    of[place] = number
+    return (ids[at].astype(np.uint64) << np.uint64(32)) | ids[at + 1].astype(np.uint64), counts, of
+
+
+def _sent_keys(shard: int, bounds: np.ndarray, columns: list[np.ndarray | pa.Array], packs: list[Callable]) -> pa.RecordBatch:
+    """A row for each part that has keys."""
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    packed = [pa.array([pack(x[int(bounds[k]) : int(bounds[k + 1])]) for k in some.tolist()], pa.binary()) for x, pack in zip(columns, packs, strict=True)]
+    return pa.record_batch([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), shard, np.int64)), *packed], names=["part", "shard", "first", "second", "counts"])
+
+
+def _gaps(values: np.ndarray) -> bytes:
+    return _squeeze(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _sent_words(parts: int):
+    """The words of shards with their languages, and their counts."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _rows_of(batches):
+            order, bounds = _dealt(x.hashes(), parts)
+            keys = _keys(x.words, x.langs, x.lang_of, np.arange(1, len(order) + 1), order, 1)
+            packs = [lambda k: _squeeze(raw(k)[0]), lambda k: _squeeze(np.diff(raw(k)[1]).astype(np.int32)), _squeeze]
+            yield _sent_keys(x.shard, bounds, [keys, keys, x.counts[order]], packs)
+
+    return sent
+
+
+def _sent_neighbours(parts: int):
+    """The neighbours in the ids of shards, and their counts."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, ids, _ in _sequences(batches):
+            keys, counts, _ = _neighbours(ids)
+            order, bounds = _dealt(keys, parts)
+            keys = keys[order]
+            yield _sent_keys(shard, bounds, [(keys >> np.uint64(32)).astype(np.int32), keys.astype(np.uint32).view(np.int32), counts[order].astype(np.int64)], [_gaps, _squeeze, _squeeze])
+
+    return sent
+
+
+def _distinct_words(held: list[tuple]) -> tuple[list[int], np.ndarray, pa.Array]:
+    """How many words each shard has, the number of each word in order, and the distinct words."""
+    lengths, words = [_unsqueeze(x, np.int32) for x in (h[2] for h in held)], []
+    for n, h in zip(lengths, held, strict=True):
+        ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+        words.append(pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(_unsqueeze(h[1], np.uint8))]))
+    coded = pa.concat_arrays(words).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return list(map(len, lengths)), place[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
+
+
+def _distinct_neighbours(held: list[tuple]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The same of neighbours, as keys."""
+    keys = [(np.cumsum(_unsqueeze(a, np.int32), dtype=np.int64).astype(np.uint64) << np.uint64(32)) | _unsqueeze(b, np.int32).astype(np.uint64) for _, a, b, _ in held]
+    every, of = np.unique(np.concatenate(keys), return_inverse=True)
+    return list(map(len, keys)), of, every
+
+
+def _named(least: int, parts: int, distinct: Callable):
+    """For each part, its keys that occur at least so often over all shards, counted exactly and with ids that depend on the keys alone."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, held in _held_by_part(batches, ("shard", "first", "second", "counts")):
+            sizes, of, every = distinct(held)
+            total = np.zeros(len(every), np.int64)
+            np.add.at(total, of, np.concatenate([_unsqueeze(h[3], np.int64) for h in held]))
+            frequent = total >= least
+            rank = np.cumsum(frequent) - 1
+            edges, stays = np.cumsum([0, *sizes]), frequent[of]
+            bits, ranks = [], []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                bits.append(np.packbits(stays[a:b]).tobytes())
+                ranks.append(_gaps(rank[of[a:b][stays[a:b]]].astype(np.int32)))
+            found = np.flatnonzero(frequent)
+            ids = rank[found] * parts + part + 1
+            if len(ids) and ids[-1] >= 1 << 31:
+                raise ValueError("more frequent phrases than 31 bits can number")
+            given = {"shard": pa.array([h[0] for h in held], pa.int64()), "part": pa.array([part] * len(held), pa.int32()), "bits": pa.array(bits, pa.binary()), "ranks": pa.array(ranks, pa.binary())}
+            yield _named_batch(given)
+            columns = {"word": every.take(pa.array(found))} if isinstance(every, pa.Array) else {"first": pa.array((every[found] >> np.uint64(32)).astype(np.int64)), "second": pa.array((every[found] & np.uint64(0xFFFFFFFF)).astype(np.int64))}
+            yield _named_batch({"id": pa.array(ids, pa.int64()), "n": pa.array(total[found])} | columns)
+
+    return named
+
+
+_NAMED_TYPES = {"shard": pa.int64(), "part": pa.int32(), "bits": pa.binary(), "ranks": pa.binary(), "id": pa.int64(), "word": pa.string(), "first": pa.int64(), "second": pa.int64(), "n": pa.int64()}
+
+
+def _named_batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The columns, and nulls for the others."""
+    rows = len(next(iter(columns.values())))
+    return pa.record_batch([columns[c] if c in columns else pa.nulls(rows, t) for c, t in _NAMED_TYPES.items()], names=list(_NAMED_TYPES))
+
+
+def _ids_of(hashes: np.ndarray, names: list[dict] | None, parts: int) -> np.ndarray:
+    """The ids of the keys that a shard had sent, in its own order; 0 for those that are not frequent."""
+    order, bounds = _dealt(hashes, parts)
+    out = np.zeros(len(hashes), np.int32)
+    for x in names or []:
+        mine = order[bounds[x["part"]] : bounds[x["part"] + 1]]
+        stays = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=len(mine)).astype(bool)
+        out[mine[stays]] = np.cumsum(_unsqueeze(x["ranks"], np.int32), dtype=np.int64) * parts + x["part"] + 1
+    return out
+
+
+#: A shard's texts as ids that all shards share, compressed; 0 is where no frequent phrase begins.
+IDS = "shard long, ids binary"
+
+
+def _ids_row(shard: int, ids: np.ndarray) -> pa.RecordBatch:
+    ids = ids[np.concatenate(([True], (ids[1:] > 0) | (ids[:-1] > 0)))[: len(ids)]]  # one 0 is enough
+    return pa.record_batch([pa.array([shard], pa.int64()), pa.array([_squeeze(ids)], pa.binary())], names=["shard", "ids"])
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[dict] | None]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.column("shard")[k].as_py(), _unsqueeze(batch.column("ids")[k].as_buffer(), np.int32), batch.column("names")[k].as_py() if "names" in batch.schema.names else None
+
+
+def _word_ids(parts: int):
+    """The texts of shards by the words' ids."""
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _rows_of(batches):
+            yield _ids_row(x.shard, np.concatenate((np.zeros(1, np.int32), _ids_of(x.hashes(), x.names, parts)))[x.ids])
+
+    return of_words
+
+
+def _neighbour_ids(parts: int):
+    """The texts of shards by the ids of neighbours, each at the place of its first: neighbours among these are phrases longer by a word."""
+
+    def of_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, ids, names in _sequences(batches):
+            keys, _, of = _neighbours(ids)
+            yield _ids_row(shard, np.append(_ids_of(keys, names, parts), np.int32(0))[of])  # -1 is the last, which has no id
+
+    return of_neighbours
+
+
+def _names(shards: DataFrame, sent: Callable, distinct: Callable, least: int, parts: int) -> DataFrame:
+    """NAMED of the keys that shards send."""
+    rows = shards.mapInArrow(sent(parts), "part int, shard long, first binary, second binary, counts binary")
+    return stored(rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_named(least, parts, distinct), NAMED), "phrase-names")
+
+
+def _with_names(shards: DataFrame, named: DataFrame) -> DataFrame:
+    """shards with what was given back to each; a list is no longer than its shard."""
+    names = named.where("shard is not null").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("part", "bits", "ranks"))).alias("names"))
+    return shards.join(names.hint("shuffle_hash"), "shard", "left")
+
+
+def _longer(named: DataFrame, shorter: DataFrame) -> DataFrame:
+    """Named neighbours as id, phrase, last word, lang and n: the first's phrase and the second's last word."""
+    rows = named.where("shard is null").select("id", "first", "second", "n")
+    total = rows.count()
+    for part, columns in (("first", ["phrase", "lang"]), ("second", ["last"])):
+        asked = rows.groupBy(F.col(part).alias("id")).agg(F.count("*").alias("asked"))
+        few = asked.join(shorter.select("id", *columns), "id").withColumnRenamed("id", part)
+        rows = join_by(rows, few, part, "asked", total).drop("asked")
+    return stored(rows.select("id", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "lang", "n"), "phrase-level")
+
+
 #: Words of the corpus for each range of hashes.
 PART_WORDS = 4_000_000
 
@@ -423,9 +591,10 @@ PART_WORDS = 4_000_000
 def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(key, n, length) of all phrases of one to four words that occur at least so often, and (lang, total) of words.
 
-    A phrase is frequent only if its words, pairs and triples of words are. So 48-bit hashes of a shard's words, with counts, first meet those of all other shards, and one bit for each comes
-    back; the shard is cut at rare words. The same is done for pairs of words and for triples, and then only what is left is counted by its words themselves, which are the key of the merge:
-    equal hashes of different phrases let a rare one through the filter, never into the result, and lose none.
+    A phrase is frequent only if both phrases that are shorter by a word are. So 48-bit hashes of a shard's words, with counts, first meet those of all other shards, one bit for each comes
+    back, and the shard is cut at rare words; equal hashes let a rare word through this filter, never into the result. The words that are left meet by themselves: their counts are summed
+    exactly, and each frequent one gets an id for all shards. Two word ids side by side are a pair's exact key, two ids of pairs a triple's, two ids of triples that of four words; each
+    time the frequent keys get ids, and the shard's texts are written in these. A frequent phrase is one row, made where its counts meet, however many shards have it.
     """
     docs = docs.select("text", F.col("lang").cast("string").alias("lang"))
     shards = stored(docs.mapInArrow(_encode, SHARD), "phrase-shards")
@@ -434,12 +603,23 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     parts = max(tasks(docs.sparkSession), int(words) // PART_WORDS + 1)
     trimmed = stored(_with_bits(shards, _of_words, least, parts).mapInArrow(_trim(parts), SHARD), "phrase-shards")
     forget(shards)
-    linked = stored(_with_bits(trimmed, _of_grams(2), least, parts).mapInArrow(_link(parts), SHARD), "phrase-shards")
-    forget(trimmed)
-    every = _with_bits(linked, _of_grams(3), least, parts).mapInArrow(_phrases_of(parts), "key string, n long, length int")
-    frequent = every.groupBy("key", "length").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    phrases = stored(frequent.select("key", "n", "length"), "phrases")
-    forget(linked)
+    named = _names(trimmed, _sent_words, _distinct_words, least, parts)
+    texts = stored(_with_names(trimmed, named).mapInArrow(_word_ids(parts), IDS), "phrase-ids")
+    word = F.substring_index("word", "\t", 1)
+    level = stored(named.where("shard is null").select("id", word.alias("phrase"), word.alias("last"), F.expr("substr(word, locate('\t', word) + 1)").alias("lang"), "n"), "phrase-level")
+    forget(trimmed, named)
+    levels = [level]
+    for length in (2, 3, 4):
+        named = _names(texts, _sent_neighbours, _distinct_neighbours, least, parts)
+        if length < 4:
+            before, texts = texts, stored(_with_names(texts, named).mapInArrow(_neighbour_ids(parts), IDS), "phrase-ids")
+            forget(before)
+        levels.append(_longer(named, levels[-1]))
+        forget(named)
+    forget(texts)
+    every = [x.select(F.concat_ws("\t", "phrase", "lang").alias("key"), "n", F.lit(k).alias("length")) for k, x in enumerate(levels, 1)]
+    phrases = stored(functools.reduce(DataFrame.unionAll, every), "phrases")
+    forget(*levels)
     return phrases, totals
 
 
