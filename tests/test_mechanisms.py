@@ -4,6 +4,7 @@ import os
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,6 +258,38 @@ def test_nearest_names_without_stored_pairs(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in plan and "Aggregate" not in plan
 
 
+@pytest.mark.parametrize("columns, words", [(16, 4), (100, 7), (1024, 4096)])
+def test_shared_bigrams_are_counted_in_bits(monkeypatch, columns, words):
+    """Two blocks' unequal texts that reach a score, and each one's best, are those of all pairs, for few and many texts, repeated bigrams, long texts and texts with nothing in common."""
+    import numpy as np
+
+    monkeypatch.setattr(matching, "COLUMNS", columns)
+    monkeypatch.setattr(matching, "WORDS", words)
+    rnd = random.Random(7)
+    grams = lambda t: Counter(t[k : k + 2] for k in range(len(t) - 1))
+    text = lambda letters: rnd.choice(["", "acme nova "]) + "".join(rnd.choices(letters, k=rnd.randrange(2, rnd.choice([6, 14, 300]))))
+    for letters, more, n, least in (("ab", "ab", 40, 0.72), ("aei nu€𝄞", "aei nu€𝄞", 150, 0.7), ("aei nu", "aei nu", 1, 0.3), ("abc", "xyz", 30, 0.7), ("abcde", "abcde", 90, 1.0)):
+        a = list(dict.fromkeys(text(letters) for _ in range(n)))
+        b = list(dict.fromkeys([text(more) for _ in range(n + 60)] + a[::3]))
+        same = np.array([b.index(t) if t in b else -1 for t in a])
+        want = {(i, j): 2.0 * sum((grams(s) & grams(t)).values()) / (len(s) + len(t) - 2) for i, s in enumerate(a) for j, t in enumerate(b) if s != t}
+        want = {at: score for at, score in want.items() if score >= least}
+        got = list(zip(*(z.tolist() for z in matching._reaching(a, b, same, least, False)), strict=True))
+        assert {(i, j): score for i, j, score in got} == want and len(got) == len(want)
+        first = {}
+        for (i, j), score in sorted(want.items(), key=lambda z: (-z[1], z[0])):
+            first.setdefault(i, (j, score))
+        assert {i: (j, score) for i, j, score in zip(*(z.tolist() for z in matching._reaching(a, b, same, least, True)), strict=True)} == first
+
+
+def test_a_name_is_sent_once_for_many_neighbours(spark):
+    """Names are sent once a block, and without their bigrams; a block is large."""
+    rows = spark.range(6000).select(F.lit(1).alias("c"), F.concat(F.lit("acme "), F.col("id").cast("string")).alias("t"))
+    blocks = matching._in_blocks(rows, ["c"])
+    sent = matching._sent(blocks, blocks, ["c"], "_x", "_y")
+    assert sent.count() == 6000 and set(sent.columns) == {"c", "t", "_x", "_y"}
+
+
 def test_stored_tables_leave_no_shuffles(spark):
     """What a stored table was made with is deleted with its query, not some time later."""
     from vahi.storage import CLEANUP, stored

@@ -13,11 +13,13 @@ from vahi.storage import forget, stored
 
 
 #: Texts of a block: what one task compares at a time is two blocks.
-BLOCK = 2048
-#: Blocks whose bigrams are broadcast at most.
+BLOCK = 1 << 15
+#: Blocks that are broadcast at most.
 FEW_BLOCKS = 20_000
-#: Bigrams that one product of matrices covers.
-WIDTH = 1024
+#: Texts of a block that are counted side by side, neighbours in the order of texts.
+COLUMNS = 1024
+#: Words of 64 columns that one operation on bits covers.
+WORDS = 4096
 
 
 def _texts(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -62,23 +64,17 @@ def dice_candidates(x: DataFrame, y: DataFrame, by: list[str], least: float) ->
 
 
 def _in_blocks(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows whose text t has bigrams, with their number n, the distinct ones, and `_block`: at most BLOCK neighbours in the order of texts within equal `by` columns."""
+    """The rows whose text t has bigrams, with `_block`: at most BLOCK neighbours in the order of texts within equal `by` columns."""
     rows = rows.where(F.length("t") > 1)
     dealt = rows.repartitionByRange(rows.count() // (4 * BLOCK) + 1, *by, "t").sortWithinPartitions(*by, "t").withColumn("_at", F.monotonically_increasing_id())
     block = F.shiftright("_at", 33) * (1 << 33) + (F.col("_at") % (1 << 33) / BLOCK).cast("long")  # the bits above 33 are the partition
-    code = lambda k: F.ascii(F.substring(F.col("t"), k, F.lit(1))).cast("long")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda k: code(k) * (1 << 21) + code(k + 1)))
-    return stored(dealt.withColumns({"_block": block, "n": F.length("t") - 1, "grams": grams}).drop("_at"), "blocks")
+    return stored(dealt.withColumn("_block", block).drop("_at"), "blocks")
 
 
-def _sent(rows: DataFrame, others: DataFrame, by: list[str], own: str, other: str, least: float) -> DataFrame:
-    """rows once for each block of the others in which a text may reach the score: by the bigrams that the block has at all and by its texts' lengths."""
-    each = others.select(*by, "_block", "n", F.explode("grams").alias("g")).groupBy(*by, "_block").agg(F.collect_set("g").alias("_held"), F.min("n").alias("_lo"), F.max("n").alias("_hi"))
-    each = stored(each.withColumnRenamed("_block", other), "block-bigrams")
-    met = rows.withColumnRenamed("_block", own).join(F.broadcast(each) if each.count() <= FEW_BLOCKS else each, by)
-    met = met.withColumn("_c", F.col("n") - F.size("grams") + F.size(F.array_intersect("_held", "grams")))  # repeated bigrams count as shared
-    m = F.greatest(F.least("_c", "_hi"), F.col("_lo"))  # the length that would score best
-    return met.where(F.lit(2.0) * F.least(F.col("_c"), m) >= F.lit(least) * (F.col("n") + m) - F.lit(1e-9)).drop("_c", "_held", "_lo", "_hi", "grams", "n")
+def _sent(rows: DataFrame, others: DataFrame, by: list[str], own: str, other: str) -> DataFrame:
+    """rows once for each block of the others."""
+    each = stored(others.select(*by, F.col("_block").alias(other)).distinct(), "block-names")
+    return rows.withColumnRenamed("_block", own).join(F.broadcast(each) if each.count() <= FEW_BLOCKS else each, by)
 
 
 def _numbered(texts: list[str]):
@@ -93,25 +89,135 @@ def _numbered(texts: list[str]):
     return r, g, at - first
 
 
-def _shared(a: list[str], b: list[str]) -> np.ndarray:
-    """How many bigrams, occurrences counted, each text of a shares with each of b: products of 0-1 matrices, WIDTH bigrams at a time."""
+def _sums(planes: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The sums of numbers that lie in columns of bits: planes[k] holds bits that count 2 ** k, all of one shape; the last place overflows into nothing."""
+    out = []
+    for k, at in enumerate(planes):
+        more = planes[k + 1] if k + 1 < len(planes) else []
+        while len(at) > 2:
+            x, y, z = at.pop(), at.pop(), at.pop()
+            either = x ^ y
+            more.append((x & y) | (either & z))
+            at.append(either ^ z)
+        if len(at) == 2:
+            x, y = at
+            more.append(x & y)
+            at = [x ^ y]
+        out.append(at[0])
+    return out
+
+
+class _Side:
+    """The bigrams of a block's texts that the other block has too: dims, those of text i from starts[i] on; n is how many bigrams each has at all."""
+
+    def __init__(self, texts: list[str], rows: np.ndarray, dims: np.ndarray, both: np.ndarray):
+        at = np.minimum(np.searchsorted(both, dims), max(len(both) - 1, 0))
+        held = both[at] == dims if len(both) else np.zeros(len(dims), bool)
+        self.n = np.array([len(t) - 1 for t in texts], np.int64)
+        self.rows, self.dims = rows[held], at[held]
+        self.starts = np.searchsorted(self.rows, np.arange(len(texts) + 1))
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """The sum of a value of each dim over the dims of each text."""
+        total = np.r_[0, np.cumsum(values[self.dims])]
+        return total[self.starts[1:]] - total[self.starts[:-1]]
+
+    def of(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The dims of these texts, and beside each the text's place in the list."""
+        lengths = self.starts[texts + 1] - self.starts[texts]
+        ends = np.cumsum(lengths)
+        return np.repeat(np.arange(len(texts)), lengths), self.dims[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[texts] - ends + lengths, lengths)]
+
+
+def _sides(a: list[str], b: list[str]) -> tuple[_Side, _Side, int]:
     (ra, ga, ka), (rb, gb, kb) = _numbered(a), _numbered(b)
     times = max(ka.max(), kb.max()) + 1
     _, ids = np.unique(np.r_[ga, gb], return_inverse=True)
     ia, ib = ids[: len(ga)] * times + ka, ids[len(ga) :] * times + kb
     both = np.intersect1d(ia, ib)
-    out = np.zeros((len(a), len(b)), np.float32)
-    for start in range(0, len(both), WIDTH):
-        some = both[start : start + WIDTH]
-        sides = []
-        for rows, grams, n in ((ra, ia, len(a)), (rb, ib, len(b))):
-            at = np.minimum(np.searchsorted(some, grams), len(some) - 1)
-            hit = some[at] == grams
-            matrix = np.zeros((n, len(some)), np.float32)
-            matrix[rows[hit], at[hit]] = 1
-            sides.append(matrix)
-        out += sides[0] @ sides[1].T
-    return out
+    return _Side(a, ra, ia, both), _Side(b, rb, ib, both), len(both)
+
+
+def _reaching(a: list[str], b: list[str], same: np.ndarray, least: float, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places i, j of unequal texts that reach the score, and the score; with `best`, for each i only the best one, of equally good ones that of the smallest j.
+
+    Shared bigrams are counted for 64 texts of b at a time: each bigram is a row of bits, one for each text of some neighbours, and a text of a adds up the rows of its bigrams. Bigrams
+    that all of the neighbours have are not added but known. A text of a meets only neighbours that could reach the score if one of them had all their bigrams. same[i] is the j of the
+    equal text, or -1.
+    """
+    x, y, dims = _sides(a, b)
+    order = np.array(sorted(range(len(b)), key=b.__getitem__))
+    top, top_j = np.full(len(a), least), np.full(len(a), -1)
+    found = []
+    for begin in range(0, len(b), COLUMNS):
+        cols = order[begin : begin + COLUMNS]
+        cols = cols[np.argsort(y.n[cols], kind="stable")]
+        col, dim = y.of(cols)
+        words = -(-len(cols) // 64)
+        times = np.bincount(dim, minlength=dims)
+        kind = np.where(times == len(cols), 1 << 32, times > 0)  # all have it, some have it, none
+        counts = x.per_text(kind)
+        known, some = counts >> 32, counts & 0xFFFFFFFF
+        common = np.count_nonzero(times == len(cols))
+        m = np.clip(some + common, y.n[cols[0]], y.n[cols[-1]])  # the length that would score best
+        queries = np.flatnonzero(2.0 * (known + np.minimum(some, m - common)) >= top * (x.n + m) - 1e-9)
+        if not len(queries):
+            continue
+        held = np.flatnonzero(kind == 1)
+        local = np.full(dims, -1)
+        local[held] = np.arange(len(held))
+        bits = np.zeros((len(held) + 1) * words, np.uint64)  # the last row is empty
+        own = local[dim] >= 0
+        at = local[dim[own]] * words + col[own] // 64
+        by_word = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[by_word], prepend=-1))
+        if len(first):
+            bits[at[by_word][first]] = np.bitwise_or.reduceat((np.uint64(1) << (col[own] % 64).astype(np.uint64))[by_word], first)
+        bits = bits.reshape(-1, words)
+        shortest = y.n[cols[::64]]  # of each word
+        queries = queries[np.argsort(some[queries], kind="stable")]
+        step = max(1, WORDS // words * 64 // max(64, int(some[queries[-1]])))  # long texts add up many rows
+        for start in range(0, len(queries), step):
+            q = queries[start : start + step]
+            most = int(some[q[-1]])
+            places = most.bit_length()  # 2 ** places > most
+            row, dim_q = x.of(q)
+            mine = local[dim_q] >= 0
+            row, dim_q = row[mine], local[dim_q[mine]]
+            ids = np.full((most, len(q)), len(held))
+            ids[np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row], row] = dim_q
+            need = np.ceil(top[q, None] / 2 * (x.n[q, None] + shortest) - 1e-9) - known[q, None]
+            offset = ((1 << places) - np.clip(need, 0, most + 1)).astype(np.min_scalar_type(1 << places))  # with it, the sum overflows where there are enough
+            planes = [[np.negative((offset >> k & 1).astype(np.uint64))] for k in range(places + 1)]
+            planes[0].extend(bits.take(r, axis=0) for r in ids)
+            sums = _sums(planes)
+            enough = sums[-1].ravel()
+            word = np.flatnonzero(enough)
+            if not len(word):
+                continue
+            k, bit = np.nonzero(np.unpackbits(enough[word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            word = word[k]
+            inside = word % words * 64 + bit < len(cols)
+            word, bit = word[inside], bit[inside]
+            value = sum((sums[p].ravel()[word] >> bit.astype(np.uint64) & np.uint64(1)).astype(np.int64) << p for p in range(places + 1))
+            i, j = q[word // words], cols[word % words * 64 + bit]
+            score = 2.0 * (value - offset.ravel()[word].astype(np.int64) + known[i]) / (x.n[i] + y.n[j])
+            reach = (score >= top[i]) & (same[i] != j)
+            i, j, score = i[reach], j[reach], score[reach]
+            if not best:
+                found.append((i, j, score))
+            elif len(i):
+                group = np.flatnonzero(np.diff(i, prepend=-1))
+                sizes = np.diff(np.r_[group, len(i)])
+                high = np.maximum.reduceat(score, group)
+                low = np.minimum.reduceat(np.where(score == np.repeat(high, sizes), j, len(b)), group)
+                i = i[group]
+                better = (high > top[i]) | (top_j[i] < 0) | (low < top_j[i])
+                top[i[better]], top_j[i[better]] = high[better], low[better]
+    if best:
+        i = np.flatnonzero(top_j >= 0)
+        return i, top_j[i], top[i]
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def _meet(by: list[str], least: float, rank: list[str], best: bool):
@@ -123,22 +229,8 @@ def _meet(by: list[str], least: float, rank: list[str], best: bool):
         score = np.zeros(0)
         if left.num_rows and right.num_rows:
             a, b = left["t"].to_pylist(), right["t"].to_pylist()
-            n, m = (np.array([len(t) - 1 for t in x], np.int64) for x in (a, b))
             place = {t: k for k, t in enumerate(b)}
-            same = np.array([place.get(t, -1) for t in a])
-            shared, found = _shared(a, b), []
-            for at in range(0, len(a), 256):
-                scores = 2.0 * shared[at : at + 256] / (n[at : at + 256, None] + m)  # float32 times float is exact here, the quotient by whole numbers is a double
-                mine = same[at : at + 256]
-                scores[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -1
-                if best:
-                    top = scores.argmax(axis=1)
-                    rows = np.flatnonzero(scores[np.arange(len(top)), top] >= least)
-                    found.append((rows + at, top[rows], scores[rows, top[rows]]))
-                else:
-                    rows, cols = np.nonzero(scores >= least)
-                    found.append((rows + at, cols, scores[rows, cols]))
-            i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            i, j, score = _reaching(a, b, np.array([place.get(t, -1) for t in a]), least, best)
         mine, theirs = left.select([*by, "t"]).take(pa.array(i)), right.select(["t", *rank]).take(pa.array(j))
         return pa.table([*[mine[c] for c in by], mine["t"], theirs["t"], pa.array(score), *[theirs[c] for c in rank]], names=[*by, "_a", "_b", "score", *rank])
 
@@ -146,13 +238,13 @@ def _meet(by: list[str], least: float, rank: list[str], best: bool):
 
 
 def _scored(x: DataFrame, y: DataFrame, by: list[str], least: float, rank: list[str], best: bool) -> DataFrame:
-    """(by, _a, _b, score, rank) of the unequal texts t of both sides that reach the score: blocks of neighbours in the order of texts meet where they can match, two a time.
+    """(by, _a, _b, score, rank) of the unequal texts t of both sides that reach the score: blocks of neighbours in the order of texts meet, two a time.
 
-    Pairs are neither shuffled nor stored. What is shuffled are texts, once for each block of the other side that has enough of their bigrams.
+    Pairs are neither shuffled nor stored. What is shuffled are texts, once for each block of the other side within equal `by` columns.
     """
     x, y = _in_blocks(x, by), _in_blocks(y, by)
     keys = [*by, "_x", "_y"]
-    a, b = _sent(x, y, by, "_x", "_y", least), _sent(y, x, by, "_y", "_x", least)
+    a, b = _sent(x, y, by, "_x", "_y"), _sent(y, x, by, "_y", "_x")
     fields = {f.name: f for f in [*x.schema.fields, *y.schema.fields]}
     text = lambda c: StructField(c, StringType())
     schema = StructType([*[fields[c] for c in by], text("_a"), text("_b"), StructField("score", DoubleType()), *[fields[c] for c in rank]])
