@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tests.test_operators import BOOK, ROW
-from vahi.operators import reconcile
+from vahi.operators import ledgers, reconcile
 from vahi.plans import catalogue
 from vahi.sources import files
 
@@ -58,3 +58,35 @@ def test_stream_files_are_not_written_by_one_task(spark, monkeypatch):
 def test_exports_make_invoices_and_lines_once(spark, name):
     """Vouchers, lines and entries are made of stored invoices and lines: the last plan reads no line items."""
     assert "lineitem.parquet" not in catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def _parties(spark):
+    names = [f"acme nova {w} works" for w in ("aeio", "oiea", "urst", "mkmk")] + ["coral", "acme coral"]
+    parties = spark.createDataFrame([(1, None, n) for n in names], "client_id int, gstin_key string, name_key string")
+    rules = spark.createDataFrame([(1, "VENDOR_NAME_CONTAINS", k, 9 - k % 3, 100 + k, True, "Coral") for k in range(50)] + [(1, "VENDOR_NAME_EQUALS", 60 + k, 8, 200 + k, True, "CORAL") for k in range(50)], "client_id int, rule_type string, rule_id int, priority int, ledger_id long, enabled boolean, pattern string")
+    memory = spark.createDataFrame([], "client_id int, match_type string, match_key string, ledger_id long, hit_count int")
+    named = spark.createDataFrame([(1, 7, "acme nova aeio work", "PARTY"), (1, 8, "acme nova", "PARTY")], "client_id int, ledger_id long, name string, ledger_type string")
+    return parties, rules, memory, named
+
+
+def test_a_party_does_not_meet_all_rules_of_one_pattern(spark, monkeypatch):
+    met, keep = {}, ledgers._best
+
+    def best(rows, by, *order):
+        met[tuple(by)] = rows.count()
+        return keep(rows, by, *order)
+
+    monkeypatch.setattr(ledgers, "_best", best)
+    out = {r.name_key: (r.ledger_id, r.via) for r in ledgers.resolve_parties(*_parties(spark)).collect()}
+    assert met["client_id", "gstin_key", "name_key"] == 3  # two names hold the pattern, one is equal to the other's
+    assert out["coral"] == out["acme coral"] == (102, "RULE")
+
+
+def test_parties_are_resolved_once_before_suggestions(spark):
+    """The last plan looks for similar names once, for the suggestion; those of the resolution are stored."""
+    parties, rules, memory, named = _parties(spark)
+    out = ledgers.suggested(ledgers.resolve_parties(parties, rules, memory, named), ledgers.candidates_of(memory, named))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
+    got = {r.name_key: (r.ledger_id, r.suggested_ledger) for r in out.collect()}
+    assert got["acme nova aeio works"] == (7, None) and got["acme nova mkmk works"] == (None, 8)

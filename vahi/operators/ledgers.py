@@ -52,7 +52,9 @@ def resolve_parties(parties: DataFrame, rules: DataFrame, memory: DataFrame, led
     """
     parties = stored(parties.select("client_id", "gstin_key", "name_key").distinct(), "parties")
     key = ["client_id", "gstin_key", "name_key"]
-    active = stored(rules.where("enabled AND rule_type <> 'HSN_EQUALS'").select("client_id", "rule_type", "rule_id", "priority", F.col("ledger_id").alias("rule_ledger"), T.norm_pattern(F.col("rule_type"), F.col("pattern")).alias("norm")), "rules").where("norm <> ''")  # its keys are asked several times
+    active = rules.where("enabled AND rule_type <> 'HSN_EQUALS'").select("client_id", "rule_type", "rule_id", "priority", F.col("ledger_id").alias("rule_ledger"), T.norm_pattern(F.col("rule_type"), F.col("pattern")).alias("norm"))
+    first = F.min(F.struct("priority", "rule_id", "rule_ledger")).alias("r")  # of the rules that ask the same only the first can win, so a party does not meet them all
+    active = stored(active.groupBy("client_id", "rule_type", "norm").agg(first).select("client_id", "rule_type", "norm", "r.*"), "rules").where("norm <> ''")  # its keys are asked several times
     of = lambda kind, name: active.where(F.col("rule_type") == kind).withColumnRenamed("norm", name)
     inside = contains_join(parties, of("VENDOR_NAME_CONTAINS", "norm"), "name_key", "norm", ["client_id"])
     hits = [
@@ -107,6 +109,7 @@ def suggest_parties(names: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def suggested(resolved: DataFrame, candidates: DataFrame) -> DataFrame:
     """V4 with V4b behind it: resolved parties, and for those without a ledger the lenient suggestion in suggested_ledger and suggested_score; nameless ones get none."""
+    resolved = stored(resolved, "resolved")  # read three times; its similar names are looked for once
     open_names = resolved.where("ledger_id IS NULL AND name_key IS NOT NULL").select("client_id", "name_key").distinct()
     found = suggest_parties(open_names, candidates).select("client_id", "name_key", F.col("ledger_id").alias("_l"), F.col("score").alias("_s"))
     out = resolved.join(found, ["client_id", "name_key"], "left")
