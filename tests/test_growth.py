@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tests.test_operators import BOOK, ROW
-from vahi.operators import ledgers, reconcile
+from vahi.operators import drafts, ledgers, reconcile
 from vahi.plans import catalogue
 from vahi.sources import files
 
@@ -90,3 +90,18 @@ def test_parties_are_resolved_once_before_suggestions(spark):
     assert plan.count("FlatMapCoGroupsInArrow") == 1
     got = {r.name_key: (r.ledger_id, r.suggested_ledger) for r in out.collect()}
     assert got["acme nova aeio works"] == (7, None) and got["acme nova mkmk works"] == (None, 8)
+
+
+def test_drafts_make_only_what_they_have(spark, monkeypatch):
+    """Columns that no draft has are not made and stored, lines are joined without their invoices' parties, and debits and credits are summed once."""
+    plans, columns, keep = {}, {}, drafts.stored
+
+    def watched(df, name):
+        plans[name], columns[name] = _plan(df), df.columns
+        return keep(df, name)
+
+    monkeypatch.setattr(drafts, "stored", watched)
+    out = catalogue.QUERIES["v6_drafts"](spark, SMALL)
+    assert not {"customer_gstin", "irn", "eway_bill_no"} & set(columns["to-draft"])
+    assert "LeftOuter" not in plans["lines-to-draft"]
+    assert len(re.findall(r"aggregate\(lines", _plan(out))) == 2

@@ -35,6 +35,7 @@ def draft_vouchers(invoices: DataFrame, items: DataFrame, existing: DataFrame, r
     rows = rows.withColumn("voucher_type", F.coalesce("new_type", voucher_type(F.col("document_type")))).withColumn("buys", is_purchase_resolve(F.col("voucher_type")))
     rows = rows.withColumns({"gstin_key": T.norm_gstin(F.col("vendor_gstin")), "name_key": T.norm_name(F.col("vendor"))})
     rows = stored(rows, "to-draft")  # three readers follow
+    owners = rows.select("invoice_id", "client_id", "buys")  # lines need no party
 
     parties = L.resolve_parties(rows.select("client_id", "gstin_key", "name_key").distinct(), rules, memory, ledgers).select("client_id", "gstin_key", "name_key", F.col("ledger_id").alias("_party"), F.col("confidence").alias("_sure"), F.col("via").alias("_via"))
     rows = L.null_safe_left(rows, parties, ["client_id", "gstin_key", "name_key"])
@@ -44,7 +45,7 @@ def draft_vouchers(invoices: DataFrame, items: DataFrame, existing: DataFrame, r
     pick = lambda hand, found: F.when(~force, F.when(by_hand, hand).otherwise(found))
     rows = rows.withColumns({"party_ledger": pick(F.col("_asked"), F.col("_party")), "party_confidence": pick(F.lit(1.0), F.col("_sure")), "party_via": pick(F.lit("MANUAL"), F.col("_via"))})
 
-    lines = items.select("invoice_id", "sort_order", "price", "hsn_code", "gst_rate").join(rows.select("invoice_id", "client_id", "buys"), "invoice_id")
+    lines = items.select("invoice_id", "sort_order", "price", "hsn_code", "gst_rate").join(owners, "invoice_id")
     lines = stored(lines, "lines-to-draft")
     keys = lines.select("client_id", "hsn_code", "gst_rate", "buys").distinct()
     side = lambda buys, kind: L.resolve_items(keys.where("buys" if buys else "NOT buys"), rules, ledgers, kind)

@@ -66,7 +66,8 @@ def build_vouchers(invoices: DataFrame, tolerance: float = 1.0) -> DataFrame:
     )
     out = out.withColumn("lines", F.array_compact(F.concat(F.when(has_items, each).otherwise(whole), rest)))
     total = lambda side: F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x[side])
-    out = out.withColumn("round_off_p", total("debit_p") - total("credit_p"))
+    out = out.withColumns({"_debit": total("debit_p"), "_credit": total("credit_p")})
+    out = out.withColumn("round_off_p", F.col("_debit") - F.col("_credit"))
     off = _line("ROUND_OFF", F.col("round_off_ledger"), F.abs("round_off_p"), F.col("round_off_p") < 0, via=default)
     out = out.withColumn("lines", F.array_compact(F.concat("lines", F.array(off))))
     unmapped = F.col("party_ledger").isNull() | F.when(has_items, F.exists("items", lambda x: x.ledger_id.isNull())).otherwise(F.lit(True))
@@ -76,7 +77,9 @@ def build_vouchers(invoices: DataFrame, tolerance: float = 1.0) -> DataFrame:
     ))
     sure = F.filter(F.transform("lines", lambda x: x.confidence), lambda c: c.isNotNull())
     mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda acc, c: acc + c) / F.size(sure))
-    return out.withColumns({"total_debit_p": total("debit_p"), "total_credit_p": total("credit_p"), "has_unmapped": unmapped, "avg_confidence": mean, "warnings": warnings})
+    more = lambda side: F.greatest(side, F.lit(0).cast("long"))
+    debit, credit = F.col("_debit") + more(-F.col("round_off_p")), F.col("_credit") + more(F.col("round_off_p"))  # those of the round-off line too, without another walk of the lines
+    return out.withColumns({"total_debit_p": debit, "total_credit_p": credit, "has_unmapped": unmapped, "avg_confidence": mean, "warnings": warnings}).drop("_debit", "_credit")
 
 
 def lines_of(built: DataFrame, *keep: str) -> DataFrame:

@@ -245,7 +245,9 @@ def _ledgers_with_seed(t: Tables) -> DataFrame:
 
 
 def _drafts(t: Tables) -> DataFrame:
-    return drafts.draft_vouchers(t.invoice, t.invoice_item, t.voucher, t.mapping_rule, t.memory, _ledgers_with_seed(t), _overrides(t))
+    """Drafts of the columns that drafts and vouchers have; they are stored, so the others would be made for nothing."""
+    needed = ["invoice_id", "client_id", "vendor", "vendor_gstin", "invoice_number", "invoice_date", "created_at", "document_type", "subtotal", "cgst", "sgst", "igst", "discount", "total_amount", "status"]
+    return drafts.draft_vouchers(t.invoice.select(*needed), t.invoice_item, t.voucher, t.mapping_rule, t.memory, _ledgers_with_seed(t), _overrides(t))
 
 
 @query(f"""
