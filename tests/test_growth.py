@@ -10,6 +10,7 @@ from tests.test_operators import BOOK, ROW
 from vahi.operators import drafts, ledgers, reconcile
 from vahi.plans import catalogue
 from vahi.sources import files
+from vahi.storage import METHOD_LIMIT
 
 
 def _plan(df) -> str:
@@ -94,14 +95,15 @@ def test_parties_are_resolved_once_before_suggestions(spark):
 
 def test_drafts_make_only_what_they_have(spark, monkeypatch):
     """Columns that no draft has are not made and stored, lines are joined without their invoices' parties, and debits and credits are summed once."""
-    plans, columns, keep = {}, {}, drafts.stored
+    plans, columns, limits, keep, was = {}, {}, {}, drafts.stored, spark.conf.get(METHOD_LIMIT)
 
     def watched(df, name):
-        plans[name], columns[name] = _plan(df), df.columns
+        plans[name], columns[name], limits[name] = _plan(df), df.columns, spark.conf.get(METHOD_LIMIT)
         return keep(df, name)
 
     monkeypatch.setattr(drafts, "stored", watched)
     out = catalogue.QUERIES["v6_drafts"](spark, SMALL)
     assert not {"customer_gstin", "irn", "eway_bill_no"} & set(columns["to-draft"])
+    assert limits == {"to-draft": "8000", "lines-to-draft": was} and spark.conf.get(METHOD_LIMIT) == was  # the widest stage is not interpreted
     assert "LeftOuter" not in plans["lines-to-draft"]
     assert len(re.findall(r"aggregate\(lines", _plan(out))) == 2

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vahi.functions import text as T
 from vahi.operators import ledgers as L
 from vahi.operators.vouchers import ITEM, build_vouchers, is_purchase_resolve, lines_of, voucher_type
-from vahi.storage import no_shuffles_left, stored
+from vahi.storage import compiled_stages, no_shuffles_left, stored
 
 # Names of the ledgers that a client's taxes and discounts go to, for purchases and for all others.
 SYSTEM = {
@@ -34,7 +34,8 @@ def draft_vouchers(invoices: DataFrame, items: DataFrame, existing: DataFrame, r
     rows = invoices.drop("status").join(old, "invoice_id", "left").where("_old_status IS NULL OR _old_status = 'DRAFT'").join(overrides.withColumnRenamed("party_ledger", "_asked"), "invoice_id", "left")
     rows = rows.withColumn("voucher_type", F.coalesce("new_type", voucher_type(F.col("document_type")))).withColumn("buys", is_purchase_resolve(F.col("voucher_type")))
     rows = rows.withColumns({"gstin_key": T.norm_gstin(F.col("vendor_gstin")), "name_key": T.norm_name(F.col("vendor"))})
-    rows = stored(rows, "to-draft")  # three readers follow
+    with compiled_stages(rows.sparkSession):
+        rows = stored(rows, "to-draft")  # three readers follow
     owners = rows.select("invoice_id", "client_id", "buys")  # lines need no party
 
     parties = L.resolve_parties(rows.select("client_id", "gstin_key", "name_key").distinct(), rules, memory, ledgers).select("client_id", "gstin_key", "name_key", F.col("ledger_id").alias("_party"), F.col("confidence").alias("_sure"), F.col("via").alias("_via"))

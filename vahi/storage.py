@@ -29,15 +29,30 @@ def new_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's limit of bytes for the code that it makes of a stage; above it, the stage's operators run one by one.
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+#: The JVM only interprets methods above this size, which is slower than compiled operators one by one.
+COMPILED_BYTES = 8000
+
+
 @contextmanager
-def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
-    """The queries that are written inside leave no shuffle files behind; what they wrote is all that later steps read."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def no_shuffles_left(spark: SparkSession):
+    """The queries that are written inside leave no shuffle files behind; what they wrote is all that later steps read."""
+    return _setting(spark, CLEANUP, "true")
+
+
+def compiled_stages(spark: SparkSession):
+    """For wide rows of long expressions: stages of the queries that are run inside are compiled whole or not at all, never interpreted."""
+    return _setting(spark, METHOD_LIMIT, str(COMPILED_BYTES))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
